@@ -119,3 +119,206 @@ q("q01_4", "select state, count(*) as n from v_post where state is not null grou
 q("q01_5", f"""select formatted_experience_level, median(normalized_salary) as median_salary, count(normalized_salary) as n
  from v_post where formatted_experience_level in {EXP_IN} and normalized_salary is not null group by 1""", ["median_salary"])
 q("q01_6", f"select size_label, avg(remote_allowed) * 100 as remote_pct from v_pc where size_label in {SIZE_IN} group by 1", ["remote_pct"])
+
+
+def topk(view: str, col: str, k: int, where: str = "") -> str:
+    w = f" and ({where})" if where else ""
+    return (f"(select {col} from {view} where {col} is not null{w} group by {col} "
+            f"order by count(*) desc, {col} limit {k})")
+
+
+def share(row: str, col: str, src: str) -> str:
+    return (f"select {row}, {col}, count(*) as n, cast(count(*) as double) * 100.0 / "
+            f"sum(count(*)) over (partition by {row}) as share {src} and {row} is not null "
+            f"and {col} is not null group by 1, 2")
+
+
+def band_sql(c: str, edges, labels, include_lowest=False) -> str:
+    parts = []
+    for i, lab in enumerate(labels):
+        lo, hi = edges[i], edges[i + 1]
+        cond = f"{c} >= {lo}" if (i == 0 and include_lowest) else f"{c} > {lo}"
+        if hi is not None:
+            cond += f" and {c} <= {hi}"
+        parts.append(f"when {cond} then '{lab}'")
+    return "case " + " ".join(parts) + " end"
+
+
+BAND = band_sql("normalized_salary", *rules.SALARY_BANDS_REPORT)
+TOP_SKILL = lambda k: topk("v_js", "skill_name", k)
+TOP_IND = lambda k: topk("v_ji", "industry_name", k)
+TOP_STATE = lambda k: topk("v_post", "state", k)
+
+# --- Q02 -------------------------------------------------------------------------------------
+q("q02_1", "select skill_name, count(*) as n from v_js where skill_name is not null group by 1 order by n desc, skill_name limit 20")
+q("q02_2", "select industry_name, count(*) as n from v_ji where industry_name is not null group by 1 order by n desc, industry_name limit 15")
+q("q02_3", share("formatted_experience_level", "skill_name",
+                 f"from v_js left join v_post using (job_id) where formatted_experience_level in {EXP_IN} and skill_name in {TOP_SKILL(10)}"), ["share"])
+q("q02_4", """select skill_name, median(normalized_salary) as median_salary, count(*) as n from v_js join v_post using (job_id)
+ where normalized_salary is not null and skill_name is not null group by 1 having count(*) >= 100 order by median_salary desc, skill_name limit 15""", ["median_salary"])
+q("q02_5", share("industry_name", "skill_name",
+                 f"from (select job_id, skill_name from v_js where skill_name in {TOP_SKILL(8)}) join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(5)}) using (job_id) where true"), ["share"])
+
+# --- Q04 -------------------------------------------------------------------------------------
+q("q04_1", share("formatted_experience_level", "salary_band",
+                 f"from (select *, {BAND} as salary_band from v_post) where formatted_experience_level in {EXP_IN}"), ["share"])
+q("q04_2", share("industry_name", "salary_band",
+                 f"from (select job_id, {BAND} as salary_band from v_post) join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(10)}) using (job_id) where true"), ["share"])
+q("q04_3", f"""select state, count(job_id) as n, avg(remote_allowed) * 100 as remote_pct, median(normalized_salary) as median_salary
+ from v_post where state in {TOP_STATE(15)} group by 1 having median(normalized_salary) is not null""", ["remote_pct", "median_salary"])
+q("q04_4", share("formatted_experience_level", "formatted_work_type",
+                 f"from v_post where formatted_experience_level in {EXP_IN} and formatted_work_type in {_in(rules.WORK_TYPES_MAIN)}"), ["share"])
+q("q04_5", share("salary_band", "skill_name",
+                 f"from (select job_id, {BAND} as salary_band from v_post) join (select job_id, skill_name from v_js where skill_name in {TOP_SKILL(8)}) using (job_id) where true"), ["share"])
+
+# --- Q05 -------------------------------------------------------------------------------------
+q("q05_1", """select state, median(normalized_salary) as median_salary, count(*) as n from v_post
+ where state is not null and normalized_salary is not null group by 1 having count(*) >= 100 order by median_salary desc, state limit 20""", ["median_salary"])
+q("q05_2", f"select state, avg(remote_allowed) * 100 as remote_pct from v_post where state in {TOP_STATE(20)} group by 1", ["remote_pct"])
+q("q05_3", "select city, count(*) as n from v_post where city is not null group by 1 order by n desc, city limit 15")
+q("q05_4", share("state", "industry_name",
+                 f"from v_post join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(8)}) using (job_id) where state in {TOP_STATE(10)}"), ["share"])
+q("q05_5", share("state", "formatted_experience_level",
+                 f"from v_post where state in {TOP_STATE(8)} and formatted_experience_level in {EXP_IN}"), ["share"])
+
+# --- Q06 -------------------------------------------------------------------------------------
+q("q06_1", "select name, count(*) as n from v_pc where name is not null group by 1 order by n desc, name limit 15")
+q("q06_2", """select size_label, median(normalized_salary) as median_salary, count(*) as n from v_pc
+ where size_label is not null and normalized_salary is not null group by 1""", ["median_salary"])
+q("q06_3", share("size_label", "industry_name",
+                 f"from v_pc join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(8)}) using (job_id) where true"), ["share"])
+q("q06_4", """select name, median(normalized_salary) as median_salary, count(*) as n from v_pc
+ where name is not null and normalized_salary is not null group by 1 having count(*) >= 20 order by median_salary desc, name limit 15""", ["median_salary"])
+q("q06_5", share("size_label", "formatted_experience_level", f"from v_pc where formatted_experience_level in {EXP_IN}"), ["share"])
+
+# --- Q08 -------------------------------------------------------------------------------------
+_BEN_CNT = "(select job_id, count(*) as benefit_count from v_ben group by 1)"
+q("q08_1", "select type, count(*) as n from v_ben where type is not null group by 1 order by n desc, type limit 20")
+q("q08_2", f"select size_label, avg(benefit_count) as avg_benefits from {_BEN_CNT} left join v_pc using (job_id) where size_label is not null group by 1", ["avg_benefits"])
+q("q08_3", share("industry_name", "type",
+                 f"from (select job_id, type from v_ben where type in {topk('v_ben', 'type', 10)}) join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(5)}) using (job_id) where true"), ["share"])
+q("q08_4", f"""select case when benefit_count >= 10 then '10+' else cast(benefit_count as varchar) end as benefit_group,
+ median(normalized_salary) as median_salary, count(*) as n from {_BEN_CNT} join v_post using (job_id) where normalized_salary is not null group by 1""", ["median_salary"])
+q("q08_5", share("formatted_experience_level", "type",
+                 f"from (select job_id, type from v_ben where type in {topk('v_ben', 'type', 8)}) left join v_post using (job_id) where formatted_experience_level in {EXP_IN}"), ["share"])
+
+# --- Q09 -------------------------------------------------------------------------------------
+_SKSAL = "(select v_js.job_id, skill_name, normalized_salary, formatted_experience_level from v_js join v_post using (job_id) where normalized_salary is not null)"
+_BOX_DOUBLES = ["q1", "median", "q3", "min", "max", "whisker_low", "whisker_high"]
+
+
+def box_sql(group: str, src: str) -> str:
+    return f"""select b.*, w.whisker_low, w.whisker_high, w.n_outliers from (
+ select {group}, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3,
+  count(*) as n, min(v) as min, max(v) as max from {src} group by 1) b
+ join (select d.{group}, min(case when v between lo and hi then v end) as whisker_low, max(case when v between lo and hi then v end) as whisker_high,
+  count(case when not (v between lo and hi) then 1 end) as n_outliers
+  from {src} d join (select {group}, q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from (
+   select {group}, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3 from {src} group by 1)) f using ({group})
+  group by 1) w using ({group})"""
+
+
+q("q09_2", box_sql("skill_name", f"(select skill_name, normalized_salary as v from {_SKSAL} where skill_name in {TOP_SKILL(10)})"), _BOX_DOUBLES)
+q("q09_3", f"""select formatted_experience_level, skill_name, median(normalized_salary) as median_salary, count(*) as n from {_SKSAL}
+ where formatted_experience_level in {EXP_IN} and skill_name in {TOP_SKILL(6)} group by 1, 2""", ["median_salary"])
+q("q09_4", f"""select industry_name, skill_name, median(normalized_salary) as median_salary, count(*) as n
+ from (select * from {_SKSAL} where skill_name in {TOP_SKILL(6)}) join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(5)}) using (job_id) group by 1, 2""", ["median_salary"])
+q("q09_5", """select case when skill_count >= 8 then '8+' else cast(skill_count as varchar) end as skill_group,
+ median(normalized_salary) as median_salary, count(*) as n
+ from (select job_id, count(skill_name) as skill_count from v_js group by 1) join v_post using (job_id)
+ where normalized_salary is not null and skill_count >= 1 group by 1""", ["median_salary"])
+
+# --- Q10 -------------------------------------------------------------------------------------
+_COMP = "(select *, applies / views as competition_score, trim(lower(title)) as title_clean from v_post where applies is not null and views is not null and views > 0)"
+q("q10_1", f"""select title_clean, avg(competition_score) as avg_score, avg(applies) as avg_applies, count(job_id) as n from {_COMP}
+ where title_clean is not null group by 1 having count(job_id) >= 20 order by avg_score desc, title_clean limit 15""", ["avg_score", "avg_applies"])
+q("q10_2", f"""with d as (select industry_name, competition_score from {_COMP} c join v_ji using (job_id))
+ select industry_name, median(competition_score) as median_score from d where industry_name in {topk('d', 'industry_name', 12)} group by 1""", ["median_score"])
+q("q10_3", f"""select formatted_experience_level, median(competition_score) as median_score, avg(competition_score) as mean_score, count(competition_score) as n
+ from {_COMP} where formatted_experience_level in {EXP_IN} group by 1""", ["median_score", "mean_score"])
+q("q10_4", f"""select {_case('remote_allowed', rules.REMOTE_LABELS)} as work_type, median(competition_score) as median_score, avg(competition_score) as mean_score, count(competition_score) as n
+ from {_COMP} group by 1""", ["median_score", "mean_score"])
+q("q10_5", f"""select title_clean, avg(competition_score) as avg_score, median(normalized_salary) as median_salary, count(job_id) as n from {_COMP}
+ where title_clean is not null group by 1 having count(job_id) >= 20 and median(normalized_salary) > 60000 order by avg_score, title_clean limit 15""", ["avg_score", "median_salary"])
+
+# --- Q11 -------------------------------------------------------------------------------------
+_SALP = "(select * from v_post where normalized_salary is not null)"
+_LADDER = lambda k: (f"(select job_id, normalized_salary, formatted_experience_level, industry_name from {_SALP} "
+                     f"join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(k)}) using (job_id) "
+                     f"where formatted_experience_level in {EXP_IN})")
+q("q11_1", box_sql("formatted_experience_level",
+                   f"(select formatted_experience_level, normalized_salary as v from {_SALP} where formatted_experience_level in {EXP_IN})"), _BOX_DOUBLES)
+q("q11_2", f"""select * from (select industry_name, formatted_experience_level, median(normalized_salary) as median_salary, count(*) as n,
+ count(*) over (partition by industry_name) as levels from {_LADDER(6)} group by 1, 2) where levels >= 2""", ["median_salary"])
+q("q11_3", f"""select size_label, formatted_experience_level, median(normalized_salary) as median_salary, count(*) as n from v_pc
+ where normalized_salary is not null and size_label in {_in(rules.SIZE_ORDER[:7])} and formatted_experience_level in {EXP_IN} group by 1, 2""", ["median_salary"])
+q("q11_4", f"""select *, (senior_salary - entry_salary) / entry_salary * 100 as growth_pct, senior_salary - entry_salary as growth_abs from (
+ select industry_name, median(case when formatted_experience_level = 'Entry level' then normalized_salary end) as entry_salary,
+ median(case when formatted_experience_level = 'Mid-Senior level' then normalized_salary end) as senior_salary
+ from {_LADDER(6)} group by 1) where entry_salary is not null and senior_salary is not null and entry_salary > 0""",
+  ["entry_salary", "senior_salary", "growth_pct", "growth_abs"])
+q("q11_5", f"""select remote_allowed, formatted_experience_level, median(normalized_salary) as median_salary, count(*) as n from {_SALP}
+ where formatted_experience_level in {EXP_IN} group by 1, 2""", ["median_salary"])
+
+# --- Q12 -------------------------------------------------------------------------------------
+q("q12_1", f"""select *, remote_median - office_median as premium, (remote_median - office_median) / office_median * 100 as premium_pct from (
+ select industry_name, median(case when remote_allowed = 1 then normalized_salary end) as remote_median,
+ median(case when remote_allowed = 0 then normalized_salary end) as office_median
+ from {_SALP} join (select job_id, industry_name from v_ji where industry_name in {TOP_IND(10)}) using (job_id) group by 1)
+ where remote_median is not null and office_median is not null""", ["remote_median", "office_median", "premium", "premium_pct"])
+q("q12_2", f"""select *, remote_pct - office_pct as diff from (
+ select skill_name, count(case when remote_allowed = 1 then 1 end) * 100.0 / (select count(*) from v_post where remote_allowed = 1) as remote_pct,
+ count(case when remote_allowed = 0 then 1 end) * 100.0 / (select count(*) from v_post where remote_allowed = 0) as office_pct
+ from (select job_id, skill_name from v_js where skill_name in {TOP_SKILL(15)}) join v_post using (job_id) group by 1)""",
+  ["remote_pct", "office_pct", "diff"])
+q("q12_3", """select size_label, avg(remote_allowed) * 100 as remote_pct, count(*) as n,
+ median(case when remote_allowed = 0 then normalized_salary end) as office_sal, median(case when remote_allowed = 1 then normalized_salary end) as remote_sal
+ from v_pc where size_label is not null group by 1""", ["remote_pct", "office_sal", "remote_sal"])
+q("q12_4", f"""select *, regr_slope(median_salary, remote_pct) over () as trend_slope, regr_intercept(median_salary, remote_pct) over () as trend_intercept from (
+ select state, avg(remote_allowed) * 100 as remote_pct, median(normalized_salary) as median_salary, count(job_id) as n
+ from v_post where state in {TOP_STATE(20)} group by 1) where median_salary is not null""",
+  ["remote_pct", "median_salary", "trend_slope", "trend_intercept"])
+q("q12_5", f"""select formatted_experience_level, remote_allowed, median(normalized_salary) as median_salary, count(*) as n from {_SALP}
+ where formatted_experience_level in {EXP_IN} group by 1, 2""", ["median_salary"])
+
+# --- Q13 -------------------------------------------------------------------------------------
+_GAP_CTES = {
+    "v_gap": """select s.job_id, min_salary, max_salary, max_salary - min_salary as gap, (max_salary - min_salary) / min_salary * 100 as gap_pct,
+ (min_salary + max_salary) / 2 as mid_sal, coalesce(p.formatted_experience_level, 'Unknown') as formatted_experience_level,
+ nullif(regexp_extract(p.location, ',\\s*([A-Z]{2})\\s*$', 1), '') as state, pi.industry_name
+ from fx_salaries s left join fx_postings p using (job_id)
+ left join (select job_id, arg_min(industry_name, industry_id) as industry_name from fx_job_industries join fx_industries using (industry_id)
+  where industry_name is not null group by 1) pi using (job_id)
+ where s.pay_period = 'YEARLY' and s.currency = 'USD' and min_salary is not null and max_salary is not null
+  and min_salary >= 10000 and max_salary <= 500000 and max_salary >= min_salary""",
+}
+_CTES.update(_GAP_CTES)
+_ORDER.append("v_gap")
+
+
+def hist_sql(measure: str, value: str, bins: int, clip: float) -> str:
+    v = f"least({value}, {clip})"
+    return f"""select bin, lo + bin * w as bin_low, lo + (bin + 1) * w as bin_high, count(*) as n, '{measure}' as measure from (
+ select case when w > 0 then cast(least(floor(({v} - lo) / w), {bins - 1}) as integer) else 0 end as bin, lo, w from v_gap,
+ (select min({v}) as lo, (max({v}) - min({v})) / {bins} as w from v_gap where {value} is not null) mm where {value} is not null)
+ group by bin, lo, w"""
+
+
+q("q13_1", hist_sql("gap", "gap", 50, 200000) + " union all " + hist_sql("gap_pct", "gap_pct", 50, 200), ["bin_low", "bin_high"])
+_TOP15G = topk("v_gap", "industry_name", 15)
+q("q13_2", f"""select industry_name, median(gap) as median_gap, median(gap_pct) as median_gap_pct, median(mid_sal) as median_sal, count(job_id) as n
+ from v_gap where industry_name in {_TOP15G} group by 1""", ["median_gap", "median_gap_pct", "median_sal"])
+q("q13_3", f"""select formatted_experience_level, median(gap) as median_gap, median(gap_pct) as median_gap_pct, median(min_salary) as median_min,
+ median(max_salary) as median_max, count(job_id) as n from v_gap where formatted_experience_level in {EXP_IN} group by 1""",
+  ["median_gap", "median_gap_pct", "median_min", "median_max"])
+q("q13_4", f"""select {band_sql('mid_sal', *rules.SALARY_BANDS_REPORT)} as salary_band, median(gap) as median_gap, median(gap_pct) as median_gap_pct, count(job_id) as n
+ from v_gap group by 1 having salary_band is not null""", ["median_gap", "median_gap_pct"])
+q("q13_5", f"""select industry_name, formatted_experience_level, median(gap_pct) as median_gap_pct, count(*) as n from v_gap
+ where industry_name in {topk('v_gap', 'industry_name', 8)} and formatted_experience_level in {EXP_IN} group by 1, 2""", ["median_gap_pct"])
+q("q13_6", f"""with ig as (select industry_name, median(gap) as median_gap from v_gap where industry_name in {_TOP15G} group by 1)
+ select count(*) as n, median(gap) as median_gap, median(gap_pct) as median_gap_pct,
+ (select industry_name from ig order by median_gap desc, industry_name limit 1) as widest_industry,
+ (select median_gap from ig order by median_gap desc, industry_name limit 1) as widest_gap,
+ (select industry_name from ig order by median_gap asc, industry_name limit 1) as narrowest_industry,
+ (select median_gap from ig order by median_gap asc, industry_name limit 1) as narrowest_gap from v_gap""",
+  ["median_gap", "median_gap_pct", "widest_gap", "narrowest_gap"])
