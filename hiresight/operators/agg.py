@@ -137,7 +137,7 @@ def premium_vs_overall(df: DataFrame, group: str, value: str, population: DataFr
     """Group median minus the median of ``population`` (a scalar subquery), n >= min_count,
     top k by premium."""
     overall = population.select(F.median(value)).scalar()
-    g = median_by(df, group, value, "median_salary", "count", min_count=min_count)
+    g = median_by(df, group, value, "median_salary", "n", min_count=min_count)
     g = g.withColumn("premium_vs_overall", F.col("median_salary") - overall)
     return g.orderBy(F.col("premium_vs_overall").desc(), F.col(group).asc()).limit(k)
 

@@ -322,3 +322,105 @@ q("q13_6", f"""with ig as (select industry_name, median(gap) as median_gap from
  (select industry_name from ig order by median_gap asc, industry_name limit 1) as narrowest_industry,
  (select median_gap from ig order by median_gap asc, industry_name limit 1) as narrowest_gap from v_gap""",
   ["median_gap", "median_gap_pct", "widest_gap", "narrowest_gap"])
+
+# --- dashboard queries -----------------------------------------------------------------------
+_FAMILY = "case " + " ".join(
+    f"when regexp_matches(lower(coalesce(title, '')), '{pat}') then '{lab}'"
+    for pat, lab in rules.TITLE_FAMILY_RULES) + f" else '{rules.TITLE_FAMILY_DEFAULT}' end"
+_CTES["v_pind"] = """select job_id, arg_min(industry_name, industry_id) as industry_name from fx_job_industries join fx_industries using (industry_id)
+ where industry_name is not null group by 1"""
+_CTES["v_mkt"] = rf"""select p.job_id, company_id, title, location, normalized_salary, currency, pay_period, views, applies, description,
+ coalesce(formatted_experience_level, 'Unknown') as formatted_experience_level,
+ coalesce(formatted_work_type, 'Unknown') as formatted_work_type,
+ case when remote_allowed = 1 then 1 else 0 end as remote_flag,
+ coalesce(nullif(regexp_extract(location, ',\s*([A-Z]{{2}})(?:\s|$)', 1), ''), 'Unknown') as state,
+ coalesce(nullif(trim(nullif(regexp_extract(location, '^([^,]+)', 1), '')), ''), 'Unknown') as city,
+ {_FAMILY} as title_family,
+ coalesce(normalized_salary between 10000 and 300000 and (currency in ('USD') or currency is null), false) as salary_usable,
+ case when coalesce(views, 0) > 0 then coalesce(applies, 0) / views end as competition_score,
+ coalesce(pi.industry_name, 'Unknown') as primary_industry
+ from fx_postings p left join v_pind pi using (job_id)"""
+_CTES["v_skn"] = """select j.job_id, coalesce(s.skill_name, j.skill_abr) as skill_name from fx_job_skills j
+ left join (select skill_abr, min(skill_name) as skill_name from fx_skills where skill_abr is not null group by 1) s using (skill_abr)"""
+_ORDER += ["v_pind", "v_mkt", "v_skn"]
+_USABLE = "(select * from v_mkt where salary_usable)"
+
+q("headline", """select count(*) as total_postings, count(case when salary_usable then 1 end) as salary_count,
+ median(case when salary_usable then normalized_salary end) as median_salary, avg(remote_flag) * 100 as remote_pct from v_mkt""",
+  ["median_salary", "remote_pct"])
+_DQ = [("Total job postings", "total"), ("Usable salary rows", "usable"), ("Rows with description", "described"),
+       ("Rows with applications", "applied"), ("Rows with views", "viewed"), ("Explicit remote postings", "remote"),
+       ("Jobs with at least one benefit record", "benefit_jobs")]
+q("data_quality", "with a as (select count(*) as total, count(case when salary_usable then 1 end) as usable, count(description) as described, "
+  "count(applies) as applied, count(views) as viewed, count(case when remote_flag = 1 then 1 end) as remote, "
+  "(select count(distinct job_id) from fx_benefits) as benefit_jobs from v_mkt)\n"
+  + "\n union all ".join(f"select '{lab}' as metric, {c} as n, cast({c} as double) * 100.0 / greatest(total, 1) as coverage_pct from a"
+                         for lab, c in _DQ), ["coverage_pct"])
+q("skill_demand", "select skill_name, count(*) as posting_count from v_skn where skill_name is not null group by 1 order by posting_count desc, skill_name limit 20")
+q("skill_salary_premium", f"""with sal as (select job_id, normalized_salary from v_mkt where salary_usable)
+ select skill_name, median(normalized_salary) as median_salary, count(*) as n, median(normalized_salary) - (select median(normalized_salary) from sal) as premium_vs_overall
+ from v_skn join sal using (job_id) where skill_name is not null group by 1 having count(*) >= 100 order by premium_vs_overall desc, skill_name limit 15""",
+  ["median_salary", "premium_vs_overall"])
+_BB = band_sql("benefit_count", *rules.BENEFIT_BUCKETS)
+q("benefit_summary", f"""select benefit_bucket, median(normalized_salary) as median_salary, count(*) as n from (
+ select u.normalized_salary, {_BB} as benefit_bucket from (select job_id, normalized_salary from v_mkt where salary_usable) u
+ left join (select job_id, count(*) as c from fx_benefits group by 1) b using (job_id), lateral (select coalesce(b.c, 0) as benefit_count))
+ where benefit_bucket is not null and normalized_salary is not null group by 1""", ["median_salary"])
+q("industry_stats", f"""select primary_industry, count(job_id) as postings, median(normalized_salary) as median_salary, avg(remote_flag) * 100 as remote_rate,
+ avg(competition_score) as mean_competition from {_USABLE} group by 1 having count(job_id) >= 50""", ["median_salary", "remote_rate", "mean_competition"])
+q("state_stats", f"""select state, count(job_id) as postings, median(normalized_salary) as median_salary, avg(remote_flag) * 100 as remote_rate
+ from {_USABLE} group by 1 having count(job_id) >= 50""", ["median_salary", "remote_rate"])
+q("title_family_stats", f"""select title_family, count(job_id) as postings, median(normalized_salary) as median_salary, avg(views) as avg_views,
+ avg(applies) as avg_applies, avg(competition_score) as competition from {_USABLE} group by 1 having count(job_id) >= 50""",
+  ["median_salary", "avg_views", "avg_applies", "competition"])
+_LVL = "case formatted_experience_level " + " ".join(f"when '{v}' then {i}" for i, v in enumerate(rules.EXPERIENCE_LEVELS)) + " else 999 end"
+q("career_ladder", f"""select formatted_experience_level, median(normalized_salary) as median_salary, count(normalized_salary) as n, {_LVL} as level_order
+ from {_USABLE} where normalized_salary is not null group by 1""", ["median_salary"])
+q("remote_summary", f"""select case when remote_flag = 1 then 'Remote' else 'Not explicitly remote' end as remote_label,
+ median(normalized_salary) as median_salary, count(normalized_salary) as n from {_USABLE} where normalized_salary is not null group by 1""", ["median_salary"])
+q("family_benchmark", f"""select title_family, count(job_id) as postings, median(normalized_salary) as median_salary, avg(views) as avg_views,
+ avg(applies) as avg_applies, avg(competition_score) as avg_competition from {_USABLE} group by 1 having count(job_id) >= 20""",
+  ["median_salary", "avg_views", "avg_applies", "avg_competition"])
+q("states_by_remote", f"""select state, avg(remote_flag) * 100 as remote_rate from {_USABLE} group by 1 having count(job_id) >= 50
+ order by remote_rate desc, state limit 15""", ["remote_rate"])
+
+_SIM_RULES = [
+    ("same experience + state + industry + title family + remote", ["formatted_experience_level", "state", "title_family", "remote_flag"], True),
+    ("same experience + state + title family", ["formatted_experience_level", "state", "title_family"], False),
+    ("same experience + industry + title family", ["formatted_experience_level", "title_family"], True),
+    ("same experience + title family", ["formatted_experience_level", "title_family"], False),
+    ("same experience + state", ["formatted_experience_level", "state"], False),
+    ("same experience only", ["formatted_experience_level"], False),
+    ("all salary postings", [], False),
+]
+
+
+def _similar_sql(min_n: int = 30) -> str:
+    ctes = ["u as (select formatted_experience_level, state, title_family, remote_flag, normalized_salary, lower(primary_industry) as _ind from v_mkt where salary_usable)",
+            "req as (select job_id as request_id, title_family, formatted_experience_level, state, lower(primary_industry) as industry, remote_flag from v_mkt)",
+            "nm as (select a.industry, b._ind from (select distinct industry from req) a join (select distinct _ind from u) b on contains(b._ind, a.industry))"]
+    joins = []
+    for i, (_, keys, ind) in enumerate(_SIM_RULES, 1):
+        k = keys + (["industry"] if ind else [])
+        src = "u join nm using (_ind)" if ind else "u"
+        agg_ = f"count(*) as n{i}, quantile_cont(normalized_salary, [0.25, 0.5, 0.75]) as q{i}"
+        if k:
+            ctes.append(f"g{i} as (select {', '.join(k)}, {agg_} from {src} group by {', '.join(k)})")
+            joins.append(f"left join g{i} using ({', '.join(k)})")
+        else:
+            ctes.append(f"g{i} as (select {agg_} from {src})")
+            joins.append(f"cross join g{i}")
+    pick = "case " + " ".join(f"when coalesce(n{i}, 0) >= {min_n} then {i}" for i in range(1, 7)) + " else 7 end"
+    n_sel = "case rule " + " ".join(f"when {i} then n{i}" for i in range(1, 8)) + " end"
+    q_sel = "case rule " + " ".join(f"when {i} then q{i}" for i in range(1, 8)) + " end"
+    lab = "case rule " + " ".join(f"when {i} then '{lab_}'" for i, (lab_, _, _) in enumerate(_SIM_RULES, 1)) + " end"
+    return ("with " + ",\n".join(ctes) + f"\nselect request_id, rule, {lab} as rule_label, coalesce({n_sel}, 0) as n_similar, "
+            f"({q_sel})[1] as p25, ({q_sel})[2] as p50, ({q_sel})[3] as p75 from (select *, {pick} as rule from req "
+            + " ".join(joins) + ")")
+
+
+q("similar_postings", _similar_sql(), ["p25", "p50", "p75"])
+_HV = _in(rules.HIGH_VALUE_BENEFITS)
+q("package_strength", f"""select *, case when n_benefits >= 6 or n_high_value >= 4 then 'Strong package' when n_benefits >= 3 or n_high_value >= 2 then 'Standard package'
+ else 'Basic package' end as package from (select job_id, count(distinct type) as n_benefits, count(distinct case when type in {_HV} then type end) as n_high_value
+ from fx_benefits where type is not null and job_id is not null group by 1)""")

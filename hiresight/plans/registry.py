@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.fixtures import driver_tables
-from . import reports
+from . import market, reports
+
+MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
+          "industry_stats", "state_stats", "title_family_stats", "career_ladder", "remote_summary",
+          "family_benchmark", "states_by_remote", "similar_postings", "package_strength"]
 
 REPORTS = [
     'q01_1', 'q01_2', 'q01_3', 'q01_4', 'q01_5', 'q01_6', 'q02_1', 'q02_2',
@@ -46,4 +50,5 @@ def _on_tables(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _on_tables(getattr(reports, name)) for name in REPORTS}
+    out.update({name: _on_tables(getattr(market, name)) for name in MARKET})
     return out
