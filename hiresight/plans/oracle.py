@@ -424,3 +424,21 @@ _HV = _in(rules.HIGH_VALUE_BENEFITS)
 q("package_strength", f"""select *, case when n_benefits >= 6 or n_high_value >= 4 then 'Strong package' when n_benefits >= 3 or n_high_value >= 2 then 'Standard package'
  else 'Basic package' end as package from (select job_id, count(distinct type) as n_benefits, count(distinct case when type in {_HV} then type end) as n_high_value
  from fx_benefits where type is not null and job_id is not null group by 1)""")
+
+# --- rank test -------------------------------------------------------------------------------
+_MW = """with sal as (select job_id, normalized_salary as v from v_post where normalized_salary is not null),
+common as (select skill_name as label from v_js where skill_name is not null group by 1 having count(*) >= 200),
+pairs as (select distinct skill_name, job_id from v_js where skill_name in (select label from common)),
+rk as (select job_id, v, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as avg_rank from sal),
+tot as (select cast(sum(c) as bigint) as nt, sum(cast(c as double) * c * c - c) as ties from (select v, count(*) as c from sal group by v)),
+w as (select p.skill_name, count(*) as n1, sum(r.avg_rank) as r1, median(r.v) as median_with from pairs p join rk r using (job_id) group by 1),
+wo as (select c.label as skill_name, median(s.v) as median_without from common c cross join sal s
+ where not exists (select 1 from pairs p where p.skill_name = c.label and p.job_id = s.job_id) group by 1),
+m as (select skill_name, n1, nt - n1 as n2, median_with, median_without, median_with - median_without as premium,
+ r1 - cast(n1 as double) * (n1 + 1) / 2 as u_stat, cast(n1 as double) as d1, cast(nt - n1 as double) as d2, cast(nt as double) as dn, ties
+ from w join wo using (skill_name), tot)
+select skill_name, n1, n2, median_with, median_without, premium, u_stat,
+ (greatest(u_stat, d1 * d2 - u_stat) - d1 * d2 / 2 - 0.5) / sqrt(d1 * d2 / 12 * ((dn + 1) - ties / (dn * (dn - 1)))) as z from m"""
+_MW_D = ["median_with", "median_without", "premium", "u_stat", "z"]
+q("mann_whitney", _MW, _MW_D)
+q("premium_test", f"select * from ({_MW}) where n1 >= 50 and n2 >= 50 and z > 1.959963984540054", _MW_D)

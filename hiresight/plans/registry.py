@@ -20,10 +20,11 @@ MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "b
           "family_benchmark", "states_by_remote", "similar_postings", "package_strength"]
 
 REPORTS = [
+    "mann_whitney", "premium_test",
     'q01_1', 'q01_2', 'q01_3', 'q01_4', 'q01_5', 'q01_6', 'q02_1', 'q02_2',
     'q02_3', 'q02_4', 'q02_5', 'q04_1', 'q04_2', 'q04_3', 'q04_4', 'q04_5',
     'q05_1', 'q05_2', 'q05_3', 'q05_4', 'q05_5', 'q06_1', 'q06_2', 'q06_3',
-    'q06_4', 'q06_5', 'q08_1', 'q08_2', 'q08_3', 'q08_4', 'q08_5', 'q09_2',
+    'q06_4', 'q06_5', 'q08_1', 'q08_2', 'q08_3', 'q08_4', 'q08_5', 'q09_1', 'q09_2',
     'q09_3', 'q09_4', 'q09_5', 'q10_1', 'q10_2', 'q10_3', 'q10_4', 'q10_5',
     'q11_1', 'q11_2', 'q11_3', 'q11_4', 'q11_5', 'q12_1', 'q12_2', 'q12_3',
     'q12_4', 'q12_5', 'q13_1', 'q13_2', 'q13_3', 'q13_4', 'q13_5', 'q13_6',

@@ -502,3 +502,26 @@ def q13_6(t: JobTables) -> DataFrame:
         wide.select("median_gap").scalar().alias("widest_gap"),
         narrow.select("industry_name").scalar().alias("narrowest_industry"),
         narrow.select("median_gap").scalar().alias("narrowest_gap"))
+
+
+# --- Q09.1 skill premium with a rank test ------------------------------------------------------
+def mann_whitney(t: JobTables) -> DataFrame:
+    """Per skill with >= 200 rows: salaried postings with/without it, medians, U and z."""
+    from ..operators import stats
+    return stats.mann_whitney_by_label(views.skills_bridge(t), views.report_postings(t),
+                                       "job_id", "skill_name", SAL)
+
+
+def premium_test(t: JobTables) -> DataFrame:
+    """Skills whose salary premium is significant (both sides >= 50, two-sided p < 0.05)."""
+    from ..operators import stats
+    return stats.premium_test(views.skills_bridge(t), views.report_postings(t),
+                              "job_id", "skill_name", SAL)
+
+
+def q09_1(t: JobTables) -> DataFrame:
+    """15 largest and 15 smallest significant skill premiums, with p-values."""
+    from ..operators import stats
+    sig = stats.premium_test(views.skills_bridge(t), views.report_postings(t),
+                             "job_id", "skill_name", SAL, with_p=True)
+    return stats.top_and_bottom(sig, "premium", 15, "skill_name")

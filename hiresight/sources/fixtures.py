@@ -9,6 +9,7 @@ the driver tables and column pruning drops what a query does not read.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,8 +170,8 @@ BUILDERS = {
 }
 
 
-def driver_tables(spark: SparkSession, sf_dir: str) -> JobTables:
-    """``JobTables`` whose tables are derived from the driver parquet files in ``sf_dir``."""
+def derived_tables(spark: SparkSession, sf_dir: str) -> JobTables:
+    """``JobTables`` whose tables are lazy derivations of the driver files in ``sf_dir``."""
     raw: dict[str, DataFrame] = {}
 
     def r(name: str) -> DataFrame:
@@ -181,5 +182,51 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> JobTables:
     return JobTables(spark, lambda name: BUILDERS[name](r))
 
 
+def _source_key(sf_dir: str) -> str:
+    """Identity of the input folder: path, file sizes and modification times."""
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    try:
+        for f in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, f))
+            h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
+    except OSError:  # not a local path (object store): the path alone identifies it
+        pass
+    return h.hexdigest()[:16]
+
+
+def materialize(spark: SparkSession, sf_dir: str, names=None) -> str:
+    """Write the derived job tables once as parquet under the shared checkpoint folder and
+    return that folder. A table is reused when its write committed (``_SUCCESS`` present), so
+    a lost executor or a crashed run only costs the unfinished tables."""
+    from ..session import scratch_path
+
+    out = scratch_path(spark, f"jobtables-{_source_key(sf_dir)}")
+    lazy = derived_tables(spark, sf_dir)
+    for name in names or BUILDERS:
+        path = os.path.join(out, f"{name}.parquet")
+        if os.path.exists(os.path.join(path, "_SUCCESS")):
+            continue
+        lazy.table(name).write.mode("overwrite").parquet(path)
+    return out
+
+
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def driver_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> JobTables:
+    """``JobTables`` for the driver data in ``sf_dir``.
+
+    By default the derived tables are written once (per session and input folder) and read
+    back as parquet, as a deployment would store them; ``materialized=False`` keeps the pure
+    lazy derivation (each query then re-derives what it reads).
+    """
+    if not materialized:
+        return derived_tables(spark, sf_dir)
+    k = (id(spark), os.path.abspath(sf_dir))
+    if k not in _MATERIALIZED or not os.path.isdir(_MATERIALIZED[k]):
+        _MATERIALIZED[k] = materialize(spark, sf_dir)
+    return JobTables.from_dir(spark, _MATERIALIZED[k])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents")
