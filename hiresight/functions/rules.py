@@ -63,3 +63,68 @@ URGENCY_HIGH = r"(?i)immediately|urgent|asap|a\.s\.a\.p"
 URGENCY_LOW = r"(?i)no rush|flexible"
 TECH_ROLE_PATTERN = (r"(?i)programm|software|developer|data|engineer|machine learning|devops|"
                      r"cloud|python|java|sql")
+
+# --- fixed values: title keyword flags of the salary model (pattern searched in lower(title)) --
+TITLE_FLAGS = [
+    ("title_senior", r"senior|sr\.?\b|lead|staff"),
+    ("title_principal", r"principal"),
+    ("title_director", r"director|head of"),
+    ("title_vp", r"\bvp\b|vice pres"),
+    ("title_chief", r"\bchief\b|president|ceo|cto|cfo|coo"),
+    ("title_manager", r"manager|mgr"),
+    ("title_junior", r"junior|jr\.?\b|entry|intern"),
+    ("title_associate", r"\bassociate\b"),
+    ("title_engineer", r"engineer|developer|software|swe|sde"),
+    ("title_architect", r"architect"),
+    ("title_data", r"data|analyst|scientist|ml|ai|machine"),
+    ("title_sales", r"sales|account exec|business dev"),
+    ("title_consultant", r"consultant|advisor"),
+    ("title_nurse", r"nurse|rn\b|lpn"),
+    ("title_product", r"product"),
+    ("title_finance", r"finance|accountant|controller|accounting|auditor"),
+    ("title_security", r"security|cyber|infosec"),
+    ("title_marketing", r"marketing|brand|seo|content"),
+    ("title_hr", r"human resources|recruiter|talent|people partner"),
+]
+
+# --- fixed values: title family rules of the salary model, first match wins ------------------
+TITLE_FAMILY_RULES_MODEL = [
+    (r"nurse|rn\b|lpn|medical assistant|physician|therapist|clinical", "healthcare"),
+    (r"machine learning|data scientist|data engineer|data analyst|analytics|bi\b|ai\b|ml\b", "data_ai"),
+    (r"software|engineer|developer|swe|sde|backend|frontend|full stack|devops|cloud|architect",
+     "software_engineering"),
+    (r"product manager|product owner|product lead", "product"),
+    (r"sales|account executive|business development|customer success", "sales"),
+    (r"marketing|brand|seo|content|growth", "marketing"),
+    (r"finance|accountant|accounting|controller|auditor|tax", "finance"),
+    (r"human resources|recruiter|talent|people partner", "hr_recruiting"),
+    (r"security|cyber|infosec", "cybersecurity"),
+    (r"manager|director|vp|vice president|chief|president|head of", "management"),
+    (r"consultant|advisor|analyst", "consulting_analyst"),
+]
+
+# --- fixed values: experience imputation from the title, first match wins ---------------------
+# compat form: plain substring tests (so 'director' contains 'cto'); default form adds word
+# boundaries to the same words
+EXPERIENCE_IMPUTE_RULES = [
+    ("Executive", ["chief", "president", "ceo", "cto", "cfo", "coo"]),
+    ("Director", ["vp", "vice pres", "director", "head of"]),
+    ("Mid-Senior level", ["principal", "senior", "sr.", "lead", "staff", "manager"]),
+    ("Entry level", ["junior", "jr.", "intern", "entry"]),
+]
+EXPERIENCE_IMPUTE_DEFAULT = "Mid-Senior level"
+
+# --- fixed values: salary-text scrubbing ------------------------------------------------------
+SALARY_SENTENCE_KEYWORDS = (r"(?i)salary\s*range|compensation\s*range|pay\s*range|base\s*salary|"
+                            r"annual\s*salary|hourly\s*rate|expected\s*salary|pay\s*rate|"
+                            r"bonus\s*eligible|compensation|salary")
+DOLLAR_AMOUNT = (r"(?i)\$\s?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:k|K)?"
+                 r"(?:\s*[-–—to]+\s*\$?\s?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:k|K)?)?")
+HOURLY_RATE = (r"(?i)\b\d{1,3}(?:\.\d+)?(?:\s*[-–—]+\s*\d{1,3}(?:\.\d+)?)?"
+               r"\s*(?:per\s*hour|/hour|/hr|hourly)\b")
+CURRENCY_WORDS = r"(?i)\b(?:usd|dollars|per\s+year|yearly|annually)\b"
+LIGHT_DOLLAR = r"\$\s?\d[\d,]*(?:\.\d+)?(?:\s?[kK])?"
+LIGHT_AMOUNT_WORD = r"\b\d+[\d,]*(?:\.\d+)?\s?(?:USD|usd|dollars?)\b"
+LIGHT_WORDS = (r"(?i)\b(?:salary range|compensation range|pay range|base salary|annual salary|"
+               r"hourly rate|expected salary|salary|compensation|pay rate|bonus eligible|usd|"
+               r"dollars|per year|yearly|annually)\b")

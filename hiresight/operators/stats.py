@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_back
+
 # two-sided 5 % critical value of the standard normal (fixed value)
 Z_CRIT_05 = 1.959963984540054
 
@@ -97,8 +99,10 @@ def mann_whitney_by_label(bridge: DataFrame, facts: DataFrame, key: str, label:
               .where(F.col("_n") >= min_label).select(label))
     pairs = bridge.join(common, label, "left_semi").select(label, key).distinct()
     pairs_v = pairs.join(facts, key).select(label, v)
-    ranks = value_ranks(facts, v)
-    n_total = facts.select(F.count(F.lit(1))).scalar()
+    # one row per distinct value, read by three consumers: written once to the shared
+    # checkpoint folder instead of being recomputed (and it survives executor loss)
+    ranks = write_back(value_ranks(facts, v), "value-ranks")
+    n_total = ranks.select(F.sum("cnt")).scalar()
     ties = ranks.select(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt"))).scalar()
     lv = pairs_v.groupBy(label, v).agg(F.count(F.lit(1)).alias("_c"))
     sizes = (lv.join(ranks.select(v, "avg_rank"), v).groupBy(label)
@@ -137,10 +141,14 @@ def premium_test(bridge: DataFrame, facts: DataFrame, key: str, label: str, v: s
 
 
 def top_and_bottom(df: DataFrame, order: str, k: int, tie: str) -> DataFrame:
-    """The k highest and k lowest rows of one ranking (deduplicated where they overlap)."""
-    hi = df.orderBy(F.col(order).desc(), F.col(tie)).limit(k).withColumn("side", F.lit("top"))
-    lo = df.orderBy(F.col(order).asc(), F.col(tie)).limit(k).withColumn("side", F.lit("bottom"))
-    return hi.unionByName(lo.join(hi.select(tie), tie, "left_anti"))
+    """The k highest and k lowest rows of one ranking, one pass (a row in both is 'top').
+    The un-partitioned window is meant for label-sized results (one row per label)."""
+    w_hi = Window.orderBy(F.col(order).desc(), F.col(tie))
+    w_lo = Window.orderBy(F.col(order).asc(), F.col(tie))
+    r = df.withColumn("_hi", F.row_number().over(w_hi)).withColumn("_lo", F.row_number().over(w_lo))
+    return (r.where((F.col("_hi") <= k) | (F.col("_lo") <= k))
+            .withColumn("side", F.when(F.col("_hi") <= k, "top").otherwise("bottom"))
+            .drop("_hi", "_lo"))
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:

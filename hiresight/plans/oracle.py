@@ -442,3 +442,63 @@ select skill_name, n1, n2, median_with, median_without, premium, u_stat,
 _MW_D = ["median_with", "median_without", "premium", "u_stat", "z"]
 q("mann_whitney", _MW, _MW_D)
 q("premium_test", f"select * from ({_MW}) where n1 >= 50 and n2 >= 50 and z > 1.959963984540054", _MW_D)
+
+# --- text ------------------------------------------------------------------------------------
+def _rx(c: str, p: str) -> str:
+    return f"regexp_matches({c}, '{p}')"
+
+
+_SOFT = "case " + " ".join(f"when {_rx('coalesce(description, ' + chr(39) * 2 + ')', p)} then '{lab}'"
+                           for lab, p in rules.SOFT_SKILL_RULES) + " else 'none' end"
+_CTES["v_sig"] = f"""select *, soft_skill_type <> 'none' as has_soft_skills from (select *,
+ {_rx("coalesce(description, '')", rules.DEGREE_PATTERN)} as requires_degree,
+ {_SOFT} as soft_skill_type,
+ case when {_rx("coalesce(description, '')", rules.URGENCY_HIGH)} then 'high' when {_rx("coalesce(description, '')", rules.URGENCY_LOW)} then 'low' else 'medium' end as urgency,
+ {_rx("coalesce(title, '')", rules.TECH_ROLE_PATTERN)} as tech_role
+ from v_post where description is not null)"""
+_ORDER.append("v_sig")
+
+q("q03_1", "select case when requires_degree then 'Degree required' else 'No degree required' end as degree_label, count(*) as n from v_sig group by 1")
+q("q03_2", "select soft_skill_type, count(*) as n from v_sig where has_soft_skills group by 1")
+q("q03_3", "select urgency, count(*) as n from v_sig where urgency in ('high', 'medium', 'low') group by 1")
+q("q03_4", """select case when tech_role then 'Tech role' else 'Non-tech role' end as role_type, median(normalized_salary) as median_salary,
+ count(normalized_salary) as n from v_sig where normalized_salary is not null group by 1""", ["median_salary"])
+q("q03_5", "select formatted_experience_level, avg(cast(requires_degree as integer)) * 100 as degree_pct from v_sig group by 1", ["degree_pct"])
+
+_T = "lower(coalesce(title, ''))"
+_WC = lambda c: f"case when trim(coalesce({c}, '')) = '' then 0 else cast(len(string_split_regex(trim(coalesce({c}, '')), '\\s+')) as integer) end"
+q("title_flags", "select job_id, " + ", ".join(f"cast({_rx(_T, p)} as integer) as {n}" for n, p in rules.TITLE_FLAGS)
+  + f", cast(length(coalesce(title, '')) as integer) as title_len, {_WC('title')} as title_word_count from fx_postings")
+q("title_family_model", "select job_id, case " + " ".join(f"when {_rx(_T, p)} then '{lab}'" for p, lab in rules.TITLE_FAMILY_RULES_MODEL)
+  + f" else '{rules.TITLE_FAMILY_DEFAULT}' end as title_family from fx_postings")
+_IMP = "coalesce(formatted_experience_level, case " + " ".join(
+    "when " + " or ".join(f"contains({_T}, '{w}')" for w in words) + f" then '{lab}'"
+    for lab, words in rules.EXPERIENCE_IMPUTE_RULES) + f" else '{rules.EXPERIENCE_IMPUTE_DEFAULT}' end)"
+q("impute_experience", f"select job_id, {_IMP} as formatted_experience_level from fx_postings")
+q("experience_imputed_counts", f"select formatted_experience_level, count(*) as n from (select {_IMP} as formatted_experience_level from fx_postings) group by 1")
+q("title_clean_rows", """select * from (select job_id, trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as title_clean
+ from fx_postings) where length(title_clean) > 2""")
+
+
+def _squash(e: str) -> str:
+    return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
+
+
+def _scrub_sql(variant: str) -> str:
+    t = _squash("coalesce(text, '')")
+    if variant == "light":
+        for p in (rules.LIGHT_DOLLAR, rules.LIGHT_AMOUNT_WORD, rules.LIGHT_WORDS):
+            t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+        return _squash(t)
+    parts = f"string_split(regexp_replace({t}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    t = f"array_to_string(list_filter({parts}, lambda s: not regexp_matches(s, '{rules.SALARY_SENTENCE_KEYWORDS}')), ' ')"
+    for p in (rules.DOLLAR_AMOUNT, rules.HOURLY_RATE, rules.CURRENCY_WORDS):
+        t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+    return _squash(t)
+
+
+for _name, _v in (("scrub_salary", "sentences"), ("scrub_salary_light", "light")):
+    q(_name, f"""select doc_id, clean_text, chars_before, cast(length(clean_text) as integer) as chars_after from (
+ select doc_id, {_scrub_sql(_v)} as clean_text, cast(length(coalesce(text, '')) as integer) as chars_before from documents)""")
+q("document_stats", f"""select doc_id, lang, cast(length(coalesce(text, '')) as integer) as n_chars, {_WC('text')} as n_words,
+ regexp_matches(text, '\\$\\s?\\d') as has_dollar from documents""")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.fixtures import driver_tables
-from . import market, reports
+from . import market, reports, textual
+from ..sources.fixtures import documents
 
 MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
           "industry_stats", "state_stats", "title_family_stats", "career_ladder", "remote_summary",
@@ -49,7 +50,21 @@ def _on_tables(fn) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
+        "impute_experience", "experience_imputed_counts", "title_clean_rows"]
+
+
+def _on_docs(fn) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stable(fn(documents(spark, sf_dir)))
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _on_tables(getattr(reports, name)) for name in REPORTS}
     out.update({name: _on_tables(getattr(market, name)) for name in MARKET})
+    out.update({name: _on_tables(getattr(textual, name)) for name in TEXT})
+    out["scrub_salary"] = _on_docs(lambda d: textual.scrub_documents(d, "sentences"))
+    out["scrub_salary_light"] = _on_docs(lambda d: textual.scrub_documents(d, "light"))
+    out["document_stats"] = _on_docs(textual.document_stats)
     return out

@@ -52,3 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def write_back(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and return it read back.
+
+    Cuts the lineage (a lost executor re-reads the files instead of recomputing the plan) and,
+    unlike ``Dataset.checkpoint``, computes the plan once. For intermediate results that
+    several later steps read, such as per-value histograms.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
