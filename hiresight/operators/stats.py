@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +35,17 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def value_ranks(values: DataFrame, v: str, buckets: int = 256) -> DataFrame:
+def value_ranks(values: DataFrame, v: str, buckets: int = 128) -> DataFrame:
     """(v, cnt, lo, hi, avg_rank): for each distinct value its first and last 1-based position
     in the sorted multiset and the average rank of its ties."""
     h = values.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("cnt"))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = h.select(F.percentile_approx(v, probs, 10000)).scalar()
-    # the bound array is a column first: subqueries may not sit inside a lambda
-    h = h.withColumn("_bounds", bounds).withColumn(
-        "_b", F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(v)))).drop("_bounds")
+    # at most `buckets` - 1 split points: a bounded array, fetched once and searched by
+    # binary search inside the executors
+    bounds = h.select(F.percentile_approx(v, probs, 1000)).first()[0] or []
+    splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
+    h = Bucketizer(splits=splits, inputCol=v, outputCol="_b").transform(h.withColumn(
+        v, F.col(v).cast("double")))
     tot = h.groupBy("_b").agg(F.sum("cnt").alias("_bt"))
     off = tot.select("_b", F.coalesce(F.sum("_bt").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
@@ -53,7 +56,7 @@ def value_ranks(values: DataFrame, v: str, buckets: int = 256) -> DataFrame:
     return h.select(v, "cnt", "lo", "hi", ((F.col("lo") + F.col("hi")) / 2.0).alias("avg_rank"))
 
 
-def _complement_median(pairs_v: DataFrame, ranks: DataFrame, sizes: DataFrame, label: str,
+def _complement_median(own: DataFrame, ranks: DataFrame, sizes: DataFrame, label: str,
                        v: str, n_total: Column, width_buckets: int = 4096) -> DataFrame:
     """Median of the values *not* carrying each label, without materialising complements.
 
@@ -75,7 +78,6 @@ def _complement_median(pairs_v: DataFrame, ranks: DataFrame, sizes: DataFrame, l
     cand = (lab_b.join(val_b, "_pb")
             .where((F.col("hi") >= F.col("j_lo")) & (F.col("lo") <= F.col("j_hi") + F.col("n1")))
             .select(label, v, "hi", "j_lo", "j_hi").distinct())
-    own = pairs_v.groupBy(label, v).agg(F.count(F.lit(1)).alias("_c"))
     u = (cand.withColumn("_c", F.lit(0).cast("long"))
          .unionByName(own.select(label, v, "_c", F.lit(None).cast("long").alias("hi"),
                                  F.lit(None).cast("double").alias("j_lo"),
@@ -104,11 +106,12 @@ def mann_whitney_by_label(bridge: DataFrame, facts: DataFrame, key: str, label:
     ranks = write_back(value_ranks(facts, v), "value-ranks")
     n_total = ranks.select(F.sum("cnt")).scalar()
     ties = ranks.select(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt"))).scalar()
-    lv = pairs_v.groupBy(label, v).agg(F.count(F.lit(1)).alias("_c"))
+    # (label, value) counts: pre-aggregated (a hot value is one row per label) and read twice
+    lv = write_back(pairs_v.groupBy(label, v).agg(F.count(F.lit(1)).alias("_c")), "label-values")
     sizes = (lv.join(ranks.select(v, "avg_rank"), v).groupBy(label)
              .agg(F.sum("_c").alias("n1"), F.sum(F.col("_c") * F.col("avg_rank")).alias("_r1"),
                   F.percentile(v, F.lit(0.5), F.col("_c")).alias("median_with")))
-    med_wo = _complement_median(pairs_v, ranks, sizes, label, v, n_total)
+    med_wo = _complement_median(lv, ranks, sizes, label, v, n_total)
     n1 = F.col("n1").cast("double")
     n2 = (n_total - F.col("n1")).cast("double")
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
