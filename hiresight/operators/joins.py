@@ -45,10 +45,13 @@ def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, name: str,
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, tie: str | None = None) -> DataFrame:
-    """One row per key: the largest ``order`` value (nulls last), ties by ``tie``."""
-    o = [F.col(order).desc_nulls_last()] + ([F.col(tie).desc()] if tie else [])
-    w = Window.partitionBy(key).orderBy(*o)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row per key: the row with the largest ``order`` (rows with a known value win),
+    ties by the largest ``tie``. An aggregation (max of a struct), so a key holding a third of
+    all rows is combined map-side instead of being sorted in one task."""
+    others = [c for c in df.columns if c != key]
+    rank = F.struct(F.col(order).isNotNull(), F.col(order), *([F.col(tie)] if tie else []))
+    best = F.max_by(F.struct(*others), rank).alias("_best")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "_best.*")
 
 
 def first_per_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -502,3 +502,73 @@ for _name, _v in (("scrub_salary", "sentences"), ("scrub_salary_light", "light")
  select doc_id, {_scrub_sql(_v)} as clean_text, cast(length(coalesce(text, '')) as integer) as chars_before from documents)""")
 q("document_stats", f"""select doc_id, lang, cast(length(coalesce(text, '')) as integer) as n_chars, {_WC('text')} as n_words,
  regexp_matches(text, '\\$\\s?\\d') as has_dollar from documents""")
+
+# --- features, profiles, samples ----------------------------------------------------------
+_FOLD = "cast(('0x' || substr(md5('42:' || cast(job_id as varchar)), 1, 8)) as ubigint) % 5"
+_CTES["v_use"] = f"select *, ln(1 + normalized_salary) as y_log, cast({_FOLD} as integer) as fold from v_mkt where salary_usable"
+_ORDER.append("v_use")
+_TE = ["state", "title_family", "formatted_experience_level", "primary_industry"]
+q("kfold_assign", "select job_id, fold from v_use")
+
+
+def _te_sql() -> str:
+    g = "(select median(y_log) from v_use)"
+    cols = []
+    for c in _TE:
+        cols.append(f"""coalesce((select case when n >= 8 then n / (n + 40.0) * m + (1 - n / (n + 40.0)) * {g} else {g} end
+  from (select coalesce(cast({c} as varchar), 'Unknown') as v, median(y_log) as m, count(*) as n from v_use group by 1) s
+  where s.v = coalesce(cast(p.{c} as varchar), 'Unknown')), {g}) as te_{c}""")
+    return "select p.job_id, " + ",\n ".join(cols) + " from v_mkt p"
+
+
+q("target_encoding", _te_sql(), [f"te_{c}" for c in _TE])
+
+
+def _te_oof_sql() -> str:
+    parts = []
+    for c in _TE:
+        v = f"coalesce(cast({c} as varchar), 'Unknown')"
+        parts.append(f"""coalesce((select case when s.n >= 8 then s.n / (s.n + 40.0) * s.m + (1 - s.n / (s.n + 40.0)) * g.g else g.g end
+  from (select f.f, {v} as v, median(y_log) as m, count(*) as n from v_use u, range(5) f(f) where u.fold <> f.f group by 1, 2) s
+  join gl g on g.f = s.f where s.f = r.fold and s.v = {v.replace(c, 'r.' + c)}), (select g from gl where gl.f = r.fold)) as te_{c}""")
+    return ("with gl as (select f.f, median(y_log) as g from v_use u, range(5) f(f) where u.fold <> f.f group by 1)\n"
+            "select r.job_id, " + ",\n ".join(parts) + " from v_use r")
+
+
+q("target_encoding_oof", _te_oof_sql(), [f"te_{c}" for c in _TE])
+
+
+def _ranks_sql(view: str, label: str, k: int) -> str:
+    return (f"(select row_number() over (order by n desc, {label}) as rank, {label} from (select {label}, count(*) as n "
+            f"from {view} where {label} is not null group by 1 order by n desc, {label} limit {k}))")
+
+
+q("skill_vocabulary", f"select rank, skill_name from {_ranks_sql('v_js', 'skill_name', 50)}")
+
+
+def _multi_hot_sql(view: str, label: str, k: int, prefix: str) -> str:
+    cols = ", ".join(f"cast(coalesce(max(case when h.rank = {i} then 1 end), 0) as integer) as {prefix}{i:02d}" for i in range(1, k + 1))
+    return (f"select p.job_id, {cols} from fx_postings p left join (select distinct b.job_id, r.rank from {view} b "
+            f"join {_ranks_sql(view, label, k)} r using ({label})) h using (job_id) group by p.job_id")
+
+
+q("multi_hot_skills", _multi_hot_sql("v_js", "skill_name", 50, "skill_top"))
+q("multi_hot_benefits", _multi_hot_sql("v_ben", "type", 10, "benefit_top"))
+q("latest_employee_count", """select company_id, employee_count, follower_count from (select *, row_number() over (partition by company_id
+ order by employee_count is not null desc, employee_count desc, follower_count desc) as rn from fx_employee_counts where company_id is not null) where rn = 1""")
+q("company_job_count", """select job_id, case when company_id is null then 0 else coalesce(c, 0) end as company_job_count
+ from fx_postings left join (select company_id, count(*) as c from fx_postings where company_id is not null group by 1) using (company_id)""")
+_PCOLS = ["job_id", "company_id", "title", "description", "location", "remote_allowed", "formatted_experience_level",
+          "formatted_work_type", "normalized_salary", "pay_period", "currency", "views", "applies", "listed_time", "skills_desc"]
+q("profile_missing", "select * from (" + " union all ".join(
+    f"select '{c}' as column_name, avg(case when {c} is null then 1 else 0 end) * 100 as missing_pct from (select *, epoch_ms(o_orderdate) as listed_time, cast(null as varchar) as skills_desc from fx_postings join orders on o_orderkey = job_id)"
+    for c in _PCOLS) + ") where missing_pct > 0", ["missing_pct"])
+q("clean_summary", """select count(*) as postings, cast(sum(remote_allowed) as bigint) as remote, count(normalized_salary) as with_salary,
+ count(name) as company_matched, count(state) as with_state from v_pc""")
+q("sample_postings", "select job_id from fx_postings order by md5('42:' || cast(job_id as varchar)) limit 500")
+q("stratified_postings", """with d as (select job_id, coalesce(formatted_experience_level, 'Unknown') as formatted_experience_level from fx_postings where description is not null),
+ s as (select formatted_experience_level, count(*) as sz from d group by 1),
+ qq as (select formatted_experience_level, least(sz, greatest(1, round_even(sz / (select count(*) from d) * 500, 0))) as quota from s),
+ r as (select d.*, row_number() over (partition by formatted_experience_level order by md5('42:' || cast(job_id as varchar))) as rn from d)
+ select job_id, formatted_experience_level from r join qq using (formatted_experience_level) where rn <= quota
+ order by md5('43:' || cast(job_id as varchar)) limit 500""")
