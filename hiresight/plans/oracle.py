@@ -572,3 +572,58 @@ q("stratified_postings", """with d as (select job_id, coalesce(formatted_experie
  r as (select d.*, row_number() over (partition by formatted_experience_level order by md5('42:' || cast(job_id as varchar))) as rn from d)
  select job_id, formatted_experience_level from r join qq using (formatted_experience_level) where rn <= quota
  order by md5('43:' || cast(job_id as varchar)) limit 500""")
+
+# --- evaluation over the out-of-fold baseline -------------------------------------------------
+_CTES["v_base"] = f"""select r.job_id, r.fold, r.normalized_salary as actual_salary, greatest(exp(coalesce(s.m, g.g)) - 1, 0) as pred_salary,
+ r.formatted_experience_level, r.primary_industry, r.state, r.title_family, coalesce(r.pay_period, 'Unknown') as pay_period, r.title,
+ case when r.remote_flag = 1 then 'Remote' else 'Non-remote / unknown' end as remote_label,
+ {band_sql('r.normalized_salary', *rules.SALARY_BANDS_MODEL, include_lowest=True)} as salary_band,
+ cast(('0x' || substr(md5('7:' || cast(r.job_id as varchar)), 1, 8)) as ubigint) / 4294967296.0 < 0.2 as is_cal
+ from v_use r
+ left join (select f.f, coalesce(cast(formatted_experience_level as varchar), 'Unknown') as v, median(y_log) as m
+  from v_use u, range(5) f(f) where u.fold <> f.f group by 1, 2) s on s.f = r.fold and s.v = coalesce(r.formatted_experience_level, 'Unknown')
+ join (select f.f, median(y_log) as g from v_use u, range(5) f(f) where u.fold <> f.f group by 1) g on g.f = r.fold"""
+_ORDER.append("v_base")
+
+_MET = ("count(*) as n, sqrt(avg((pred_salary - actual_salary) * (pred_salary - actual_salary))) as rmse, "
+        "avg(abs(pred_salary - actual_salary)) as mae, 1 - sum((pred_salary - actual_salary) * (pred_salary - actual_salary)) / "
+        "(sum(actual_salary * actual_salary) - sum(actual_salary) * sum(actual_salary) / count(*)) as r2")
+_MAPE = ", avg(case when actual_salary > 0 then abs(pred_salary - actual_salary) / actual_salary end) * 100 as mape"
+q("baseline_metrics", f"select {_MET}{_MAPE} from v_base", ["rmse", "mae", "r2", "mape"])
+q("baseline_fold_metrics", f"select fold, {_MET}{_MAPE} from v_base group by fold", ["rmse", "mae", "r2", "mape"])
+_SEG = {"experience": "formatted_experience_level", "industry": "primary_industry", "state": "state",
+        "remote": "remote_label", "salary_band": "salary_band", "title_family": "title_family", "pay_period": "pay_period"}
+_SEG_MIN = {"experience": 80, "industry": 80, "state": 80, "title_family": 80, "remote": 40, "salary_band": 40, "pay_period": 40}
+_SEG_SQL = f"""select * exclude (rn) from (select *, row_number() over (partition by segment order by rmse desc, value) as rn from (
+ select segment, value, {_MET}, avg(pred_salary - actual_salary) as bias, median(actual_salary) as median_actual, median(pred_salary) as median_pred
+ from (""" + " union all ".join(
+    f"select '{k}' as segment, cast({c} as varchar) as value, actual_salary, pred_salary from v_base" for k, c in _SEG.items()) + """)
+ where value is not null group by 1, 2) where n >= case segment """ + " ".join(f"when '{k}' then {v}" for k, v in _SEG_MIN.items()) + """ else 0 end) where rn <= 20"""
+q("baseline_segment_metrics", f"select * replace (case when n >= 3 then r2 end as r2) from ({_SEG_SQL})",
+  ["rmse", "mae", "r2", "bias", "median_actual", "median_pred"])
+q("baseline_intervals", """with tr as (select quantile_cont(actual_salary - pred_salary, [0.05, 0.95]) as q from v_base where not is_cal),
+ cal as (select * from v_base where is_cal),
+ cq as (select least(1.0, greatest(0.0, ceil((count(*) + 1) * cast(0.9 as double)) / count(*))) as lvl, count(*) as n,
+        list_sort(list(abs(actual_salary - pred_salary))) as r from cal),
+ qh as (select r[cast(ceil(lvl * (n - 1)) as bigint) + 1] as q_hat from cq),
+ iv as (select 'residual_quantile' as method, actual_salary, greatest(pred_salary + q[1], 0.0) as lower, greatest(pred_salary + q[2], 0.0) as upper from cal, tr
+  union all select 'conformal' as method, actual_salary, greatest(pred_salary - q_hat, 0.0) as lower, greatest(pred_salary + q_hat, 0.0) as upper from cal, qh)
+ select method, avg(cast(actual_salary >= lower and actual_salary <= upper as integer)) * 100 as coverage_pct, avg(upper - lower) as avg_width,
+  median(upper - lower) as median_width,
+  avg(upper - lower + case when actual_salary < lower then 20.0 * (lower - actual_salary) else 0.0 end
+      + case when actual_salary > upper then 20.0 * (actual_salary - upper) else 0.0 end) as winkler_score, count(*) as n
+ from iv group by method""", ["coverage_pct", "avg_width", "median_width", "winkler_score"])
+q("baseline_calibration", """with e as (select list_sort(list_distinct(quantile_cont(pred_salary, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) as edges from v_base where pred_salary is not null)
+ select greatest(0, cast(len(list_filter(edges, lambda x: x < pred_salary)) as integer) - 1) as pred_decile, avg(pred_salary) as avg_pred,
+  avg(actual_salary) as avg_actual, count(*) as n from v_base, e where pred_salary is not null group by 1""", ["avg_pred", "avg_actual"])
+q("baseline_title_errors", """select title, count(*) as n, avg(abs(pred_salary - actual_salary)) as mae, avg(pred_salary - actual_salary) as bias
+ from v_base where title is not null group by 1 having count(*) >= 3 order by mae desc, title limit 15""", ["mae", "bias"])
+q("baseline_bias_extremes", f"""select * exclude (hi, lo), case when hi <= 8 then 'top' else 'bottom' end as side from (
+ select *, row_number() over (order by bias desc, value) as hi, row_number() over (order by bias asc, value) as lo
+ from ({_SEG_SQL}) where segment = 'industry') where hi <= 8 or lo <= 8""".replace("select * exclude (hi, lo)", "select * exclude (hi, lo) replace (case when n >= 3 then r2 end as r2)"),
+  ["rmse", "mae", "r2", "bias", "median_actual", "median_pred"])
+q("baseline_prediction_bands", """with m as (select avg(abs(pred_salary - actual_salary)) as mae, sqrt(avg((pred_salary - actual_salary) * (pred_salary - actual_salary))) as rmse from v_base)
+ select job_id, pred_salary, greatest(pred_salary * 0.85, 0.0) as practical_low, pred_salary * 1.15 as practical_high,
+  greatest(pred_salary - mae, 0.0) as mae_low, pred_salary + mae as mae_high, greatest(pred_salary - rmse, 0.0) as rmse_low, pred_salary + rmse as rmse_high,
+  greatest(pred_salary - 2 * rmse, 0.0) as rmse2_low, pred_salary + 2 * rmse as rmse2_high from v_base, m""",
+  ["pred_salary", "practical_low", "practical_high", "mae_low", "mae_high", "rmse_low", "rmse_high", "rmse2_low", "rmse2_high"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.fixtures import driver_tables
-from . import featureset, market, reports, textual
+from . import evaluation, featureset, market, reports, textual
 from ..sources.fixtures import documents
 
 MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
@@ -53,6 +53,9 @@ def _on_tables(fn) -> Callable[[SparkSession, str], DataFrame]:
 FEATURES = ["kfold_assign", "target_encoding", "target_encoding_oof", "skill_vocabulary",
             "multi_hot_skills", "multi_hot_benefits", "latest_employee_count", "company_job_count",
             "profile_missing", "clean_summary", "sample_postings", "stratified_postings"]
+EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_metrics",
+              "baseline_intervals", "baseline_calibration", "baseline_title_errors",
+              "baseline_bias_extremes", "baseline_prediction_bands"]
 TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
         "impute_experience", "experience_imputed_counts", "title_clean_rows"]
 
@@ -68,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update({name: _on_tables(getattr(market, name)) for name in MARKET})
     out.update({name: _on_tables(getattr(textual, name)) for name in TEXT})
     out.update({name: _on_tables(getattr(featureset, name)) for name in FEATURES})
+    out.update({name: _on_tables(getattr(evaluation, name)) for name in EVALUATION})
     out["scrub_salary"] = _on_docs(lambda d: textual.scrub_documents(d, "sentences"))
     out["scrub_salary_light"] = _on_docs(lambda d: textual.scrub_documents(d, "light"))
     out["document_stats"] = _on_docs(textual.document_stats)
