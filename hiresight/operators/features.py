@@ -51,15 +51,15 @@ class TargetEncoder:
         return TargetEncoderModel(stats.select("column", "value", enc.alias("enc")), g, self.cols)
 
 
-def target_encode_oof(df: DataFrame, key: str, cols, target: str, fold: str, k: int,
-                      smoothing: float = 40.0, min_count: int = 8, prefix: str = "te_") -> DataFrame:
-    """Out-of-fold encoding in one job: every row feeds the encoders of the k-1 folds it is not
-    in (explode of a bounded fold list), statistics are grouped by (fold, column, value), and
-    each row reads the encoder of its own fold. A row's own target never reaches its encoding."""
+def split_encodings(df: DataFrame, cols, target: str, fold: str, k: int, smoothing: float = 40.0,
+                    min_count: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Encoders of all k splits in one job: every row feeds the encoders of the k-1 splits whose
+    held-out fold it is not in (explode of a bounded fold list); statistics are grouped by
+    (split, column, value). Returns (encodings: _f, column, value, enc) and (globals: _f, _g)."""
     cols = list(cols)
     d = df.where(F.col(target).isNotNull())
     others = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda f: f != F.col(fold))
-    train = d.select(key, fold, target, *cols).withColumn("_f", F.explode(others))
+    train = d.select(fold, target, *cols).withColumn("_f", F.explode(others))
     glob = train.groupBy("_f").agg(F.median(target).alias("_g"))  # k rows
     lng = _long(train, ["_f"], cols, [target])
     stats = lng.groupBy("_f", "column", "value").agg(F.median(target).alias("m"),
@@ -68,6 +68,28 @@ def target_encode_oof(df: DataFrame, key: str, cols, target: str, fold: str, k:
     w = F.col("n") / (F.col("n") + smoothing)
     stats = stats.select("_f", "column", "value", F.when(
         F.col("n") >= min_count, w * F.col("m") + (1 - w) * F.col("_g")).otherwise(F.col("_g")).alias("enc"))
+    return stats, glob
+
+
+def apply_split_encoding(df: DataFrame, key: str, cols, stats: DataFrame, glob: DataFrame, split: int,
+                         prefix: str = "te_") -> DataFrame:
+    """Encode every row of ``df`` with the encoder of one split (training rows in-sample, as a
+    pipeline fitted on the training folds would; held-out rows out of fold)."""
+    cols = list(cols)
+    st = stats.where(F.col("_f") == split).drop("_f")
+    g = glob.where(F.col("_f") == split).select("_g")
+    rows = _long(df, [key], cols, [])
+    enc = rows.join(st, ["column", "value"], "left").withColumn("enc", F.coalesce("enc", g.scalar()))
+    wide = enc.groupBy(key).pivot("column", cols).agg(F.first("enc"))
+    return df.join(wide.select(key, *[F.col(c).alias(prefix + c) for c in cols]), key, "left")
+
+
+def target_encode_oof(df: DataFrame, key: str, cols, target: str, fold: str, k: int,
+                      smoothing: float = 40.0, min_count: int = 8, prefix: str = "te_") -> DataFrame:
+    """Out-of-fold encoding in one job: each row reads the encoder of the split that holds its
+    fold out, so a row's own target never reaches its encoding."""
+    cols = list(cols)
+    stats, glob = split_encodings(df, cols, target, fold, k, smoothing, min_count)
     rows = _long(df, [key, fold], cols, []).withColumnRenamed(fold, "_f")
     enc = (rows.join(stats, ["_f", "column", "value"], "left").join(F.broadcast(glob), "_f", "left")
            .withColumn("enc", F.coalesce("enc", "_g")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.fixtures import driver_tables
-from . import evaluation, featureset, market, reports, textual
+from . import evaluation, featureset, market, modeling, reports, textual
 from ..sources.fixtures import documents
 
 MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
@@ -56,6 +56,11 @@ FEATURES = ["kfold_assign", "target_encoding", "target_encoding_oof", "skill_voc
 EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_metrics",
               "baseline_intervals", "baseline_calibration", "baseline_title_errors",
               "baseline_bias_extremes", "baseline_prediction_bands"]
+# learned models: no SQL twin (rows-only check); the statistics they feed are SQL-checked
+# above through the deterministic baseline
+MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
+          "model_segment_metrics", "model_fold_stability", "model_overfit_gap",
+          "model_feature_importance", "model_calibration", "model_title_errors"]
 TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
         "impute_experience", "experience_imputed_counts", "title_clean_rows"]
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update({name: _on_tables(getattr(textual, name)) for name in TEXT})
     out.update({name: _on_tables(getattr(featureset, name)) for name in FEATURES})
     out.update({name: _on_tables(getattr(evaluation, name)) for name in EVALUATION})
+    out.update({name: _on_tables(getattr(modeling, name)) for name in MODELS})
     out["scrub_salary"] = _on_docs(lambda d: textual.scrub_documents(d, "sentences"))
     out["scrub_salary_light"] = _on_docs(lambda d: textual.scrub_documents(d, "light"))
     out["document_stats"] = _on_docs(textual.document_stats)

@@ -19,8 +19,9 @@ class JobTables:
     action runs, so a query that touches three tables scans three.
     """
 
-    def __init__(self, spark: SparkSession, loader: Callable[[str], DataFrame]):
+    def __init__(self, spark: SparkSession, loader: Callable[[str], DataFrame], source: str | None = None):
         self.spark = spark
+        self.source = source  # storage location when the tables are stored, else None
         self._loader = loader
         self._cache: dict[str, DataFrame] = {}
 
@@ -37,7 +38,7 @@ class JobTables:
     @classmethod
     def from_dir(cls, spark: SparkSession, path: str, fmt: str = "parquet") -> "JobTables":
         """Tables stored as ``<path>/<name>.<fmt>`` (parquet, or CSV with header)."""
-        return cls(spark, lambda name: read_table(spark, path, name, fmt=fmt, optional=True))
+        return cls(spark, lambda name: read_table(spark, path, name, fmt=fmt, optional=True), source=path)
 
 
 def _csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
