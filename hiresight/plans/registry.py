@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.fixtures import driver_tables
-from . import evaluation, featureset, market, modeling, reports, textual
+from . import clustering, evaluation, featureset, market, modeling, reports, textual
 from ..sources.fixtures import documents
 
 MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
@@ -61,6 +61,7 @@ EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_met
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
           "model_segment_metrics", "model_fold_stability", "model_overfit_gap",
           "model_feature_importance", "model_calibration", "model_title_errors"]
+CLUSTERS = ["q07_1", "q07_2", "q07_3", "q07_4", "q07_5", "title_terms"]
 TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
         "impute_experience", "experience_imputed_counts", "title_clean_rows"]
 
@@ -78,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update({name: _on_tables(getattr(featureset, name)) for name in FEATURES})
     out.update({name: _on_tables(getattr(evaluation, name)) for name in EVALUATION})
     out.update({name: _on_tables(getattr(modeling, name)) for name in MODELS})
+    out.update({name: _on_tables(getattr(clustering, name)) for name in CLUSTERS})
     out["scrub_salary"] = _on_docs(lambda d: textual.scrub_documents(d, "sentences"))
     out["scrub_salary_light"] = _on_docs(lambda d: textual.scrub_documents(d, "light"))
     out["document_stats"] = _on_docs(textual.document_stats)
