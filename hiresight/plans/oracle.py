@@ -627,3 +627,4 @@ q("baseline_prediction_bands", """with m as (select avg(abs(pred_salary - actual
   greatest(pred_salary - mae, 0.0) as mae_low, pred_salary + mae as mae_high, greatest(pred_salary - rmse, 0.0) as rmse_low, pred_salary + rmse as rmse_high,
   greatest(pred_salary - 2 * rmse, 0.0) as rmse2_low, pred_salary + 2 * rmse as rmse2_high from v_base, m""",
   ["pred_salary", "practical_low", "practical_high", "mae_low", "mae_high", "rmse_low", "rmse_high", "rmse2_low", "rmse2_high"])
+q("streamed_clean_postings", "select * exclude (description) from v_post")

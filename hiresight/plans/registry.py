@@ -72,6 +72,15 @@ def _on_docs(fn) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report cleaning run as a Structured Streaming job over the stored postings."""
+    import os
+    from ..streaming.ingest import streamed_report_postings
+    t = driver_tables(spark, sf_dir)
+    path = os.path.join(t.source, "postings.parquet")
+    return stable(streamed_report_postings(spark, path).drop("description"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _on_tables(getattr(reports, name)) for name in REPORTS}
     out.update({name: _on_tables(getattr(market, name)) for name in MARKET})
@@ -80,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update({name: _on_tables(getattr(evaluation, name)) for name in EVALUATION})
     out.update({name: _on_tables(getattr(modeling, name)) for name in MODELS})
     out.update({name: _on_tables(getattr(clustering, name)) for name in CLUSTERS})
+    out["streamed_clean_postings"] = _streamed
     out["scrub_salary"] = _on_docs(lambda d: textual.scrub_documents(d, "sentences"))
     out["scrub_salary_light"] = _on_docs(lambda d: textual.scrub_documents(d, "light"))
     out["document_stats"] = _on_docs(textual.document_stats)

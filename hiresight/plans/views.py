@@ -17,10 +17,10 @@ from ..operators.joins import attach_lookup, first_per_key, keep_known
 from ..sources.tables import JobTables
 
 
-def report_postings(t: JobTables, with_company: bool = False) -> DataFrame:
-    p = t.postings
+def report_clean(p: DataFrame) -> DataFrame:
+    """The report cleaning as one projection (usable on batch and streaming frames)."""
     lo, hi = rules.SALARY_RANGE_REPORTS
-    out = p.select(
+    return p.select(
         "job_id", "company_id", "title", "description", "location", "formatted_work_type",
         "views", "applies",
         clean.remote_flag("remote_allowed").alias("remote_allowed"),
@@ -29,6 +29,10 @@ def report_postings(t: JobTables, with_company: bool = False) -> DataFrame:
         clean.extract_state("location").alias("state"),
         clean.extract_city("location").alias("city"),
     )
+
+
+def report_postings(t: JobTables, with_company: bool = False) -> DataFrame:
+    out = report_clean(t.postings)
     if with_company:
         out = out.join(company_view(t), "company_id", "left")
     return out
