@@ -128,3 +128,12 @@ LIGHT_AMOUNT_WORD = r"\b\d+[\d,]*(?:\.\d+)?\s?(?:USD|usd|dollars?)\b"
 LIGHT_WORDS = (r"(?i)\b(?:salary range|compensation range|pay range|base salary|annual salary|"
                r"hourly rate|expected salary|salary|compensation|pay rate|bonus eligible|usd|"
                r"dollars|per year|yearly|annually)\b")
+
+# --- fixed values: scenario and explanation rules of the salary estimator ---------------------
+SCENARIO_SKILLS = ["Information Technology", "Project Management", "Analyst"]
+SCENARIO_BENEFITS = ["Medical insurance", "401(k)", "Paid time off"]
+SCENARIO_CAP = 8
+HIGH_PAY_STATES = ["CA", "NY", "WA", "MA"]
+LARGE_SIZES = ["1K-5K", "5K-10K", "10K+"]
+SENIOR_TITLE = r"senior|principal|staff|lead|director|vp|chief"
+TECH_TITLE = r"software|engineer|data|machine learning|ai|security|cloud"

@@ -235,3 +235,91 @@ def package_strength(t: JobTables) -> DataFrame:
     n, h = F.col("n_benefits"), F.col("n_high_value")
     return g.withColumn("package", F.when((n >= 6) | (h >= 4), "Strong package")
                         .when((n >= 3) | (h >= 2), "Standard package").otherwise("Basic package"))
+
+
+def _request_profile(t: JobTables) -> DataFrame:
+    """Every posting as an estimator request: level, title, state, city, remote flag, company
+    size, its named skills and benefit types (per-job sets, bounded by the vocabularies)."""
+    m = market_view(t).select("job_id", "title", EXPL, "state", "city", "remote_flag", "company_id")
+    sk = (skills_named(t).where(F.col("skill_name").isNotNull()).groupBy("job_id")
+          .agg(F.array_sort(F.collect_set("skill_name")).alias("skills")))
+    bn = (t.benefits.where(F.col("type").isNotNull()).groupBy("job_id")
+          .agg(F.array_sort(F.collect_set("type")).alias("benefits")))
+    size = t.companies.select("company_id", clean.size_label("company_size").alias("company_size"))
+    empty = F.array().cast("array<string>")
+    return (m.join(sk, "job_id", "left").join(bn, "job_id", "left").join(size, "company_id", "left")
+            .withColumns({"skills": F.coalesce("skills", empty), "benefits": F.coalesce("benefits", empty)}))
+
+
+def scenarios(t: JobTables) -> DataFrame:
+    """Four variants per request: as is, one level up, stronger profile (three common skills
+    while fewer than 8, three core benefits, at most 8) and remote."""
+    r = _request_profile(t)
+    nxt = clean.label_map(EXPL, rules.NEXT_LEVEL)
+    n_sk, n_bn = F.size("skills"), F.size("benefits")
+    miss_sk = sum(F.when(F.array_contains("skills", s), 0).otherwise(1) for s in rules.SCENARIO_SKILLS)
+    miss_bn = sum(F.when(F.array_contains("benefits", b), 0).otherwise(1) for b in rules.SCENARIO_BENEFITS)
+    cap = rules.SCENARIO_CAP
+    strong_sk = n_sk + F.least(F.greatest(F.lit(cap) - n_sk, F.lit(0)), miss_sk)
+    strong_bn = F.least(n_bn + miss_bn, F.lit(cap))
+
+    def v(name, level, nsk, nbn, remote):
+        return F.struct(F.lit(name).alias("scenario"), level.alias(EXPL), nsk.cast("int").alias("n_skills"),
+                        nbn.cast("int").alias("n_benefits"), remote.cast("int").alias("remote_flag"))
+    variants = F.array(
+        v("current", F.col(EXPL), n_sk, n_bn, F.col("remote_flag")),
+        v("one_level_up", F.coalesce(nxt, F.col(EXPL)), n_sk, n_bn, F.col("remote_flag")),
+        v("stronger_profile", F.col(EXPL), strong_sk, strong_bn, F.col("remote_flag")),
+        v("remote", F.col(EXPL), n_sk, n_bn, F.lit(1)))
+    return r.select(F.col("job_id").alias("request_id"), F.explode(variants).alias("_v")).select(
+        "request_id", "_v.*")
+
+
+def explain_rules(t: JobTables) -> DataFrame:
+    """Rule codes that raise or temper each request's estimate (first five of each)."""
+    r = _request_profile(t)
+    title = F.lower(F.coalesce("title", F.lit("")))
+    lvl, st = F.col(EXPL), F.col("state")
+    n_sk, n_bn = F.size("skills"), F.size("benefits")
+
+    def when(cond, code):
+        return F.when(cond, F.lit(code))
+    pos = F.array(
+        when(lvl.isin("Mid-Senior level", "Director", "Executive"), "seniority_level"),
+        when(title.rlike(rules.SENIOR_TITLE), "seniority_title"),
+        when(title.rlike(rules.TECH_TITLE), "technical_family"),
+        when(st.isin(rules.HIGH_PAY_STATES), "high_pay_state"),
+        when(F.col("remote_flag") == 1, "remote"),
+        when(n_sk >= 3, "skill_profile"),
+        when(F.col("company_size").isin(rules.LARGE_SIZES), "large_company"),
+        when(n_bn >= 5, "benefit_package"))
+    cau = F.array(
+        when(lvl.isin("Entry level", "Associate"), "junior_level"),
+        when(~st.isin(["Unknown"] + rules.HIGH_PAY_STATES), "location_varies"),
+        when(n_sk == 0, "no_skills"),
+        when(n_bn <= 1, "few_benefits"),
+        when(F.col("city") == "Unknown", "unknown_city"))
+    keep = lambda a: F.slice(F.filter(a, lambda x: x.isNotNull()), 1, 5)
+    return r.select(F.col("job_id").alias("request_id"), keep(pos).alias("positives"),
+                    keep(cau).alias("cautions"))
+
+
+def reliability(t: JobTables) -> DataFrame:
+    """Reliability of each usable posting's out-of-fold estimate from its similar-posting set:
+    set size (>=150: 2, >=50: 1), quartile width (<=35k: 2, <=60k: 1), estimate near the
+    set median (<= max(10k, 12 %): 1), known city (1), level above Associate (1);
+    >= 6 High, >= 4 Medium, else Low."""
+    from .evaluation import baseline_oof
+    pred = baseline_oof(t).select(F.col("job_id").alias("request_id"), "pred_salary")
+    sim = similar_postings(t)
+    req = market_view(t).select(F.col("job_id").alias("request_id"), "city", EXPL)
+    d = pred.join(sim, "request_id").join(req, "request_id")
+    n, width = F.col("n_similar"), F.col("p75") - F.col("p25")
+    near = F.abs(F.col("pred_salary") - F.col("p50")) <= F.greatest(F.lit(10_000.0), F.col("p50") * 0.12)
+    score = (F.when(n >= 150, 2).when(n >= 50, 1).otherwise(0)
+             + F.when(width <= 35_000, 2).when(width <= 60_000, 1).otherwise(0)
+             + F.when(near, 1).otherwise(0)
+             + F.when(F.col("city") != "Unknown", 1).otherwise(0)
+             + F.when(~F.col(EXPL).isin("Entry level", "Associate"), 1).otherwise(0))
+    return d.select("request_id", "n_similar", "pred_salary", "p50", score.alias("score"),
+                    F.when(score >= 6, "High").when(score >= 4, "Medium").otherwise("Low").alias("reliability"))

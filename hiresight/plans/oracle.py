@@ -628,3 +628,46 @@ q("baseline_prediction_bands", """with m as (select avg(abs(pred_salary - actual
   greatest(pred_salary - 2 * rmse, 0.0) as rmse2_low, pred_salary + 2 * rmse as rmse2_high from v_base, m""",
   ["pred_salary", "practical_low", "practical_high", "mae_low", "mae_high", "rmse_low", "rmse_high", "rmse2_low", "rmse2_high"])
 q("streamed_clean_postings", "select * exclude (description) from v_post")
+
+# --- estimator request batch ----------------------------------------------------------------
+_CTES["v_req"] = f"""select m.job_id, m.title, m.formatted_experience_level, m.state, m.city, m.remote_flag, m.company_id,
+ coalesce(sk.skills, []::varchar[]) as skills, coalesce(bn.benefits, []::varchar[]) as benefits, c.company_size
+ from v_mkt m
+ left join (select job_id, list_sort(list(distinct skill_name)) as skills from v_skn where skill_name is not null group by 1) sk using (job_id)
+ left join (select job_id, list_sort(list(distinct type)) as benefits from fx_benefits where type is not null group by 1) bn using (job_id)
+ left join (select company_id, {_case('company_size', rules.SIZE_LABELS)} as company_size from fx_companies) c using (company_id)"""
+_ORDER.append("v_req")
+_MISS_SK = " + ".join(f"case when list_contains(skills, '{s}') then 0 else 1 end" for s in rules.SCENARIO_SKILLS)
+_MISS_BN = " + ".join(f"case when list_contains(benefits, '{b}') then 0 else 1 end" for b in rules.SCENARIO_BENEFITS)
+_NEXT = "coalesce(case formatted_experience_level " + " ".join(f"when '{k}' then '{v}'" for k, v in rules.NEXT_LEVEL.items()) + " end, formatted_experience_level)"
+q("scenarios", f"""select job_id as request_id, 'current' as scenario, formatted_experience_level, cast(len(skills) as integer) as n_skills, cast(len(benefits) as integer) as n_benefits, remote_flag from v_req
+ union all select job_id, 'one_level_up', {_NEXT}, cast(len(skills) as integer), cast(len(benefits) as integer), remote_flag from v_req
+ union all select job_id, 'stronger_profile', formatted_experience_level, cast(len(skills) + least(greatest(8 - len(skills), 0), {_MISS_SK}) as integer),
+  cast(least(len(benefits) + ({_MISS_BN}), 8) as integer), remote_flag from v_req
+ union all select job_id, 'remote', formatted_experience_level, cast(len(skills) as integer), cast(len(benefits) as integer), 1 from v_req""")
+_TL = "lower(coalesce(title, ''))"
+_POS = [f"case when formatted_experience_level in ('Mid-Senior level', 'Director', 'Executive') then 'seniority_level' end",
+        f"case when regexp_matches({_TL}, '{rules.SENIOR_TITLE}') then 'seniority_title' end",
+        f"case when regexp_matches({_TL}, '{rules.TECH_TITLE}') then 'technical_family' end",
+        f"case when state in {_in(rules.HIGH_PAY_STATES)} then 'high_pay_state' end",
+        "case when remote_flag = 1 then 'remote' end",
+        "case when len(skills) >= 3 then 'skill_profile' end",
+        f"case when company_size in {_in(rules.LARGE_SIZES)} then 'large_company' end",
+        "case when len(benefits) >= 5 then 'benefit_package' end"]
+_CAU = ["case when formatted_experience_level in ('Entry level', 'Associate') then 'junior_level' end",
+        f"case when not (state in {_in(['Unknown'] + rules.HIGH_PAY_STATES)}) then 'location_varies' end",
+        "case when len(skills) = 0 then 'no_skills' end",
+        "case when len(benefits) <= 1 then 'few_benefits' end",
+        "case when city = 'Unknown' then 'unknown_city' end"]
+q("explain_rules", f"""select job_id as request_id, list_filter([{', '.join(_POS)}], lambda x: x is not null)[1:5] as positives,
+ list_filter([{', '.join(_CAU)}], lambda x: x is not null)[1:5] as cautions from v_req""")
+q("reliability", f"""with sim as ({_similar_sql()}),
+ d as (select b.job_id as request_id, b.pred_salary, s.n_similar, s.p25, s.p50, s.p75, m.city, m.formatted_experience_level
+  from v_base b join sim s on s.request_id = b.job_id join v_mkt m on m.job_id = b.job_id),
+ sc as (select *, case when n_similar >= 150 then 2 when n_similar >= 50 then 1 else 0 end
+  + case when p75 - p25 <= 35000 then 2 when p75 - p25 <= 60000 then 1 else 0 end
+  + case when abs(pred_salary - p50) <= greatest(10000.0, p50 * 0.12) then 1 else 0 end
+  + case when city <> 'Unknown' then 1 else 0 end
+  + case when not (formatted_experience_level in ('Entry level', 'Associate')) then 1 else 0 end as score from d)
+ select request_id, n_similar, pred_salary, p50, score, case when score >= 6 then 'High' when score >= 4 then 'Medium' else 'Low' end as reliability from sc""",
+  ["pred_salary", "p50"])

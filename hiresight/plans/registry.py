@@ -18,7 +18,8 @@ from ..sources.fixtures import documents
 
 MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
           "industry_stats", "state_stats", "title_family_stats", "career_ladder", "remote_summary",
-          "family_benchmark", "states_by_remote", "similar_postings", "package_strength"]
+          "family_benchmark", "states_by_remote", "similar_postings", "package_strength",
+          "scenarios", "explain_rules", "reliability"]
 
 REPORTS = [
     "mann_whitney", "premium_test",
