@@ -163,3 +163,28 @@ def log1p_safe(c) -> Column:
 def to_number(c) -> Column:
     return F.coalesce(F.expr(f"try_cast({c} as double)") if isinstance(c, str)
                       else col(c).try_cast("double"), F.lit(0.0))
+
+
+def normalize_city(c) -> Column:
+    """City of the salary model: missing/blank -> Unknown; 'remote' anywhere -> Remote; known
+    metro names (first match); else the text before the first comma; else the whole text."""
+    loc = F.trim(col(c))
+    low = F.lower(loc)
+    e = F.when(col(c).isNull() | (loc == ""), F.lit("Unknown")).when(low.contains("remote"), F.lit("Remote"))
+    for key, val in rules.CITY_METRO_MAP:
+        e = e.when(low.contains(key), F.lit(val))
+    return e.when(loc.contains(","), F.trim(F.substring_index(loc, ",", 1))).otherwise(loc)
+
+
+def extract_state_model(c, company_state) -> Column:
+    """State of the salary model: code after a comma; else a known metro name; else the
+    company's state; else 'Unknown'."""
+    low = F.lower(col(c))
+    metro = None
+    for key, val in rules.STATE_METRO_MAP:
+        metro = F.when(low.contains(key), F.lit(val)) if metro is None else metro.when(low.contains(key), F.lit(val))
+    return F.coalesce(regex_group(c, STATE_TOKEN), metro, col(company_state).cast("string"), F.lit("Unknown"))
+
+
+def interaction(a, b) -> Column:
+    return F.concat_ws("__", col(a).cast("string"), col(b).cast("string"))

@@ -137,3 +137,35 @@ HIGH_PAY_STATES = ["CA", "NY", "WA", "MA"]
 LARGE_SIZES = ["1K-5K", "5K-10K", "10K+"]
 SENIOR_TITLE = r"senior|principal|staff|lead|director|vp|chief"
 TECH_TITLE = r"software|engineer|data|machine learning|ai|security|cloud"
+
+# --- fixed values: metro names of the salary model's location rules (first match wins) ---------
+CITY_METRO_MAP = [
+    ("new york city metropolitan area", "New York"),
+    ("greater new york city area", "New York"),
+    ("san francisco bay area", "San Francisco"),
+    ("greater seattle area", "Seattle"),
+    ("greater boston", "Boston"),
+    ("greater chicago area", "Chicago"),
+    ("los angeles metropolitan area", "Los Angeles"),
+    ("washington dc-baltimore area", "Washington"),
+    ("washington dc metropolitan area", "Washington"),
+    ("dallas-fort worth metroplex", "Dallas"),
+    ("greater houston", "Houston"),
+    ("greater phoenix area", "Phoenix"),
+    ("greater atlanta area", "Atlanta"),
+]
+STATE_METRO_MAP = [
+    ("san francisco bay area", "CA"),
+    ("new york", "NY"),
+    ("greater seattle", "WA"),
+    ("greater boston", "MA"),
+    ("greater chicago", "IL"),
+    ("los angeles", "CA"),
+    ("washington dc", "DC"),
+    ("dallas", "TX"),
+    ("houston", "TX"),
+    ("phoenix", "AZ"),
+    ("atlanta", "GA"),
+]
+ERROR_BANDS = ([0, 40_000, 70_000, 100_000, 140_000, 200_000, 300_001],
+               ["<$40K", "$40K-70K", "$70K-100K", "$100K-140K", "$140K-200K", "$200K+"])

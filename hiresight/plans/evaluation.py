@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, rules
-from ..operators import evaluate, features, stats
+from ..operators import agg, evaluate, features, stats
 from ..sources.tables import JobTables
 from . import featureset, market
 
@@ -81,3 +81,32 @@ def baseline_prediction_bands(t: JobTables) -> DataFrame:
     m = evaluate.metrics(d, "actual_salary", "pred_salary")
     mae, rmse = m.select("mae").scalar(), m.select("rmse").scalar()
     return evaluate.prediction_bands(d.select("job_id", "pred_salary"), "pred_salary", mae, rmse)
+
+
+def baseline_worst_predictions(t: JobTables, k: int = 25) -> DataFrame:
+    """The k most over- and k most under-predicted postings."""
+    d = evaluate.error_columns(baseline_oof(t), "actual_salary", "pred_salary").select(
+        "job_id", "actual_salary", "pred_salary", "residual")
+    return stats.top_and_bottom(d, "residual", k, "job_id")
+
+
+def baseline_best_interval(t: JobTables) -> DataFrame:
+    """Highest coverage, then the narrowest mean width."""
+    return baseline_intervals(t).orderBy(F.col("coverage_pct").desc(), F.col("avg_width").asc()).limit(1)
+
+
+def baseline_error_by_band(t: JobTables) -> DataFrame:
+    """Median absolute and percentage error, mean residual and rows per actual-salary band."""
+    d = evaluate.error_columns(baseline_oof(t), "actual_salary", "pred_salary")
+    d = d.withColumn("band", clean.band("actual_salary", *rules.ERROR_BANDS))
+    return agg.multi_agg_by(d, "band", {"median_abs": F.median("abs_error"), "median_pct": F.median("ape"),
+                                        "mean_residual": F.avg("residual"), "n": F.count(F.lit(1))})
+
+
+def baseline_residual_normality(t: JobTables) -> DataFrame:
+    """Normal fit and Jarque-Bera test of the log residuals over all rows."""
+    d = baseline_oof(t).withColumn("r", F.log1p("pred_salary") - F.log1p("actual_salary"))
+    fit = stats.normal_fit(d, "r")
+    jb = stats.normality_test(d, "r").select("skew", "kurt", "jb")
+    return fit.select("mean", "std", "n", jb.select("skew").scalar().alias("skew"),
+                      jb.select("kurt").scalar().alias("kurt"), jb.select("jb").scalar().alias("jb"))

@@ -85,3 +85,61 @@ def stratified_postings(t: JobTables, n: int = 500) -> DataFrame:
     p = t.postings.where(F.col("description").isNotNull()).select(
         "job_id", clean.fill_unknown("formatted_experience_level").alias("formatted_experience_level"))
     return stats.stratified_sample(p, "job_id", "formatted_experience_level", n, seed=42)
+
+
+def location_features(t: JobTables) -> DataFrame:
+    """City and state of the salary model (metro names, company-state fallback)."""
+    p = t.postings.select("job_id", "company_id", "location")
+    c = t.companies.select("company_id", F.col("state").alias("company_state"))
+    return p.join(c, "company_id", "left").select(
+        "job_id", clean.normalize_city("location").alias("city_loc"),
+        clean.extract_state_model("location", "company_state").alias("state_final"))
+
+
+def interactions(t: JobTables) -> DataFrame:
+    """Pairwise category interactions used as encoded features."""
+    m = market.market_view(t).select("job_id", "primary_industry", "formatted_experience_level",
+                                     "remote_flag", "pay_period", "formatted_work_type")
+    d = m.join(location_features(t), "job_id")
+    pay = F.coalesce("pay_period", F.lit("Unknown"))
+    return d.select("job_id",
+                    clean.interaction("city_loc", "primary_industry").alias("city_industry"),
+                    clean.interaction("state_final", "primary_industry").alias("state_industry"),
+                    clean.interaction("formatted_experience_level", "primary_industry").alias("exp_industry"),
+                    clean.interaction("remote_flag", "primary_industry").alias("remote_industry"),
+                    clean.interaction(pay, "formatted_work_type").alias("pay_work_type"))
+
+
+def salary_bounds(t: JobTables) -> DataFrame:
+    """Salary range of the salary model: [max(10k, 1st pct), min(300k, 99th pct)] and the
+    rows it keeps (USD or missing currency)."""
+    p = t.postings.where(F.col(SAL).isNotNull())
+    q = p.select(F.percentile(SAL, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    b = q.select(F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"),
+                 F.greatest(F.lit(10_000.0), F.col("q")[0]).alias("lower_bound"),
+                 F.least(F.lit(300_000.0), F.col("q")[1]).alias("upper_bound"))
+    lo, hi = b.select("lower_bound").scalar(), b.select("upper_bound").scalar()
+    kept = p.where(clean.salary_usable(SAL, "currency", lo, hi)).select(F.count(F.lit(1))).scalar()
+    return b.withColumn("rows_kept", kept)
+
+
+def salary_records(t: JobTables) -> DataFrame:
+    """Yearly USD salary rows of known postings with a median or maximum."""
+    s = t.salaries.where((F.col("currency") == "USD") & (F.col("pay_period") == "YEARLY")
+                         & (F.col("med_salary").isNotNull() | F.col("max_salary").isNotNull()))
+    return s.join(t.postings.select("job_id"), "job_id", "left_semi").select(
+        "job_id", "min_salary", "max_salary", "med_salary")
+
+
+def target_encoding_global(t: JobTables) -> DataFrame:
+    """The first model's encoding: group median salary over all usable rows (it sees every
+    target, so it is only a labelled baseline), fallback the global median, log1p."""
+    u = usable_rows(t)
+    model = features.TargetEncoder(TE_COLS, smoothing=0.0, min_count=1).fit(u, SAL)
+    enc = model.transform(market.market_view(t).select("job_id", *TE_COLS), "job_id").drop(*TE_COLS)
+    return enc.select("job_id", *[F.log1p(f"te_{c}").alias(f"te_{c}") for c in TE_COLS])
+
+
+def value_counts_keep_null(t: JobTables) -> DataFrame:
+    """Frequency of every experience-level value, missing included."""
+    return t.postings.groupBy("formatted_experience_level").agg(F.count(F.lit(1)).alias("n"))

@@ -671,3 +671,53 @@ q("reliability", f"""with sim as ({_similar_sql()}),
   + case when not (formatted_experience_level in ('Entry level', 'Associate')) then 1 else 0 end as score from d)
  select request_id, n_similar, pred_salary, p50, score, case when score >= 6 then 'High' when score >= 4 then 'Medium' else 'Low' end as reliability from sc""",
   ["pred_salary", "p50"])
+
+# --- location rules, bounds, records, diagnostics --------------------------------------------
+_LOC = "trim(location)"
+_CITY = (f"case when location is null or {_LOC} = '' then 'Unknown' when contains(lower({_LOC}), 'remote') then 'Remote' "
+         + " ".join(f"when contains(lower({_LOC}), '{k}') then '{v}'" for k, v in rules.CITY_METRO_MAP)
+         + f" when contains({_LOC}, ',') then trim(split_part({_LOC}, ',', 1)) else {_LOC} end")
+_STATE_M = "case " + " ".join(f"when contains(lower(location), '{k}') then '{v}'" for k, v in rules.STATE_METRO_MAP) + " end"
+_CTES["v_loc"] = f"""select p.job_id, {_CITY} as city_loc,
+ coalesce(nullif(regexp_extract(location, ',\\s*([A-Z]{{2}})(?:\\s|$)', 1), ''), {_STATE_M}, cast(c.state as varchar), 'Unknown') as state_final
+ from fx_postings p left join fx_companies c on c.company_id = p.company_id"""
+_ORDER.append("v_loc")
+q("location_features", "select * from v_loc")
+q("interactions", """select m.job_id, concat_ws('__', l.city_loc, m.primary_industry) as city_industry,
+ concat_ws('__', l.state_final, m.primary_industry) as state_industry, concat_ws('__', m.formatted_experience_level, m.primary_industry) as exp_industry,
+ concat_ws('__', cast(m.remote_flag as varchar), m.primary_industry) as remote_industry,
+ concat_ws('__', coalesce(m.pay_period, 'Unknown'), m.formatted_work_type) as pay_work_type from v_mkt m join v_loc l using (job_id)""")
+q("salary_bounds", """with b as (select quantile_cont(normalized_salary, 0.01) as q01, quantile_cont(normalized_salary, 0.99) as q99 from fx_postings where normalized_salary is not null)
+ select q01, q99, greatest(10000.0, q01) as lower_bound, least(300000.0, q99) as upper_bound,
+ (select count(*) from fx_postings where normalized_salary between greatest(10000.0, q01) and least(300000.0, q99) and (currency in ('USD') or currency is null)) as rows_kept from b""",
+  ["q01", "q99", "lower_bound", "upper_bound"])
+q("salary_records", """select job_id, min_salary, max_salary, med_salary from fx_salaries where currency = 'USD' and pay_period = 'YEARLY'
+ and (med_salary is not null or max_salary is not null) and job_id in (select job_id from fx_postings)""", ["min_salary", "max_salary", "med_salary"])
+
+
+def _te_global_sql() -> str:
+    g = "(select median(normalized_salary) from v_use)"
+    cols = [f"""ln(1 + coalesce((select m from (select coalesce(cast({c} as varchar), 'Unknown') as v, median(normalized_salary) as m from v_use group by 1) s
+  where s.v = coalesce(cast(p.{c} as varchar), 'Unknown')), {g})) as te_{c}""" for c in _TE]
+    return "select p.job_id, " + ",\n ".join(cols) + " from v_mkt p"
+
+
+q("target_encoding_global", _te_global_sql(), [f"te_{c}" for c in _TE])
+q("value_counts_keep_null", "select formatted_experience_level, count(*) as n from fx_postings group by 1")
+q("baseline_worst_predictions", """select * exclude (hi, lo), case when hi <= 25 then 'top' else 'bottom' end as side from (
+ select job_id, actual_salary, pred_salary, pred_salary - actual_salary as residual,
+ row_number() over (order by pred_salary - actual_salary desc, job_id) as hi, row_number() over (order by pred_salary - actual_salary asc, job_id) as lo
+ from v_base) where hi <= 25 or lo <= 25""", ["actual_salary", "pred_salary", "residual"])
+q("baseline_best_interval", SQL["baseline_intervals"].replace("select * replace", "select * replace", 1) + " order by coverage_pct desc, avg_width asc limit 1",
+  [])
+_EB = band_sql("actual_salary", *rules.ERROR_BANDS)
+q("baseline_error_by_band", f"""select band, median(abs(pred_salary - actual_salary)) as median_abs,
+ median(case when actual_salary > 0 then abs(pred_salary - actual_salary) / actual_salary * 100 end) as median_pct,
+ avg(pred_salary - actual_salary) as mean_residual, count(*) as n from (select *, {_EB} as band from v_base) where band is not null group by 1""",
+  ["median_abs", "median_pct", "mean_residual"])
+q("baseline_residual_normality", """with d as (select ln(1 + pred_salary) - ln(1 + actual_salary) as r from v_base),
+ m as (select avg(r) as mu, count(r) as n from d),
+ c as (select avg(power(r - mu, 2)) as m2, avg(power(r - mu, 3)) as m3, avg(power(r - mu, 4)) as m4 from d, m)
+ select mu as mean, sqrt(m2) as std, n, m3 / power(m2, 1.5) as skew, m4 / (m2 * m2) - 3 as kurt,
+ n / 6.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4) as jb from m, c""",
+  ["mean", "std", "skew", "kurt", "jb"])

@@ -53,10 +53,13 @@ def _on_tables(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 FEATURES = ["kfold_assign", "target_encoding", "target_encoding_oof", "skill_vocabulary",
             "multi_hot_skills", "multi_hot_benefits", "latest_employee_count", "company_job_count",
-            "profile_missing", "clean_summary", "sample_postings", "stratified_postings"]
+            "profile_missing", "clean_summary", "sample_postings", "stratified_postings",
+            "location_features", "interactions", "salary_bounds", "salary_records",
+            "target_encoding_global", "value_counts_keep_null"]
 EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_metrics",
               "baseline_intervals", "baseline_calibration", "baseline_title_errors",
-              "baseline_bias_extremes", "baseline_prediction_bands"]
+              "baseline_bias_extremes", "baseline_prediction_bands", "baseline_worst_predictions",
+              "baseline_best_interval", "baseline_error_by_band", "baseline_residual_normality"]
 # learned models: no SQL twin (rows-only check); the statistics they feed are SQL-checked
 # above through the deterministic baseline
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
