@@ -181,8 +181,8 @@ def histogram(df: DataFrame, value: str, bins: int, clip_hi: float | None = None
     if clip_hi is not None:
         v = F.least(v, F.lit(clip_hi))
     d = df.where(F.col(value).isNotNull()).select(v.alias("_v"))
-    lo = d.select(F.min("_v")).scalar()
-    hi = d.select(F.max("_v")).scalar()
+    mm = d.select(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()  # one subquery
+    lo, hi = mm.getField("lo"), mm.getField("hi")
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col("_v") - lo) / width), F.lit(bins - 1)).cast("int")
     g = d.select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin")).groupBy("bin").agg(

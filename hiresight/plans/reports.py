@@ -494,14 +494,15 @@ def q13_6(t: JobTables) -> DataFrame:
     """Headline: rows, median gap and gap %, widest and narrowest of the top-15 industries."""
     g = gap_records(t)
     ind = q13_2(t)
-    wide = ind.orderBy(F.col("median_gap").desc(), F.col("industry_name")).limit(1)
-    narrow = ind.orderBy(F.col("median_gap").asc(), F.col("industry_name")).limit(1)
+    pair = F.struct("industry_name", "median_gap")
+    wide = ind.orderBy(F.col("median_gap").desc(), F.col("industry_name")).limit(1).select(pair).scalar()
+    narrow = ind.orderBy(F.col("median_gap").asc(), F.col("industry_name")).limit(1).select(pair).scalar()
     return g.agg(F.count(F.lit(1)).alias("n"), F.median("gap").alias("median_gap"),
                  F.median("gap_pct").alias("median_gap_pct")).select(
-        "*", wide.select("industry_name").scalar().alias("widest_industry"),
-        wide.select("median_gap").scalar().alias("widest_gap"),
-        narrow.select("industry_name").scalar().alias("narrowest_industry"),
-        narrow.select("median_gap").scalar().alias("narrowest_gap"))
+        "*", wide.getField("industry_name").alias("widest_industry"),
+        wide.getField("median_gap").alias("widest_gap"),
+        narrow.getField("industry_name").alias("narrowest_industry"),
+        narrow.getField("median_gap").alias("narrowest_gap"))
 
 
 # --- Q09.1 skill premium with a rank test ------------------------------------------------------
