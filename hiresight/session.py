@@ -67,3 +67,14 @@ def write_back(df, name: str):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, key: str | None = None):
+    """Hash-repartition ``df`` only when it arrives in fewer partitions than the cluster has
+    cores (a small file with one row group feeding CPU-heavy work such as regexes over whole
+    texts). Inputs that are already split, as any large input is, pass through untouched."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)

@@ -200,16 +200,27 @@ def materialize(spark: SparkSession, sf_dir: str, names=None) -> str:
     a lost executor or a crashed run only costs the unfinished tables."""
     from ..session import scratch_path
 
-    out = scratch_path(spark, f"jobtables-{_source_key(sf_dir)}")
+    out = scratch_path(spark, f"jobtables-v2-{_source_key(sf_dir)}")
     lazy = derived_tables(spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in names or BUILDERS:
         path = os.path.join(out, f"{name}.parquet")
         if os.path.exists(os.path.join(path, "_SUCCESS")):
             continue
-        lazy.table(name).write.mode("overwrite").parquet(path)
+        # stored layout: hash-partitioned by the table key into cluster-sized files, sorted
+        # within files so row-group statistics prune key lookups
+        key = TABLE_KEYS[name]
+        lazy.table(name).repartition(n, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
     return out
 
 
+TABLE_KEYS = {
+    "postings": "job_id", "companies": "company_id", "employee_counts": "company_id",
+    "job_skills": "job_id", "skills": "skill_abr", "job_industries": "job_id",
+    "industries": "industry_id", "benefits": "job_id", "salaries": "job_id",
+    "company_specialities": "company_id", "company_industries": "company_id",
+}
+
 _MATERIALIZED: dict[tuple, str] = {}
 
 
@@ -229,4 +240,5 @@ def driver_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents")
+    from ..session import spread
+    return spread(_read(spark, sf_dir, "documents"), "doc_id")
