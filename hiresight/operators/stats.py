@@ -217,3 +217,11 @@ def qcut(df: DataFrame, c: str, q: int, name: str = "qbin") -> DataFrame:
     edges = df.select(F.array_distinct(F.percentile(c, F.array(*[F.lit(i / q) for i in range(q + 1)])))).scalar()
     b = F.greatest(F.lit(0), F.size(F.filter(F.col("_edges"), lambda e: e < F.col(c))) - 1)
     return df.withColumn("_edges", edges).withColumn(name, F.when(F.col(c).isNotNull(), b)).drop("_edges")
+
+
+def rolling_mean_centered(df: DataFrame, order: list, value: str, window: int, name: str = "trend") -> DataFrame:
+    """Centred moving mean (``window // 2`` rows before, the rest after), NULL until the frame
+    is full. The window is un-partitioned: meant for bounded samples (plots, diagnostics)."""
+    before, after = window // 2, window - 1 - window // 2
+    w = Window.orderBy(*order).rowsBetween(-before, after)
+    return df.withColumn(name, F.when(F.count(F.lit(1)).over(w) == window, F.avg(value).over(w)))

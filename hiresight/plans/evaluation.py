@@ -127,3 +127,15 @@ def baseline_residual_normality(t: JobTables) -> DataFrame:
     jb = stats.normality_test(d, "r").select("skew", "kurt", "jb")
     return fit.select("mean", "std", "n", jb.select("skew").scalar().alias("skew"),
                       jb.select("kurt").scalar().alias("kurt"), jb.select("jb").scalar().alias("jb"))
+
+
+def baseline_residual_trend(t: JobTables, n: int = 5000) -> DataFrame:
+    """Log residual against the prediction on a reproducible sample of at most ``n`` rows, with
+    a centred moving mean of width max(rows / 20, 50)."""
+    d = baseline_oof(t).select("job_id", F.log1p("pred_salary").alias("log_pred"),
+                               (F.log1p("actual_salary") - F.log1p("pred_salary")).alias("residual"))
+    s = stats.sample_n(d, "job_id", n, seed=42)
+    rows = s.count()  # at most n
+    w = max(rows // 20, 50)
+    return stats.rolling_mean_centered(s, [F.col("log_pred"), F.col("job_id")], "residual", w).select(
+        "job_id", (F.expm1("log_pred") / 1000).alias("pred_k"), "residual", "trend")

@@ -721,3 +721,11 @@ q("baseline_residual_normality", """with d as (select ln(1 + pred_salary) - ln(1
  select mu as mean, sqrt(m2) as std, n, m3 / power(m2, 1.5) as skew, m4 / (m2 * m2) - 3 as kurt,
  n / 6.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4) as jb from m, c""",
   ["mean", "std", "skew", "kurt", "jb"])
+q("baseline_residual_trend", """with s as (select job_id, ln(1 + pred_salary) as log_pred, ln(1 + actual_salary) - ln(1 + pred_salary) as residual
+  from v_base order by md5('42:' || cast(job_id as varchar)) limit 5000),
+ w as (select greatest(cast(floor(count(*) / 20) as bigint), 50) as w from s),
+ r as (select *, row_number() over (order by log_pred, job_id) as rn from s)
+ select a.job_id, (exp(a.log_pred) - 1) / 1000 as pred_k, a.residual,
+  case when count(*) = max(w.w) then avg(b.residual) end as trend
+ from r a cross join w join r b on b.rn between a.rn - w.w // 2 and a.rn + (w.w - 1 - w.w // 2)
+ group by a.job_id, a.log_pred, a.residual""", ["pred_k", "residual", "trend"])

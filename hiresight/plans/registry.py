@@ -59,7 +59,8 @@ FEATURES = ["kfold_assign", "target_encoding", "target_encoding_oof", "skill_voc
 EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_metrics",
               "baseline_intervals", "baseline_calibration", "baseline_title_errors",
               "baseline_bias_extremes", "baseline_prediction_bands", "baseline_worst_predictions",
-              "baseline_best_interval", "baseline_error_by_band", "baseline_residual_normality"]
+              "baseline_best_interval", "baseline_error_by_band", "baseline_residual_normality",
+              "baseline_residual_trend"]
 # learned models: no SQL twin (rows-only check); the statistics they feed are SQL-checked
 # above through the deterministic baseline
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
