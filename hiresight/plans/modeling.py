@@ -21,7 +21,7 @@ from ..functions import clean, rules
 from ..operators import agg, evaluate, features, stats
 from ..session import write_back
 from ..sources.tables import JobTables
-from . import evaluation, featureset, textual, views
+from . import evaluation, featureset, market, textual, views
 
 K = 5
 TE_COLS = featureset.TE_COLS
@@ -38,11 +38,15 @@ def learners() -> dict:
     }
 
 
-def job_features(t: JobTables) -> tuple[DataFrame, list[str]]:
-    """Usable salary rows with model features (no target encodings yet) and the names of the
-    numeric feature columns. Every posting-level table is joined on job_id, every company
-    table on company_id; missing counts are 0."""
-    u = featureset.usable_rows(t).select(
+def job_features(t: JobTables, rows: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Usable salary rows (or the given market-view ``rows``) with model features (no target
+    encodings yet) and the names of the numeric feature columns. Every posting-level table is
+    joined on job_id, every company table on company_id; missing counts are 0."""
+    if rows is None:
+        rows = featureset.usable_rows(t)
+    else:
+        rows = rows.withColumns({"fold": F.lit(-1), "y_log": F.log1p("normalized_salary")})
+    u = rows.select(
         "job_id", "fold", "y_log", "normalized_salary", "company_id", "remote_flag", "pay_period",
         "title", "description", *TE_COLS)
     flags = textual.title_flags(t)
@@ -192,7 +196,7 @@ def _ridge_fit(d: DataFrame, inner_k: int = 3):
                           standardization=False, solver="normal")
     grid = ParamGridBuilder().addGrid(lr.regParam, REG_GRID).build()
     d = stats.kfold_assign(d, "job_id", inner_k, seed=11, name="inner")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, foldCol="inner", parallelism=3,
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, foldCol="inner", numFolds=inner_k, parallelism=3,
                         evaluator=RegressionEvaluator(labelCol="y_log", metricName="rmse"))
     return cv.fit(d).bestModel
 
@@ -315,3 +319,144 @@ def model_feature_importance(t: JobTables, k: int = 25) -> DataFrame:
     """Mean split importance of each feature over learners and folds, top k."""
     imp = cross_validate(t)["importance"].groupBy("feature").agg(F.avg("importance").alias("importance"))
     return imp.orderBy(F.col("importance").desc(), "feature").limit(k)
+
+
+# --- serving: one model fitted on all usable rows, batch scoring, scenarios ---------------------
+def final_model(t: JobTables) -> dict:
+    """Target encoder + assembler + boosted trees fitted on every usable row (cached)."""
+    k = ("final",) + _key(t)
+    with _LOCK:
+        if t.source is not None and k in _CACHE:
+            return _CACHE[k]
+    base, num = job_features(t)
+    base = write_back(base, "final-features")
+    enc = features.TargetEncoder(TE_COLS, smoothing=40.0, min_count=8).fit(base, "y_log")
+    cols = num + [f"te_{c}" for c in TE_COLS]
+    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    d = asm.transform(enc.transform(base, "job_id"))
+    gbt = learners()["gbt"].copy().setFeaturesCol("features").setLabelCol("y_log").fit(d)
+    out = {"encoder": enc, "assembler": asm, "model": gbt, "columns": cols, "numeric": num,
+           "train": d.select("job_id", "y_log", "features")}
+    if t.source is not None:
+        with _LOCK:
+            _CACHE[k] = out
+    return out
+
+
+def _score(fm: dict, rows: DataFrame) -> DataFrame:
+    d = fm["assembler"].transform(fm["encoder"].transform(rows, "job_id"))
+    return fm["model"].transform(d)
+
+
+def score_batch(t: JobTables) -> DataFrame:
+    """Estimated salary for every posting (requests are rows, scored by one transform)."""
+    fm = final_model(t)
+    feats, _ = job_features(t, rows=market.market_view(t))
+    p = _score(fm, feats)
+    return p.select("job_id", F.col("prediction").alias("pred_log"), _raw("prediction").alias("pred_salary"))
+
+
+def scenario_scores(t: JobTables) -> DataFrame:
+    """Each request's four scenarios scored by the final model, with the change against the
+    current scenario. Scenario rows replace level, skill count, benefit count and remote flag
+    (and the level's encoding) in the request's feature row."""
+    fm = final_model(t)
+    feats, _ = job_features(t, rows=market.market_view(t))
+    sc = market.scenarios(t).withColumnRenamed("request_id", "job_id")
+    lvl = clean.label_map("formatted_experience_level", {v: i for i, v in enumerate(rules.EXPERIENCE_LEVELS)}, -1)
+    rows = (feats.drop("formatted_experience_level", "n_skills", "n_benefits", "remote_flag", "exp_level_ord")
+            .join(sc, "job_id")
+            .withColumns({"exp_level_ord": lvl.cast("double"), "n_skills": F.col("n_skills").cast("double"),
+                          "n_benefits": F.col("n_benefits").cast("double"),
+                          "remote_flag": F.col("remote_flag").cast("double")}))
+    # one feature row per (request, scenario): the encoder joins by job_id, so key by both
+    rows = rows.withColumn("job_id_scn", F.concat_ws("#", F.col("job_id").cast("string"), "scenario"))
+    enc = fm["encoder"].transform(rows.withColumnRenamed("job_id", "request_id")
+                                  .withColumnRenamed("job_id_scn", "job_id"), "job_id")
+    p = fm["model"].transform(fm["assembler"].transform(enc))
+    p = p.select(F.col("request_id"), "scenario", _raw("prediction").alias("pred_salary"))
+    cur = p.where(F.col("scenario") == "current").select("request_id", F.col("pred_salary").alias("_cur"))
+    return p.join(cur, "request_id").withColumn("diff_vs_current", F.col("pred_salary") - F.col("_cur")).drop("_cur")
+
+
+def permutation_importance(t: JobTables, k: int = 10, seed: int = 5) -> DataFrame:
+    """RMSE rise (log scale) when one feature's values are shuffled among the training rows,
+    for the k features with the largest split importance. The shuffle pairs each row with the
+    next row in a seeded hash order inside hash buckets of about 50k rows (a derangement, no
+    global sort); values move as a block, the model and other features stay fixed."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import Window
+    fm = final_model(t)
+    cols = fm["columns"]
+    imp = sorted(zip(cols, fm["model"].featureImportances.toArray()), key=lambda x: -x[1])[:k]
+    d = fm["train"].withColumn("_a", vector_to_array("features"))
+    n = d.count()
+    buckets = max(1, n // 50_000)
+    d = d.withColumns({"_b": (F.abs(F.xxhash64("job_id", F.lit(seed))) % buckets),
+                       "_o": stats.hash_order(F.col("job_id"), seed)})
+    d = write_back(d, "perm-base")
+    base_rmse = fm["model"].transform(d).select(F.sqrt(F.avg((F.col("prediction") - F.col("y_log")) ** 2))).scalar()
+    w = Window.partitionBy("_b").orderBy("_o")
+    out = None
+    for name, score in imp:
+        i = cols.index(name)
+        nxt = F.coalesce(F.lead(F.col("_a")[i]).over(w), F.first(F.col("_a")[i]).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        sh = d.withColumn("_v", nxt).withColumn("features", array_to_vector(F.transform(
+            "_a", lambda x, j: F.when(j == i, F.col("_v")).otherwise(x))))
+        r = fm["model"].transform(sh).select(
+            F.lit(name).alias("feature"), F.lit(float(score)).alias("split_importance"),
+            (F.sqrt(F.avg((F.col("prediction") - F.col("y_log")) ** 2)) - base_rmse).alias("rmse_increase"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def partial_dependence(t: JobTables, k: int = 4, grid: int = 10) -> DataFrame:
+    """Mean predicted log salary when one of the k most important features is set to each of
+    ``grid`` quantiles of its values (rows x grid via explode of a bounded list), and the
+    least-squares slope of that curve."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    fm = final_model(t)
+    cols = fm["columns"]
+    imp = sorted(zip(cols, fm["model"].featureImportances.toArray()), key=lambda x: -x[1])[:k]
+    d = fm["train"].withColumn("_a", vector_to_array("features"))
+    out = None
+    for name, _ in imp:
+        i = cols.index(name)
+        qs = d.select(F.array_distinct(F.percentile(F.col("_a")[i], F.array(
+            *[F.lit(j / (grid - 1)) for j in range(grid)]))).alias("g"))
+        g = d.withColumn("_g", qs.scalar()).withColumn("_x", F.explode("_g"))
+        g = g.withColumn("features", array_to_vector(F.transform(
+            "_a", lambda x, j: F.when(j == i, F.col("_x")).otherwise(x))))
+        r = fm["model"].transform(g).groupBy("_x").agg(F.avg("prediction").alias("mean_pred_log"))
+        r = r.select(F.lit(name).alias("feature"), F.col("_x").alias("value"), "mean_pred_log")
+        out = r if out is None else out.unionByName(r)
+    from pyspark.sql import Window
+    w = Window.partitionBy("feature")  # at most k * grid rows
+    return out.withColumn("slope", F.regr_slope("mean_pred_log", "value").over(w))
+
+
+def param_search(t: JobTables, trials: int = 6, seed: int = 3) -> DataFrame:
+    """Seeded random search over boosted-tree settings scored by 2-fold cross-validated RMSE
+    (log scale), with the best score so far after each trial."""
+    import random
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator
+    from pyspark.sql import Window
+    fm = final_model(t)
+    d = stats.kfold_assign(fm["train"], "job_id", 2, seed=17, name="half")
+    rnd = random.Random(seed)
+    est = GBTRegressor(featuresCol="features", labelCol="y_log", seed=42)
+    space = []
+    for _ in range(trials):
+        space.append({est.maxIter: rnd.choice([20, 30, 40, 60]), est.maxDepth: rnd.choice([3, 4, 5, 6]),
+                      est.stepSize: rnd.choice([0.05, 0.08, 0.1, 0.15]),
+                      est.subsamplingRate: rnd.choice([0.7, 0.8, 0.9, 1.0])})
+    cv = CrossValidator(estimator=est, estimatorParamMaps=space, foldCol="half", numFolds=2, parallelism=3,
+                        evaluator=RegressionEvaluator(labelCol="y_log", metricName="rmse")).fit(d)
+    rows = [(i + 1, p[est.maxIter], p[est.maxDepth], p[est.stepSize], p[est.subsamplingRate], float(m))
+            for i, (p, m) in enumerate(zip(space, cv.avgMetrics))]
+    df = t.spark.createDataFrame(rows, "trial int, max_iter int, max_depth int, step_size double, "
+                                       "subsampling double, cv_rmse double")
+    w = Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # trials rows
+    return df.withColumn("best_so_far", F.min("cv_rmse").over(w))

@@ -65,7 +65,8 @@ EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_met
 # above through the deterministic baseline
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
           "model_segment_metrics", "model_fold_stability", "model_overfit_gap",
-          "model_feature_importance", "model_calibration", "model_title_errors"]
+          "model_feature_importance", "model_calibration", "model_title_errors", "score_batch",
+          "scenario_scores", "permutation_importance", "partial_dependence", "param_search"]
 CLUSTERS = ["q07_1", "q07_2", "q07_3", "q07_4", "q07_5", "title_terms"]
 TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
         "impute_experience", "experience_imputed_counts", "title_clean_rows"]
