@@ -130,6 +130,14 @@ def _two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2.0))) if pd.notna(x) else float("nan"))
 
 
+@F.pandas_udf(T.DoubleType())
+def inverse_normal(p: pd.Series) -> pd.Series:
+    """Standard normal quantile function (Arrow-batched; meant for bounded samples)."""
+    from statistics import NormalDist
+    nd = NormalDist()
+    return p.map(lambda x: nd.inv_cdf(x) if 0 < x < 1 else float("nan"))
+
+
 def premium_test(bridge: DataFrame, facts: DataFrame, key: str, label: str, v: str,
                  min_label: int = 200, min_side: int = 50, z_crit: float = Z_CRIT_05,
                  with_p: bool = False) -> DataFrame:

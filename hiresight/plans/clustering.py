@@ -129,3 +129,21 @@ def title_terms(t: JobTables) -> DataFrame:
     idf = idfm.idf.toArray() + 1.0
     return t.spark.createDataFrame([(v, int(d), float(w)) for v, d, w in zip(vocab, df_counts, idf)],
                                    "term string, doc_freq long, idf double")
+
+
+def title_svd(t: JobTables, k: int = 25) -> DataFrame:
+    """Truncated SVD of the title TF-IDF matrix (distributed RowMatrix; only the k singular
+    values and the vocabulary x k right factor reach the driver): singular values and the share
+    of squared norm each component carries."""
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    vec = title_clusters(t)["vectors"]
+    rows = MLUtils.convertVectorColumnsFromML(vec, "tfidf").select("tfidf").rdd.map(lambda r: r[0])
+    mat = RowMatrix(rows)
+    k = min(k, mat.numCols())
+    svd = mat.computeSVD(k, computeU=False)
+    s = svd.s.toArray()
+    total = vec.count()  # rows are L2-normalised: total squared norm = number of non-empty rows
+    return t.spark.createDataFrame([(i + 1, float(v), float(v * v / total) if total else None)
+                                    for i, v in enumerate(s)],
+                                   "component int, singular_value double, norm_share double")

@@ -139,3 +139,25 @@ def baseline_residual_trend(t: JobTables, n: int = 5000) -> DataFrame:
     w = max(rows // 20, 50)
     return stats.rolling_mean_centered(s, [F.col("log_pred"), F.col("job_id")], "residual", w).select(
         "job_id", (F.expm1("log_pred") / 1000).alias("pred_k"), "residual", "trend")
+
+
+def baseline_qq_points(t: JobTables, n: int = 3000) -> DataFrame:
+    """Sorted log residuals of a reproducible sample (at most n rows) against normal quantiles
+    at the Filliben plotting positions, with the straight-line fit and its correlation. The
+    inverse normal runs in an Arrow-batched UDF over the bounded sample."""
+    from pyspark.sql import Window
+
+    d = baseline_oof(t).select("job_id", (F.log1p("actual_salary") - F.log1p("pred_salary")).alias("r"))
+    s = stats.sample_n(d, "job_id", n, seed=42)
+    m = s.count()
+    w = Window.orderBy("r", "job_id")  # bounded sample
+    s = s.withColumn("i", F.row_number().over(w))
+    pos = (F.when(F.col("i") == 1, 1 - F.pow(F.lit(0.5), 1.0 / m))
+           .when(F.col("i") == m, F.pow(F.lit(0.5), 1.0 / m))
+           .otherwise((F.col("i") - 0.3175) / (m + 0.365)))
+    s = s.withColumn("theoretical", stats.inverse_normal(pos))
+    fit = Window.partitionBy()
+    return s.select("i", F.col("r").alias("sample"), "theoretical",
+                    F.regr_slope("r", "theoretical").over(fit).alias("slope"),
+                    F.regr_intercept("r", "theoretical").over(fit).alias("intercept"),
+                    F.corr("r", "theoretical").over(fit).alias("r_fit"))

@@ -447,8 +447,8 @@ def param_search(t: JobTables, trials: int = 6, seed: int = 3) -> DataFrame:
     d = stats.kfold_assign(fm["train"], "job_id", 2, seed=17, name="half")
     rnd = random.Random(seed)
     est = GBTRegressor(featuresCol="features", labelCol="y_log", seed=42)
-    space = []
-    for _ in range(trials):
+    space = [{est.maxIter: 40, est.maxDepth: 5, est.stepSize: 0.1, est.subsamplingRate: 0.8}]  # default
+    for _ in range(trials - 1):
         space.append({est.maxIter: rnd.choice([20, 30, 40, 60]), est.maxDepth: rnd.choice([3, 4, 5, 6]),
                       est.stepSize: rnd.choice([0.05, 0.08, 0.1, 0.15]),
                       est.subsamplingRate: rnd.choice([0.7, 0.8, 0.9, 1.0])})
@@ -460,3 +460,63 @@ def param_search(t: JobTables, trials: int = 6, seed: int = 3) -> DataFrame:
                                        "subsampling double, cv_rmse double")
     w = Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # trials rows
     return df.withColumn("best_so_far", F.min("cv_rmse").over(w))
+
+
+def learning_curve(t: JobTables, sizes=(0.25, 0.5, 0.75, 1.0), folds: int = 3, plateau: float = 0.005) -> DataFrame:
+    """Training and validation R2 (log scale) of the boosted trees on growing hash-selected
+    shares of the training folds, and whether the validation gain over the previous size is
+    below ``plateau``."""
+    from pyspark.sql import Window
+    fm = final_model(t)
+    d = stats.kfold_assign(fm["train"], "job_id", folds, seed=23, name="lc_fold")
+    d = d.withColumn("_u", stats.hash_unit(F.col("job_id"), 29))
+    d = write_back(d, "learning-curve")
+    est = GBTRegressor(featuresCol="features", labelCol="y_log", maxIter=30, maxDepth=5, seed=42)
+
+    def r2(df):
+        return df.select((1 - F.sum((F.col("prediction") - F.col("y_log")) ** 2)
+                          / (F.sum(F.col("y_log") ** 2) - F.sum("y_log") ** 2 / F.count(F.lit(1)))).alias("r2")).first()[0]
+
+    def run(task):
+        size, f = task
+        tr = d.where((F.col("lc_fold") != f) & (F.col("_u") < size))
+        m = est.fit(tr)
+        return (float(size), f, float(r2(m.transform(tr))), float(r2(m.transform(d.where(F.col("lc_fold") == f)))),
+                tr.count())
+
+    with ThreadPoolExecutor(4) as ex:
+        res = list(ex.map(run, [(s, f) for s in sizes for f in range(folds)]))
+    df = t.spark.createDataFrame(res, "size double, fold int, train_r2 double, val_r2 double, train_rows long")
+    g = df.groupBy("size").agg(F.avg("train_r2").alias("train_r2"), F.avg("val_r2").alias("val_r2"),
+                               F.avg("train_rows").alias("train_rows"))
+    w = Window.orderBy("size")  # len(sizes) rows
+    gain = F.col("val_r2") - F.lag("val_r2").over(w)
+    return g.withColumn("val_gain", gain).withColumn("plateau", gain < plateau)
+
+
+def tuning_table(t: JobTables) -> DataFrame:
+    """Default learner settings against the best searched settings: 2-fold CV RMSE and the
+    change in percent."""
+    ps = param_search(t)
+    best = ps.orderBy("cv_rmse", "trial").limit(1).select(F.col("cv_rmse").alias("tuned_rmse"), "trial")
+    base = ps.where(F.col("trial") == 1).select(F.col("cv_rmse").alias("default_rmse"))
+    b = base.select("default_rmse").scalar()
+    return best.select("trial", "tuned_rmse", b.alias("default_rmse"),
+                       ((F.col("tuned_rmse") - b) / b * 100).alias("delta_pct"))
+
+
+def estimate_report(t: JobTables) -> DataFrame:
+    """One JSON document per usable posting: estimate, practical / MAE / RMSE ranges,
+    similar-posting quartiles and reliability."""
+    from . import market as mk
+    rel = mk.reliability(t).select("request_id", "reliability")
+    sim = mk.similar_postings(t).select("request_id", "p25", "p50", "p75")
+    bands = evaluation.baseline_prediction_bands(t).withColumnRenamed("job_id", "request_id")
+    d = bands.join(sim, "request_id").join(rel, "request_id")
+    doc = F.to_json(F.struct(
+        "request_id", F.round("pred_salary", 2).alias("prediction"),
+        F.array(F.round("practical_low", 2), F.round("practical_high", 2)).alias("practical_range"),
+        F.array(F.round("mae_low", 2), F.round("mae_high", 2)).alias("expected_zone_mae"),
+        F.array(F.round("rmse_low", 2), F.round("rmse_high", 2)).alias("broad_zone_rmse"),
+        F.array("p25", "p50", "p75").alias("similar_postings_p25_p50_p75"), "reliability"))
+    return d.select("request_id", doc.alias("report"))

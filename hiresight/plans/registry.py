@@ -60,14 +60,15 @@ EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_met
               "baseline_intervals", "baseline_calibration", "baseline_title_errors",
               "baseline_bias_extremes", "baseline_prediction_bands", "baseline_worst_predictions",
               "baseline_best_interval", "baseline_error_by_band", "baseline_residual_normality",
-              "baseline_residual_trend"]
+              "baseline_residual_trend", "baseline_qq_points"]
 # learned models: no SQL twin (rows-only check); the statistics they feed are SQL-checked
 # above through the deterministic baseline
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
           "model_segment_metrics", "model_fold_stability", "model_overfit_gap",
           "model_feature_importance", "model_calibration", "model_title_errors", "score_batch",
-          "scenario_scores", "permutation_importance", "partial_dependence", "param_search"]
-CLUSTERS = ["q07_1", "q07_2", "q07_3", "q07_4", "q07_5", "title_terms"]
+          "scenario_scores", "permutation_importance", "partial_dependence", "param_search",
+          "learning_curve", "tuning_table", "estimate_report"]
+CLUSTERS = ["q07_1", "q07_2", "q07_3", "q07_4", "q07_5", "title_terms", "title_svd"]
 TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
         "impute_experience", "experience_imputed_counts", "title_clean_rows"]
 
