@@ -117,3 +117,18 @@ def test_package_strength(spark):
     got = {r.job_id: r.package for r in market.package_strength(T).collect()}
     assert got == {1: "Strong package", 2: "Strong package", 3: "Standard package",
                    4: "Standard package", 5: "Basic package"}
+
+
+def test_rolling_mean_centered_matches_pandas(spark):
+    vals = [float((i * 37) % 11) for i in range(40)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
+    for w in (4, 5):
+        got = [r.trend for r in stats.rolling_mean_centered(df, [F.col("i")], "v", w).orderBy("i").collect()]
+        exp = pd.Series(vals).rolling(w, center=True).mean().tolist()
+        assert all((a is None and math.isnan(b)) or abs(a - b) < 1e-12 for a, b in zip(got, exp))
+
+
+def test_inverse_normal(spark):
+    df = spark.createDataFrame([(0.5,), (0.975,), (0.025,)], "p double")
+    got = [r[0] for r in df.select(stats.inverse_normal("p")).collect()]
+    assert abs(got[0]) < 1e-12 and abs(got[1] - 1.959963984540054) < 1e-9 and abs(got[2] + 1.959963984540054) < 1e-9
