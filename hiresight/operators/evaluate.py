@@ -69,9 +69,11 @@ def segment_metrics(df: DataFrame, segments: dict[str, str], y: str, p: str,
 def residual_quantile_interval(train: DataFrame, df: DataFrame, y: str, p: str, alpha: float = 0.10,
                                name: str = "residual_quantile") -> DataFrame:
     """pred + the alpha/2 and 1-alpha/2 quantiles of (actual - pred) on ``train``, floored at 0."""
-    q = train.select(F.percentile(_c(y) - _c(p), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))).scalar()
-    return df.withColumns({"lower": F.greatest(_c(p) + q[0], F.lit(0.0)),
-                           "upper": F.greatest(_c(p) + q[1], F.lit(0.0)), "method": F.lit(name)})
+    from .stats import exact_quantiles
+    r = train.select((_c(y) - _c(p)).alias("_res"))
+    q = exact_quantiles(r, "_res", [alpha / 2, 1 - alpha / 2])
+    return df.withColumns({"lower": F.greatest(_c(p) + F.lit(q[0]), F.lit(0.0)),
+                           "upper": F.greatest(_c(p) + F.lit(q[1]), F.lit(0.0)), "method": F.lit(name)})
 
 
 def conformal_q(cal: DataFrame, y: str, p: str, alpha: float = 0.10) -> Column:

@@ -152,14 +152,38 @@ def premium_test(bridge: DataFrame, facts: DataFrame, key: str, label: str, v: s
 
 
 def top_and_bottom(df: DataFrame, order: str, k: int, tie: str) -> DataFrame:
-    """The k highest and k lowest rows of one ranking, one pass (a row in both is 'top').
-    The un-partitioned window is meant for label-sized results (one row per label)."""
-    w_hi = Window.orderBy(F.col(order).desc(), F.col(tie))
-    w_lo = Window.orderBy(F.col(order).asc(), F.col(tie))
-    r = df.withColumn("_hi", F.row_number().over(w_hi)).withColumn("_lo", F.row_number().over(w_lo))
-    return (r.where((F.col("_hi") <= k) | (F.col("_lo") <= k))
-            .withColumn("side", F.when(F.col("_hi") <= k, "top").otherwise("bottom"))
-            .drop("_hi", "_lo"))
+    """The k highest and k lowest rows of one ranking (a row in both is 'top'). Each side is a
+    distributed top-k (per-partition top k, then k of those), so input size does not matter;
+    the de-duplication joins two frames of at most k rows."""
+    hi = df.orderBy(F.col(order).desc(), F.col(tie)).limit(k).withColumn("side", F.lit("top"))
+    lo = df.orderBy(F.col(order).asc(), F.col(tie)).limit(k).withColumn("side", F.lit("bottom"))
+    return hi.unionByName(lo.join(F.broadcast(hi.select(tie)), tie, "left_anti"))
+
+
+def exact_quantiles(df: DataFrame, c: str, probs) -> list:
+    """Exact interpolated quantiles (position p * (n - 1), linear between neighbours) without
+    holding the values in one task: positions come from the distributed value ranks and only
+    the at most 2 * len(probs) values at the needed positions reach the driver."""
+    ranks = value_ranks(df.select(F.col(c).alias("_q")), "_q")
+    ranks = write_back(ranks, "quantile-ranks")
+    n = ranks.agg(F.sum("cnt")).first()[0]
+    if not n:
+        return [None] * len(probs)
+    need = sorted({int(math.floor(p * (n - 1))) + 1 for p in probs} | {int(math.ceil(p * (n - 1))) + 1 for p in probs})
+    cond = None
+    for pos in need:
+        e = (F.col("lo") <= pos) & (F.col("hi") >= pos)
+        cond = e if cond is None else cond | e
+    rows = ranks.where(cond).select("_q", "lo", "hi").collect()  # <= len(need) rows
+
+    def at(pos):
+        return next(r["_q"] for r in rows if r["lo"] <= pos <= r["hi"])
+    out = []
+    for p in probs:
+        x = p * (n - 1)
+        a, b = at(int(math.floor(x)) + 1), at(int(math.ceil(x)) + 1)
+        out.append(a + (b - a) * (x - math.floor(x)))
+    return out
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -221,10 +245,12 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int =
 
 def qcut(df: DataFrame, c: str, q: int, name: str = "qbin") -> DataFrame:
     """Equal-frequency bins from exact quantile edges (duplicate edges dropped); first bin
-    closed on the left, others (lo, hi]."""
-    edges = df.select(F.array_distinct(F.percentile(c, F.array(*[F.lit(i / q) for i in range(q + 1)])))).scalar()
-    b = F.greatest(F.lit(0), F.size(F.filter(F.col("_edges"), lambda e: e < F.col(c))) - 1)
-    return df.withColumn("_edges", edges).withColumn(name, F.when(F.col(c).isNotNull(), b)).drop("_edges")
+    closed on the left, others (lo, hi]. The q + 1 edges are exact order statistics from the
+    distributed ranks, then plain literals in the bin expression."""
+    qs = exact_quantiles(df.where(F.col(c).isNotNull()), c, [i / q for i in range(q + 1)])
+    edges = sorted(set(x for x in qs if x is not None))
+    above = sum(F.when(F.col(c) > F.lit(e), 1).otherwise(0) for e in edges) if edges else F.lit(0)
+    return df.withColumn(name, F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), above - 1)))
 
 
 def rolling_mean_centered(df: DataFrame, order: list, value: str, window: int, name: str = "trend") -> DataFrame:
