@@ -423,9 +423,10 @@ def partial_dependence(t: JobTables, k: int = 4, grid: int = 10) -> DataFrame:
     out = None
     for name, _ in imp:
         i = cols.index(name)
-        qs = d.select(F.array_distinct(F.percentile(F.col("_a")[i], F.array(
-            *[F.lit(j / (grid - 1)) for j in range(grid)]))).alias("g"))
-        g = d.withColumn("_g", qs.scalar()).withColumn("_x", F.explode("_g"))
+        qs = stats.exact_quantiles(d.select(F.col("_a")[i].alias("_f")), "_f",
+                                   [j / (grid - 1) for j in range(grid)])
+        vals = sorted(set(float(x) for x in qs if x is not None))  # at most `grid` values
+        g = d.withColumn("_x", F.explode(F.array(*[F.lit(x) for x in vals])))
         g = g.withColumn("features", array_to_vector(F.transform(
             "_a", lambda x, j: F.when(j == i, F.col("_x")).otherwise(x))))
         r = fm["model"].transform(g).groupBy("_x").agg(F.avg("prediction").alias("mean_pred_log"))

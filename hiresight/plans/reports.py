@@ -523,6 +523,8 @@ def premium_test(t: JobTables) -> DataFrame:
 def q09_1(t: JobTables) -> DataFrame:
     """15 largest and 15 smallest significant skill premiums, with p-values."""
     from ..operators import stats
+    from ..session import write_back
     sig = stats.premium_test(views.skills_bridge(t), views.report_postings(t),
                              "job_id", "skill_name", SAL, with_p=True)
-    return stats.top_and_bottom(sig, "premium", 15, "skill_name")
+    # one row per significant label, read by both sides of the ranking: written once
+    return stats.top_and_bottom(write_back(sig, "premium-test"), "premium", 15, "skill_name")
