@@ -67,3 +67,13 @@ def drop_duplicates(df: DataFrame, keys, order) -> DataFrame:
     order = [order] if isinstance(order, str) else list(order)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def left_join_known(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows with a NULL key (they can never match) skip the shuffle: they
+    are appended with NULL attributes instead of all hashing to one reducer."""
+    attrs = [c for c in dim.columns if c != key]
+    known = df.where(F.col(key).isNotNull()).join(dim, key, "left")
+    unknown = df.where(F.col(key).isNull()).select(
+        *df.columns, *[F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in attrs])
+    return known.unionByName(unknown)

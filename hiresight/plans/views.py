@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, rules
-from ..operators.joins import attach_lookup, first_per_key, keep_known
+from ..operators.joins import attach_lookup, first_per_key, keep_known, left_join_known
 from ..sources.tables import JobTables
 
 
@@ -34,7 +34,7 @@ def report_clean(p: DataFrame) -> DataFrame:
 def report_postings(t: JobTables, with_company: bool = False) -> DataFrame:
     out = report_clean(t.postings)
     if with_company:
-        out = out.join(company_view(t), "company_id", "left")
+        out = left_join_known(out, company_view(t), "company_id")
     return out
 
 
