@@ -72,3 +72,29 @@ def test_latest_per_key_prefers_known_largest(spark):
     got = {r.company_id: (r.employee_count, r.follower_count) for r in latest_per_key(
         df, "company_id", "employee_count", tie="follower_count").collect()}
     assert got == {1: (30, 1), 2: (7, 8)}
+
+
+def test_left_join_known_keeps_null_keys(spark):
+    from hiresight.operators.joins import left_join_known
+    facts = spark.createDataFrame([(1, 10), (2, None), (3, 11), (4, None)], "job_id long, company_id long")
+    dim = spark.createDataFrame([(10, "a"), (12, "c")], "company_id long, name string")
+    got = {r.job_id: r.name for r in left_join_known(facts, dim, "company_id").collect()}
+    assert got == {1: "a", 2: None, 3: None, 4: None}
+
+
+def test_top_and_bottom_distributed(spark):
+    df = spark.range(1000).select(F.col("id"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
+    got = stats.top_and_bottom(df.repartition(5), "v", 3, "id").collect()
+    assert sorted(r.v for r in got if r.side == "top") == [997.0, 998.0, 999.0]
+    assert sorted(r.v for r in got if r.side == "bottom") == [0.0, 1.0, 2.0]
+    small = stats.top_and_bottom(df.limit(4), "v", 3, "id").collect()
+    assert len(small) == 4  # overlap counted once
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    vals = [float((i * 37) % 101) / 3 for i in range(257)] + [5.0] * 100
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = stats.exact_quantiles(df, "v", probs)
+    assert np.allclose(got, np.quantile(vals, probs), atol=1e-12)
