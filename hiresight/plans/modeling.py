@@ -439,7 +439,19 @@ def partial_dependence(t: JobTables, k: int = 4, grid: int = 10) -> DataFrame:
 
 def param_search(t: JobTables, trials: int = 6, seed: int = 3) -> DataFrame:
     """Seeded random search over boosted-tree settings scored by 2-fold cross-validated RMSE
-    (log scale), with the best score so far after each trial."""
+    (log scale), with the best score so far after each trial. Cached per stored table set."""
+    k = ("search", trials, seed) + _key(t)
+    with _LOCK:
+        if t.source is not None and k in _CACHE:
+            return _CACHE[k]
+    out = _param_search(t, trials, seed)
+    if t.source is not None:
+        with _LOCK:
+            _CACHE[k] = out
+    return out
+
+
+def _param_search(t: JobTables, trials: int, seed: int) -> DataFrame:
     import random
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator
