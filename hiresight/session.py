@@ -78,3 +78,11 @@ def spread(df, key: str | None = None):
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key) if key else df.repartition(cores)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path's scheme, so shared
+    checkpoint folders on HDFS or object stores work like local ones."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

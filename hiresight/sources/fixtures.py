@@ -198,14 +198,14 @@ def materialize(spark: SparkSession, sf_dir: str, names=None) -> str:
     """Write the derived job tables once as parquet under the shared checkpoint folder and
     return that folder. A table is reused when its write committed (``_SUCCESS`` present), so
     a lost executor or a crashed run only costs the unfinished tables."""
-    from ..session import scratch_path
+    from ..session import path_exists, scratch_path
 
     out = scratch_path(spark, f"jobtables-v2-{_source_key(sf_dir)}")
     lazy = derived_tables(spark, sf_dir)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _file_count(spark, sf_dir)
     for name in names or BUILDERS:
         path = os.path.join(out, f"{name}.parquet")
-        if os.path.exists(os.path.join(path, "_SUCCESS")):
+        if path_exists(spark, os.path.join(path, "_SUCCESS")):
             continue
         # stored layout: hash-partitioned by the table key into cluster-sized files, sorted
         # within files so row-group statistics prune key lookups
@@ -224,6 +224,18 @@ TABLE_KEYS = {
 _MATERIALIZED: dict[tuple, str] = {}
 
 
+def _file_count(spark: SparkSession, sf_dir: str, target_bytes: int = 128 << 20) -> int:
+    """Files per stored table: about one per 128 MB of input, at least one per core (so small
+    inputs still scan in parallel), at most ``spark.sql.shuffle.partitions``."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        size = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir))
+    except OSError:  # object store: let the cluster's partition count decide
+        return cap
+    return max(1, min(cap, max(cores, -(-size // target_bytes))))
+
+
 def driver_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> JobTables:
     """``JobTables`` for the driver data in ``sf_dir``.
 
@@ -233,8 +245,9 @@ def driver_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -
     """
     if not materialized:
         return derived_tables(spark, sf_dir)
+    from ..session import path_exists
     k = (id(spark), os.path.abspath(sf_dir))
-    if k not in _MATERIALIZED or not os.path.isdir(_MATERIALIZED[k]):
+    if k not in _MATERIALIZED or not path_exists(spark, _MATERIALIZED[k]):
         _MATERIALIZED[k] = materialize(spark, sf_dir)
     return JobTables.from_dir(spark, _MATERIALIZED[k])
 
