@@ -53,9 +53,16 @@ def segment_metrics(df: DataFrame, segments: dict[str, str], y: str, p: str,
     d = df.select(_c(y).alias("_y"), _c(p).alias("_p"), pairs.alias("_s")).select("_y", "_p", "_s.*")
     d = d.where(F.col("value").isNotNull())
     e = F.col("_p") - F.col("_y")
-    g = d.groupBy("segment", "value").agg(
-        *metric_aggs("_y", "_p", mape=False),
-        F.avg(e).alias("bias"), F.median("_y").alias("median_actual"), F.median("_p").alias("median_pred"))
+    g = d.groupBy("segment", "value").agg(*metric_aggs("_y", "_p", mape=False), F.avg(e).alias("bias"))
+    # medians of continuous values per group: rank-based exact quantiles (no task sorts a
+    # whole segment value, and no per-group map of every distinct prediction)
+    from .stats import grouped_quantiles
+    key = F.concat_ws("\u0001", "segment", "value")
+    d = d.withColumn("_key", key)
+    ma = grouped_quantiles(d, "_key", "_y", [0.5], buckets=256, prefix="ma")
+    mp = grouped_quantiles(d, "_key", "_p", [0.5], buckets=256, prefix="mp")
+    g = (g.withColumn("_key", key).join(ma, "_key", "left").join(mp, "_key", "left")
+         .withColumnRenamed("ma0", "median_actual").withColumnRenamed("mp0", "median_pred").drop("_key"))
     g = g.withColumn("r2", F.when(F.col("n") >= 3, F.col("r2")))
     if isinstance(min_n, dict):
         lim = F.coalesce(*[F.when(F.col("segment") == k, F.lit(v)) for k, v in min_n.items()], F.lit(0))

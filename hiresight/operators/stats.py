@@ -259,3 +259,44 @@ def rolling_mean_centered(df: DataFrame, order: list, value: str, window: int, n
     before, after = window // 2, window - 1 - window // 2
     w = Window.orderBy(*order).rowsBetween(-before, after)
     return df.withColumn(name, F.when(F.count(F.lit(1)).over(w) == window, F.avg(value).over(w)))
+
+
+def grouped_quantiles(df: DataFrame, group: str, v: str, probs, buckets: int = 1024,
+                      prefix: str = "q") -> DataFrame:
+    """Exact interpolated quantiles of ``v`` per group, scale-safe for continuous values.
+
+    Each group's distinct values are cut at its own approximate quantiles (a bounded sketch per
+    group) into at most ``buckets`` ranges; bucket totals give each range's position offsets
+    (a window over <= ``buckets`` rows per group); only the ranges holding the needed positions
+    are sorted, so no task orders a whole group, however hot. Returns (group, q0, q1, ...)."""
+    probs = list(probs)
+    h = df.where(F.col(group).isNotNull() & F.col(v).isNotNull()).groupBy(group, v).agg(
+        F.count(F.lit(1)).alias("_c"))
+    splits = h.groupBy(group).agg(F.array_distinct(F.percentile_approx(
+        v, [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("_s"))
+    hb = h.join(splits, group).withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col(v)))).drop("_s")
+    hb = write_back(hb, "grouped-quantile-values")
+    tot = hb.groupBy(group, "_b").agg(F.sum("_c").alias("_bt"))
+    w = Window.partitionBy(group).orderBy("_b")
+    tot = (tot.withColumn("_end", F.sum("_bt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("_start", F.col("_end") - F.col("_bt") + 1)
+           .withColumn("_n", F.sum("_bt").over(Window.partitionBy(group))))
+    # 1-based positions needed per group (floor and ceil of p * (n - 1), plus one)
+    need = tot.select(group, "_n").distinct().select(group, "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_k"), (F.floor(F.lit(p) * (F.col("_n") - 1)) + 1).alias("_pa"),
+                 (F.ceil(F.lit(p) * (F.col("_n") - 1)) + 1).alias("_pb"),
+                 (F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))).alias("_fr"))
+        for i, p in enumerate(probs)])).alias("_q")).select(group, "_q.*")
+    pos = need.select(group, F.explode(F.array_distinct(F.array("_pa", "_pb"))).alias("_pos"))
+    hit = pos.join(tot, [group]).where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") <= F.col("_end")))
+    sel = hb.join(hit.select(group, "_b", "_start").distinct(), [group, "_b"])
+    run = F.sum("_c").over(Window.partitionBy(group, "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = sel.withColumn("_hi", F.col("_start") - 1 + run).withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
+    val = pos.join(ranked, [group]).where((F.col("_pos") >= F.col("_lo")) & (F.col("_pos") <= F.col("_hi")))
+    val = val.select(group, "_pos", F.col(v).alias("_v"))
+    a = val.select(group, F.col("_pos").alias("_pa"), F.col("_v").alias("_va"))
+    b = val.select(group, F.col("_pos").alias("_pb"), F.col("_v").alias("_vb"))
+    q = (need.join(a, [group, "_pa"]).join(b, [group, "_pb"])
+         .select(group, "_k", (F.col("_va") + (F.col("_vb") - F.col("_va")) * F.col("_fr")).alias("_x")))
+    return q.groupBy(group).pivot("_k", list(range(len(probs)))).agg(F.first("_x")).select(
+        group, *[F.col(f"`{i}`").alias(f"{prefix}{i}") for i in range(len(probs))])

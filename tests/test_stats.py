@@ -132,3 +132,17 @@ def test_inverse_normal(spark):
     df = spark.createDataFrame([(0.5,), (0.975,), (0.025,)], "p double")
     got = [r[0] for r in df.select(stats.inverse_normal("p")).collect()]
     assert abs(got[0]) < 1e-12 and abs(got[1] - 1.959963984540054) < 1e-9 and abs(got[2] + 1.959963984540054) < 1e-9
+
+
+def test_grouped_quantiles_match_numpy(spark):
+    rnd = random.Random(3)
+    rows = [("hot", rnd.gauss(0, 1)) for _ in range(3000)] + [("hot", 0.25)] * 500 + \
+           [(f"g{i % 7}", rnd.random() * (i % 7 + 1)) for i in range(700)] + [("single", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(probs))]
+           for r in stats.grouped_quantiles(df, "g", "v", probs, buckets=16).collect()}
+    exp = pd.DataFrame(rows, columns=["g", "v"]).groupby("g")["v"].quantile(probs).unstack()
+    assert set(got) == set(exp.index)
+    for g, qs in got.items():
+        assert np.allclose(qs, exp.loc[g].values, atol=1e-12), g
