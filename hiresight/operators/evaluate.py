@@ -109,10 +109,15 @@ def interval_scores(df: DataFrame, y: str, alpha: float = 0.10, by: str = "metho
     width = hi - lo
     pen = (F.when(yy < lo, (2 / alpha) * (lo - yy)).otherwise(F.lit(0.0))
            + F.when(yy > hi, (2 / alpha) * (yy - hi)).otherwise(F.lit(0.0)))
-    return df.groupBy(by).agg(
+    g = df.groupBy(by).agg(
         (F.avg(((yy >= lo) & (yy <= hi)).cast("int")) * 100).alias("coverage_pct"),
-        F.avg(width).alias("avg_width"), F.median(width).alias("median_width"),
-        F.avg(width + pen).alias("winkler_score"), F.count(F.lit(1)).alias("n"))
+        F.avg(width).alias("avg_width"), F.avg(width + pen).alias("winkler_score"),
+        F.count(F.lit(1)).alias("n"))
+    # each method holds every scored row: its median width comes from rank-based quantiles
+    from .stats import grouped_quantiles
+    med = grouped_quantiles(df.select(by, width.alias("_w")), by, "_w", [0.5], buckets=256, prefix="mw")
+    return g.join(med, by, "left").withColumnRenamed("mw0", "median_width").select(
+        by, "coverage_pct", "avg_width", "median_width", "winkler_score", "n")
 
 
 def calibration_deciles(df: DataFrame, y: str, p: str, q: int = 10) -> DataFrame:
