@@ -39,3 +39,14 @@ def test_matches_sql_twin(spark, name):
 def test_cleaning_plans_stay_in_the_jvm(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["q02_5", "q05_4", "q09_3", "q11_2", "q12_2", "q13_2", "skill_salary_premium",
+                                  "industry_stats", "similar_postings", "target_encoding_oof",
+                                  "multi_hot_skills", "latest_employee_count", "company_job_count",
+                                  "baseline_segment_metrics", "explain_rules"])
+def test_no_cartesian_or_unexpected_nested_loops(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    if name != "similar_postings":  # only the distinct industry-name sets are nested-loop joined
+        assert "BroadcastNestedLoopJoin" not in plan
