@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, packing, pii, quality, rans, secrets, simhash
 
 QUERIES = {f.__name__: f for f in (
+    simhash.op2_simhash,
+    secrets.op5_secret_scan,
+    pii.op6_pii,
+    rans.op7_rans_tokens,
     quality.op8_quality_rules,
     mixing.op9_mix_sources,
+    packing.op10_best_fit_packing,
 )}
 SQL = {"op9_mix_sources": mixing.OP9_SQL}
 
