@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality, rans, secrets, simhash
+from . import lm, mixing, packing, pii, quality, rans, sadedup, secrets, simhash, topk
 
 QUERIES = {f.__name__: f for f in (
+    sadedup.op1_suffix_dedup,
     simhash.op2_simhash,
+    topk.op3_topk,
+    lm.op4_lm_score,
     secrets.op5_secret_scan,
     pii.op6_pii,
     rans.op7_rans_tokens,
@@ -13,7 +16,7 @@ QUERIES = {f.__name__: f for f in (
     mixing.op9_mix_sources,
     packing.op10_best_fit_packing,
 )}
-SQL = {"op9_mix_sources": mixing.OP9_SQL}
+SQL = {"op3_topk": topk.OP3_SQL, "op9_mix_sources": mixing.OP9_SQL}
 
 
 def queries() -> dict:
