@@ -42,14 +42,15 @@ from .common import stage, text_bytes
 
 HEAD = 65_536  # words whose counts every task holds
 HEAD_BYTES = 256  # longer words are always joined
-DIRECT = 4_096  # words modelled one by one
-CLASSES = 64
+DIRECT = 2_048  # words modelled one by one
+CLASSES = 32
 SHAPES = 8
 BUCKETS = 64  # input embeddings shared by all other words
 STATE = 16
 WINDOW = 32
 LANES = 256
-BUFFER = 1 << 19  # tokens laid out at a time
+BUFFER = 1 << 21  # tokens laid out at a time
+KNOWN = 400_000  # words a task has looked up
 ROUNDS = 2
 RATE = 0.08
 SLICES = 16
@@ -97,17 +98,51 @@ class Vocabulary:
             self.rest_n[s], self.rest_v[s] = c, v
         self.rest_norm = np.log10(self.rest_n + self.rest_v + 1)
 
-    def encode(self, words: list[bytes]):
-        """(input ids, class, word in direct or -1) of a document's tokens."""
-        index, d = self.index, len(self.index)
-        out = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
-        cls = self.cls[np.maximum(out, 0)].astype(np.int32)
-        ins = out.copy()
-        for i in np.flatnonzero(out < 0):
-            w = words[i]
-            cls[i] = self.n_cls + shape(w)
-            ins[i] = d + zlib.crc32(w) % BUCKETS
-        return ins, cls, out
+    def lookup(self) -> "Lookup":
+        if "_lookup" not in self.__dict__:
+            self._lookup = Lookup(self)
+        return self._lookup
+
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if k != "_lookup"}
+
+
+class Lookup(dict):
+    """Word -> number of what is known of it: arrays with input, class, word, and scores. Words
+    outside the head differ only by shape and input bucket."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__()
+        d, words = len(v.index), list(v.counts)
+        self.tail = len(words)
+        self.update(zip(words, range(self.tail)))
+        n = self.tail + SHAPES * BUCKETS
+        self.ins, self.cls, self.out = (np.zeros(n, np.int32) for _ in range(3))
+        self.known, self.base, self.inside = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+        for i, w in enumerate(words):
+            c = v.counts[w]
+            self.known[i], self.base[i] = c > 0, math.log10(c + 1) - v.base_norm
+            j = v.index.get(w, -1)
+            self.out[i] = j
+            if j >= 0:
+                self.ins[i], self.cls[i] = j, v.cls[j]
+            else:
+                s = shape(w)
+                self.ins[i], self.cls[i] = d + zlib.crc32(w) % BUCKETS, v.n_cls + s
+                self.inside[i] = math.log10(c + 1) - v.rest_norm[s]
+        for s in range(SHAPES):
+            at = slice(self.tail + s * BUCKETS, self.tail + (s + 1) * BUCKETS)
+            self.ins[at], self.cls[at], self.out[at] = d + np.arange(BUCKETS), v.n_cls + s, -1
+            self.base[at], self.inside[at] = -v.base_norm, -v.rest_norm[s]
+
+    def __missing__(self, w: bytes) -> int:
+        i = self.tail + shape(w) * BUCKETS + zlib.crc32(w) % BUCKETS
+        if len(self) < KNOWN and len(w) < 48:
+            self[w] = i
+        return i
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def initial(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
@@ -124,29 +159,26 @@ def initial(v: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def lanes(docs: list, width: int):
-    """Documents (ins, cls, out) dealt to parallel lanes, longest first to the shortest lane.
+def lanes(known: Lookup, docs: list, width: int):
+    """Documents (word numbers) dealt to parallel lanes, longest first to the shortest lane.
     Returns steps x lanes arrays: input, class, word, document (-1: padding), start flags."""
     width = max(1, min(width, len(docs)))
     heap, lists = [(0, i) for i in range(width)], [[] for _ in range(width)]
-    for k in sorted(range(len(docs)), key=lambda k: -len(docs[k][0])):
+    for k in sorted(range(len(docs)), key=lambda k: -len(docs[k])):
         n, i = heapq.heappop(heap)
         lists[i].append(k)
-        heapq.heappush(heap, (n + len(docs[k][0]), i))
+        heapq.heappush(heap, (n + len(docs[k]), i))
     steps = max(n for n, _ in heap)
     x, c, w = (np.zeros((steps, width), np.int32) for _ in range(3))
     doc, start = np.full((steps, width), -1, np.int32), np.zeros((steps, width), bool)
-    end = None
     for i, ks in enumerate(lists):
-        at = 0
-        for k in ks:
-            ins, cls, out = docs[k]
-            n = len(ins)
-            x[at + 1:at + n, i] = ins[:-1]
-            x[at, i] = ins[-1] if end is None else end  # a document begins after an end token
-            c[at:at + n, i], w[at:at + n, i], doc[at:at + n, i] = cls, out, k
-            start[at, i] = True
-            at += n
+        ids = np.concatenate([docs[k] for k in ks])
+        sizes = np.array([len(docs[k]) for k in ks])
+        n = len(ids)
+        # each token follows the one before; a document follows the end token of another
+        x[1:n, i], x[0, i] = known.ins[ids[:-1]], known.ins[known[END]]
+        c[:n, i], w[:n, i], doc[:n, i] = known.cls[ids], known.out[ids], np.repeat(ks, sizes)
+        start[np.cumsum(sizes) - sizes, i] = True
     return x, c, w, doc, start
 
 
@@ -269,7 +301,7 @@ def gradients(p, v, x, cls, out, ok, start, h):
 
 def train(p, v, docs, memory):
     """One pass over the documents; p and the Adagrad sums are updated in place."""
-    x, c, w, doc, start = lanes(docs, LANES)
+    x, c, w, doc, start = lanes(v.lookup(), docs, LANES)
     h, loss, n = np.zeros((x.shape[1], STATE), np.float32), 0.0, 0
     for i in range(0, len(x), WINDOW):
         j = slice(i, i + WINDOW)
@@ -291,7 +323,7 @@ def train(p, v, docs, memory):
 
 def score(p, v, docs) -> np.ndarray:
     """Natural log-likelihood per document; shape-class words contribute their class only."""
-    x, c, w, doc, start = lanes(docs, 2 * LANES)
+    x, c, w, doc, start = lanes(v.lookup(), docs, 2 * LANES)
     total, h = np.zeros(len(docs)), np.zeros((x.shape[1], STATE), np.float32)
     for i in range(0, len(x), WINDOW):
         j = slice(i, i + WINDOW)
@@ -328,15 +360,16 @@ def _count(batches):
     yield out(seen)
 
 
-def _buffers(batches, keep):
-    """Lists of (row, words) of about BUFFER tokens."""
+def _buffers(batches, known: Lookup, keep):
+    """Lists of (doc_id, word numbers, words outside the head) of about BUFFER tokens."""
     held, n = [], 0
     for b in batches:
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if keep(doc_id):
                 words = tokens(raw)
-                held.append((doc_id, words))
-                n += len(words)
+                ids = known.encode(words)
+                held.append((doc_id, ids, [words[i] for i in np.flatnonzero(ids >= known.tail).tolist()]))
+                n += len(ids)
                 if n >= BUFFER:
                     yield held
                     held, n = [], 0
@@ -363,8 +396,9 @@ def _train_task(shared, turn: int):
         p = {k: a.copy() for k, a in p.items()}
         memory = {k: np.full_like(a, 1e-3) for k, a in p.items()}
         n = 0
-        for held in _buffers(batches, lambda d: not held_out(d) and zlib.crc32(f"r{d}".encode()) % ROUNDS == turn):
-            _, m = train(p, v, [v.encode(w) for _, w in held], memory)
+        for held in _buffers(batches, v.lookup(),
+                             lambda d: not held_out(d) and zlib.crc32(f"r{d}".encode()) % ROUNDS == turn):
+            _, m = train(p, v, [ids for _, ids, _ in held], memory)
             n += m
         if n:
             flat = _pack(p)
@@ -424,37 +458,16 @@ SCORED = "task int, nth long, doc_id long, held_out boolean, n_tokens long, know
 def _score_task(shared):
     def run(batches):
         v, p = shared.value
-        task, nth = TaskContext.get().partitionId(), 0
-        norm, rest, counts, index = v.base_norm, v.rest_norm, v.counts, v.index
-        memo: dict = {}
-
-        def look(w):  # (known, base, log10 inside its shape class); None: not in the head
-            got = memo.get(w)
-            if got is None:
-                c = counts.get(w)
-                lg = math.log10((c or 0) + 1)
-                got = memo[w] = (c > 0, lg - norm, 0.0 if w in index else lg - rest[shape(w)])
-            return got
-
+        known, task, nth = v.lookup(), TaskContext.get().partitionId(), 0
         names = [x.split()[0] for x in SCORED.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(),
                  pa.float64(), pa.list_(pa.binary())]
-        for held in _buffers(batches, lambda d: True):
-            lm = score(p, v, [v.encode(w) for _, w in held]) / math.log(10)
+        for held in _buffers(batches, known, lambda d: True):
+            lm = score(p, v, [ids for _, ids, _ in held]) / math.log(10)
             rows = []
-            for (doc_id, words), s in zip(held, lm):
-                known, base, inside, tail = 0, 0.0, 0.0, []
-                for w in words:
-                    if w in counts:
-                        k, b, i = look(w)
-                        known += k
-                        base += b
-                        inside += i
-                    else:
-                        tail.append(w)
-                        inside -= rest[shape(w)]
-                rows.append((task, nth, doc_id, held_out(doc_id), len(words), known,
-                             base - len(tail) * norm, float(s) + inside, tail))
+            for (doc_id, ids, tail), s in zip(held, lm):
+                rows.append((task, nth, doc_id, held_out(doc_id), len(ids), int(known.known[ids].sum()),
+                             float(known.base[ids].sum()), float(s + known.inside[ids].sum()), tail))
                 nth += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 

@@ -9,16 +9,32 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from operator import attrgetter
 
 #: Unicode white space, as the tokenizers' patterns see it (fixed values)
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 _SOLID = re.compile(f"[^{WS}]+")
 _ODD = re.compile(f"[{WS}](?= )|^ ")  # a space that doesn't follow a solid character
-KNOWN = 400_000  # pieces kept by a worker
+_BARE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizers
+PUNCTUATION = string.punctuation
+KNOWN = 600_000  # pieces kept by a worker
 LONGEST = 48  # characters of a kept piece
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others, in order, for
+    the characters from 256 on."""
+    out, n = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[b] = chr(b)
+        else:
+            out[b], n = chr(n), n + 1
+    return out
+
+
 class _Known(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -44,41 +60,48 @@ class Encoder:
         t = self.t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
         # white space is dropped by tokenizers whose words carry an end mark
-        self.drops_space = bool(getattr(t.model, "end_of_word_suffix", None))
-        model, norm, pre = t.model, t.normalizer, t.pre_tokenizer
+        self.drops_space = drops = bool(getattr(t.model, "end_of_word_suffix", None))
+        model, norm, pre, letters = t.model, t.normalizer, t.pre_tokenizer, _byte_letters()
+
+        id_of, tokenize, space = attrgetter("id"), model.tokenize, "" if drops else letters[32]
+
+        def pack(part: str) -> bytes:  # of one pre-token, in the byte-level alphabet
+            return array("I", map(id_of, tokenize(part))).tobytes()
 
         def piece(p: str) -> bytes:
             if len(p) > 1000:
                 return array("I", t.encode(p, add_special_tokens=False).ids).tobytes()
             if norm is not None:
                 p = norm.normalize_str(p)
-            out = array("I")
-            for s, _ in pre.pre_tokenize_str(p):
-                out.extend([x.id for x in model.tokenize(s)])
-            return out.tobytes()
+            return b"".join(pack(s) for s, _ in pre.pre_tokenize_str(p))
+
+        def word(core: str) -> bytes:
+            return pack(space + (core if core.isascii() else core.encode().decode("latin-1").translate(letters)))
 
-        def lower(p: str) -> bytes:
-            if p.isascii() and p.isalpha() and len(p) < 1000:
-                return array("I", [x.id for x in model.tokenize(p.lower())]).tobytes()
-            return piece(p)
+        cores, tails = _Known(word), _Known(pack)
 
-        def spaced(p: str) -> bytes:  # a piece whose leading space is not in the key
-            if p.isascii() and p.isalpha() and len(p) < 1000:
-                return array("I", [x.id for x in model.tokenize("Ġ" + p)]).tobytes()
-            return piece(" " + p)
+        def common(p: str) -> bytes:
+            """A word (with its space, where spaces count): one pre-token of letters, then one of
+            punctuation, if any. Other pieces take the library's whole way."""
+            core = p.rstrip(PUNCTUATION)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100") and len(p) < 1000:
+                ids = cores[core.lower() if drops else core]
+                return ids + tails[p[len(core):]] if len(core) < len(p) else ids
+            return piece(p if drops else " " + p)
 
-        self.plain = _Known(lower if self.drops_space else piece)
-        self.spaced = _Known(spaced)
+        self.words = _Known(common)
+        self.plain = _Known(piece)
 
     def ids(self, text: str) -> bytes:
         if self.drops_space:
-            return b"".join(map(self.plain.__getitem__, _SOLID.findall(text)))
+            words = _SOLID.findall(text) if _BARE.search(text) else text.split()
+            return b"".join(map(self.words.__getitem__, words))
         if _ODD.search(text):
             return b"".join(map(self.plain.__getitem__, _CHUNKS.findall(text)))
         parts = text.split(" ")
         first = parts[0]
         head = self.plain[first] if first else b""
-        return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
+        return head + b"".join(map(self.words.__getitem__, parts[1:]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
