@@ -42,17 +42,17 @@ from .common import stage, text_bytes
 
 HEAD = 65_536  # words whose counts every task holds
 HEAD_BYTES = 256  # longer words are always joined
-DIRECT = 2_048  # words modelled one by one
-CLASSES = 32
+DIRECT = 1_024  # words modelled one by one
+CLASSES = 24
 SHAPES = 8
 BUCKETS = 64  # input embeddings shared by all other words
 STATE = 16
-WINDOW = 32
-LANES = 256
-BUFFER = 1 << 21  # tokens laid out at a time
+WINDOW = 16
+LANES = 512
+BUFFER = 1 << 22  # tokens laid out at a time
 KNOWN = 400_000  # words a task has looked up
 ROUNDS = 2
-RATE = 0.08
+RATE = 0.15
 SLICES = 16
 END = b""  # the end token; no word is empty
 
@@ -61,9 +61,11 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 7 == 2
 
 
+_SIGNS = b"0123456789#*$%&|<>@+=/"
+
+
 def shape(word: bytes) -> int:
-    return (4 * (not word.isascii())) + 2 * (word[-1:] in b".,;:!?") + (not word.isascii() or not word.isalnum()) * \
-        any(48 <= c <= 57 or c in b"#*$%&|<>@+=/" for c in word)
+    return 4 * (not word.isascii()) + 2 * (word[-1:] in b".,;:!?") + (len(word.translate(None, _SIGNS)) < len(word))
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -323,7 +325,7 @@ def train(p, v, docs, memory):
 
 def score(p, v, docs) -> np.ndarray:
     """Natural log-likelihood per document; shape-class words contribute their class only."""
-    x, c, w, doc, start = lanes(v.lookup(), docs, 2 * LANES)
+    x, c, w, doc, start = lanes(v.lookup(), docs, LANES)
     total, h = np.zeros(len(docs)), np.zeros((x.shape[1], STATE), np.float32)
     for i in range(0, len(x), WINDOW):
         j = slice(i, i + WINDOW)
