@@ -134,20 +134,37 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
     return ids
 
 
+TOKENS = "doc_id long, n_tokens long, crc long, ids binary"
+
+
 def _tokenize(path: str, end_id: int):
+    """A row per document, and one with n_tokens -1 that holds the task's counts of all ids."""
     tail = end_id.to_bytes(4, "little")
+    names = ["doc_id", "n_tokens", "crc", "ids"]
 
     def run(batches):
-        enc = encoder(path)
+        enc, counts = encoder(path), np.zeros(1, np.int64)
         for b in batches:
-            docs, texts = b.column(0), b.column(1).to_pylist()
-            ids = [enc.ids(t or "") + tail for t in texts]
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            small = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in small]
-            yield pa.RecordBatch.from_arrays(
-                [docs, pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
-                ["doc_id", "n_tokens", "crc", "ids"])
+            docs, rows = b.column(0).to_pylist(), []
+            for doc, text in zip(docs, b.column(1).to_pylist()):
+                raw = enc.ids(text or "") + tail
+                ids = np.frombuffer(raw, "<u4")
+                c = np.bincount(ids, minlength=len(counts)) if len(ids) > 4096 else None
+                if c is None:
+                    if (top := int(ids.max())) >= len(counts):
+                        counts = np.pad(counts, (0, max(top + 1, 1 << 16) - len(counts)))
+                    np.add.at(counts, ids, 1)
+                else:
+                    c[:len(counts)] += counts
+                    counts = c
+                small = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else raw
+                rows.append((doc, len(ids), zlib.crc32(raw), small))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()),
+             pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
     return run
 
@@ -157,14 +174,12 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def _histogram(batches):
-    counts = np.zeros(1, np.int64)
     for b in batches:
-        for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            c = np.bincount(_wide(raw, n), minlength=len(counts))
-            c[:len(counts)] += counts
-            counts = c
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
+        for raw in b.column(0).to_pylist():
+            counts = np.frombuffer(raw, "<i8")
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())],
+                                             ["id", "n"])
 
 
 def _encode(freqs: np.ndarray):
@@ -202,10 +217,10 @@ BLOCKS = "part int, block int, n_ids long, crc long, doc_ids array<long>, length
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Encodes every whole text into block files below ``path``/blocks, with ``path``/table."""
     spark = docs.sparkSession
-    ids = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-                .mapInArrow(_tokenize(tokenizer, end_id),
-                            "doc_id long, n_tokens long, crc long, ids binary"), "rans-ids")
-    table = ids.select("ids", "n_tokens").mapInArrow(_histogram, "id long, n long") \
+    every = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+                  .mapInArrow(_tokenize(tokenizer, end_id), TOKENS), "rans-ids")
+    ids = every.where("n_tokens >= 0")
+    table = every.where("n_tokens < 0").select("ids").mapInArrow(_histogram, "id long, n long") \
         .groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row per vocabulary entry
     counts = np.zeros(max((r["id"] for r in table), default=0) + 1, np.int64)
     for r in table:

@@ -19,7 +19,7 @@ _SOLID = re.compile(f"[^{WS}]+")
 _ODD = re.compile(f"[{WS}](?= )|^ ")  # a space that doesn't follow a solid character
 _BARE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizers
 PUNCTUATION = string.punctuation
-KNOWN = 600_000  # pieces kept by a worker
+KNOWN = 1_000_000  # pieces kept by a worker
 LONGEST = 48  # characters of a kept piece
 
 
