@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import keep_labels
+from .quantiles import Quantile, agg_by, median as median_of
 
 
 def _keys(keys) -> list[str]:
@@ -53,10 +54,8 @@ def median_by(df: DataFrame, keys, value: str, median: str = "median_salary",
     optional ``count >= min_count`` and top-k by median (ties by key)."""
     keys = _keys(keys)
     d = _notnull(df, keys + [value])
-    aggs = [F.median(value).alias(median)]
     cname = count or "_n"
-    aggs.append(F.count(value).alias(cname))
-    g = d.groupBy(*keys).agg(*aggs)
+    g = agg_by(d, keys, {median: median_of(value), cname: F.count(value)})
     if min_count is not None:
         g = g.where(F.col(cname) >= min_count)
     if k is not None:
@@ -71,11 +70,11 @@ def rate_by(df: DataFrame, keys, flag: str, name: str = "remote_pct") -> DataFra
     return _notnull(df, keys).groupBy(*keys).agg((F.avg(flag) * 100).alias(name))
 
 
-def multi_agg_by(df: DataFrame, keys, aggs: dict[str, Column], having: Column | None = None,
+def multi_agg_by(df: DataFrame, keys, aggs: dict[str, Column | Quantile], having: Column | None = None,
                  order: Sequence[Column] | None = None, k: int | None = None) -> DataFrame:
     """Several named aggregates in one pass, then HAVING, ORDER and LIMIT."""
     keys = _keys(keys)
-    g = _notnull(df, keys).groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+    g = agg_by(_notnull(df, keys), keys, aggs)
     if having is not None:
         g = g.where(having)
     if k is not None:
@@ -101,10 +100,10 @@ def median_matrix(df: DataFrame, row: str, col: str, value: str, rows=None, cols
     """Long form of a median pivot: (row, col, median[, n]) over non-null values."""
     d = _notnull(df, [row, col, value])
     d = keep_labels(keep_labels(d, row, rows), col, cols)
-    aggs = [F.median(value).alias(median)]
+    aggs = {median: median_of(value)}
     if count:
-        aggs.append(F.count(F.lit(1)).alias(count))
-    return d.groupBy(row, col).agg(*aggs)
+        aggs[count] = F.count(F.lit(1))
+    return agg_by(d, [row, col], aggs)
 
 
 def premium_by(df: DataFrame, group: str, flag: str, value: str,
@@ -112,21 +111,21 @@ def premium_by(df: DataFrame, group: str, flag: str, value: str,
     """Per group: median of value where flag = 1 and where flag = 0, difference and percent;
     groups lacking either side are dropped. One conditional aggregation, no per-group loop."""
     a, b = names
-    g = (_notnull(df, [group]).groupBy(group)
-         .agg(F.median(F.when(F.col(flag) == 1, F.col(value))).alias(a),
-              F.median(F.when(F.col(flag) == 0, F.col(value))).alias(b)))
+    g = agg_by(_notnull(df, [group]), group,
+               {a: median_of(F.when(F.col(flag) == 1, F.col(value))),
+                b: median_of(F.when(F.col(flag) == 0, F.col(value)))})
     return (g.where(F.col(a).isNotNull() & F.col(b).isNotNull())
             .withColumn("premium", F.col(a) - F.col(b))
-            .withColumn("premium_pct", (F.col(a) - F.col(b)) / F.col(b) * 100))
+            .withColumn("premium_pct", F.try_divide(F.col(a) - F.col(b), F.col(b)) * 100))
 
 
 def growth_by(df: DataFrame, group: str, level: str, value: str, a: str, b: str,
               names=("entry_salary", "senior_salary")) -> DataFrame:
     """Per group: median at level ``a`` and ``b``; growth abs and % where both exist, a > 0."""
     na, nb = names
-    g = (_notnull(df, [group]).groupBy(group)
-         .agg(F.median(F.when(F.col(level) == a, F.col(value))).alias(na),
-              F.median(F.when(F.col(level) == b, F.col(value))).alias(nb)))
+    g = agg_by(_notnull(df, [group]), group,
+               {na: median_of(F.when(F.col(level) == a, F.col(value))),
+                nb: median_of(F.when(F.col(level) == b, F.col(value)))})
     return (g.where(F.col(na).isNotNull() & F.col(nb).isNotNull() & (F.col(na) > 0))
             .withColumn("growth_pct", (F.col(nb) - F.col(na)) / F.col(na) * 100)
             .withColumn("growth_abs", F.col(nb) - F.col(na)))
@@ -136,7 +135,7 @@ def premium_vs_overall(df: DataFrame, group: str, value: str, population: DataFr
                        min_count: int = 100, k: int = 15) -> DataFrame:
     """Group median minus the median of ``population`` (a scalar subquery), n >= min_count,
     top k by premium."""
-    overall = population.select(F.median(value)).scalar()
+    overall = agg_by(population, [], {"_m": median_of(value)}).scalar()
     g = median_by(df, group, value, "median_salary", "n", min_count=min_count)
     g = g.withColumn("premium_vs_overall", F.col("median_salary") - overall)
     return g.orderBy(F.col("premium_vs_overall").desc(), F.col(group).asc()).limit(k)
@@ -157,14 +156,11 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     outlier count, min, max and n per group. Two passes: exact percentiles per group, then the
     per-group fences are joined back (one row per group) for the whisker/outlier pass."""
     d = _notnull(df, [group, value])
-    q = (d.groupBy(group)
-         .agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-              F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
-         .select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "n", "min", "max"))
+    v = F.col(value)
+    q = agg_by(d, group, {"q1": Quantile(v, 0.25), "median": Quantile(v), "q3": Quantile(v, 0.75),
+                          "n": F.count(F.lit(1)), "min": F.min(value), "max": F.max(value)})
     fences = q.select(group, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    v = F.col(value)
     inside = v.between(F.col("_lo"), F.col("_hi"))
     w = (d.join(fences, group)
          .groupBy(group)
@@ -184,7 +180,7 @@ def histogram(df: DataFrame, value: str, bins: int, clip_hi: float | None = None
     mm = d.select(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()  # one subquery
     lo, hi = mm.getField("lo"), mm.getField("hi")
     width = (hi - lo) / bins
-    b = F.least(F.floor((F.col("_v") - lo) / width), F.lit(bins - 1)).cast("int")
+    b = F.least(F.floor(F.try_divide(F.col("_v") - lo, width)), F.lit(bins - 1)).cast("int")
     g = d.select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"))
     return g.select("bin", (lo + F.col("bin") * width).alias("bin_low"),

@@ -24,7 +24,7 @@ def metric_aggs(y: str, p: str, mape: bool = True) -> list[Column]:
     n = F.count(F.lit(1))
     sst = F.sum(_c(y) * _c(y)) - F.sum(_c(y)) * F.sum(_c(y)) / n
     out = [n.alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-           (1 - F.sum(e * e) / sst).alias("r2")]
+           F.when(n >= 3, 1 - F.try_divide(F.sum(e * e), sst)).alias("r2")]
     if mape:
         out.append((F.avg(F.when(_c(y) > 0, F.abs(e) / _c(y))) * 100).alias("mape"))
     return out
@@ -59,8 +59,8 @@ def segment_metrics(df: DataFrame, segments: dict[str, str], y: str, p: str,
     from .stats import grouped_quantiles
     key = F.concat_ws("\u0001", "segment", "value")
     d = d.withColumn("_key", key)
-    ma = grouped_quantiles(d, "_key", "_y", [0.5], buckets=256, prefix="ma")
-    mp = grouped_quantiles(d, "_key", "_p", [0.5], buckets=256, prefix="mp")
+    ma = grouped_quantiles(d, "_key", "_y", [0.5], prefix="ma")
+    mp = grouped_quantiles(d, "_key", "_p", [0.5], prefix="mp")
     g = (g.withColumn("_key", key).join(ma, "_key", "left").join(mp, "_key", "left")
          .withColumnRenamed("ma0", "median_actual").withColumnRenamed("mp0", "median_pred").drop("_key"))
     g = g.withColumn("r2", F.when(F.col("n") >= 3, F.col("r2")))
@@ -115,7 +115,7 @@ def interval_scores(df: DataFrame, y: str, alpha: float = 0.10, by: str = "metho
         F.count(F.lit(1)).alias("n"))
     # each method holds every scored row: its median width comes from rank-based quantiles
     from .stats import grouped_quantiles
-    med = grouped_quantiles(df.select(by, width.alias("_w")), by, "_w", [0.5], buckets=256, prefix="mw")
+    med = grouped_quantiles(df.select(by, width.alias("_w")), by, "_w", [0.5], prefix="mw")
     return g.join(med, by, "left").withColumnRenamed("mw0", "median_width").select(
         by, "coverage_pct", "avg_width", "median_width", "winkler_score", "n")
 

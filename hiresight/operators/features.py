@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from .quantiles import agg_by, median
 
 
 def _long(df: DataFrame, key_cols: list[str], cols: list[str], extra: list[str]) -> DataFrame:
@@ -43,9 +44,9 @@ class TargetEncoder:
 
     def fit(self, df: DataFrame, target: str) -> TargetEncoderModel:
         d = df.where(F.col(target).isNotNull())
-        g = d.select(F.median(target)).first()[0]  # one number
+        g = agg_by(d, [], {"g": median(target)}).first()[0]  # one number
         lng = _long(d, [], self.cols, [target])
-        stats = lng.groupBy("column", "value").agg(F.median(target).alias("m"), F.count(F.lit(1)).alias("n"))
+        stats = agg_by(lng, ["column", "value"], {"m": median(target), "n": F.count(F.lit(1))})
         w = F.col("n") / (F.col("n") + self.smoothing)
         enc = F.when(F.col("n") >= self.min_count, w * F.col("m") + (1 - w) * F.lit(g)).otherwise(F.lit(g))
         return TargetEncoderModel(stats.select("column", "value", enc.alias("enc")), g, self.cols)
@@ -60,10 +61,9 @@ def split_encodings(df: DataFrame, cols, target: str, fold: str, k: int, smoothi
     d = df.where(F.col(target).isNotNull())
     others = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda f: f != F.col(fold))
     train = d.select(fold, target, *cols).withColumn("_f", F.explode(others))
-    glob = train.groupBy("_f").agg(F.median(target).alias("_g"))  # k rows
+    glob = agg_by(train, "_f", {"_g": median(target)})  # k rows
     lng = _long(train, ["_f"], cols, [target])
-    stats = lng.groupBy("_f", "column", "value").agg(F.median(target).alias("m"),
-                                                      F.count(F.lit(1)).alias("n"))
+    stats = agg_by(lng, ["_f", "column", "value"], {"m": median(target), "n": F.count(F.lit(1))})
     stats = stats.join(F.broadcast(glob), "_f")
     w = F.col("n") / (F.col("n") + smoothing)
     stats = stats.select("_f", "column", "value", F.when(

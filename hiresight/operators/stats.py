@@ -2,10 +2,10 @@
 
 The rank-based test needs global ranks of every salaried posting. They come from a value
 histogram (one row per distinct value, pre-aggregated map-side) and a two-level prefix sum:
-distinct values are cut into at most ``buckets`` value ranges at approximate quantiles (a
-bounded array computed once), bucket totals give offsets (a window over <= ``buckets`` rows),
-and a window partitioned by bucket gives running counts inside each range. No step orders the
-whole data in one task, and a value held by a third of all rows is still one histogram row.
+distinct values fall into fixed, monotone value buckets (``quantiles.bucket``), bucket totals
+give offsets (a window over a bounded number of rows), and a window partitioned by bucket gives
+running counts inside each. No step orders the whole data in one task, and a value held by a
+third of all rows is still one histogram row.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_back
+from .quantiles import Quantile, bucket, group_quantiles, median
 
 # two-sided 5 % critical value of the standard normal (fixed value)
 Z_CRIT_05 = 1.959963984540054
@@ -35,21 +35,17 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def value_ranks(values: DataFrame, v: str, buckets: int = 128) -> DataFrame:
+def value_ranks(values: DataFrame, v: str) -> DataFrame:
     """(v, cnt, lo, hi, avg_rank): for each distinct value its first and last 1-based position
-    in the sorted multiset and the average rank of its ties."""
-    h = values.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("cnt"))
-    probs = [i / buckets for i in range(1, buckets)]
-    # at most `buckets` - 1 split points: a bounded array, fetched once and searched by
-    # binary search inside the executors
-    bounds = h.select(F.percentile_approx(v, probs, 1000)).first()[0] or []
-    splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
-    h = Bucketizer(splits=splits, inputCol=v, outputCol="_b").transform(h.withColumn(
-        v, F.col(v).cast("double")))
+    in the sorted multiset and the average rank of its ties. Nulls and NaN have no rank."""
+    x = F.col(v).cast("double")
+    h = values.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias(v)).agg(F.count(F.lit(1)).alias("cnt"))
+    h = h.withColumn("_b", bucket(F.col(v)))
     tot = h.groupBy("_b").agg(F.sum("cnt").alias("_bt"))
-    off = tot.select("_b", F.coalesce(F.sum("_bt").over(
+    # buckets are fixed ranges of values: a bounded number of rows whatever the data
+    off = tot.select(F.col("_b").alias("_ob"), F.coalesce(F.sum("_bt").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    h = h.join(F.broadcast(off), "_b")  # at most `buckets` rows
+    h = h.join(off, F.col("_b") == F.col("_ob"))
     run = F.sum("cnt").over(Window.partitionBy("_b").orderBy(v)
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     h = h.withColumn("hi", F.col("_off") + run).withColumn("lo", F.col("hi") - F.col("cnt") + 1)
@@ -82,8 +78,14 @@ def _complement_median(own: DataFrame, ranks: DataFrame, sizes: DataFrame, label
          .unionByName(own.select(label, v, "_c", F.lit(None).cast("long").alias("hi"),
                                  F.lit(None).cast("double").alias("j_lo"),
                                  F.lit(None).cast("double").alias("j_hi")), allowMissingColumns=True))
-    cl = F.sum("_c").over(Window.partitionBy(label).orderBy(v)
-                          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # running counts per label in two levels: totals of value buckets, then inside a bucket
+    u = u.withColumn("_b", bucket(F.col(v)))
+    tot = u.groupBy(label, "_b").agg(F.sum("_c").alias("_bt"))
+    off = tot.select(F.col(label).alias("_ol"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_bt").over(
+        Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    u = u.join(off, (F.col(label) == F.col("_ol")) & (F.col("_b") == F.col("_ob")))
+    cl = F.col("_off") + F.sum("_c").over(Window.partitionBy(label, "_b").orderBy(v)
+                                          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     u = u.withColumn("_cl", cl).where(F.col("hi").isNotNull())
     cw = F.col("hi") - F.col("_cl")
     r = u.groupBy(label).agg(F.min(F.when(cw >= F.col("j_lo"), F.col(v))).alias("_a"),
@@ -109,19 +111,19 @@ def mann_whitney_by_label(bridge: DataFrame, facts: DataFrame, key: str, label:
     # (label, value) counts: pre-aggregated (a hot value is one row per label) and read twice
     lv = write_back(pairs_v.groupBy(label, v).agg(F.count(F.lit(1)).alias("_c")), "label-values")
     sizes = (lv.join(ranks.select(v, "avg_rank"), v).groupBy(label)
-             .agg(F.sum("_c").alias("n1"), F.sum(F.col("_c") * F.col("avg_rank")).alias("_r1"),
-                  F.percentile(v, F.lit(0.5), F.col("_c")).alias("median_with")))
+             .agg(F.sum("_c").alias("n1"), F.sum(F.col("_c") * F.col("avg_rank")).alias("_r1")))
+    sizes = sizes.join(group_quantiles(lv, [label], {"median_with": median(v)}, weight="_c"), label)
     med_wo = _complement_median(lv, ranks, sizes, label, v, n_total)
     n1 = F.col("n1").cast("double")
     n2 = (n_total - F.col("n1")).cast("double")
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     u = F.greatest(u1, n1 * n2 - u1)
     nn = F.lit(n_total).cast("double")
-    sigma = F.sqrt(n1 * n2 / 12 * ((nn + 1) - ties / (nn * (nn - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((nn + 1) - F.try_divide(ties, nn * (nn - 1))))
     out = sizes.join(med_wo, label, "left").select(
         label, "n1", (n_total - F.col("n1")).alias("n2"), "median_with", "median_without",
         (F.col("median_with") - F.col("median_without")).alias("premium"),
-        u1.alias("u_stat"), ((u - n1 * n2 / 2 - 0.5) / sigma).alias("z"))
+        u1.alias("u_stat"), F.try_divide(u - n1 * n2 / 2 - 0.5, sigma).alias("z"))
     return out
 
 
@@ -161,29 +163,11 @@ def top_and_bottom(df: DataFrame, order: str, k: int, tie: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, c: str, probs) -> list:
-    """Exact interpolated quantiles (position p * (n - 1), linear between neighbours) without
-    holding the values in one task: positions come from the distributed value ranks and only
-    the at most 2 * len(probs) values at the needed positions reach the driver."""
-    ranks = value_ranks(df.select(F.col(c).alias("_q")), "_q")
-    ranks = write_back(ranks, "quantile-ranks")
-    n = ranks.agg(F.sum("cnt")).first()[0]
-    if not n:
-        return [None] * len(probs)
-    need = sorted({int(math.floor(p * (n - 1))) + 1 for p in probs} | {int(math.ceil(p * (n - 1))) + 1 for p in probs})
-    cond = None
-    for pos in need:
-        e = (F.col("lo") <= pos) & (F.col("hi") >= pos)
-        cond = e if cond is None else cond | e
-    rows = ranks.where(cond).select("_q", "lo", "hi").collect()  # <= len(need) rows
-
-    def at(pos):
-        return next(r["_q"] for r in rows if r["lo"] <= pos <= r["hi"])
-    out = []
-    for p in probs:
-        x = p * (n - 1)
-        a, b = at(int(math.floor(x)) + 1), at(int(math.ceil(x)) + 1)
-        out.append(a + (b - a) * (x - math.floor(x)))
-    return out
+    """Exact interpolated quantiles (position p * (n - 1), linear between neighbours) as numbers
+    on the driver; all None when there is no value."""
+    specs = {f"q{i}": Quantile(F.col(c), p) for i, p in enumerate(probs)}
+    row = group_quantiles(df, [], specs).first()
+    return list(row) if row is not None else [None] * len(specs)
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -261,42 +245,7 @@ def rolling_mean_centered(df: DataFrame, order: list, value: str, window: int, n
     return df.withColumn(name, F.when(F.count(F.lit(1)).over(w) == window, F.avg(value).over(w)))
 
 
-def grouped_quantiles(df: DataFrame, group: str, v: str, probs, buckets: int = 1024,
-                      prefix: str = "q") -> DataFrame:
-    """Exact interpolated quantiles of ``v`` per group, scale-safe for continuous values.
-
-    Each group's distinct values are cut at its own approximate quantiles (a bounded sketch per
-    group) into at most ``buckets`` ranges; bucket totals give each range's position offsets
-    (a window over <= ``buckets`` rows per group); only the ranges holding the needed positions
-    are sorted, so no task orders a whole group, however hot. Returns (group, q0, q1, ...)."""
-    probs = list(probs)
-    h = df.where(F.col(group).isNotNull() & F.col(v).isNotNull()).groupBy(group, v).agg(
-        F.count(F.lit(1)).alias("_c"))
-    splits = h.groupBy(group).agg(F.array_distinct(F.percentile_approx(
-        v, [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("_s"))
-    hb = h.join(splits, group).withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col(v)))).drop("_s")
-    hb = write_back(hb, "grouped-quantile-values")
-    tot = hb.groupBy(group, "_b").agg(F.sum("_c").alias("_bt"))
-    w = Window.partitionBy(group).orderBy("_b")
-    tot = (tot.withColumn("_end", F.sum("_bt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_start", F.col("_end") - F.col("_bt") + 1)
-           .withColumn("_n", F.sum("_bt").over(Window.partitionBy(group))))
-    # 1-based positions needed per group (floor and ceil of p * (n - 1), plus one)
-    need = tot.select(group, "_n").distinct().select(group, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_k"), (F.floor(F.lit(p) * (F.col("_n") - 1)) + 1).alias("_pa"),
-                 (F.ceil(F.lit(p) * (F.col("_n") - 1)) + 1).alias("_pb"),
-                 (F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))).alias("_fr"))
-        for i, p in enumerate(probs)])).alias("_q")).select(group, "_q.*")
-    pos = need.select(group, F.explode(F.array_distinct(F.array("_pa", "_pb"))).alias("_pos"))
-    hit = pos.join(tot, [group]).where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") <= F.col("_end")))
-    sel = hb.join(hit.select(group, "_b", "_start").distinct(), [group, "_b"])
-    run = F.sum("_c").over(Window.partitionBy(group, "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = sel.withColumn("_hi", F.col("_start") - 1 + run).withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
-    val = pos.join(ranked, [group]).where((F.col("_pos") >= F.col("_lo")) & (F.col("_pos") <= F.col("_hi")))
-    val = val.select(group, "_pos", F.col(v).alias("_v"))
-    a = val.select(group, F.col("_pos").alias("_pa"), F.col("_v").alias("_va"))
-    b = val.select(group, F.col("_pos").alias("_pb"), F.col("_v").alias("_vb"))
-    q = (need.join(a, [group, "_pa"]).join(b, [group, "_pb"])
-         .select(group, "_k", (F.col("_va") + (F.col("_vb") - F.col("_va")) * F.col("_fr")).alias("_x")))
-    return q.groupBy(group).pivot("_k", list(range(len(probs)))).agg(F.first("_x")).select(
-        group, *[F.col(f"`{i}`").alias(f"{prefix}{i}") for i in range(len(probs))])
+def grouped_quantiles(df: DataFrame, group: str, v: str, probs, prefix: str = "q") -> DataFrame:
+    """Exact interpolated quantiles of ``v`` per group: (group, q0, q1, ...)."""
+    return group_quantiles(df.where(F.col(group).isNotNull()), [group],
+                           {f"{prefix}{i}": Quantile(F.col(v), p) for i, p in enumerate(probs)})

@@ -118,8 +118,8 @@ def baseline_error_by_band(t: JobTables) -> DataFrame:
     d = d.withColumn("band", clean.band("actual_salary", *rules.ERROR_BANDS))
     g = agg.multi_agg_by(d, "band", {"mean_residual": F.avg("residual"), "n": F.count(F.lit(1))})
     # a band holds a large share of all rows: medians of the continuous errors are rank-based
-    a = stats.grouped_quantiles(d, "band", "abs_error", [0.5], buckets=256, prefix="a")
-    p = stats.grouped_quantiles(d, "band", "ape", [0.5], buckets=256, prefix="p")
+    a = stats.grouped_quantiles(d, "band", "abs_error", [0.5], prefix="a")
+    p = stats.grouped_quantiles(d, "band", "ape", [0.5], prefix="p")
     return (g.join(a, "band", "left").join(p, "band", "left")
             .select("band", F.col("a0").alias("median_abs"), F.col("p0").alias("median_pct"), "mean_residual", "n"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators import features, stats
 from ..operators.joins import latest_per_key
+from ..operators.quantiles import Quantile, agg_by
 from ..sources.tables import JobTables
 from . import market, views
 
@@ -114,10 +115,9 @@ def salary_bounds(t: JobTables) -> DataFrame:
     """Salary range of the salary model: [max(10k, 1st pct), min(300k, 99th pct)] and the
     rows it keeps (USD or missing currency)."""
     p = t.postings.where(F.col(SAL).isNotNull())
-    q = p.select(F.percentile(SAL, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    b = q.select(F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"),
-                 F.greatest(F.lit(10_000.0), F.col("q")[0]).alias("lower_bound"),
-                 F.least(F.lit(300_000.0), F.col("q")[1]).alias("upper_bound"))
+    q = agg_by(p, [], {"q01": Quantile(F.col(SAL), 0.01), "q99": Quantile(F.col(SAL), 0.99)})
+    b = q.select("q01", "q99", F.greatest(F.lit(10_000.0), F.col("q01")).alias("lower_bound"),
+                 F.least(F.lit(300_000.0), F.col("q99")).alias("upper_bound"))
     lo, hi = b.select("lower_bound").scalar(), b.select("upper_bound").scalar()
     kept = p.where(clean.salary_usable(SAL, "currency", lo, hi)).select(F.count(F.lit(1))).scalar()
     return b.withColumn("rows_kept", kept)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, rules
 from ..operators import agg
 from ..operators.joins import attach_lookup, keep_labels
+from ..operators.quantiles import Quantile, agg_by, group_quantiles, median
 from ..sources.tables import JobTables, with_defaults
 from . import views
 
@@ -53,10 +54,10 @@ def _usable(t: JobTables) -> DataFrame:
 def headline(t: JobTables) -> DataFrame:
     """Totals, usable salary rows, their median and the remote share (one pass)."""
     m = market_view(t)
-    return m.agg(F.count(F.lit(1)).alias("total_postings"),
-                 F.count(F.when(F.col("salary_usable"), 1)).alias("salary_count"),
-                 F.median(F.when(F.col("salary_usable"), F.col(SAL))).alias("median_salary"),
-                 (F.avg("remote_flag") * 100).alias("remote_pct"))
+    return agg_by(m, [], {"total_postings": F.count(F.lit(1)),
+                          "salary_count": F.count(F.when(F.col("salary_usable"), 1)),
+                          "median_salary": median(F.when(F.col("salary_usable"), F.col(SAL))),
+                          "remote_pct": F.avg("remote_flag") * 100})
 
 
 def data_quality(t: JobTables) -> DataFrame:
@@ -106,7 +107,7 @@ def benefit_summary(t: JobTables) -> DataFrame:
 def industry_stats(t: JobTables, min_count: int = 50) -> DataFrame:
     return agg.multi_agg_by(
         _usable(t), "primary_industry",
-        {"postings": F.count("job_id"), "median_salary": F.median(SAL),
+        {"postings": F.count("job_id"), "median_salary": median(SAL),
          "remote_rate": F.avg("remote_flag") * 100, "mean_competition": F.avg("competition_score")},
         having=F.col("postings") >= min_count)
 
@@ -114,7 +115,7 @@ def industry_stats(t: JobTables, min_count: int = 50) -> DataFrame:
 def state_stats(t: JobTables, min_count: int = 50) -> DataFrame:
     return agg.multi_agg_by(
         _usable(t), "state",
-        {"postings": F.count("job_id"), "median_salary": F.median(SAL),
+        {"postings": F.count("job_id"), "median_salary": median(SAL),
          "remote_rate": F.avg("remote_flag") * 100},
         having=F.col("postings") >= min_count)
 
@@ -122,7 +123,7 @@ def state_stats(t: JobTables, min_count: int = 50) -> DataFrame:
 def title_family_stats(t: JobTables, min_count: int = 50) -> DataFrame:
     return agg.multi_agg_by(
         _usable(t), "title_family",
-        {"postings": F.count("job_id"), "median_salary": F.median(SAL), "avg_views": F.avg("views"),
+        {"postings": F.count("job_id"), "median_salary": median(SAL), "avg_views": F.avg("views"),
          "avg_applies": F.avg("applies"), "competition": F.avg("competition_score")},
         having=F.col("postings") >= min_count)
 
@@ -153,7 +154,7 @@ def family_benchmark(t: JobTables, exp: str = "All", industry: str = "All", remo
         m = m.where(F.col("remote_flag") == (1 if remote == "Remote" else 0))
     return agg.multi_agg_by(
         m, "title_family",
-        {"postings": F.count("job_id"), "median_salary": F.median(SAL),
+        {"postings": F.count("job_id"), "median_salary": median(SAL),
          "avg_views": F.avg("views"), "avg_applies": F.avg("applies"),
          "avg_competition": F.avg("competition_score")},
         having=F.col("postings") >= min_count)
@@ -188,29 +189,36 @@ def similar_postings(t: JobTables, requests: DataFrame | None = None, min_n: int
     """For each request: the first of seven filter rules that leaves at least ``min_n`` usable
     postings, its size and the salary quartiles of that set.
 
-    Each rule is a GROUP BY of the usable postings on the rule's keys (partial aggregation,
-    one shuffle per rule) joined to the requests on the same keys. The industry rules match
-    when the request industry is a case-insensitive substring of the posting's industry: that
-    substring test runs only between the two (small) sets of distinct industry names, and the
-    resulting name map turns it into an equi-join.
+    The usable postings are counted once per (all rule keys, industry, salary); each rule's sizes
+    and rank-based quartiles are rolled up from these counts and joined to the requests on the
+    rule's keys. The industry rules match when the request industry is a case-insensitive
+    substring of the posting's industry: every substring of the known industry names (a
+    dimension table) is listed, so the match is an equi-join whatever the requests ask for.
     """
     req = requests if requests is not None else requests_from_postings(t)
-    u = _usable(t).select(EXPL, "state", "title_family", "remote_flag", SAL,
-                          F.lower(F.col("primary_industry")).alias("_ind"))
-    names = u.select("_ind").distinct()
+    u = _usable(t).groupBy(EXPL, "state", "title_family", "remote_flag", SAL,
+                           F.lower(F.col("primary_industry")).alias("_ind")).agg(F.count(F.lit(1)).alias("_k"))
+    n = F.char_length("_ind")
+    known = u.select("_ind").where(F.col("_ind").isNotNull()).distinct()
+    parts = known.select("_ind", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(0), n), lambda i: F.when(i == n, F.array(F.lit(""))).otherwise(F.transform(
+            F.sequence(F.lit(1), n - i), lambda k: F.substring(F.col("_ind"), i + 1, k))))))).alias("industry"))
     asked = req.select(F.col("industry").alias("industry")).distinct()
-    name_map = asked.join(names, F.col("_ind").contains(F.col("industry")))
-    pct = F.percentile(SAL, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    name_map = parts.join(asked, "industry")
+    v = F.col(SAL)
+    quartiles = {"p25": Quantile(v, 0.25), "p50": Quantile(v, 0.5), "p75": Quantile(v, 0.75)}
     out = req
     for i, (_, keys, by_industry) in enumerate(SIMILAR_RULES, start=1):
         src = u.join(name_map, "_ind") if by_industry else u
         gkeys = keys + (["industry"] if by_industry else [])
+        g = src.groupBy(*gkeys).agg(F.sum("_k").alias(f"n{i}"))
+        q = group_quantiles(src, gkeys, quartiles, weight="_k").select(
+            *gkeys, F.array("p25", "p50", "p75").alias(f"q{i}"))
         if gkeys:
-            g = src.groupBy(*gkeys).agg(F.count(F.lit(1)).alias(f"n{i}"), pct.alias(f"q{i}"))
-            out = out.join(g, gkeys, "left")
-        else:  # whole usable set: two scalar subqueries, no join
-            out = out.withColumns({f"n{i}": src.select(F.count(F.lit(1))).scalar(),
-                                   f"q{i}": src.select(pct).scalar()})
+            # a null key matches no request, as in the filter rules
+            out = out.join(g.join(q, gkeys), gkeys, "left")
+        else:  # the whole usable set: one row
+            out = out.withColumns({f"n{i}": g.scalar(), f"q{i}": q.scalar()})
     pick = F.lit(len(SIMILAR_RULES))
     for i in range(len(SIMILAR_RULES) - 1, 0, -1):
         pick = F.when(F.coalesce(F.col(f"n{i}"), F.lit(0)) >= min_n, F.lit(i)).otherwise(pick)

@@ -97,7 +97,8 @@ def build(body: str, doubles=(), extra_ctes: dict | None = None) -> str:
     sel = "*"
     if doubles:
         sel = "* replace (" + ", ".join(
-            f"floor({c} * 1e6 + 0.5) / 1e6 as {c}" for c in doubles) + ")"
+            f"case when abs({c}) < 1e12 then floor({c} * 1e6 + 0.5) / 1e6 else {c} end as {c}"
+            for c in doubles) + ")"
     with_ = ("with " + ",\n".join(parts) + "\n") if parts else ""
     return f"{with_}select {sel} from (\n{body}\n) as q"
 

@@ -34,10 +34,13 @@ REPORTS = [
 
 
 def stable(df: DataFrame) -> DataFrame:
+    """Doubles brought to 1e-6 where that is finer than the number itself and fits a long;
+    larger ones, NaN and infinities stay as they are."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.floor(F.col(f.name) * 1e6 + 0.5) / 1e6).alias(f.name))
+            x = F.col(f.name)
+            cols.append(F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(cols)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, rules
 from ..operators import agg
 from ..operators.joins import keep_labels
+from ..operators.quantiles import agg_by, median
 from ..sources.tables import JobTables
 from . import views
 
@@ -123,7 +124,7 @@ def q04_3(t: JobTables) -> DataFrame:
     p = keep_labels(p, "state", agg.top_k_labels(p, "state", 15))
     g = agg.multi_agg_by(p, "state", {"n": F.count("job_id"),
                                       "remote_pct": F.avg("remote_allowed") * 100,
-                                      "median_salary": F.median(SAL)})
+                                      "median_salary": median(SAL)})
     return g.where(F.col("median_salary").isNotNull())
 
 
@@ -310,7 +311,7 @@ def q10_2(t: JobTables) -> DataFrame:
 
 
 def _score_stats():
-    return {"median_score": F.median("competition_score"), "mean_score": F.avg("competition_score"),
+    return {"median_score": median("competition_score"), "mean_score": F.avg("competition_score"),
             "n": F.count("competition_score")}
 
 
@@ -329,7 +330,7 @@ def q10_5(t: JobTables) -> DataFrame:
     """15 least competitive titles with at least 20 postings and median salary above 60k."""
     return agg.multi_agg_by(
         _competition(t), "title_clean",
-        {"avg_score": F.avg("competition_score"), "median_salary": F.median(SAL),
+        {"avg_score": F.avg("competition_score"), "median_salary": median(SAL),
          "n": F.count("job_id")},
         having=(F.col("n") >= 20) & (F.col("median_salary") > 60000),
         order=[F.col("avg_score").asc()], k=15)
@@ -394,8 +395,8 @@ def q12_2(t: JobTables) -> DataFrame:
     g = a.groupBy("skill_name").agg(
         F.count(F.when(F.col("remote_allowed") == 1, F.lit(1))).alias("remote_rows"),
         F.count(F.when(F.col("remote_allowed") == 0, F.lit(1))).alias("office_rows"))
-    g = g.select("skill_name", (F.col("remote_rows") * 100.0 / n_remote).alias("remote_pct"),
-                 (F.col("office_rows") * 100.0 / n_office).alias("office_pct"))
+    g = g.select("skill_name", F.try_divide(F.col("remote_rows") * 100.0, n_remote).alias("remote_pct"),
+                 F.try_divide(F.col("office_rows") * 100.0, n_office).alias("office_pct"))
     return g.withColumn("diff", F.col("remote_pct") - F.col("office_pct"))
 
 
@@ -403,10 +404,9 @@ def q12_3(t: JobTables) -> DataFrame:
     """Per company size: remote %, postings, office and remote median salary (one pass)."""
     p = views.report_postings(t, with_company=True).where(F.col("size_label").isNotNull())
     r = F.col("remote_allowed")
-    return p.groupBy("size_label").agg(
-        (F.avg(r) * 100).alias("remote_pct"), F.count(F.lit(1)).alias("n"),
-        F.median(F.when(r == 0, F.col(SAL))).alias("office_sal"),
-        F.median(F.when(r == 1, F.col(SAL))).alias("remote_sal"))
+    return agg_by(p, "size_label", {
+        "remote_pct": F.avg(r) * 100, "n": F.count(F.lit(1)),
+        "office_sal": median(F.when(r == 0, F.col(SAL))), "remote_sal": median(F.when(r == 1, F.col(SAL)))})
 
 
 def q12_4(t: JobTables) -> DataFrame:
@@ -416,7 +416,7 @@ def q12_4(t: JobTables) -> DataFrame:
     p = views.report_postings(t)
     p = keep_labels(p, "state", agg.top_k_labels(p, "state", 20))
     g = agg.multi_agg_by(p, "state", {"remote_pct": F.avg("remote_allowed") * 100,
-                                      "median_salary": F.median(SAL), "n": F.count("job_id")})
+                                      "median_salary": median(SAL), "n": F.count("job_id")})
     g = g.where(F.col("median_salary").isNotNull())
     w = Window.partitionBy()
     return g.select("*", F.regr_slope("median_salary", "remote_pct").over(w).alias("trend_slope"),
@@ -456,7 +456,7 @@ def q13_1(t: JobTables) -> DataFrame:
 
 
 def _gap_stats(extra=None):
-    d = {"median_gap": F.median("gap"), "median_gap_pct": F.median("gap_pct")}
+    d = {"median_gap": median("gap"), "median_gap_pct": median("gap_pct")}
     d.update(extra or {})
     d["n"] = F.count("job_id")
     return d
@@ -466,14 +466,14 @@ def q13_2(t: JobTables) -> DataFrame:
     """Gap statistics of the 15 most frequent primary industries."""
     g = gap_records(t)
     g = keep_labels(g, "industry_name", agg.top_k_labels(g, "industry_name", 15))
-    return agg.multi_agg_by(g, "industry_name", _gap_stats({"median_sal": F.median("mid_sal")}))
+    return agg.multi_agg_by(g, "industry_name", _gap_stats({"median_sal": median("mid_sal")}))
 
 
 def q13_3(t: JobTables) -> DataFrame:
     """Gap statistics per experience level."""
     g = keep_labels(gap_records(t), EXPL, EXP)
-    return agg.multi_agg_by(g, EXPL, _gap_stats({"median_min": F.median("min_salary"),
-                                                 "median_max": F.median("max_salary")}))
+    return agg.multi_agg_by(g, EXPL, _gap_stats({"median_min": median("min_salary"),
+                                                 "median_max": median("max_salary")}))
 
 
 def q13_4(t: JobTables) -> DataFrame:
@@ -494,15 +494,17 @@ def q13_6(t: JobTables) -> DataFrame:
     """Headline: rows, median gap and gap %, widest and narrowest of the top-15 industries."""
     g = gap_records(t)
     ind = q13_2(t)
-    pair = F.struct("industry_name", "median_gap")
-    wide = ind.orderBy(F.col("median_gap").desc(), F.col("industry_name")).limit(1).select(pair).scalar()
-    narrow = ind.orderBy(F.col("median_gap").asc(), F.col("industry_name")).limit(1).select(pair).scalar()
-    return g.agg(F.count(F.lit(1)).alias("n"), F.median("gap").alias("median_gap"),
-                 F.median("gap_pct").alias("median_gap_pct")).select(
-        "*", wide.getField("industry_name").alias("widest_industry"),
-        wide.getField("median_gap").alias("widest_gap"),
-        narrow.getField("industry_name").alias("narrowest_industry"),
-        narrow.getField("median_gap").alias("narrowest_gap"))
+    # at most 15 rows; ties go to the first name
+    rows = F.collect_list(F.struct((-F.col("median_gap")).alias("g"), F.col("industry_name").alias("i")))
+    low = F.collect_list(F.struct(F.col("median_gap").alias("g"), F.col("industry_name").alias("i")))
+    ends = ind.where(F.col("median_gap").isNotNull()).agg(
+        F.array_sort(rows)[0].alias("w"), F.array_sort(low)[0].alias("l")).select(
+        F.col("w.i").alias("widest_industry"), (-F.col("w.g")).alias("widest_gap"),
+        F.col("l.i").alias("narrowest_industry"), F.col("l.g").alias("narrowest_gap"))
+    head = agg_by(g, [], {"n": F.count(F.lit(1)), "median_gap": median("gap"), "median_gap_pct": median("gap_pct")})
+    names = ["widest_industry", "widest_gap", "narrowest_industry", "narrowest_gap"]
+    e = ends.select(F.struct(*names)).scalar()
+    return head.select("*", *[e.getField(c).alias(c) for c in names])
 
 
 # --- Q09.1 skill premium with a rank test ------------------------------------------------------

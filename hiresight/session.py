@@ -39,13 +39,16 @@ def get_spark(master: str | None = None, app: str = "hiresight",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a private scratch folder is created and set.
+    A ``local`` master that names none (tests) gets a private scratch folder; anywhere else a
+    machine's own folder would be invisible to the other machines, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         d = tempfile.mkdtemp(prefix="hiresight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -70,12 +73,11 @@ def write_back(df, name: str):
 
 
 def spread(df, key: str | None = None):
-    """Hash-repartition ``df`` only when it arrives in fewer partitions than the cluster has
-    cores (a small file with one row group feeding CPU-heavy work such as regexes over whole
-    texts). Inputs that are already split, as any large input is, pass through untouched."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    """Hash-repartition ``df`` when it is stored in fewer files than the cluster has cores (a
+    small file with one row group feeding CPU-heavy work such as regexes over whole texts).
+    Only the plan changes; inputs in many files, as any large input is, pass untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, key) if key else df.repartition(cores)
 

@@ -182,15 +182,23 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> JobTables:
     return JobTables(spark, lambda name: BUILDERS[name](r))
 
 
-def _source_key(sf_dir: str) -> str:
+def _listing(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, modification time) of the input folder's entries, through the Hadoop
+    FileSystem of its scheme. A table in several files counts with all of them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for s in fs.listStatus(path):
+        size = fs.getContentSummary(s.getPath()).getLength() if s.isDirectory() else s.getLen()
+        out.append((s.getPath().getName(), size, s.getModificationTime()))
+    return sorted(out)
+
+
+def _source_key(spark: SparkSession, sf_dir: str) -> str:
     """Identity of the input folder: path, file sizes and modification times."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    try:
-        for f in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, f))
-            h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
-    except OSError:  # not a local path (object store): the path alone identifies it
-        pass
+    h = hashlib.sha1(sf_dir.encode())
+    for f, size, at in _listing(spark, sf_dir):
+        h.update(f"{f}:{size}:{at}".encode())
     return h.hexdigest()[:16]
 
 
@@ -200,7 +208,7 @@ def materialize(spark: SparkSession, sf_dir: str, names=None) -> str:
     a lost executor or a crashed run only costs the unfinished tables."""
     from ..session import path_exists, scratch_path
 
-    out = scratch_path(spark, f"jobtables-v2-{_source_key(sf_dir)}")
+    out = scratch_path(spark, f"jobtables-v2-{_source_key(spark, sf_dir)}")
     lazy = derived_tables(spark, sf_dir)
     n = _file_count(spark, sf_dir)
     for name in names or BUILDERS:
@@ -226,14 +234,9 @@ _MATERIALIZED: dict[tuple, str] = {}
 
 def _file_count(spark: SparkSession, sf_dir: str, target_bytes: int = 128 << 20) -> int:
     """Files per stored table: about one per 128 MB of input, at least one per core (so small
-    inputs still scan in parallel), at most ``spark.sql.shuffle.partitions``."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        size = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir))
-    except OSError:  # object store: let the cluster's partition count decide
-        return cap
-    return max(1, min(cap, max(cores, -(-size // target_bytes))))
+    inputs still scan in parallel)."""
+    size = sum(n for _, n, _ in _listing(spark, sf_dir))
+    return max(1, spark.sparkContext.defaultParallelism, -(-size // target_bytes))
 
 
 def driver_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -> JobTables:
@@ -246,7 +249,7 @@ def driver_tables(spark: SparkSession, sf_dir: str, materialized: bool = True) -
     if not materialized:
         return derived_tables(spark, sf_dir)
     from ..session import path_exists
-    k = (id(spark), os.path.abspath(sf_dir))
+    k = (spark.sparkContext.applicationId, sf_dir, _source_key(spark, sf_dir))
     if k not in _MATERIALIZED or not path_exists(spark, _MATERIALIZED[k]):
         _MATERIALIZED[k] = materialize(spark, sf_dir)
     return JobTables.from_dir(spark, _MATERIALIZED[k])

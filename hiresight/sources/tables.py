@@ -12,6 +12,10 @@ from pyspark.sql.utils import AnalysisException
 from .schemas import SCHEMAS, TABLES
 
 
+#: tables that a source may lack; queries then see them empty
+OPTIONAL = {"salaries", "benefits", "employee_counts", "company_specialities", "company_industries"}
+
+
 class JobTables:
     """Lazily built DataFrames for the eleven job-market tables.
 
@@ -37,8 +41,10 @@ class JobTables:
 
     @classmethod
     def from_dir(cls, spark: SparkSession, path: str, fmt: str = "parquet") -> "JobTables":
-        """Tables stored as ``<path>/<name>.<fmt>`` (parquet, or CSV with header)."""
-        return cls(spark, lambda name: read_table(spark, path, name, fmt=fmt, optional=True), source=path)
+        """Tables stored as ``<path>/<name>.<fmt>`` (parquet, or CSV with header). Only the
+        tables in ``OPTIONAL`` may be absent; a missing required table raises."""
+        return cls(spark, lambda name: read_table(spark, path, name, fmt=fmt, optional=name in OPTIONAL),
+                   source=path)
 
 
 def _csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -55,7 +61,8 @@ def read_table(spark: SparkSession, path: str, name: str, cols: Iterable[str] |
 
     ``optional=False``: a missing file or column raises, listing the columns that exist.
     ``optional=True``: a missing file gives an empty frame with the declared schema, and only
-    the wanted columns that exist are kept (all columns when none of them exists).
+    the wanted columns that exist are kept (all columns when none of them exists). CSV values
+    that do not parse as the declared type become null.
     """
     full = os.path.join(path, f"{name}.{fmt}")
     schema = SCHEMAS.get(name)
@@ -63,12 +70,12 @@ def read_table(spark: SparkSession, path: str, name: str, cols: Iterable[str] |
         if fmt == "csv":
             df = _csv(spark, full)
             if schema is not None:
-                df = df.select([F.col(f.name).cast(f.dataType) if f.name in df.columns else
+                df = df.select([F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else
                                 F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         else:
             df = spark.read.format(fmt).load(full)
-    except AnalysisException:
-        if not optional:
+    except AnalysisException as e:
+        if not optional or e.getCondition() != "PATH_NOT_FOUND":
             raise
         if schema is None:
             return spark.createDataFrame([], "dummy string")

@@ -49,3 +49,45 @@ def test_bundle_and_model_round_trip(spark):
     sinks.save_model(model, os.path.join(d, "m"), {"r2": 1.0})
     back = sinks.load_model([os.path.join(d, "nope"), os.path.join(d, "m")])
     assert abs(back.transform(df).first()["prediction"] - 1.0) < 1e-6
+
+
+def test_large_and_odd_doubles_survive_the_registry(spark):
+    import math
+    from hiresight.plans.registry import stable
+    df = spark.createDataFrame([(5e13,), (float("nan"),), (None,), (1.23456789,), (-9.3e12,), (float("inf"),)], "x double")
+    got = [r["x"] for r in stable(df).collect()]
+    assert got[0] == 5e13 and math.isnan(got[1]) and got[2] is None and got[3] == 1.234568
+    assert got[4] == -9.3e12 and got[5] == float("inf")
+
+
+def test_required_tables_raise_and_optional_ones_are_empty(spark, tmp_path):
+    import pytest
+    from pyspark.sql.utils import AnalysisException
+    from hiresight.sources.tables import JobTables
+    t = JobTables.from_dir(spark, str(tmp_path))
+    with pytest.raises(AnalysisException):
+        t.postings.count()
+    assert t.benefits.count() == 0
+
+
+def test_malformed_csv_ids_become_null(spark, tmp_path):
+    from hiresight.sources.tables import read_table
+    (tmp_path / "companies.csv").write_text("company_id,name\n12,a\nx9,b\n")
+    rows = read_table(spark, str(tmp_path), "companies", fmt="csv").collect()
+    assert sorted(r["company_id"] or 0 for r in rows) == [0, 12]
+
+
+def test_one_row_segments_have_no_r2(spark):
+    from hiresight.operators import evaluate
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 3.0), ("b", 3.0, 4.0), ("b", 3.0, 5.0)], "g string, y double, p double")
+    got = {r["g"]: r["r2"] for r in evaluate.metrics(df, "y", "p", by="g").collect()}
+    assert got == {"a": None, "b": None}
+
+
+def test_shared_folder_is_required_off_local_masters():
+    import pytest
+    from types import SimpleNamespace as N
+    from hiresight import session
+    spark = N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(spark)

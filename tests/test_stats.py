@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from hiresight.operators import agg, stats
@@ -53,13 +54,35 @@ def test_mann_whitney_matches_brute_force(spark):
 
 
 def test_value_ranks_bucket_independent(spark):
-    vals = [1.0] * 50 + [float(i) for i in range(2, 300)]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    a = {r["v"]: r["avg_rank"] for r in stats.value_ranks(df, "v", buckets=4).collect()}
-    b = {r["v"]: r["avg_rank"] for r in stats.value_ranks(df, "v", buckets=64).collect()}
+    vals = [1.0] * 50 + [float(i) for i in range(2, 300)] + [-3.5, -3.5, 1e12, 0.0, 0.001, -1e-9]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,), (float("nan"),)], "v double")
+    a = {r["v"]: r["avg_rank"] for r in stats.value_ranks(df, "v").collect()}
     exp = dict(zip(vals, pd.Series(vals).rank(method="average")))
-    assert a == b
-    assert all(abs(a[v] - exp[v]) < 1e-9 for v in a)
+    assert set(a) == set(exp) and all(abs(a[v] - exp[v]) < 1e-9 for v in a)
+    for few in ([], [(2.0,)], [(float("nan"),)]):
+        one = spark.createDataFrame(few, "v double")
+        assert [r["avg_rank"] for r in stats.value_ranks(one, "v").collect()] == [1.0] * (few == [(2.0,)])
+        assert stats.exact_quantiles(one, "v", [0.5]) == ([2.0] if few == [(2.0,)] else [None])
+
+
+def test_group_quantiles_with_hot_and_odd_groups(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from hiresight.operators.quantiles import Quantile, agg_by, group_quantiles, median
+    r = np.random.default_rng(5)
+    rows = [("hot", float(x), int(k)) for x, k in zip(r.lognormal(10, 3, 3000), r.integers(0, 2, 3000))]
+    rows += [("neg", float(x), 1) for x in r.normal(-5, 100, 500)] + [(None, 7.0, 1), ("one", 3.0, 0), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, k int").repartition(4)
+    got = {x["g"]: x for x in agg_by(df, "g", {"n": F.count(F.lit(1)), "m": median("v"), "q": Quantile(F.col("v"), 0.1),
+                                               "m1": median(F.when(F.col("k") == 1, F.col("v")))}).collect()}
+    for g in ("hot", "neg", None, "one", "none"):
+        v = [x[1] for x in rows if x[0] == g and x[1] is not None]
+        v1 = [x[1] for x in rows if x[0] == g and x[1] is not None and x[2] == 1]
+        assert got[g]["n"] == sum(x[0] == g for x in rows)
+        for name, values, p in (("m", v, .5), ("q", v, .1), ("m1", v1, .5)):
+            assert got[g][name] == (pytest.approx(np.quantile(values, p), rel=1e-12) if values else None)
+    w = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1)], "g string, v double, k int")
+    assert group_quantiles(w, ["g"], {"m": Quantile(F.col("v"), 1.0), "l": Quantile(F.col("v"), 0.5)}, "k").first()[1:] == (5.0, 1.0)
 
 
 def test_sample_n_exact_and_reproducible(spark):
@@ -141,7 +164,7 @@ def test_grouped_quantiles_match_numpy(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     got = {r.g: [r[f"q{i}"] for i in range(len(probs))]
-           for r in stats.grouped_quantiles(df, "g", "v", probs, buckets=16).collect()}
+           for r in stats.grouped_quantiles(df, "g", "v", probs).collect()}
     exp = pd.DataFrame(rows, columns=["g", "v"]).groupby("g")["v"].quantile(probs).unstack()
     assert set(got) == set(exp.index)
     for g, qs in got.items():
