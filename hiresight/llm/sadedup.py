@@ -15,7 +15,8 @@ by external induced suffix sorting (``suffix.py``):
    right, with a correspondingly longer anchor, until groups are small or anchors are whole windows.
 3. *Shards.* Segments are partitioned by anchor, concatenated on the task's disk and suffix-sorted
    with common-prefix values; neighbouring suffixes that share ``length`` bytes are marked. A
-   window is repeated if it is marked or its segment has several uses.
+   window is repeated if it is marked or its segment has several uses; an anchor all of whose
+   segments have several uses has nothing left to find and is not sorted.
 4. Marked windows become byte ranges per text; texts occurring twice or more are ranges as a whole
    if they have a window at all. Texts cross the shuffle compressed and once per distinct text.
 
@@ -41,8 +42,8 @@ from .common import stage, text_bytes
 
 LENGTH = 200
 ANCHOR = 64
-SPLIT = 256  # different segments of one anchor
-SHARD = 4 << 20  # bytes of segments in a shard, about
+SPLIT = 1024  # different segments of one anchor
+SHARD = 2 << 20  # bytes of segments in a shard, about
 CHUNK = 1 << 20  # windows whose anchors are found at a time
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -143,7 +144,7 @@ def _cut(batches):
             for s in segs:
                 content = raw[s["first"]:s["first"] + s["n"] - 1 + LENGTH]
                 rows.append((s["h"], _digest(s["h"], content), content, s["off"], ANCHOR, s["n"], k, s["first"]))
-                if len(rows) >= 50_000:
+                if len(rows) >= 10_000:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), [*_SEG, pa.binary(), pa.int64()])], names)
                     rows = []
@@ -223,10 +224,9 @@ def _shard(batches):
     # the flags are asked for after all contents are read
     flags = marked_windows(contents(), counts)
     rows = []
-    for d, f, all_ in zip(digests, flags, solid):
-        if all_:
-            f[:] = True
-        rows.extend((d, a, b) for a, b in _ranges(f))
+    for d, f, known in zip(digests, flags, solid):
+        if not known:  # all windows of the others are repeated anyway
+            rows.extend((d, a, b) for a, b in _ranges(f))
     for i in range(0, len(rows), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             zip(*rows[i:i + 50_000]), [pa.binary(), pa.int32(), pa.int32()])], ["digest", "lo", "hi"])
@@ -298,12 +298,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     for p, u in zip(parts[1:], used[1:]):
         leaves, places = leaves.union(p), places.union(u)
     places = stage(places, "sa-places")
-    twice = places.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("solid"))
-    leaves = leaves.join(twice, "digest").select("digest", "content", "n", "solid", "key")
-    size = stage(leaves, "sa-leaves")
-    shards = max(1, int((size.agg(F.sum(F.length("content"))).first()[0] or 0) // SHARD))
-    found = size.repartition(shards, "key").drop("key").mapInArrow(_shard, "digest binary, lo int, hi int")
-    found = stage(found, "sa-found")
+    twice = places.groupBy(F.col("digest").alias("d")).agg((F.count(F.lit(1)) > 1).alias("solid"))
+    flags = stage(leaves.select("key", "digest", "n").join(twice, F.col("digest") == F.col("d")).drop("d"), "sa-flags")
+    open_ = flags.groupBy("key").agg(F.bool_and("solid").alias("done"), F.sum(F.col("n") + LENGTH).alias("bytes")) \
+        .where("not done")
+    open_ = stage(open_.select(F.col("key").alias("open"), "bytes"), "sa-open")
+    shards = max(1, int((open_.agg(F.sum("bytes")).first()[0] or 0) // SHARD))
+    rows = leaves.join(open_, F.col("key") == F.col("open"), "left_semi") \
+        .join(flags.select(F.col("digest").alias("d"), "solid"), F.col("digest") == F.col("d")) \
+        .select("digest", "content", "n", "solid", "key")
+    sorted_ = rows.repartition(shards, "key").drop("key").mapInArrow(_shard, "digest binary, lo int, hi int")
+    found = stage(sorted_.union(flags.where("solid").select("digest", F.lit(0).alias("lo"), F.col("n").alias("hi"))),
+                  "sa-found")
     marks = places.join(found, "digest").groupBy("k").agg(F.collect_list(F.struct(
         (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("marks"))
     rest = stage(texts.join(marks, "k").mapInArrow(

@@ -186,7 +186,8 @@ class Inducer:
         code = self.code[prev]
         at = np.flatnonzero((code & 1 == self.want) & (pos > 0))
         if not len(at):
-            np.minimum(self.low, lcp.min(), out=self.low)
+            if self.cap:
+                np.minimum(self.low, lcp.min(), out=self.low)
             return
         symbol = (code[at] >> 1).astype(np.int64)
         order = np.argsort(symbol.astype(np.uint16) if len(self.low) <= 65536 else symbol, kind="stable")
@@ -194,6 +195,12 @@ class Inducer:
         first = np.empty(len(at), bool)
         first[0] = True
         first[1:] = symbol[1:] != symbol[:-1]
+        if not self.cap:  # only the order is asked for
+            heads = np.flatnonzero(first)
+            back, none = prev[at], np.zeros(len(at), np.uint8)
+            for s, a, b in zip(symbol[heads].tolist(), heads.tolist(), np.append(heads[1:], len(at)).tolist()):
+                self.queue.push(s, back[a:b], none[a:b])
+            return
         lo = np.empty(len(at), np.int64)
         lo[1:] = at[:-1] + 1
         lo[first] = 0
@@ -329,11 +336,11 @@ def sort(text: np.ndarray, alphabet: int, cap: int, visit, scratch: Scratch, bas
     # order of the LMS substrings: induce from seeds sorted by first symbol only
     sym = text[lms].astype(np.int64)
     rough = lms[np.argsort(sym, kind="stable")]
-    ups = _up(text, code, rough, np.zeros(len(rough), np.uint8), alphabet, 1, scratch, limit)
+    ups = _up(text, code, rough, np.zeros(len(rough), np.uint8), alphabet, 0, scratch, limit)
     is_lms = scratch.array(n, np.bool_)
     is_lms[lms] = True
     parts = []
-    _down(text, code, ups, alphabet, 1, scratch, limit, lambda pos, _: parts.append(pos[is_lms[pos]]))
+    _down(text, code, ups, alphabet, 0, scratch, limit, lambda pos, _: parts.append(pos[is_lms[pos]]))
     ups.close()
     order = np.concatenate(parts)[::-1]
     # names: equal neighbours share one
