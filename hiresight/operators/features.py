@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from .joins import left_join_known
 from .quantiles import agg_by, median
 
 
@@ -123,8 +124,7 @@ def count_per_key_joined(df: DataFrame, key: str, name: str) -> DataFrame:
     """``count(*) over (partition by key)`` as an aggregation joined back (a hot key is
     combined map-side; the join side is split by AQE skew handling); null keys give 0."""
     c = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return df.join(c, key, "left").withColumn(
-        name, F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.coalesce(name, F.lit(0))))
+    return left_join_known(df, c, key).withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def ordinal_encode(df: DataFrame, cols, suffix: str = "_code") -> DataFrame:

@@ -55,7 +55,7 @@ def tfidf(rows: DataFrame, col: str, max_features: int = 300, min_df: int = 5):
 def title_clusters(t: JobTables) -> dict:
     """Fit once per stored table set: {"assign": (job_id, cluster, cluster_label),
     "labels": (cluster, cluster_label), "vectors": (job_id, tfidf), "cost": best cost}."""
-    key = (id(t.spark), t.source)
+    key = (t.spark.sparkContext.applicationId, t.source)
     with _LOCK:
         if t.source is not None and key in _CACHE:
             return _CACHE[key]

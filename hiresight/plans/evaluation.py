@@ -30,7 +30,7 @@ def baseline_oof(t: JobTables) -> DataFrame:
 
     Read by every evaluation step (train/calibration splits, scalar statistics), so it is
     written once per stored table set under the shared checkpoint folder."""
-    key = (id(t.spark), t.source)
+    key = (t.spark.sparkContext.applicationId, t.source)
     if t.source is not None and key in _CACHE:
         return _CACHE[key]
     d = write_back(_baseline_oof(t), "baseline-oof")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import features, stats
-from ..operators.joins import latest_per_key
+from ..operators.joins import latest_per_key, left_join_known
 from ..operators.quantiles import Quantile, agg_by
 from ..sources.tables import JobTables
 from . import market, views
@@ -92,7 +92,7 @@ def location_features(t: JobTables) -> DataFrame:
     """City and state of the salary model (metro names, company-state fallback)."""
     p = t.postings.select("job_id", "company_id", "location")
     c = t.companies.select("company_id", F.col("state").alias("company_state"))
-    return p.join(c, "company_id", "left").select(
+    return left_join_known(p, c, "company_id").select(
         "job_id", clean.normalize_city("location").alias("city_loc"),
         clean.extract_state_model("location", "company_state").alias("state_final"))
 

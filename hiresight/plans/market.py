@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, rules
 from ..operators import agg
-from ..operators.joins import attach_lookup, keep_labels
+from ..operators.joins import attach_lookup, keep_labels, left_join_known
 from ..operators.quantiles import Quantile, agg_by, group_quantiles, median
 from ..sources.tables import JobTables, with_defaults
 from . import views
@@ -255,7 +255,8 @@ def _request_profile(t: JobTables) -> DataFrame:
           .agg(F.array_sort(F.collect_set("type")).alias("benefits")))
     size = t.companies.select("company_id", clean.size_label("company_size").alias("company_size"))
     empty = F.array().cast("array<string>")
-    return (m.join(sk, "job_id", "left").join(bn, "job_id", "left").join(size, "company_id", "left")
+    m = left_join_known(m, size, "company_id")
+    return (m.join(sk, "job_id", "left").join(bn, "job_id", "left")
             .withColumns({"skills": F.coalesce("skills", empty), "benefits": F.coalesce("benefits", empty)}))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, rules
 from ..operators import agg, evaluate, features, stats
+from ..operators.joins import left_join_known
 from ..session import write_back
 from ..sources.tables import JobTables
 from . import evaluation, featureset, market, textual, views
@@ -61,8 +62,9 @@ def job_features(t: JobTables, rows: DataFrame | None = None) -> tuple[DataFrame
     cind = agg.count_per_key(t.company_industries, "company_id", "company_industry_count")
     d = (u.join(flags, "job_id", "left").join(skills, "job_id", "left").join(bens, "job_id", "left")
          .join(n_sk, "job_id", "left").join(n_bn, "job_id", "left").join(cjc, "job_id", "left")
-         .join(comp, "company_id", "left").join(emp, "company_id", "left")
-         .join(spec, "company_id", "left").join(cind, "company_id", "left"))
+         )
+    for dim in (comp, emp, spec, cind):
+        d = left_join_known(d, dim, "company_id")
     level = clean.label_map("formatted_experience_level_raw", {v: i for i, v in enumerate(rules.EXPERIENCE_LEVELS)}, -1)
     d = d.join(t.postings.select("job_id", F.col("formatted_experience_level").alias(
         "formatted_experience_level_raw")), "job_id", "left")
@@ -90,7 +92,7 @@ _LOCK = threading.Lock()
 
 
 def _key(t: JobTables):
-    return (id(t.spark), t.source)
+    return (t.spark.sparkContext.applicationId, t.source)
 
 
 def cross_validate(t: JobTables, parallelism: int = 5) -> dict:
@@ -379,20 +381,18 @@ def scenario_scores(t: JobTables) -> DataFrame:
     return p.join(cur, "request_id").withColumn("diff_vs_current", F.col("pred_salary") - F.col("_cur")).drop("_cur")
 
 
-def permutation_importance(t: JobTables, k: int = 10, seed: int = 5) -> DataFrame:
+def permutation_importance(t: JobTables, k: int = 10, seed: int = 5, buckets: int = 16) -> DataFrame:
     """RMSE rise (log scale) when one feature's values are shuffled among the training rows,
     for the k features with the largest split importance. The shuffle pairs each row with the
-    next row in a seeded hash order inside hash buckets of about 50k rows (a derangement, no
-    global sort); values move as a block, the model and other features stay fixed."""
+    next row in a seeded hash order inside ``buckets`` hash buckets, whatever the data's size (no
+    global sort; a larger cluster takes more buckets); values move as a block, the model and other features stay fixed."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.sql import Window
     fm = final_model(t)
     cols = fm["columns"]
     imp = sorted(zip(cols, fm["model"].featureImportances.toArray()), key=lambda x: -x[1])[:k]
     d = fm["train"].withColumn("_a", vector_to_array("features"))
-    n = d.count()
-    buckets = max(1, n // 50_000)
-    d = d.withColumns({"_b": (F.abs(F.xxhash64("job_id", F.lit(seed))) % buckets),
+    d = d.withColumns({"_b": F.pmod(F.xxhash64("job_id", F.lit(seed)), F.lit(buckets)),
                        "_o": stats.hash_order(F.col("job_id"), seed)})
     d = write_back(d, "perm-base")
     base_rmse = fm["model"].transform(d).select(F.sqrt(F.avg((F.col("prediction") - F.col("y_log")) ** 2))).scalar()
