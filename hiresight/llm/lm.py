@@ -42,8 +42,8 @@ from .common import stage, text_bytes
 
 HEAD = 65_536  # words whose counts every task holds
 HEAD_BYTES = 256  # longer words are always joined
-DIRECT = 1_024  # words modelled one by one
-CLASSES = 24
+DIRECT = 768  # words modelled one by one
+CLASSES = 20
 SHAPES = 8
 BUCKETS = 64  # input embeddings shared by all other words
 STATE = 16
@@ -192,33 +192,44 @@ def _sigmoid(a):
 
 
 def forward(p, x, start, h, keep=False):
-    """States after each step; ``h`` is carried in and out. With keep, also what backward needs."""
+    """States after each step; ``h`` is carried in and out. With keep, also what backward needs:
+    per step the state before, both gates, the candidate and its recurrent part."""
     t, b = x.shape
     n = STATE
     a = p["E"][x.ravel()] @ p["Wx"] + p["b"]
     a = a.reshape(t, b, 3 * n)
     hs = np.empty((t, b, n), np.float32)
-    held = []
+    held = [np.empty((t, b, k), np.float32) for k in (n, 2 * n, n, n)] if keep else None
+    fresh, u_mat = start.any(axis=1), p["U"]
     for i in range(t):
-        if start[i].any():
+        if fresh[i]:
             h = h * ~start[i][:, None]
-        u = h @ p["U"]
-        g = _sigmoid(a[i, :, :2 * n] + u[:, :2 * n])
-        z, r = g[:, :n], g[:, n:]
-        m = np.tanh(a[i, :, 2 * n:] + r * u[:, 2 * n:])
-        new = m + z * (h - m)
+        u = h @ u_mat
+        g = a[i, :, :2 * n]
+        g += u[:, :2 * n]
+        g = _sigmoid(g)
+        un = u[:, 2 * n:]
+        m = g[:, n:] * un
+        m += a[i, :, 2 * n:]
+        np.tanh(m, out=m)
         if keep:
-            held.append((h, z, r, m, u[:, 2 * n:]))
+            held[0][i], held[1][i], held[2][i], held[3][i] = h, g, m, un
+        new = h - m
+        new *= g[:, :n]
+        new += m
         hs[i] = h = new
     return hs, h, held
 
 
-def _class_logs(p, hs):
-    s = hs @ p["C"] + p["cb"]
+def _picked(s, at):
+    """Log-softmax of the rows at the picked columns, and the unscaled softmax with its sums;
+    ``s`` is overwritten."""
     s -= s.max(axis=1, keepdims=True)
-    e = np.exp(s)
-    tot = e.sum(axis=1, keepdims=True)
-    return s - np.log(tot), e / tot
+    rows = (np.arange(len(s)), at)
+    logs = s[rows]
+    np.exp(s, out=s)
+    total = s.sum(axis=1, keepdims=True)
+    return logs - np.log(total[:, 0]), s, total, rows
 
 
 def _by_class(v, cls):
@@ -232,14 +243,11 @@ def _by_class(v, cls):
 
 def log_probs(p, v, hs, cls, out):
     """Natural log-probability of each target; of shape-class targets only the class's."""
-    logs, _ = _class_logs(p, hs)
-    res = logs[np.arange(len(cls)), cls].astype(np.float64)
+    res = _picked(hs @ p["C"] + p["cb"], cls)[0].astype(np.float64)
     for c, rows in _by_class(v, cls):
         lo, hi = v.first[c], v.first[c + 1]
         if hi - lo > 1:
-            s = hs[rows] @ p["W"][lo:hi].T + p["wb"][lo:hi]
-            s -= s.max(axis=1, keepdims=True)
-            res[rows] += s[np.arange(len(rows)), out[rows] - lo] - np.log(np.exp(s).sum(axis=1))
+            res[rows] += _picked(hs[rows] @ p["W"][lo:hi].T + p["wb"][lo:hi], out[rows] - lo)[0]
     return res
 
 
@@ -252,43 +260,50 @@ def gradients(p, v, x, cls, out, ok, start, h):
     rows = np.flatnonzero(ok.ravel())
     hr, cr, wr = flat[rows], cls.ravel()[rows], out.ravel()[rows]
     g = {k: np.zeros_like(a) for k, a in p.items()}
-    logs, soft = _class_logs(p, hr)
-    loss = -logs[np.arange(len(rows)), cr].sum()
-    soft[np.arange(len(rows)), cr] -= 1
+    logs, soft, total, at = _picked(hr @ p["C"] + p["cb"], cr)
+    loss = -logs.sum()
+    soft /= total
+    soft[at] -= 1
     g["C"], g["cb"] = hr.T @ soft, soft.sum(axis=0)
     dh = soft @ p["C"].T
     for c, k in _by_class(v, cr):
         lo, hi = v.first[c], v.first[c + 1]
         if hi - lo < 2:
             continue
-        s = hr[k] @ p["W"][lo:hi].T + p["wb"][lo:hi]
-        s -= s.max(axis=1, keepdims=True)
-        e = np.exp(s)
-        tot = e.sum(axis=1, keepdims=True)
-        at = (np.arange(len(k)), wr[k] - lo)
-        loss -= (s[at] - np.log(tot[:, 0])).sum()
-        e /= tot
+        hk = hr[k]
+        logs, e, total, at = _picked(hk @ p["W"][lo:hi].T + p["wb"][lo:hi], wr[k] - lo)
+        loss -= logs.sum()
+        e /= total
         e[at] -= 1
-        g["W"][lo:hi], g["wb"][lo:hi] = e.T @ hr[k], e.sum(axis=0)
+        g["W"][lo:hi], g["wb"][lo:hi] = e.T @ hk, e.sum(axis=0)
         dh[k] += e @ p["W"][lo:hi]
     dout = np.zeros((t * b, n), np.float32)
     dout[rows] = dh
     dout = dout.reshape(t, b, n)
-    da = np.empty((t, b, 3 * n), np.float32)
-    back = np.zeros((b, n), np.float32)
-    du = np.empty((b, 3 * n), np.float32)
+    before, gates, cand, rec = held
+    z, r = gates[:, :, :n], gates[:, :, n:]
+    by_cand = (1 - z) * (1 - cand * cand)  # of the output by the candidate's argument
+    by_keep = (before - cand) * z * (1 - z)
+    by_reset = rec * r * (1 - r)
+    da = np.empty((t, b, 3 * n), np.float32)  # by the input's part of the gates
+    du = np.empty((t, b, 3 * n), np.float32)  # by the state's part
+    back, fresh, ut = np.zeros((b, n), np.float32), start.any(axis=1), np.ascontiguousarray(p["U"].T)
     for i in range(t - 1, -1, -1):
-        h0, z, r, m, un = held[i]
-        d = dout[i] + back
-        dm = d * (1 - z) * (1 - m * m)
-        dz = d * (h0 - m) * z * (1 - z)
-        dr = dm * un * r * (1 - r)
-        da[i, :, :n], da[i, :, n:2 * n], da[i, :, 2 * n:] = dz, dr, dm
-        du[:, :n], du[:, n:2 * n], du[:, 2 * n:] = dz, dr, dm * r
-        g["U"] += h0.T @ du
-        back = d * z + du @ p["U"].T
-        if start[i].any():
+        d = dout[i]
+        d += back
+        dm = d * by_cand[i]
+        v_ = du[i]
+        np.multiply(d, by_keep[i], out=v_[:, :n])
+        np.multiply(dm, by_reset[i], out=v_[:, n:2 * n])
+        np.multiply(dm, r[i], out=v_[:, 2 * n:])
+        da[i, :, 2 * n:] = dm
+        d *= z[i]
+        back = v_ @ ut
+        back += d
+        if fresh[i]:
             back *= ~start[i][:, None]
+    da[:, :, :2 * n] = du[:, :, :2 * n]
+    g["U"] = before.reshape(t * b, n).T @ du.reshape(t * b, 3 * n)
     da = da.reshape(t * b, 3 * n)
     e = p["E"][x.ravel()]
     g["Wx"], g["b"] = e.T @ da, da.sum(axis=0)
@@ -356,7 +371,7 @@ def _count(batches):
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not held_out(doc_id):
                 seen.update(tokens(raw))
-                if len(seen) > 300_000:
+                if len(seen) > 600_000:
                     yield out(seen)
                     seen = Counter()
     yield out(seen)
@@ -424,8 +439,18 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """The whole count table (word, shape, n), and the bounded part that tasks hold."""
     table = stage(docs.mapInArrow(_count, "word binary, shape int, n long")
                   .groupBy("word", "shape").agg(F.sum("n").alias("n")), "lm-counts")
-    head = [(bytes(r["word"]), r["n"]) for r in table.where(F.length("word") <= HEAD_BYTES)
-            .orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    # the head: words from a frequency band up, so that at most HEAD rows leave the executors
+    short = table.where(F.length("word") <= HEAD_BYTES).withColumn("band", F.floor(F.log2("n") * 64))
+    bands = sorted(((r["band"], r["v"]) for r in short.groupBy("band").agg(  # some 4,000 at most
+        F.count(F.lit(1)).alias("v")).collect()), reverse=True)
+    kept, least = 0, None
+    for band, n in bands:
+        kept += n
+        if kept > HEAD:
+            break
+        least = band
+    rows = short.where(F.col("band") >= least).select("word", "n").collect() if least is not None else []
+    head = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
     direct = {w for w, _ in head[:DIRECT]}
     sums = {r["shape"]: [r["n"], r["v"]] for r in table.groupBy("shape").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
