@@ -49,3 +49,13 @@ def test_no_cartesian_or_unexpected_nested_loops(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_medians_are_rank_based():
+    """No aggregate that holds every distinct value of a group in one buffer."""
+    import pathlib
+    root = pathlib.Path(E.__file__).parent / "hiresight"
+    for f in root.rglob("*.py"):
+        if "llm" not in f.parts:
+            text = f.read_text()
+            assert not any(x in text for x in ("F.median(", "F.percentile(", "F.percentile_approx(")), f
