@@ -43,7 +43,8 @@ from .common import stage, text_bytes
 LENGTH = 200
 ANCHOR = 64
 SPLIT = 1024  # different segments of one anchor
-SHARD = 2 << 20  # bytes of segments in a shard, about
+SHARD = 1 << 20  # bytes of segments in a shard, about
+SHARDS = 20_000  # tasks at most; beyond, shards grow and their sorting moves to disk
 CHUNK = 1 << 20  # windows whose anchors are found at a time
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -303,7 +304,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     open_ = flags.groupBy("key").agg(F.bool_and("solid").alias("done"), F.sum(F.col("n") + LENGTH).alias("bytes")) \
         .where("not done")
     open_ = stage(open_.select(F.col("key").alias("open"), "bytes"), "sa-open")
-    shards = max(1, int((open_.agg(F.sum("bytes")).first()[0] or 0) // SHARD))
+    shards = min(SHARDS, max(1, int((open_.agg(F.sum("bytes")).first()[0] or 0) // SHARD)))
     rows = leaves.join(open_, F.col("key") == F.col("open"), "left_semi") \
         .join(flags.select(F.col("digest").alias("d"), "solid"), F.col("digest") == F.col("d")) \
         .select("digest", "content", "n", "solid", "key")
