@@ -13,7 +13,7 @@ from .schemas import SCHEMAS, TABLES
 
 
 #: tables that a source may lack; queries then see them empty
-OPTIONAL = {"salaries", "benefits", "employee_counts", "company_specialities", "company_industries"}
+OPTIONAL = {"benefits", "company_specialities", "company_industries"}
 
 
 class JobTables:
