@@ -256,7 +256,7 @@ def _remove(batches):
 
 @F.arrow_udf(T.BinaryType())
 def _compress(texts: pa.Array) -> pa.Array:
-    z = zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=5)
     return pa.array([z.compress(t or b"") for t in texts.to_pylist()], pa.binary())
 
 
