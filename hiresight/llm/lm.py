@@ -42,13 +42,14 @@ from .common import stage, text_bytes
 
 HEAD = 65_536  # words whose counts every task holds
 HEAD_BYTES = 256  # longer words are always joined
-DIRECT = 768  # words modelled one by one
-CLASSES = 20
+DIRECT = 4_096  # words modelled one by one
+CLASSES = 64
 SHAPES = 8
 BUCKETS = 64  # input embeddings shared by all other words
 STATE = 16
-WINDOW = 16
-LANES = 512
+WINDOW = 32
+LANES = 128  # documents trained side by side: with WINDOW, the tokens of one update
+WIDE = 512  # documents scored side by side
 BUFFER = 1 << 22  # tokens laid out at a time
 KNOWN = 400_000  # words a task has looked up
 ROUNDS = 2
@@ -191,12 +192,13 @@ def _sigmoid(a):
     return np.reciprocal(a, out=a)
 
 
-def forward(p, x, start, h, keep=False):
+def forward(p, x, start, h, keep=False, into=None):
     """States after each step; ``h`` is carried in and out. With keep, also what backward needs:
-    per step the state before, both gates, the candidate and its recurrent part."""
+    per step the state before, both gates, the candidate and its recurrent part. ``into``: the
+    gates' input for each token, where the parameters stay the same."""
     t, b = x.shape
     n = STATE
-    a = p["E"][x.ravel()] @ p["Wx"] + p["b"]
+    a = p["E"][x.ravel()] @ p["Wx"] + p["b"] if into is None else into[x.ravel()]
     a = a.reshape(t, b, 3 * n)
     hs = np.empty((t, b, n), np.float32)
     held = [np.empty((t, b, k), np.float32) for k in (n, 2 * n, n, n)] if keep else None
@@ -233,22 +235,25 @@ def _picked(s, at):
 
 
 def _by_class(v, cls):
-    """(class, rows) of the directly modelled targets."""
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(v.n_cls + 1))
+    """(class, rows) of the directly modelled targets; ``cls`` is sorted."""
+    ends = np.searchsorted(cls, np.arange(v.n_cls + 1))
     for c in range(v.n_cls):
         if ends[c + 1] > ends[c]:
-            yield c, order[ends[c]:ends[c + 1]]
+            yield c, slice(ends[c], ends[c + 1])
 
 
 def log_probs(p, v, hs, cls, out):
     """Natural log-probability of each target; of shape-class targets only the class's."""
+    order = np.argsort(cls, kind="stable")
+    hs, cls, out = hs[order], cls[order], out[order]
     res = _picked(hs @ p["C"] + p["cb"], cls)[0].astype(np.float64)
     for c, rows in _by_class(v, cls):
         lo, hi = v.first[c], v.first[c + 1]
         if hi - lo > 1:
             res[rows] += _picked(hs[rows] @ p["W"][lo:hi].T + p["wb"][lo:hi], out[rows] - lo)[0]
-    return res
+    back = np.empty_like(res)
+    back[order] = res
+    return back
 
 
 def gradients(p, v, x, cls, out, ok, start, h):
@@ -258,6 +263,7 @@ def gradients(p, v, x, cls, out, ok, start, h):
     hs, h_out, held = forward(p, x, start, h, keep=True)
     flat = hs.reshape(t * b, n)
     rows = np.flatnonzero(ok.ravel())
+    rows = rows[np.argsort(cls.ravel()[rows], kind="stable")]
     hr, cr, wr = flat[rows], cls.ravel()[rows], out.ravel()[rows]
     g = {k: np.zeros_like(a) for k, a in p.items()}
     logs, soft, total, at = _picked(hr @ p["C"] + p["cb"], cr)
@@ -340,12 +346,13 @@ def train(p, v, docs, memory):
 
 def score(p, v, docs) -> np.ndarray:
     """Natural log-likelihood per document; shape-class words contribute their class only."""
-    x, c, w, doc, start = lanes(v.lookup(), docs, LANES)
+    x, c, w, doc, start = lanes(v.lookup(), docs, WIDE)
+    into = p["E"] @ p["Wx"] + p["b"]
     total, h = np.zeros(len(docs)), np.zeros((x.shape[1], STATE), np.float32)
     for i in range(0, len(x), WINDOW):
         j = slice(i, i + WINDOW)
         live = (doc[j] >= 0).any(axis=0)
-        hs, h2, _ = forward(p, x[j][:, live], start[j][:, live], h[live])
+        hs, h2, _ = forward(p, x[j][:, live], start[j][:, live], h[live], into=into)
         h[live] = h2
         d = doc[j][:, live].ravel()
         ok = np.flatnonzero(d >= 0)

@@ -149,6 +149,19 @@ def test_probabilities_sum_to_one():
     assert np.exp(lp).sum() == pytest.approx(1, rel=1e-5)
 
 
+def test_words_of_lower_rank_follow_their_context():
+    words = [b"w%d" % i for i in range(6000)]  # one shape
+    v = lm.Vocabulary([(b"", 9000)] + [(w, 7000 - i) for i, w in enumerate(words)], 10 ** 8, 6001, {0: (10 ** 6, 1906)})
+    k, p = v.lookup(), lm.initial(v)
+    ids = k.encode(words[:4095])
+    assert len(set(k.ins[ids])) == 4095  # each has its own input
+    h = np.random.default_rng(0).normal(size=(2, lm.STATE)).astype(np.float32)
+    a, b = (lm.log_probs(p, v, np.repeat(x[None], 4095, 0), k.cls[ids], k.out[ids]) for x in h)
+    for c in np.unique(k.cls[ids]):  # within a class, too, the state moves each word by its own factor
+        own = (a - b)[k.cls[ids] == c]
+        assert len(np.unique(np.round(own, 7))) > 0.9 * len(own)
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 60)  # most words take the joined way
     monkeypatch.setattr(lm, "DIRECT", 30)
