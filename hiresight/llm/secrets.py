@@ -7,11 +7,13 @@ alphabet: chi-squared uniformity of the characters (Wilson-Hilferty normal score
 runs above and below the middle of the alphabet, and lag-1 serial correlation. The sum of the
 three squared scores has three degrees of freedom and gives the token's randomness p.
 
-Ordinary long words (one letter case, letters only) are the null population: within a length
-class, the share of words that look at least as random is the token's empirical p-value, and
-Benjamini-Hochberg over the class's tokens keeps the share of false discoveries below ``fdr``.
-Short classes, where the tests have no power, so accept nothing. Counts are kept on a grid of
-``BINS`` randomness values, so only classes x bins rows are ever gathered.
+The null population is ordinary text written as a long token: every document gives one run of its
+own short words and numbers per length class, glued as each encoding would hold them (camel case,
+paths, identifiers, folded into the smaller alphabets), the encoding dealt by hash. Within a length
+class and encoding, the share of these that look at least as random is a token's empirical p-value,
+and Benjamini-Hochberg over the group's tokens keeps the share of false discoveries below ``fdr``.
+Where the tests have no power, nothing is accepted. Counts are kept on a grid of ``BINS``
+randomness values, so only classes x encodings x bins rows are ever gathered.
 
 Only DataFrame functions; no text is shuffled. Defined cases: a null or empty text has no spans;
 repeated rows are scanned separately; an empty table gives an empty result; other columns are
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import PRE, stage
 from .spans import joined, locate, numbered
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -45,6 +47,9 @@ ALPHABETS = {
 }
 CLASSES = [20, 24, 32, 40, 64, 128]  # lower ends of the length classes
 BINS = 200
+#: what the null tokens are made of: whole words and numbers, no parts of longer tokens
+ORDINARY = r"(?<![A-Za-z0-9+/_-])(?:[A-Z]?[a-z]{1,15}|[A-Z]{2,15}|[0-9]{1,4})(?![A-Za-z0-9+/_-])"
+TESTED = ["hex", "HEX", "base32", "alnum", "base64", "base64url", "mixed"]
 
 
 def _encoding(m: Column) -> Column:
@@ -69,7 +74,7 @@ _ERFC = ("((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.28449673
 
 
 def _tested(df: DataFrame) -> DataFrame:
-    """tokens: array<struct<s, e, enc, n, a, x>> -> tested: array<struct<s, e, word, cls, bin>>."""
+    """tokens: array<struct<s, e, enc, n, a, x>> -> tested: array<struct<s, e, word, enc, cls, bin>>."""
     codes = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n,
         cast(char_length(t.a) as double) as k,
         aggregate(split(t.a, ''), 0L, (v, c) -> v + if(c = '', 0L,
@@ -90,13 +95,13 @@ def _tested(df: DataFrame) -> DataFrame:
         if(t.n1 * t.n2 = 0, 99D, (t.runs - (2D * t.n1 * t.n2 / t.n + 1))
             / sqrt(greatest(2D * t.n1 * t.n2 * (2D * t.n1 * t.n2 - t.n) / (1D * t.n * t.n * (t.n - 1)), 0.01D))) as z2,
         if(t.r.v = 0, 99D, (t.r.c / t.r.v + 1D / t.n) * sqrt(t.n)) as z3))""")
-    p = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc in ('lower', 'upper') as word, t.n as n,
+    p = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc in ('lower', 'upper') as word, t.enc as enc, t.n as n,
         t.z1 * t.z1 + t.z2 * t.z2 + t.z3 * t.z3 as q))""")
-    p2 = F.expr("transform(tokens, t -> struct(t.s as s, t.e as e, t.word as word, t.n as n, t.q as q, "
+    p2 = F.expr("transform(tokens, t -> struct(t.s as s, t.e as e, t.word as word, t.enc as enc, t.n as n, t.q as q, "
                 "1 / (1 + 0.3275911D * sqrt(t.q / 2)) as u))")
     erfc = _ERFC.replace("u", "t.u").replace("-q", "-t.q")
     cls = "case " + " ".join(f"when t.n >= {c} then {i}" for i, c in reversed(list(enumerate(CLASSES)))) + " end"
-    fin = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.word as word, {cls} as cls,
+    fin = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.word as word, t.enc as enc, {cls} as cls,
         cast(least(greatest(floor({BINS} * ({erfc} + sqrt(2 * t.q / pi()) * exp(-t.q / 2))), 0), {BINS - 1}) as int)
             as bin))""")
     for step in (codes, sums, serial, scores, p, p2, fin):
@@ -104,6 +109,40 @@ def _tested(df: DataFrame) -> DataFrame:
     return df
 
 
+def _null(text: str) -> Column:
+    """array<struct<s, e, m, enc, n>>: the document's ordinary words as one token per length class."""
+    glued = {
+        "hex": "translate(lower(array_join({w}, '')), 'ghijklmnopqrstuvwxyz', '0123456789abcdef0123')",
+        "HEX": "translate(upper(array_join({w}, '')), 'GHIJKLMNOPQRSTUVWXYZ', '0123456789ABCDEF0123')",
+        "base32": "translate(upper(array_join({w}, '')), '0189', '2345')",
+        "alnum": "array_join(transform({w}, y -> concat(upper(substr(y, 1, 1)), substr(y, 2))), '')",
+        "base64": "array_join({w}, '/')",
+        "base64url": "array_join({w}, '_')",
+        "mixed": "array_join(transform({w}, (y, i) -> concat(y, if(i % 2 = 0, '-', '/'))), '')",
+    }
+    w = "slice(c.w, c.at, c.n)"
+    m = "case c.enc " + " ".join(f"when '{k}' then {x.format(w=w)}" for k, x in glued.items()) + " end"
+    kinds = ", ".join(f"'{k}'" for k in TESTED)
+    low, wide = ", ".join(map(str, CLASSES)), ", ".join(
+        str(b - a) for a, b in zip(CLASSES, CLASSES[1:] + [2 * CLASSES[-1]]))
+    # length, encoding and first word by hash; a text with too few words gives none of that length
+    lengths = (f"transform(array({low}), (l, i) -> struct(l + pmod(xxhash64({text}, i, 'n'), array({wide})[i]) as n,"
+               f" array({kinds})[cast(pmod(xxhash64({text}, i, 'e'), {len(TESTED)}) as int)] as enc,"
+               f" xxhash64({text}, i) as h))")
+    placed = (f"transform({lengths}, c -> struct(cast(c.n as int) as n, c.enc as enc, {PRE}w as w,"
+              f" cast(pmod(c.h, greatest(size({PRE}w) - c.n div 3, 1)) as int) + 1 as at))")
+    made = f"transform({placed}, c -> struct(0 as s, 0 as e, substr({m}, 1, c.n) as m, c.enc as enc, cast(c.n as bigint) as n))"
+    return F.expr(f"filter({made}, c -> char_length(c.m) = c.n)")
+
+
+def null_tokens(docs: DataFrame) -> DataFrame:
+    """(tokens): the tested null tokens of each document."""
+    df = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.withColumn(f"{PRE}w", F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)))
+    df = df.select(_null("text").alias("tokens"))
+    return _tested(df.withColumn("tokens", F.transform("tokens", lambda t: t.withField("a", _alphabet(t["enc"])))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, assign, access, hex, tokens): base spans and the tested tokens of each document."""
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -120,30 +159,32 @@ def candidates(docs: DataFrame) -> DataFrame:
     return _tested(df).withColumns(bare)
 
 
-def cutoffs(found: DataFrame, fdr: float) -> DataFrame:
-    """(cls, cut): the lowest randomness bin that a length class accepts. At most
-    classes x 2 x BINS rows are gathered from the documents."""
-    hist = found.select(F.explode("tokens").alias("t")).groupBy("t.cls", "t.bin").agg(
-        F.count_if("t.word").alias("words"), F.count_if(~F.col("t.word")).alias("tokens"))
-    down = Window.partitionBy("cls").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("cls")
+def cutoffs(found: DataFrame, null: DataFrame, fdr: float) -> DataFrame:
+    """(cls, enc, cut): the lowest randomness bin that a length class accepts of an encoding. At
+    most classes x encodings x BINS rows are gathered from the documents."""
+    tokens = found.select(F.explode("tokens").alias("t")).where("not t.word").select("t.*", F.lit(1).alias("own"))
+    made = null.select(F.explode("tokens").alias("t")).select("t.*", F.lit(0).alias("own"))
+    hist = tokens.unionByName(made).groupBy("cls", "enc", "bin").agg(
+        F.sum(1 - F.col("own")).alias("words"), F.sum("own").alias("tokens"))
+    down = Window.partitionBy("cls", "enc").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("cls", "enc")
     tail = hist.select(
-        "cls", "bin", F.sum("tokens").over(down).alias("passed"), F.sum("tokens").over(every).alias("m"),
+        "cls", "enc", "bin", F.sum("tokens").over(down).alias("passed"), F.sum("tokens").over(every).alias("m"),
         ((F.sum("words").over(down) + 1) / (F.sum("words").over(every) + 1)).alias("p0"))
     ok = (F.col("passed") > 0) & (F.col("m") * F.col("p0") <= fdr * F.col("passed"))
-    return tail.where(ok).groupBy("cls").agg(F.min("bin").alias("cut"))
+    return tail.where(ok).groupBy("cls", "enc").agg(F.min("bin").alias("cut"))
 
 
 def scan(docs: DataFrame, fdr: float = 0.1) -> DataFrame:
     """One row per document: base counts and spans, and all spans with the random tokens."""
     found = stage(candidates(docs), "secret-candidates")
-    cut = {r["cls"]: r["cut"] for r in cutoffs(found, fdr).collect()}  # one row per length class
+    cut = {(r["cls"], r["enc"]): r["cut"] for r in cutoffs(found, null_tokens(docs), fdr).collect()}  # one row a group
     base = F.concat(numbered("assign", 0), numbered("access", 1), numbered("hex", 2))
 
     def passes(t):
         limit = F.lit(BINS)
-        for cls, c in cut.items():
-            limit = F.when(t["cls"] == cls, F.lit(c)).otherwise(limit)
+        for (cls, enc), c in cut.items():
+            limit = F.when((t["cls"] == cls) & (t["enc"] == enc), F.lit(c)).otherwise(limit)
         covered = F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
         return ~t["word"] & (t["bin"] >= limit) & ~covered
 

@@ -101,6 +101,31 @@ def test_random_tokens_are_found_and_words_left(spark):
         assert text[i][a:b] == planted[i]
 
 
+def test_long_keys_are_found_in_prose(spark):
+    r = random.Random(8)
+    prose = ("the people of this town were told that a new road would be built near the old mill and many of them "
+             "came to the hall to hear what it might cost and who was going to pay for it in 2014 or later").split()
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, planted = [], {}
+    for i in range(900):
+        words = [r.choice(prose) for _ in range(150)]
+        words[50] = r.choice(["/", "_", "-"]).join(r.choice(prose) for _ in range(r.randint(6, 14)))
+        if i % 6 == 0:
+            planted[i] = words[20] = "".join(r.choice(alnum + "+/" * (i % 4 // 2)) for _ in range([32, 40, 64][i // 6 % 3]))
+        rows.append((i, " ".join(words)))
+    out = {x["doc_id"]: x["spans"] for x in secrets.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text, hit, false = dict(rows), {32: 0, 40: 0, 64: 0}, 0
+    for i, spans in out.items():
+        for x in filter(None, spans.split(",")):
+            a, b = map(int, x.split(":")[1:])
+            if text[i][a:b] == planted.get(i):
+                hit[b - a] += 1
+            else:
+                false += 1
+    assert min(hit.values()) >= 40 and false <= 0.1 * sum(hit.values()) + 3  # 50 of each
+
+
 def test_pii_base_spans(docs, texts):
     rows = pii.scan(docs).collect()
     _same(rows, texts, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"], brute_pii)
