@@ -2,11 +2,13 @@
 
 Base spans come from four patterns with their checks (octets, Luhn, digit counts). Generators
 propose wider, overlapping candidates of the same kinds: addresses with a spelled-out or spaced
-at sign, dotted number groups, long digit chains, telephone-like numbers without a plus. Format
-features (digits, separators, groups, Luhn, ...) and context features (cue words and characters
-around the span) go into gradient-boosted trees, one small model per kind. They learn from the
-candidates whose nature is known: those equal to a base span against those that the base checks
-refuse. Training takes a documented bound of ``TRAIN`` candidates per kind, drawn by hash; another
+at sign, dotted number groups, long digit chains, telephone-like numbers without a plus. Context
+features (cue words and characters around the span) and format features that don't hold the base
+checks (groups and separators of the candidate written the usual way) go into gradient-boosted
+trees, one small model per kind. They learn from the candidates whose nature is known: those equal
+to a base span against those known to be something else (``_other``: Luhn failures, impossible
+octets, dates, number tables, prose). All other candidates, such as spelled-out addresses and
+numbers without a plus, carry no label and are the ones that may be added. Training takes a documented bound of ``TRAIN`` candidates per kind, drawn by hash; another
 ``TRAIN`` are held out, and the threshold of a kind is the lowest score at which at most ``alpha``
 of the refused held-out candidates pass. Trees become one SQL expression, so scoring needs no
 exploding, shuffling or Python; a candidate above its threshold that overlaps no base span is
@@ -39,7 +41,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: the wider generators
 WIDE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?"
-             r"[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
+             r"[A-Za-z0-9-]++(?:(?:(?:\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)++"
+             r"|(?:\x20?\.\x20?[A-Za-z0-9-]++)++)",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\x20?\.\x20?[0-9]++){3}+",
     "card": r"[0-9](?:[\x20.-]?+[0-9]){11,}+",
     "phone": r"(?:\+|\(|\b00)?[0-9][\x20()./0-9-]{6,40}[0-9]",
@@ -47,8 +50,8 @@ WIDE = {
 CONTEXT = 24
 TRAIN = 20_000
 ROUNDS, DEPTH = 10, 3
-FEATURES = ["length", "digits", "letters", "marks", "spaces", "groups", "plus", "longest", "luhn", "octets",
-            "cue_mail", "cue_phone", "cue_card", "cue_net", "glued_before", "glued_after"]
+FEATURES = ["letters", "marks", "groups", "longest", "cue_mail", "cue_phone", "cue_card", "cue_net",
+            "glued_before", "glued_after"]
 
 
 def _luhn(m: Column) -> Column:
@@ -76,23 +79,46 @@ def _valid(kind: str):
     }[kind]
 
 
-def _features(c: Column, before: Column, after: Column) -> list[Column]:
-    m = c["m"]
+def _other(kind: str, m: Column) -> Column:
+    """Whether a wide candidate is known not to be of its kind."""
+    return {
+        # prose: a bare "at" before plain dots, or the end of a sentence
+        "email": ~m.rlike(r"@|\(at\)|\[at\]|\(dot\)|\[dot\]") | m.rlike(r"[^ ]\. ") | ~m.rlike("[A-Za-z]{2,}$"),
+        "ip": ~_octets(m) | m.rlike(r"[0-9]\. "),
+        "card": ~_digits(m).between(13, 19) | ~_luhn(m) | m.rlike(r"^[0-9]+\.[0-9]+$"),
+        # dates, ranges of years, thousands, tables of small or many numbers
+        "phone": ~_digits(m).between(9, 15) | m.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])")
+        | m.rlike(r"(?<![0-9])[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9])")
+        | m.rlike(r"^(?:(?:19|20)[0-9]{2}[^0-9]+)+(?:19|20)[0-9]{2}$") | m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$")
+        | ~m.rlike("[0-9]{2}") | m.rlike("^[^0-9]*(?:[0-9]+[^0-9]+){7}"),
+    }[kind]
+
+
+def _usual(kind: str, m: Column) -> Column:
+    """The candidate as a base span would be written, without what only base spans have."""
+    if kind == "email":
+        at = F.regexp_replace(m, r"\x20?(?:\(at\)|\[at\]|@)\x20?|\x20at\x20", "@")
+        return F.regexp_replace(F.regexp_replace(at, r"\(dot\)|\[dot\]", "."), r"\x20", "")
+    if kind == "phone":
+        return F.regexp_replace(m, r"^(?:\+|00)\x20?", "")
+    return F.regexp_replace(m, r"\x20?\.\x20?", ".") if kind == "ip" else F.regexp_replace(m, r"[\x20.-]", " ")
+
+
+def _features(kind: str, c: Column, before: Column, after: Column) -> list[Column]:
+    m = _usual(kind, c["m"])
     cue = lambda words: F.lower(before).rlike(words).cast("double")
     parts = F.filter(F.split(m, "[^0-9]+"), lambda x: x != "")
     return [x.cast("double") for x in (
-        F.char_length(m), _digits(m), F.char_length(F.regexp_replace(m, "[^A-Za-z]", "")),
-        F.char_length(F.regexp_replace(m, "[^.()/@-]", "")), F.char_length(F.regexp_replace(m, "[^ ]", "")),
-        F.size(parts), m.startswith("+"),
-        F.coalesce(F.array_max(F.transform(parts, F.char_length)), F.lit(0)),
-        _luhn(m), _octets(F.regexp_replace(m, "[^0-9.]", "")),
+        F.char_length(F.regexp_replace(m, "[^A-Za-z]", "")), F.char_length(F.regexp_replace(m, "[^.()/@-]", "")),
+        F.size(parts), F.coalesce(F.array_max(F.transform(parts, F.char_length)), F.lit(0)),
         cue("mail|contact|write|@"), cue("tel|phone|call|fax|mobile|whatsapp"),
         cue("card|visa|iban|account|payment"), cue(r"\bip\b|host|server|address"),
         before.rlike(r"[\p{L}\p{N}]$"), after.rlike(r"^[\p{L}\p{N}]"))]
 
 
 def candidates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Base spans per kind (``email`` ...) and candidates (``c_email`` ...: s, e, known, f)."""
+    """Base spans per kind (``email`` ...) and candidates (``c_email`` ...: s, e, known, over,
+    other, f)."""
     keep = keep or ["doc_id"]
     df = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(f"{PRE}text"))
     t = f"{PRE}text"
@@ -106,11 +132,16 @@ def candidates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             before = F.substring(F.col(t), F.greatest(c["s"] - CONTEXT + 1, F.lit(1)),
                                  F.least(c["s"], F.lit(CONTEXT)))
             after = F.substring(F.col(t), c["e"] + 1, F.lit(1))
-            # one candidate is the base span, refused by the checks, or overlaps without being it
+            # one candidate is the base span, overlaps without being it, is known to be something
+            # else (by itself, or as it covers a base span of another kind), or may be added
             same = F.exists(k, lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
             over = F.exists(k, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+            other = _other(k, c["m"])
+            for kind in KINDS:
+                if kind != k:
+                    other = other | F.exists(kind, lambda b: (b["s"] >= c["s"]) & (b["e"] <= c["e"]))
             return F.struct(c["s"].alias("s"), c["e"].alias("e"), same.alias("known"), over.alias("over"),
-                            F.array(*_features(c, before, after)).alias("f"))
+                            other.alias("other"), F.array(*_features(k, c, before, after)).alias("f"))
         return F.transform(f"c_{k}", one)
 
     return df.withColumns({f"c_{k}": described(k) for k in KINDS})
@@ -140,7 +171,7 @@ def fit(found: DataFrame, alpha: float) -> dict[str, tuple[str, float]]:
     for k in KINDS:
         c = found.select(F.lit(k).alias("kind"), F.explode(f"c_{k}").alias("c")).select("kind", "c.*")
         rows = c if rows is None else rows.union(c)
-    rows = rows.where("known or not over").withColumn("y", F.col("known").cast("double")) \
+    rows = rows.where("known or (other and not over)").withColumn("y", F.col("known").cast("double")) \
         .withColumn("h", F.xxhash64("kind", "f", "s", "e"))
     n = {(r["kind"], r["y"]): r["n"] for r in rows.groupBy("kind", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     models = {}
@@ -175,7 +206,7 @@ def _spans(found: DataFrame, models: dict) -> DataFrame:
     for k in KINDS:
         if k in models:
             score, cut = models[k]
-            df = df.withColumn(f"a_{k}", F.expr(f"filter(c_{k}, x -> ({score}) > {cut!r}D)"))
+            df = df.withColumn(f"a_{k}", F.expr(f"filter(c_{k}, x -> not x.other and ({score}) > {cut!r}D)"))
         else:
             df = df.withColumn(f"a_{k}", F.expr(f"slice(c_{k}, 1, 0)"))
         df = df.withColumn(f"a_{k}", F.filter(f"a_{k}", lambda c: ~F.exists(

@@ -131,6 +131,32 @@ def test_pii_base_spans(docs, texts):
     _same(rows, texts, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"], brute_pii)
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    r = random.Random(9)
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 10))) + r.choice(["", "", d(1), d(2)])
+    rows, want = [], {}
+    for i in range(900):
+        t = (f"please call +1 {d(3)} {d(3)} {d(4)} or mail {word()}@{word()}.com and note 2014-0{i % 9 + 1}-12 10:00 then "
+             f"look at {word()}.that or 1 2 3 4 5 6 7 8 9 {d(1)} in rows {d(3)}.456.789.101 of it")
+        if i % 30 == 0:
+            new = [("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", "00 44 20 7946 0958"),
+                   ("email", "jane (at) example (dot) com")][i // 30 % 3]
+            t += f". Now {'call' if new[0] == 'phone' else 'mail'} {new[1]} please"
+            want[i] = f"{new[0]}:{t.index(new[1])}:{t.index(new[1]) + len(new[1])}"
+        rows.append((i, t))
+    return spark.createDataFrame(rows, "doc_id long, text string"), want
+
+
+def test_pii_in_other_forms_is_found(planted):
+    df, want = planted
+    out = {x["doc_id"]: x["spans"].split(",") for x in pii.scan(df).collect()}
+    missed = [i for i in want if want[i] not in out[i]]
+    extra = sum(len(x) - 2 for x in out.values()) - len(want)
+    assert not missed and extra <= 5
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark):
     df = spark.createDataFrame(
         [(1, "write a@b.co or +1 555 010 9999 é", "k"), (2, None, "k"), (3, "clean", None)],
