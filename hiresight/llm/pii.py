@@ -8,9 +8,10 @@ checks (groups and separators of the candidate written the usual way) go into gr
 trees, one small model per kind. They learn from the candidates whose nature is known: those equal
 to a base span against those known to be something else (``_other``: Luhn failures, impossible
 octets, dates, number tables, prose). All other candidates, such as spelled-out addresses and
-numbers without a plus, carry no label and are the ones that may be added. Training takes a documented bound of ``TRAIN`` candidates per kind, drawn by hash; another
-``TRAIN`` are held out, and the threshold of a kind is the lowest score at which at most ``alpha``
-of the refused held-out candidates pass. Trees become one SQL expression, so scoring needs no
+numbers without a plus, carry no label and are the ones that may be added. Training takes a documented bound of ``TRAIN`` candidates per kind, drawn by hash, half of either
+class; the threshold of a kind is the lowest score at which at most ``alpha`` of all its refused
+candidates outside the training part pass (of none, everything passes). A kind whose training part
+lacks a class scores everything 0, so it adds only where nothing was refused. Trees become one SQL expression, so scoring needs no
 exploding, shuffling or Python; a candidate above its threshold that overlaps no base span is
 added, base spans always stay.
 
@@ -25,9 +26,10 @@ import re
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import bucket
 from .common import PRE, stage
 from .spans import joined, locate, numbered
 
@@ -164,40 +166,50 @@ def _tree_sql(debug: str, var: str) -> str:
     return node(0)[0]
 
 
+def _exact_cuts(scores: DataFrame, alpha: float) -> dict[str, float]:
+    """kind -> the lowest of its scores that at most ``alpha`` of them exceed. Scores are counted
+    per bucket; only the bucket that holds the place is ordered."""
+    down = Window.partitionBy("kind").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = scores.groupBy("kind", bucket(F.col("score")).alias("b"), "score").agg(F.count(F.lit(1)).alias("n"))
+    total = counted.groupBy("kind", "b").agg(F.sum("n").alias("t"))  # some thousand buckets at most
+    hit = total.select("kind", "b", (F.sum("t").over(down) - F.col("t")).alias("above"), "t",
+                       F.floor(F.sum("t").over(Window.partitionBy("kind")) * F.lit(alpha)).alias("may")) \
+        .where("above <= may and may < above + t")
+    inside = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    got = counted.join(hit, ["kind", "b"]).withColumn("upto", F.col("above") + F.sum("n").over(inside)) \
+        .where("upto - n <= may and may < upto").select("kind", "score").collect()  # one row a kind
+    return {r["kind"]: r["score"] for r in got}
+
+
 def fit(found: DataFrame, alpha: float) -> dict[str, tuple[str, float]]:
-    """kind -> (score expression over candidate x, threshold). Kinds without both known and
-    refused candidates learn nothing and add nothing."""
+    """kind -> (score expression over candidate x, threshold)."""
     rows = None
     for k in KINDS:
-        c = found.select(F.lit(k).alias("kind"), F.explode(f"c_{k}").alias("c")).select("kind", "c.*")
+        c = found.select(F.lit(k).alias("kind"), F.explode(f"c_{k}").alias("x")).select("kind", "x")
         rows = c if rows is None else rows.union(c)
-    rows = rows.where("known or (other and not over)").withColumn("y", F.col("known").cast("double")) \
-        .withColumn("h", F.xxhash64("kind", "f", "s", "e"))
+    rows = rows.where("x.known or (x.other and not x.over)").withColumn("y", F.col("x.known").cast("double")) \
+        .withColumn("u", F.pmod(F.xxhash64("kind", "x.f", "x.s", "x.e"), F.lit(1 << 20)) / float(1 << 20))
     n = {(r["kind"], r["y"]): r["n"] for r in rows.groupBy("kind", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    models = {}
+    share = F.lit(0.0)  # at most half of a class trains
+    for (k, y), m in n.items():
+        share = F.when((F.col("kind") == k) & (F.col("y") == y), min(0.5, TRAIN / 2 / m)).otherwise(share)
+    rows = rows.withColumn("train", F.col("u") < share)
+    own = stage(rows.where("train").select("kind", "y", "x.f"), "pii-sample")
+    seen = {(r["kind"], r["y"]) for r in own.select("kind", "y").distinct().collect()}
+    scores = {}
     for k in KINDS:
-        if min(n.get((k, 0.0), 0), n.get((k, 1.0), 0)) < 20:
+        if not {(k, 0.0), (k, 1.0)} <= seen:
+            scores[k] = "0D"
             continue
-        total = n[k, 0.0] + n[k, 1.0]
-        share = min(1.0, 2 * TRAIN / total)
-        # by hash: the first part trains, the second is held out
-        u = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
-        own = stage(rows.where((F.col("kind") == k) & (u < share)).select(
-            "f", "y", (u < share / 2).alias("train")), "pii-sample")
         cols = [F.col("f")[i].alias(x) for i, x in enumerate(FEATURES)]
         train = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(
-            own.where("train").select("y", *cols)).select("v", "y").coalesce(4)
-        if train.select("y").distinct().count() < 2:
-            continue
+            own.where(F.col("kind") == k).select("y", *cols)).select("v", "y").coalesce(4)
         model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=ROUNDS, maxDepth=DEPTH, seed=7).fit(train)
-        score = " + ".join(f"{w!r}D * {_tree_sql(t.toDebugString, 'x')}"
-                           for w, t in zip(model.treeWeights, model.trees))
-        refused = own.where("not train and y = 0").selectExpr("transform(array(struct(f)), x -> "
-                                                              + score + ")[0] as score")
-        cut = refused.agg(F.percentile_approx("score", 1 - alpha, 100_000)).first()[0]
-        if cut is not None:
-            models[k] = (score, float(cut))
-    return models
+        scores[k] = " + ".join(f"{w!r}D * {_tree_sql(t.toDebugString, 'x')}"
+                               for w, t in zip(model.treeWeights, model.trees))
+    score = "case kind " + " ".join(f"when '{k}' then {x}" for k, x in scores.items()) + " end"
+    cuts = _exact_cuts(rows.where("not train and y = 0").select("kind", F.expr(score).alias("score")), alpha)
+    return {k: (x, cuts.get(k, -1e300)) for k, x in scores.items()}
 
 
 def _spans(found: DataFrame, models: dict) -> DataFrame:

@@ -157,6 +157,23 @@ def test_pii_in_other_forms_is_found(planted):
     assert not missed and extra <= 5
 
 
+def test_pii_threshold_covers_all_refused(planted, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN", 100)  # of 900 known and some 2,700 refused
+    seen = {}
+
+    def cuts(scores, alpha):
+        kept = [tuple(x) for x in scores.collect()]
+        seen.update({k: sorted(s for j, s in kept if j == k) for k, _ in kept})
+        return exact(scores, alpha)
+
+    exact = pii._exact_cuts
+    monkeypatch.setattr(pii, "_exact_cuts", cuts)
+    models = pii.fit(pii.stage(pii.candidates(planted[0]), "pii-test"), 0.002)
+    assert len(seen["phone"]) > 2500 and len(seen["email"]) > 800
+    for k, x in seen.items():
+        assert models[k][1] == x[len(x) - 1 - int(0.002 * len(x))]
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark):
     df = spark.createDataFrame(
         [(1, "write a@b.co or +1 555 010 9999 é", "k"), (2, None, "k"), (3, "clean", None)],
