@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import lm, mixing, packing, pii, quality, rans, sadedup, secrets, simhash, topk
+from . import (covertree, lexical, lm, mixing, packing, pii, preference, quality, rans, sadedup, secrets, simhash,
+               topk)
 
 QUERIES = {f.__name__: f for f in (
     sadedup.op1_suffix_dedup,
@@ -15,8 +16,12 @@ QUERIES = {f.__name__: f for f in (
     quality.op8_quality_rules,
     mixing.op9_mix_sources,
     packing.op10_best_fit_packing,
+    preference.op11_quality_classifier,
+    covertree.op12_hard_negatives,
+    lexical.op13_lexical_search,
 )}
-SQL = {"op3_topk": topk.OP3_SQL, "op9_mix_sources": mixing.OP9_SQL}
+SQL = {"op3_topk": topk.OP3_SQL, "op9_mix_sources": mixing.OP9_SQL, "op12_hard_negatives": covertree.OP12_SQL,
+       "op13_lexical_search": lexical.OP13_SQL}
 
 
 def queries() -> dict:
