@@ -61,6 +61,15 @@ def extract_state_token(c, fallback=None, default: str | None = "Unknown") -> Co
     return F.coalesce(*parts)
 
 
+def extract_state_end(c, company_state, default: str = "Unknown") -> Column:
+    """State code right at the end of a location, else the company's state, else ``default``."""
+    return F.coalesce(regex_group(c, r",\s*([A-Z]{2})$"), col(company_state).cast("string"), F.lit(default))
+
+
+def is_yearly(c) -> Column:
+    return F.upper(F.coalesce(col(c), F.lit(""))) == "YEARLY"
+
+
 def extract_city(c, default: str | None = None) -> Column:
     """Text before the first comma of a location (trimmed in the dashboard form)."""
     e = regex_group(c, CITY_HEAD)

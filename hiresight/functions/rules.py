@@ -169,3 +169,17 @@ STATE_METRO_MAP = [
 ]
 ERROR_BANDS = ([0, 40_000, 70_000, 100_000, 140_000, 200_000, 300_001],
                ["<$40K", "$40K-70K", "$70K-100K", "$100K-140K", "$140K-200K", "$200K+"])
+
+# own stop list: English function words, dropped before word pairs are formed
+STOP_WORDS = """
+a about above after again against all also am an and any are as at be because been before being below
+between both but by can could did do does doing down during each either every few for from further had has
+have having he her here hers him his how if in into is it its itself just may me might more most must my
+neither no nor not now of off on once only or other our ours out over own per same shall she should since so
+some such than that the their theirs them then there these they this those through to too under until up upon
+us very via was we were what when where whether which while who whom whose why will with within without would
+you your yours
+""".split()
+
+# fixed value: description of a requested role of which nothing is known
+ROLE_DEFAULT = "Collaborate with cross-functional teams and support role-specific responsibilities."

@@ -94,3 +94,20 @@ def rule_signals(df: DataFrame, title: str, text: str) -> DataFrame:
                     .when(d.rlike(rules.URGENCY_LOW), "low").otherwise("medium"),
         "tech_role": tech_src.rlike(rules.TECH_ROLE_PATTERN),
     })
+
+
+def role_context(own, responsibilities, focuses) -> Column:
+    """Description of a requested role: the requester's own text if there is one, else a sentence
+    from at most four responsibilities and one from at most three focuses, else a default."""
+    def listed(c, n, head):
+        items = F.array_join(F.transform(F.slice(col(c), 1, n), F.lower), ", ")
+        return F.when(F.size(F.coalesce(col(c), F.array().cast("array<string>"))) > 0, F.concat(F.lit(head), items, F.lit(".")))
+
+    text = F.nullif(F.concat_ws(" ", listed(responsibilities, 4, "Responsible for "), listed(focuses, 3, "Primary focus: ")),
+                    F.lit(""))
+    return F.coalesce(F.nullif(F.trim(F.coalesce(col(own), F.lit(""))), F.lit("")), text, F.lit(rules.ROLE_DEFAULT))
+
+
+def signature(*cols: str) -> Column:
+    """Ten characters that identify a request: md5 of its fields as JSON, in name order."""
+    return F.substring(F.md5(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})), 1, 10)

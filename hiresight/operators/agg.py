@@ -185,3 +185,15 @@ def histogram(df: DataFrame, value: str, bins: int, clip_hi: float | None = None
         F.count(F.lit(1)).alias("n"))
     return g.select("bin", (lo + F.col("bin") * width).alias("bin_low"),
                     (lo + (F.col("bin") + 1) * width).alias("bin_high"), "n")
+
+
+def drop_null_top(df: DataFrame, label: str, value: str, k: int) -> DataFrame:
+    """The k largest (label, value) rows without missing label or value (ties by label)."""
+    return df.select(label, value).na.drop().orderBy(F.col(value).desc(), F.col(label)).limit(k)
+
+
+def distinct_values(df: DataFrame, cols) -> DataFrame:
+    """(column, value, ord): the known values of each column in order, as filter lists show them.
+    The order comes from a range-partitioned sort of the distinct values."""
+    from .mlstages import OrdinalEncoder
+    return OrdinalEncoder(cols=list(cols)).fit(df).tables["codes"].withColumnRenamed("enc", "ord")

@@ -1,5 +1,5 @@
-"""Feature operators: target encoders (global, smoothed, out-of-fold), ordinal codes,
-positional multi-hot matrices and per-key counts, all as grouped DataFrame jobs."""
+"""Feature operators: out-of-fold target encoding, positional multi-hot matrices and per-key
+counts, all as grouped DataFrame jobs. Fitted stages that persist are in ``mlstages``."""
 
 from __future__ import annotations
 
@@ -7,95 +7,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from ..session import write_back
 from .joins import left_join_known
+from .mlstages import lookup_column, smoothed, unpivot
 from .quantiles import agg_by, median
 
 
-def _long(df: DataFrame, key_cols: list[str], cols: list[str], extra: list[str]) -> DataFrame:
-    """Unpivot ``cols`` into (column, value) rows; missing values become 'Unknown'."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                         F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value"))
-                                for c in cols])).alias("_cv")
-    return df.select(*key_cols, *extra, pairs).select(*key_cols, *extra, "_cv.column", "_cv.value")
-
-
-class TargetEncoderModel:
-    def __init__(self, table: DataFrame, global_median: float, cols: list[str], prefix: str = "te_"):
-        self.table, self.global_median, self.cols, self.prefix = table, global_median, cols, prefix
-
-    def transform(self, df: DataFrame, key: str) -> DataFrame:
-        """Adds ``te_<col>`` for each column: the fitted encoding of the row's category, the
-        global median for unseen categories."""
-        lng = _long(df, [key], self.cols, [])
-        enc = (lng.join(self.table, ["column", "value"], "left")
-               .withColumn("enc", F.coalesce("enc", F.lit(self.global_median))))
-        wide = enc.groupBy(key).pivot("column", self.cols).agg(F.first("enc"))
-        wide = wide.select(key, *[F.col(c).alias(self.prefix + c) for c in self.cols])
-        return df.join(wide, key, "left")
-
-
-class TargetEncoder:
-    """Median target encoding with smoothing: w = n / (n + smoothing),
-    enc = w * group median + (1 - w) * global median; groups with n < min_count get the
-    global median. All columns are encoded by one grouped aggregation over the unpivoted
-    (column, value) pairs."""
-
-    def __init__(self, cols, smoothing: float = 40.0, min_count: int = 8, stat: str = "median"):
-        self.cols, self.smoothing, self.min_count, self.stat = list(cols), smoothing, min_count, stat
-
-    def fit(self, df: DataFrame, target: str) -> TargetEncoderModel:
-        d = df.where(F.col(target).isNotNull())
-        g = agg_by(d, [], {"g": median(target)}).first()[0]  # one number
-        lng = _long(d, [], self.cols, [target])
-        stats = agg_by(lng, ["column", "value"], {"m": median(target), "n": F.count(F.lit(1))})
-        w = F.col("n") / (F.col("n") + self.smoothing)
-        enc = F.when(F.col("n") >= self.min_count, w * F.col("m") + (1 - w) * F.lit(g)).otherwise(F.lit(g))
-        return TargetEncoderModel(stats.select("column", "value", enc.alias("enc")), g, self.cols)
-
-
 def split_encodings(df: DataFrame, cols, target: str, fold: str, k: int, smoothing: float = 40.0,
-                    min_count: int = 8) -> tuple[DataFrame, DataFrame]:
+                    min_count: int = 8) -> tuple[DataFrame, dict]:
     """Encoders of all k splits in one job: every row feeds the encoders of the k-1 splits whose
     held-out fold it is not in (explode of a bounded fold list); statistics are grouped by
-    (split, column, value). Returns (encodings: _f, column, value, enc) and (globals: _f, _g)."""
+    (split, column, value). Returns the encodings (column, value, enc: map of split to encoding),
+    written once, and the overall median of each split."""
     cols = list(cols)
     d = df.where(F.col(target).isNotNull())
     others = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda f: f != F.col(fold))
     train = d.select(fold, target, *cols).withColumn("_f", F.explode(others))
-    glob = agg_by(train, "_f", {"_g": median(target)})  # k rows
-    lng = _long(train, ["_f"], cols, [target])
-    stats = agg_by(lng, ["_f", "column", "value"], {"m": median(target), "n": F.count(F.lit(1))})
-    stats = stats.join(F.broadcast(glob), "_f")
-    w = F.col("n") / (F.col("n") + smoothing)
-    stats = stats.select("_f", "column", "value", F.when(
-        F.col("n") >= min_count, w * F.col("m") + (1 - w) * F.col("_g")).otherwise(F.col("_g")).alias("enc"))
-    return stats, glob
-
-
-def apply_split_encoding(df: DataFrame, key: str, cols, stats: DataFrame, glob: DataFrame, split: int,
-                         prefix: str = "te_") -> DataFrame:
-    """Encode every row of ``df`` with the encoder of one split (training rows in-sample, as a
-    pipeline fitted on the training folds would; held-out rows out of fold)."""
-    cols = list(cols)
-    st = stats.where(F.col("_f") == split).drop("_f")
-    g = glob.where(F.col("_f") == split).select("_g")
-    rows = _long(df, [key], cols, [])
-    enc = rows.join(st, ["column", "value"], "left").withColumn("enc", F.coalesce("enc", g.scalar()))
-    wide = enc.groupBy(key).pivot("column", cols).agg(F.first("enc"))
-    return df.join(wide.select(key, *[F.col(c).alias(prefix + c) for c in cols]), key, "left")
+    overall = {r["_f"]: r["_g"] for r in agg_by(train, "_f", {"_g": median(target)}).collect()}  # k numbers
+    stats = agg_by(unpivot(train, cols, ["_f", target]), ["_f", "column", "value"],
+                   {"m": median(target), "n": F.count(F.lit(1))})
+    enc = smoothed(F.col("n"), F.col("m"), split_number(F.col("_f"), overall), smoothing, min_count)
+    wide = (stats.select("column", "value", F.struct("_f", enc.alias("e")).alias("_fe")).groupBy("column", "value")
+            .agg(F.map_from_entries(F.collect_list("_fe")).alias("enc")))  # at most k entries each
+    return write_back(wide, "split-encodings"), overall
+
+
+def split_number(split, numbers: dict) -> "F.Column":
+    """The number of a split (one per split, so a CASE over k values)."""
+    return clean.label_map(split, numbers).cast("double")
+
+
+def apply_split_encodings(df: DataFrame, cols, stats: DataFrame) -> DataFrame:
+    """Adds ``_enc_<col>``: per category column the map of split to encoding, by one lookup join."""
+    for c in cols:
+        df = lookup_column(df, stats, c, f"_enc_{c}", F.lit(None))
+    return df
+
+
+def split_value(c: str, split, overall: dict) -> "F.Column":
+    """The encoding of column ``c`` by one split's encoder (after ``apply_split_encodings``)."""
+    s = split if not isinstance(split, int) else F.lit(split)
+    return F.coalesce(F.try_element_at(f"_enc_{c}", s), split_number(s, overall))
 
 
 def target_encode_oof(df: DataFrame, key: str, cols, target: str, fold: str, k: int,
                       smoothing: float = 40.0, min_count: int = 8, prefix: str = "te_") -> DataFrame:
-    """Out-of-fold encoding in one job: each row reads the encoder of the split that holds its
-    fold out, so a row's own target never reaches its encoding."""
+    """Out-of-fold encoding: each row reads the encoder of the split that holds its fold out, so a
+    row's own target never reaches its encoding."""
     cols = list(cols)
-    stats, glob = split_encodings(df, cols, target, fold, k, smoothing, min_count)
-    rows = _long(df, [key, fold], cols, []).withColumnRenamed(fold, "_f")
-    enc = (rows.join(stats, ["_f", "column", "value"], "left").join(F.broadcast(glob), "_f", "left")
-           .withColumn("enc", F.coalesce("enc", "_g")))
-    wide = enc.groupBy(key).pivot("column", cols).agg(F.first("enc"))
-    return wide.select(key, *[F.col(c).alias(prefix + c) for c in cols])
+    stats, overall = split_encodings(df, cols, target, fold, k, smoothing, min_count)
+    enc = apply_split_encodings(df.select(key, fold, *[c for c in cols if c not in (key, fold)]), cols, stats)
+    return enc.select(key, *[split_value(c, F.col(fold), overall).alias(prefix + c) for c in cols])
 
 
 def label_ranks(bridge: DataFrame, label: str, k: int) -> DataFrame:
@@ -125,18 +87,3 @@ def count_per_key_joined(df: DataFrame, key: str, name: str) -> DataFrame:
     combined map-side; the join side is split by AQE skew handling); null keys give 0."""
     c = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
     return left_join_known(df, c, key).withColumn(name, F.coalesce(name, F.lit(0)))
-
-
-def ordinal_encode(df: DataFrame, cols, suffix: str = "_code") -> DataFrame:
-    """Codes by alphabetical order of the values seen in ``df`` (0-based); missing -> -1."""
-    from pyspark.sql import Window
-    out = df
-    for c in cols:
-        vocab = df.where(F.col(c).isNotNull()).select(c).distinct()
-        codes = vocab.select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).alias(c + suffix))
-        out = out.join(codes, c, "left").withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1)))
-    return out
-
-
-def log_target(c) -> "F.Column":
-    return F.log1p(clean.col(c))

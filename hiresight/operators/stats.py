@@ -249,3 +249,27 @@ def grouped_quantiles(df: DataFrame, group: str, v: str, probs, prefix: str = "q
     """Exact interpolated quantiles of ``v`` per group: (group, q0, q1, ...)."""
     return group_quantiles(df.where(F.col(group).isNotNull()), [group],
                            {f"{prefix}{i}": Quantile(F.col(v), p) for i, p in enumerate(probs)})
+
+
+def split_stratified(df: DataFrame, key: str, y: str, shares: dict[str, float], rest: str, q: int = 8,
+                     seed: int = 7, name: str = "part") -> DataFrame:
+    """Labels every row with a part. In each of the ``q`` equal-frequency bins of ``y`` exactly
+    round(share * rows) rows, those first in hash order, belong to each part of ``shares``, the
+    others to ``rest``. Rows without ``y`` form a bin of their own.
+
+    Positions in (bin, hash) order come from one range-partitioned sort of (key, bin, hash); no
+    task orders a whole bin."""
+    from .mlstages import sorted_positions
+    d = qcut(df.select(key, y), y, q, "_bin").select(key, F.coalesce("_bin", F.lit(-1)).alias("_bin"),
+                                                     hash_order(F.col(key), seed).alias("_h"))
+    d = sorted_positions(d, ["_bin", "_h", key], "_at")
+    bins = d.groupBy("_bin").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))  # q + 1 rows
+    d = d.join(F.broadcast(bins), "_bin")
+    place, part, before = F.col("_at") - F.col("_first"), F.lit(rest), F.lit(0).cast("long")
+    cuts = []
+    for label, share in shares.items():
+        before = before + F.floor(F.lit(share) * F.col("_n") + 0.5)
+        cuts.append((label, before))
+    for label, end in reversed(cuts):
+        part = F.when(place < end, F.lit(label)).otherwise(part)
+    return df.join(d.select(key, part.alias(name)), key)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import agg, stats
+from ..operators import agg, mlstages, stats
 from ..operators.joins import keep_labels
 from ..session import write_back
 from ..sources.tables import JobTables
@@ -132,18 +132,11 @@ def title_terms(t: JobTables) -> DataFrame:
 
 
 def title_svd(t: JobTables, k: int = 25) -> DataFrame:
-    """Truncated SVD of the title TF-IDF matrix (distributed RowMatrix; only the k singular
-    values and the vocabulary x k right factor reach the driver): singular values and the share
-    of squared norm each component carries."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-    vec = title_clusters(t)["vectors"]
-    rows = MLUtils.convertVectorColumnsFromML(vec, "tfidf").select("tfidf").rdd.map(lambda r: r[0])
-    mat = RowMatrix(rows)
-    k = min(k, mat.numCols())
-    svd = mat.computeSVD(k, computeU=False)
-    s = svd.s.toArray()
-    total = vec.count()  # rows are L2-normalised: total squared norm = number of non-empty rows
+    """Truncated SVD of the title TF-IDF matrix: singular values and the share of squared norm each
+    component carries (rows have length 1, so the total is the number of rows with a known term)."""
+    rows = textual.title_clean_rows(t)
+    m = mlstages.TfIdf(col="title_clean", max_features=300, min_df=5, stopwords=True, components=k).fit(rows)
+    total = m.vectors(rows).count()
     return t.spark.createDataFrame([(i + 1, float(v), float(v * v / total) if total else None)
-                                    for i, v in enumerate(s)],
+                                    for i, v in enumerate(m["singular"])],
                                    "component int, singular_value double, norm_share double")

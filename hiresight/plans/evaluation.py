@@ -26,7 +26,7 @@ _CACHE: dict = {}
 
 
 def baseline_oof(t: JobTables) -> DataFrame:
-    """(job_id, fold, actual_salary, pred_salary, segment columns, title, is_cal).
+    """(job_id, fold, actual_salary, pred_salary, segment columns, title, part).
 
     Read by every evaluation step (train/calibration splits, scalar statistics), so it is
     written once per stored table set under the shared checkpoint folder."""
@@ -50,7 +50,7 @@ def _baseline_oof(t: JobTables) -> DataFrame:
         F.coalesce("pay_period", F.lit("Unknown")).alias("pay_period"), "title",
         F.when(F.col("remote_flag") == 1, "Remote").otherwise("Non-remote / unknown").alias("remote_label"))
     d = d.withColumn("salary_band", clean.band("actual_salary", *rules.SALARY_BANDS_MODEL, include_lowest=True))
-    return d.withColumn("is_cal", stats.hash_unit(F.col("job_id"), 7) < 0.2)
+    return stats.split_stratified(d, "job_id", "actual_salary", {"cal": 0.2, "test": 0.2}, "fit")
 
 
 def baseline_metrics(t: JobTables) -> DataFrame:
@@ -67,17 +67,21 @@ def baseline_segment_metrics(t: JobTables) -> DataFrame:
 
 
 def baseline_intervals(t: JobTables) -> DataFrame:
-    """Residual-quantile interval fitted on the training split, conformal interval on the
-    calibration split, both scored on the calibration rows (held out from both fits' roles:
-    residual quantiles never see them)."""
-    d = baseline_oof(t)
-    train, cal = d.where(~F.col("is_cal")), d.where("is_cal")
-    a = evaluate.residual_quantile_interval(train, cal, "actual_salary", "pred_salary", ALPHA)
-    b = evaluate.conformal_interval(cal, cal, "actual_salary", "pred_salary", ALPHA)
+    """Residual-quantile interval from the fit rows and conformal interval from the calibration
+    rows, both scored on the test rows, which neither has seen."""
+    fit, cal, test = (baseline_oof(t).where(F.col("part") == x) for x in ("fit", "cal", "test"))
+    a = evaluate.residual_quantile_interval(fit, test, "actual_salary", "pred_salary", ALPHA)
+    b = evaluate.conformal_interval(cal, test, "actual_salary", "pred_salary", ALPHA)
     cols = ["method", "actual_salary", "lower", "upper"]
     return evaluate.interval_scores(a.select(cols).unionByName(b.select(cols)), "actual_salary", ALPHA)
 
 
+def split_calibration(t: JobTables) -> DataFrame:
+    """The part of every usable posting: 20 % calibration, 20 % test and the rest fit, exactly so in
+    each of eight salary bins."""
+    return baseline_oof(t).select("job_id", "part")
+
+
 def baseline_calibration(t: JobTables) -> DataFrame:
     return evaluate.calibration_deciles(baseline_oof(t), "actual_salary", "pred_salary")
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import features, stats
+from ..operators import agg, features, stats
 from ..operators.joins import latest_per_key, left_join_known
+from ..operators.mlstages import MedianTargetEncoder
 from ..operators.quantiles import Quantile, agg_by
+from ..sources.schemas import TABLES
 from ..sources.tables import JobTables
-from . import market, views
+from . import market, textual, views
 
 TE_COLS = ["state", "title_family", "formatted_experience_level", "primary_industry"]
 SAL = "normalized_salary"
@@ -28,8 +30,8 @@ def kfold_assign(t: JobTables) -> DataFrame:
 
 def target_encoding(t: JobTables) -> DataFrame:
     """Smoothed median encoding (s=40, m=8) fitted on usable rows, applied to all postings."""
-    model = features.TargetEncoder(TE_COLS, smoothing=40.0, min_count=8).fit(usable_rows(t), "y_log")
-    return model.transform(market.market_view(t).select("job_id", *TE_COLS), "job_id").drop(*TE_COLS)
+    model = MedianTargetEncoder(cols=TE_COLS, target="y_log", smoothing=40.0, min_count=8).fit(usable_rows(t))
+    return model.transform(market.market_view(t).select("job_id", *TE_COLS)).drop(*TE_COLS)
 
 
 def target_encoding_oof(t: JobTables) -> DataFrame:
@@ -98,10 +100,10 @@ def location_features(t: JobTables) -> DataFrame:
 
 
 def interactions(t: JobTables) -> DataFrame:
-    """Pairwise category interactions used as encoded features."""
-    m = market.market_view(t).select("job_id", "primary_industry", "formatted_experience_level",
-                                     "remote_flag", "pay_period", "formatted_work_type")
-    d = m.join(location_features(t), "job_id")
+    """Pairwise category interactions used as encoded features (the experience level is the
+    imputed one). The sixth pair, with the title cluster, is in ``salary_features``."""
+    m = market.market_view(t).select("job_id", "primary_industry", "remote_flag", "pay_period", "formatted_work_type")
+    d = m.join(location_features(t), "job_id").join(textual.impute_experience(t), "job_id")
     pay = F.coalesce("pay_period", F.lit("Unknown"))
     return d.select("job_id",
                     clean.interaction("city_loc", "primary_industry").alias("city_industry"),
@@ -135,11 +137,70 @@ def target_encoding_global(t: JobTables) -> DataFrame:
     """The first model's encoding: group median salary over all usable rows (it sees every
     target, so it is only a labelled baseline), fallback the global median, log1p."""
     u = usable_rows(t)
-    model = features.TargetEncoder(TE_COLS, smoothing=0.0, min_count=1).fit(u, SAL)
-    enc = model.transform(market.market_view(t).select("job_id", *TE_COLS), "job_id").drop(*TE_COLS)
+    model = MedianTargetEncoder(cols=TE_COLS, target=SAL, smoothing=0.0, min_count=1).fit(u)
+    enc = model.transform(market.market_view(t).select("job_id", *TE_COLS)).drop(*TE_COLS)
     return enc.select("job_id", *[F.log1p(f"te_{c}").alias(f"te_{c}") for c in TE_COLS])
 
 
 def value_counts_keep_null(t: JobTables) -> DataFrame:
     """Frequency of every experience-level value, missing included."""
     return t.postings.groupBy("formatted_experience_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def multi_hot_specialities(t: JobTables, k: int = 20) -> DataFrame:
+    """The 20 most frequent company specialities as indicators per company."""
+    return features.multi_hot(t.companies, t.company_specialities, "company_id", "speciality", k, "spec_top")
+
+
+def indicator_columns(t: JobTables) -> DataFrame:
+    """(column_name, label, slug): which label each indicator column stands for, and the label's
+    name as an identifier. Columns are named by rank so that the schema does not depend on data."""
+    out = None
+    for bridge, label, k, prefix in ((views.skills_bridge(t), "skill_name", 50, "skill_top"),
+                                     (views.benefits_known(t), "type", 10, "benefit_top"),
+                                     (t.company_specialities, "speciality", 20, "spec_top")):
+        r = features.label_ranks(bridge, label, k).select(
+            F.concat(F.lit(prefix), F.lpad(F.col("rank").cast("string"), 2, "0")).alias("column_name"),
+            F.col(label).alias("label"), clean.slug(label).alias("slug"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def profile_shape(t: JobTables) -> DataFrame:
+    """(table_name, n_rows, n_columns) of every table."""
+    out = None
+    for name in TABLES:
+        df = t.table(name)
+        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows",
+                                                             F.lit(len(df.columns)).alias("n_columns"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def profile_dtypes(t: JobTables) -> DataFrame:
+    """(table_name, position, column_name, data_type): the schemas, without reading any row."""
+    rows = [(n, i, c, d) for n in TABLES for i, (c, d) in enumerate(t.table(n).dtypes)]
+    return t.spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
+
+
+def company_state_location(t: JobTables) -> DataFrame:
+    """State at the end of the location, else the company's (the first model's rule)."""
+    c = t.companies.select("company_id", F.col("state").alias("company_state"))
+    return left_join_known(t.postings.select("job_id", "company_id", "location"), c, "company_id").select(
+        "job_id", clean.extract_state_end("location", "company_state").alias("state_final"))
+
+
+def yearly_salaries(t: JobTables) -> DataFrame:
+    """The yearly-only option of the salary model: usable rows paid per year."""
+    return usable_rows(t).where(clean.is_yearly("pay_period")).select("job_id", SAL, "y_log")
+
+
+def filter_options(t: JobTables) -> DataFrame:
+    """(column, value, ord): the sorted options of the dashboard's filters."""
+    cols = ["formatted_experience_level", "formatted_work_type", "primary_industry", "state", "title_family"]
+    return agg.distinct_values(market.market_view(t).select(*cols), cols)
+
+
+def top_state_salaries(t: JobTables, k: int = 15) -> DataFrame:
+    """The bars of the state chart: the k highest median salaries."""
+    return agg.drop_null_top(market.state_stats(t, 50), "state", "median_salary", k)

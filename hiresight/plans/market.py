@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean, rules
+from ..functions import clean, rules, text
 from ..operators import agg
 from ..operators.joins import attach_lookup, keep_labels, left_join_known
 from ..operators.quantiles import Quantile, agg_by, group_quantiles, median
+from ..session import write_back
 from ..sources.tables import JobTables, with_defaults
 from . import views
 
@@ -198,6 +199,7 @@ def similar_postings(t: JobTables, requests: DataFrame | None = None, min_n: int
     req = requests if requests is not None else requests_from_postings(t)
     u = _usable(t).groupBy(EXPL, "state", "title_family", "remote_flag", SAL,
                            F.lower(F.col("primary_industry")).alias("_ind")).agg(F.count(F.lit(1)).alias("_k"))
+    u = write_back(u, "similar-counts")  # read by every rule
     n = F.char_length("_ind")
     known = u.select("_ind").where(F.col("_ind").isNotNull()).distinct()
     parts = known.select("_ind", F.explode(F.array_distinct(F.flatten(F.transform(
@@ -245,7 +247,7 @@ def package_strength(t: JobTables) -> DataFrame:
                         .when((n >= 3) | (h >= 2), "Standard package").otherwise("Basic package"))
 
 
-def _request_profile(t: JobTables) -> DataFrame:
+def request_profile(t: JobTables) -> DataFrame:
     """Every posting as an estimator request: level, title, state, city, remote flag, company
     size, its named skills and benefit types (per-job sets, bounded by the vocabularies)."""
     m = market_view(t).select("job_id", "title", EXPL, "state", "city", "remote_flag", "company_id")
@@ -260,25 +262,32 @@ def _request_profile(t: JobTables) -> DataFrame:
             .withColumns({"skills": F.coalesce("skills", empty), "benefits": F.coalesce("benefits", empty)}))
 
 
+SCENARIOS = ["current", "one_level_up", "stronger_profile", "remote"]
+
+
 def scenarios(t: JobTables) -> DataFrame:
     """Four variants per request: as is, one level up, stronger profile (three common skills
-    while fewer than 8, three core benefits, at most 8) and remote."""
-    r = _request_profile(t)
+    while fewer than 8, three core benefits, at most 8) and remote, with the names that the stronger
+    profile adds."""
+    r = request_profile(t)
     nxt = clean.label_map(EXPL, rules.NEXT_LEVEL)
     n_sk, n_bn = F.size("skills"), F.size("benefits")
-    miss_sk = sum(F.when(F.array_contains("skills", s), 0).otherwise(1) for s in rules.SCENARIO_SKILLS)
-    miss_bn = sum(F.when(F.array_contains("benefits", b), 0).otherwise(1) for b in rules.SCENARIO_BENEFITS)
-    cap = rules.SCENARIO_CAP
-    strong_sk = n_sk + F.least(F.greatest(F.lit(cap) - n_sk, F.lit(0)), miss_sk)
-    strong_bn = F.least(n_bn + miss_bn, F.lit(cap))
-
-    def v(name, level, nsk, nbn, remote):
+    cap, none = rules.SCENARIO_CAP, F.array().cast("array<string>")
+    more_sk = F.slice(F.array_except(F.array(*[F.lit(x) for x in rules.SCENARIO_SKILLS]), "skills"), F.lit(1),
+                      F.greatest(F.lit(cap) - n_sk, F.lit(0)))
+    # the list with the core benefits is cut at the cap
+    more_bn = F.slice(F.array_except(F.array(*[F.lit(x) for x in rules.SCENARIO_BENEFITS]), "benefits"), F.lit(1),
+                      F.greatest(F.lit(cap) - n_bn, F.lit(0)))
+    strong_bn = F.least(n_bn + F.size(F.array_except(F.array(*[F.lit(x) for x in rules.SCENARIO_BENEFITS]), "benefits")), F.lit(cap))
+
+    def v(name, level, nsk, nbn, remote, sk=none, bn=none):
         return F.struct(F.lit(name).alias("scenario"), level.alias(EXPL), nsk.cast("int").alias("n_skills"),
-                        nbn.cast("int").alias("n_benefits"), remote.cast("int").alias("remote_flag"))
+                        nbn.cast("int").alias("n_benefits"), remote.cast("int").alias("remote_flag"),
+                        sk.alias("added_skills"), bn.alias("added_benefits"))
     variants = F.array(
         v("current", F.col(EXPL), n_sk, n_bn, F.col("remote_flag")),
         v("one_level_up", F.coalesce(nxt, F.col(EXPL)), n_sk, n_bn, F.col("remote_flag")),
-        v("stronger_profile", F.col(EXPL), strong_sk, strong_bn, F.col("remote_flag")),
+        v("stronger_profile", F.col(EXPL), n_sk + F.size(more_sk), strong_bn, F.col("remote_flag"), more_sk, more_bn),
         v("remote", F.col(EXPL), n_sk, n_bn, F.lit(1)))
     return r.select(F.col("job_id").alias("request_id"), F.explode(variants).alias("_v")).select(
         "request_id", "_v.*")
@@ -286,7 +295,7 @@ def scenarios(t: JobTables) -> DataFrame:
 
 def explain_rules(t: JobTables) -> DataFrame:
     """Rule codes that raise or temper each request's estimate (first five of each)."""
-    r = _request_profile(t)
+    r = request_profile(t)
     title = F.lower(F.coalesce("title", F.lit("")))
     lvl, st = F.col(EXPL), F.col("state")
     n_sk, n_bn = F.size("skills"), F.size("benefits")
@@ -313,13 +322,16 @@ def explain_rules(t: JobTables) -> DataFrame:
                     keep(cau).alias("cautions"))
 
 
-def reliability(t: JobTables) -> DataFrame:
-    """Reliability of each usable posting's out-of-fold estimate from its similar-posting set:
+def reliability(t: JobTables, estimates: DataFrame | None = None) -> DataFrame:
+    """Reliability of each estimate (job_id, pred_salary; the baseline's out-of-fold estimates of
+    the usable postings if none are given) from its similar-posting set:
     set size (>=150: 2, >=50: 1), quartile width (<=35k: 2, <=60k: 1), estimate near the
     set median (<= max(10k, 12 %): 1), known city (1), level above Associate (1);
     >= 6 High, >= 4 Medium, else Low."""
-    from .evaluation import baseline_oof
-    pred = baseline_oof(t).select(F.col("job_id").alias("request_id"), "pred_salary")
+    if estimates is None:
+        from .evaluation import baseline_oof
+        estimates = baseline_oof(t)
+    pred = estimates.select(F.col("job_id").alias("request_id"), "pred_salary")
     sim = similar_postings(t)
     req = market_view(t).select(F.col("job_id").alias("request_id"), "city", EXPL)
     d = pred.join(sim, "request_id").join(req, "request_id")
@@ -332,3 +344,22 @@ def reliability(t: JobTables) -> DataFrame:
              + F.when(~F.col(EXPL).isin("Entry level", "Associate"), 1).otherwise(0))
     return d.select("request_id", "n_similar", "pred_salary", "p50", score.alias("score"),
                     F.when(score >= 6, "High").when(score >= 4, "Medium").otherwise("Low").alias("reliability"))
+
+
+def family_benchmark_filtered(t: JobTables) -> DataFrame:
+    """The benchmark under all three interactive filters."""
+    return family_benchmark(t, exp="Mid-Senior level", industry="NATION_1", remote="Remote", min_count=1)
+
+
+def role_contexts(t: JobTables) -> DataFrame:
+    """The description an estimate request gets: assembled from its first skills and benefits."""
+    r = request_profile(t)
+    return r.select(F.col("job_id").alias("request_id"),
+                    text.role_context(F.lit(None).cast("string"), "skills", "benefits").alias("role_context"))
+
+
+def request_signatures(t: JobTables) -> DataFrame:
+    """Ten characters that identify each request's fields."""
+    r = request_profile(t)
+    return r.select(F.col("job_id").alias("request_id"),
+                    text.signature("title", EXPL, "state", "city", "remote_flag", "company_size").alias("signature"))

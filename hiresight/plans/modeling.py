@@ -2,91 +2,56 @@
 ensemble, nested ridge stack, prediction intervals and model diagnostics.
 
 The boosted-tree libraries of the original are replaced by MLlib learners behind one
-interface. Target encodings are fitted inside every split (one job for all splits), the
-out-of-fold predictions are written once to the shared checkpoint folder and every report
+interface. Target encodings are fitted inside every split (one job for all splits); the stages
+that never look at the target are fitted once. The out-of-fold predictions are written once to the shared checkpoint folder and every report
 reads them from there.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import threading
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean, rules
-from ..operators import agg, evaluate, features, stats
-from ..operators.joins import left_join_known
-from ..session import write_back
+from ..functions import clean, text
+from ..operators import evaluate, features, linear, stats
+from ..operators.mlstages import sorted_positions
+from ..session import scratch_path, write_back
+from ..sources import sinks
 from ..sources.tables import JobTables
-from . import evaluation, featureset, market, textual, views
+from . import evaluation, market, salary_features, views
 
 K = 5
-TE_COLS = featureset.TE_COLS
+TE_COLS = salary_features.TE_COLS
 ALPHA = 0.10
+#: the original's search budget per learner and its tree count; the registered queries use less
+FULL_TRIALS = {"gbt": 30, "gbt_deep": 30, "forest": 15}
+FULL_TREES = 700
+FULL_SIZES = tuple(i / 10 for i in range(1, 11))
 
 
-def learners() -> dict:
-    """Three different learners on the log salary (fixed seeds)."""
+def learners(trees: int | None = None) -> dict:
+    """Three different learners on the log salary (fixed seeds); ``trees`` sets all tree counts."""
     return {
-        "gbt": GBTRegressor(maxIter=40, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42),
-        "gbt_deep": GBTRegressor(maxIter=30, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
+        "gbt": GBTRegressor(maxIter=trees or 30, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42),
+        "gbt_deep": GBTRegressor(maxIter=trees or 20, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
                                  featureSubsetStrategy="0.6", seed=7),
-        "forest": RandomForestRegressor(numTrees=50, maxDepth=8, subsamplingRate=0.8, seed=42),
+        "forest": RandomForestRegressor(numTrees=trees or 40, maxDepth=8, subsamplingRate=0.8, seed=42),
     }
 
 
-def job_features(t: JobTables, rows: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Usable salary rows (or the given market-view ``rows``) with model features (no target
-    encodings yet) and the names of the numeric feature columns. Every posting-level table is
-    joined on job_id, every company table on company_id; missing counts are 0."""
-    if rows is None:
-        rows = featureset.usable_rows(t)
-    else:
-        rows = rows.withColumns({"fold": F.lit(-1), "y_log": F.log1p("normalized_salary")})
-    u = rows.select(
-        "job_id", "fold", "y_log", "normalized_salary", "company_id", "remote_flag", "pay_period",
-        "title", "description", *TE_COLS)
-    flags = textual.title_flags(t)
-    skills = featureset.multi_hot_skills(t)
-    bens = featureset.multi_hot_benefits(t)
-    n_sk = agg.nunique_per_key(views.skills_bridge(t), "job_id", "skill_name", "n_skills")
-    n_bn = agg.count_per_key(views.benefits_known(t), "job_id", "n_benefits")
-    emp = featureset.latest_employee_count(t)
-    comp = t.companies.select("company_id", "company_size")
-    cjc = featureset.company_job_count(t)
-    spec = agg.nunique_per_key(t.company_specialities, "company_id", "speciality", "n_specialities")
-    cind = agg.count_per_key(t.company_industries, "company_id", "company_industry_count")
-    d = (u.join(flags, "job_id", "left").join(skills, "job_id", "left").join(bens, "job_id", "left")
-         .join(n_sk, "job_id", "left").join(n_bn, "job_id", "left").join(cjc, "job_id", "left")
-         )
-    for dim in (comp, emp, spec, cind):
-        d = left_join_known(d, dim, "company_id")
-    level = clean.label_map("formatted_experience_level_raw", {v: i for i, v in enumerate(rules.EXPERIENCE_LEVELS)}, -1)
-    d = d.join(t.postings.select("job_id", F.col("formatted_experience_level").alias(
-        "formatted_experience_level_raw")), "job_id", "left")
-    from ..functions import text
-    d = d.withColumns({
-        "exp_level_ord": level.cast("double"),
-        "is_hourly": (F.upper(F.coalesce("pay_period", F.lit(""))) == "HOURLY").cast("double"),
-        "log_employees": clean.log1p_safe("employee_count"),
-        "log_followers": clean.log1p_safe("follower_count"),
-        "follower_ratio": F.coalesce(F.col("follower_count") / (F.col("employee_count") + 1), F.lit(0.0)),
-        "description_len": text.text_length("description").cast("double"),
-        "description_word_count": text.word_count("description").cast("double"),
-    })
-    num = ([n for n, _ in rules.TITLE_FLAGS] + ["title_len", "title_word_count"]
-           + [f"skill_top{i:02d}" for i in range(1, 51)] + [f"benefit_top{i:02d}" for i in range(1, 11)]
-           + ["n_skills", "n_benefits", "company_job_count", "company_size", "n_specialities",
-              "company_industry_count", "remote_flag", "exp_level_ord", "is_hourly", "log_employees",
-              "log_followers", "follower_ratio", "description_len", "description_word_count"])
-    d = d.fillna(0, subset=num)
-    return d.select("job_id", "fold", "y_log", "normalized_salary", *TE_COLS, *[F.col(c).cast("double") for c in num]), num
-
-
 _CACHE: dict = {}
 _LOCK = threading.Lock()
 
@@ -98,22 +63,23 @@ def _key(t: JobTables):
 def cross_validate(t: JobTables, parallelism: int = 5) -> dict:
     """Fit every learner on every split (parallel driver threads submit independent jobs) and
     return {"oof": DataFrame(job_id, fold, model, pred_log, y_log), "importance": ...,
-    "train": in-sample predictions}. Cached per stored table set."""
+    "train": in-sample predictions}. Cached per stored table set.
+
+    The feature matrix is stored once: the columns that never look at the target, and the target
+    encodings of each split as five short vectors next to them.
+    """
     k = _key(t)
     with _LOCK:
         if t.source is not None and k in _CACHE:
             return _CACHE[k]
-    base, num = job_features(t)
-    base = write_back(base, "job-features")
-    enc, glob = features.split_encodings(base, TE_COLS, "y_log", "fold", K, smoothing=40.0, min_count=8)
-    enc, glob = write_back(enc, "split-encodings"), write_back(glob, "split-globals")
-    cols = num + [f"te_{c}" for c in TE_COLS]
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    splits = {}
-    for f in range(K):
-        d = features.apply_split_encoding(base, "job_id", TE_COLS, enc, glob, f)
-        splits[f] = write_back(assembler.transform(d).select("job_id", "fold", "y_log", "features"),
-                               f"split-{f}")
+    rows = salary_features.fitted_plain(t)["rows"]
+    enc, overall = features.split_encodings(rows, TE_COLS, "y_log", "fold", K, smoothing=40.0, min_count=8)
+    d = features.apply_split_encodings(rows, TE_COLS, enc)
+    matrix = write_back(d.select("job_id", "fold", "y_log", "plain", *[array_to_vector(F.array(*[
+        features.split_value(c, f, overall) for c in TE_COLS])).alias(f"_te{f}") for f in range(K)]), "split-matrix")
+    cols = salary_features.feature_names()
+    splits = {f: VectorAssembler(inputCols=["plain", f"_te{f}"], outputCol="features")
+              .transform(matrix).select("job_id", "fold", "y_log", "features") for f in range(K)}
 
     def run(task):
         f, name, est = task
@@ -138,7 +104,7 @@ def cross_validate(t: JobTables, parallelism: int = 5) -> dict:
         train = train.unionByName(r[1])
     imp = spark.createDataFrame([row for r in res for row in r[2]], "model string, fold int, feature string, importance double")
     out = {"oof": write_back(oof, "oof-predictions"), "train": write_back(train, "train-predictions"),
-           "importance": imp, "base": base}
+           "importance": imp}
     if t.source is not None:
         with _LOCK:
             _CACHE[k] = out
@@ -186,42 +152,33 @@ def meta_features(t: JobTables) -> tuple[DataFrame, list[str]]:
     return wide, names + ["base_mean", "base_std", "base_min", "base_max"]
 
 
-REG_GRID = [1e-4, 1e-3, 1e-2, 3e-2, 1e-1, 3e-1, 1.0]
-
-
-def _ridge_fit(d: DataFrame, inner_k: int = 3):
-    """Ridge (L2 only, unstandardised, normal equations) with the penalty chosen by an inner
-    K-fold on ``d`` (hash folds, so the choice never sees the outer held-out fold)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    lr = LinearRegression(featuresCol="meta", labelCol="y_log", elasticNetParam=0.0,
-                          standardization=False, solver="normal")
-    grid = ParamGridBuilder().addGrid(lr.regParam, REG_GRID).build()
-    d = stats.kfold_assign(d, "job_id", inner_k, seed=11, name="inner")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, foldCol="inner", numFolds=inner_k, parallelism=3,
-                        evaluator=RegressionEvaluator(labelCol="y_log", metricName="rmse"))
-    return cv.fit(d).bestModel
+PENALTIES = np.logspace(-4, 4, 50)
 
 
 def stack_oof(t: JobTables) -> tuple[DataFrame, DataFrame]:
-    """Nested stacking: for every outer fold the ridge (and its penalty) is fitted on the other
-    folds' meta rows only, so the stack's score is out of sample. Returns (predictions,
-    coefficients of a ridge refitted on all rows for reporting). Cached per stored table set."""
+    """Nested ridge stacking: for every outer fold the ridge and its penalty (the best of 50, by
+    5-fold R2 inside the other outer folds) never see the held-out fold. One aggregation gathers
+    the sums of products per (outer, inner) fold; all 50 x 5 x 6 fits are solved from them. Returns
+    (predictions, coefficients of the ridge on all rows). Cached per stored table set."""
     k = ("stack",) + _key(t)
     with _LOCK:
         if t.source is not None and k in _CACHE:
             return _CACHE[k]
     wide, names = meta_features(t)
-    wide = write_back(VectorAssembler(inputCols=names, outputCol="meta").transform(wide), "meta-features")
-    preds = None
-    for f in range(K):
-        m = _ridge_fit(wide.where(F.col("fold") != f))
-        p = m.transform(wide.where(F.col("fold") == f)).select("job_id", "fold", "y_log",
-                                                                F.col("prediction").alias("pred_log"))
-        preds = p if preds is None else preds.unionByName(p)
-    full = _ridge_fit(wide)
-    coef = t.spark.createDataFrame([(n, float(c)) for n, c in zip(names, full.coefficients.toArray())],
-                                   "feature string, coefficient double")
+    wide = write_back(stats.kfold_assign(wide, "job_id", K, seed=11, name="inner"), "meta-features")
+    sums = linear.moments(wide, names, "y_log", ["fold", "inner"])
+    means = sums.pop(None)
+
+    def fit(outer):
+        parts = [sum((s for (f, i), s in sums.items() if f != outer and i == j), np.zeros((len(names) + 2,) * 2))
+                 for j in range(K)]
+        return linear.ridge_cv(parts, PENALTIES)
+
+    pred = F.coalesce(*[F.when(F.col("fold") == f, linear.predict(names, fit(f)[1], means)) for f in range(K)])
+    preds = wide.select("job_id", "fold", "y_log", pred.alias("pred_log"))
+    alpha, b, _ = fit(None)
+    coef = t.spark.createDataFrame([(n, float(c), alpha) for n, c in sorted(zip(names, b[1:]), key=lambda x: -x[1])],
+                                   "feature string, coefficient double, penalty double")
     out = (write_back(preds, "stack-oof"), coef)
     if t.source is not None:
         with _LOCK:
@@ -230,61 +187,74 @@ def stack_oof(t: JobTables) -> tuple[DataFrame, DataFrame]:
 
 
 def model_comparison(t: JobTables) -> DataFrame:
-    """Out-of-fold RMSE, MAE, R2, MAPE of each learner, the ensemble and the stack."""
+    """Out-of-fold RMSE, MAE, R2, MAPE of each learner, the ensemble and the stack, and how far
+    each is from the ensemble (the model before stacking)."""
     o = cross_validate(t)["oof"].withColumns({"pred": _raw("pred_log"), "actual": F.expm1("y_log")})
     a = evaluate.metrics(o, "actual", "pred", by="model")
     e = ensemble_oof(t).withColumns({"pred": _raw("pred_log"), "actual": F.expm1("y_log")})
     b = evaluate.metrics(e, "actual", "pred").withColumn("model", F.lit("ensemble"))
     s = stack_oof(t)[0].withColumns({"pred": _raw("pred_log"), "actual": F.expm1("y_log")})
     c = evaluate.metrics(s, "actual", "pred").withColumn("model", F.lit("ridge_stack"))
-    return a.unionByName(b).unionByName(c)
+    u = a.unionByName(b).unionByName(c)  # one row per model
+    base = F.broadcast(b.select(*[F.col(m).alias(f"_{m}") for m in ("rmse", "mae", "r2")]))
+    return u.join(base).select(*u.columns, *[(F.col(m) - F.col(f"_{m}")).alias(f"delta_{m}") for m in ("rmse", "mae", "r2")])
 
 
 def stack_coefficients(t: JobTables) -> DataFrame:
     return stack_oof(t)[1]
 
 
-def _quantile_regression(train: DataFrame, score: DataFrame, tau: float, name: str, iters: int = 12) -> DataFrame:
-    """Linear quantile regression of the salary on the meta features by iteratively reweighted
-    least squares (weights tau/|r| above, (1-tau)/|r| below the fit); each round writes its
-    weights back so the plan does not grow with the iterations."""
-    d = train.select("job_id", "meta", "actual").withColumn("_w", F.lit(1.0))
-    m = None
-    for i in range(iters):
-        m = LinearRegression(featuresCol="meta", labelCol="actual", weightCol="_w", regParam=1e-6,
-                             elasticNetParam=0.0, solver="normal").fit(d)
-        r = F.col("actual") - F.col("prediction")
-        w = F.when(r >= 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(r), F.lit(1.0))
-        d = write_back(m.transform(d).select("job_id", "meta", "actual", w.alias("_w")), f"qr-{name}-{i}")
-    return m.transform(score).select("job_id", F.col("prediction").alias(name))
+def _interval_rows(t: JobTables) -> DataFrame:
+    """Every usable row with its stack prediction and the lower and upper bounds of the three
+    methods. Rows are split into fit, calibration and test parts (60 / 20 / 20 in each of eight
+    salary bins): residual quantiles and quantile regression come from the fit rows, the conformal
+    width from the calibration rows. Cached per stored table set."""
+    k = ("intervals",) + _key(t)
+    with _LOCK:
+        if t.source is not None and k in _CACHE:
+            return _CACHE[k]
+    wide, names = meta_features(t)
+    d = (stack_oof(t)[0].select("job_id", "pred_log").join(wide, "job_id")
+         .withColumns({"pred": _raw("pred_log"), "actual": F.expm1("y_log")}))
+    d = write_back(stats.split_stratified(d, "job_id", "actual", {"cal": 0.2, "test": 0.2}, "fit"), "interval-rows")
+    fit, cal = d.where("part = 'fit'"), d.where("part = 'cal'")
+    low, high = linear.quantile_regression(fit, names, "actual", [ALPHA / 2, 1 - ALPHA / 2])
+
+    def line(r):
+        return linear.predict(names, np.array([r["intercept"], *r["coefficients"]]), np.zeros(len(names) + 1))
+
+    zero, pred = F.lit(0.0), F.col("pred")
+    out = d.withColumns({"quantile_low": F.greatest(F.least(line(low), pred), zero),
+                         "quantile_high": F.greatest(line(high), pred)})
+    for name, f in (("residual", evaluate.residual_quantile_interval(fit, out, "actual", "pred", ALPHA)),
+                    ("conformal", None)):
+        f = f if f is not None else evaluate.conformal_interval(cal, out, "actual", "pred", ALPHA)
+        out = f.withColumnsRenamed({"lower": f"{name}_low", "upper": f"{name}_high"}).drop("method")
+    out = write_back(out.select("job_id", "part", "actual", "pred", *[f"{m}_{e}" for m in (
+        "residual", "quantile", "conformal") for e in ("low", "high")]), "interval-bounds")
+    if t.source is not None:
+        with _LOCK:
+            _CACHE[k] = out
+    return out
 
 
 def model_intervals(t: JobTables) -> DataFrame:
-    """Three interval methods around the stack's out-of-fold predictions. Rows are split by hash
-    into fit (70 %), calibration (15 %) and test (15 %): residual quantiles and quantile
-    regression are fitted on the fit rows, conformal q-hat on the calibration rows, and all
-    three are scored on the test rows only."""
-    s = stack_oof(t)[0]
-    wide, names = meta_features(t)
-    meta = VectorAssembler(inputCols=names, outputCol="meta").transform(wide).select("job_id", "meta")
-    h = stats.hash_unit(F.col("job_id"), 13)
-    d = (s.join(meta, "job_id").withColumns({"pred": _raw("pred_log"), "actual": F.expm1("y_log"),
-                                             "part": F.when(h < 0.70, "fit").when(h < 0.85, "cal").otherwise("test")}))
-    d = write_back(d, "interval-rows")
-    fit, cal, test = (d.where(F.col("part") == x) for x in ("fit", "cal", "test"))
-    a = evaluate.residual_quantile_interval(fit, test, "actual", "pred", ALPHA)
-    b = evaluate.conformal_interval(cal, test, "actual", "pred", ALPHA)
-    lo = _quantile_regression(fit, test, ALPHA / 2, "q_low")
-    hi = _quantile_regression(fit, test, 1 - ALPHA / 2, "q_high")
-    c = (test.join(lo, "job_id").join(hi, "job_id")
-         .withColumns({"lower": F.greatest(F.least(F.col("q_low"), F.col("pred")), F.lit(0.0)),
-                       "upper": F.greatest(F.greatest(F.col("q_high"), F.col("pred")), F.lit(0.0)),
-                       "method": F.lit("quantile_regression")}))
-    cols = ["method", "actual", "lower", "upper"]
-    u = a.select(cols).unionByName(b.select(cols)).unionByName(c.select(cols))
+    """Coverage, width and Winkler score of the three methods on the test part, which none of them
+    has seen."""
+    d = _interval_rows(t).where("part = 'test'")
+    u = None
+    for method, m in (("residual_quantile", "residual"), ("quantile_regression", "quantile"), ("conformal", "conformal")):
+        r = d.select(F.lit(method).alias("method"), "actual", F.col(f"{m}_low").alias("lower"), F.col(f"{m}_high").alias("upper"))
+        u = r if u is None else u.unionByName(r)
     return evaluate.interval_scores(u, "actual", ALPHA)
 
 
+def interval_sample(t: JobTables, n: int = 80) -> DataFrame:
+    """A reproducible sample of ``n`` postings with all bounds, numbered by actual salary."""
+    s = stats.sample_n(_interval_rows(t).drop("part"), "job_id", n, seed=42)
+    return s.withColumn("ord", F.row_number().over(Window.orderBy("actual", "job_id")))  # n rows
+
+
 def _stack_rows(t: JobTables) -> DataFrame:
     s = stack_oof(t)[0].withColumns({"pred_salary": _raw("pred_log"), "actual_salary": F.expm1("y_log")})
     seg = evaluation.baseline_oof(t).drop("pred_salary", "actual_salary", "fold")
@@ -323,87 +293,118 @@ def model_feature_importance(t: JobTables, k: int = 25) -> DataFrame:
     return imp.orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-# --- serving: one model fitted on all usable rows, batch scoring, scenarios ---------------------
+# --- serving: one model fitted on all usable rows, saved, loaded, batch scoring, scenarios -------
 def final_model(t: JobTables) -> dict:
-    """Target encoder + assembler + boosted trees fitted on every usable row (cached)."""
+    """The whole pipeline (encoders, imputers, text projections, assembly, boosted trees) fitted on
+    every usable row, saved with its metrics and loaded again; every score comes from the loaded
+    pipeline. Cached per stored table set."""
     k = ("final",) + _key(t)
     with _LOCK:
         if t.source is not None and k in _CACHE:
             return _CACHE[k]
-    base, num = job_features(t)
-    base = write_back(base, "final-features")
-    enc = features.TargetEncoder(TE_COLS, smoothing=40.0, min_count=8).fit(base, "y_log")
-    cols = num + [f"te_{c}" for c in TE_COLS]
-    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    d = asm.transform(enc.transform(base, "job_id"))
-    gbt = learners()["gbt"].copy().setFeaturesCol("features").setLabelCol("y_log").fit(d)
-    out = {"encoder": enc, "assembler": asm, "model": gbt, "columns": cols, "numeric": num,
-           "train": d.select("job_id", "y_log", "features")}
+    plain = salary_features.fitted_plain(t)
+    models, rows = salary_features.fit_stages(salary_features.target_stages(), plain["rows"], "final-features")
+    train = write_back(rows.select("job_id", "y_log", "features"), "final-matrix")
+    gbt = learners()["gbt"].setFeaturesCol("features").setLabelCol("y_log").fit(train)
+    folder = scratch_path(t.spark, f"salary-model-{uuid.uuid4().hex[:12]}")
+    sinks.register_model(PipelineModel(plain["models"] + models + [gbt]), folder, "salary_gbt",
+                         {"rows": train.count(), "log_target": 1.0})
+    out = {"pipeline": sinks.load_model([os.path.join(folder, "salary_gbt")]), "folder": folder, "model": gbt,
+           "columns": salary_features.feature_names(), "base": plain["base"], "train": train}
     if t.source is not None:
         with _LOCK:
             _CACHE[k] = out
     return out
 
 
-def _score(fm: dict, rows: DataFrame) -> DataFrame:
-    d = fm["assembler"].transform(fm["encoder"].transform(rows, "job_id"))
-    return fm["model"].transform(d)
-
-
 def score_batch(t: JobTables) -> DataFrame:
     """Estimated salary for every posting (requests are rows, scored by one transform)."""
-    fm = final_model(t)
-    feats, _ = job_features(t, rows=market.market_view(t))
-    p = _score(fm, feats)
-    return p.select("job_id", F.col("prediction").alias("pred_log"), _raw("prediction").alias("pred_salary"))
+    k = ("scores",) + _key(t)
+    with _LOCK:
+        if t.source is not None and k in _CACHE:
+            return _CACHE[k]
+    p = final_model(t)["pipeline"].transform(salary_features.request_rows(t))
+    out = write_back(p.select("job_id", F.col("prediction").alias("pred_log"), _raw("prediction").alias("pred_salary")),
+                     "batch-scores")
+    if t.source is not None:
+        with _LOCK:
+            _CACHE[k] = out
+    return out
 
 
 def scenario_scores(t: JobTables) -> DataFrame:
     """Each request's four scenarios scored by the final model, with the change against the
-    current scenario. Scenario rows replace level, skill count, benefit count and remote flag
-    (and the level's encoding) in the request's feature row."""
-    fm = final_model(t)
-    feats, _ = job_features(t, rows=market.market_view(t))
-    sc = market.scenarios(t).withColumnRenamed("request_id", "job_id")
-    lvl = clean.label_map("formatted_experience_level", {v: i for i, v in enumerate(rules.EXPERIENCE_LEVELS)}, -1)
-    rows = (feats.drop("formatted_experience_level", "n_skills", "n_benefits", "remote_flag", "exp_level_ord")
-            .join(sc, "job_id")
-            .withColumns({"exp_level_ord": lvl.cast("double"), "n_skills": F.col("n_skills").cast("double"),
-                          "n_benefits": F.col("n_benefits").cast("double"),
-                          "remote_flag": F.col("remote_flag").cast("double")}))
-    # one feature row per (request, scenario): the encoder joins by job_id, so key by both
-    rows = rows.withColumn("job_id_scn", F.concat_ws("#", F.col("job_id").cast("string"), "scenario"))
-    enc = fm["encoder"].transform(rows.withColumnRenamed("job_id", "request_id")
-                                  .withColumnRenamed("job_id_scn", "job_id"), "job_id")
-    p = fm["model"].transform(fm["assembler"].transform(enc))
-    p = p.select(F.col("request_id"), "scenario", _raw("prediction").alias("pred_salary"))
+    current scenario. A scenario replaces the level and all that follows from it (its interactions
+    and codes), the remote flag, the counts of skills and benefits and the indicators of the skills
+    and benefits that it adds by name."""
+    exp, ind = "formatted_experience_level", "primary_industry"
+    feats = salary_features.request_rows(t)
+    sc = market.scenarios(t).select(F.col("request_id").alias("job_id"), "scenario", F.col(exp).alias("_level"),
+                                    F.col("n_skills").alias("_n_skills"), F.col("n_benefits").alias("_n_benefits"),
+                                    F.col("remote_flag").alias("_remote"), "added_skills", "added_benefits")
+    rows = feats.join(sc, "job_id")
+    changed = F.col("scenario") == "one_level_up"
+    rows = rows.withColumn(exp, F.when(changed, F.col("_level")).otherwise(F.col(exp)))
+    named = {}
+    for bridge, label, k, prefix, added in ((views.skills_bridge(t), "skill_name", 50, "skill_top", "added_skills"),
+                                            (views.benefits_known(t), "type", 10, "benefit_top", "added_benefits")):
+        for r in features.label_ranks(bridge, label, k).collect():  # at most k labels
+            c = f"{prefix}{r['rank']:02d}"
+            named[c] = F.greatest(F.col(c), F.array_contains(added, r[label]).cast("double"))
+    rows = rows.withColumns({
+        **named, "n_skills": F.col("_n_skills").cast("double"), "n_benefits": F.col("_n_benefits").cast("double"),
+        "remote_flag": F.col("_remote").cast("double"), "exp_industry": clean.interaction(exp, ind),
+        "exp_title_cluster": clean.interaction(exp, "title_cluster"), "remote_industry": clean.interaction("_remote", ind)})
+    rows = rows.withColumnRenamed("job_id", "request_id")
+    p = final_model(t)["pipeline"].transform(rows).select("request_id", "scenario", _raw("prediction").alias("pred_salary"))
+    p = write_back(p, "scenario-scores")
     cur = p.where(F.col("scenario") == "current").select("request_id", F.col("pred_salary").alias("_cur"))
     return p.join(cur, "request_id").withColumn("diff_vs_current", F.col("pred_salary") - F.col("_cur")).drop("_cur")
 
 
-def permutation_importance(t: JobTables, k: int = 10, seed: int = 5, buckets: int = 16) -> DataFrame:
+def saved_model_check(t: JobTables) -> DataFrame:
+    """The registry row of the saved pipeline, and the largest difference over all usable rows
+    between the loaded pipeline's scores from raw columns and the fitted model's from its matrix."""
+    fm = final_model(t)
+    a = fm["model"].transform(fm["train"]).select("job_id", F.col("prediction").alias("a"))
+    b = fm["pipeline"].transform(fm["base"]).select("job_id", F.col("prediction").alias("b"))
+    worst = a.join(b, "job_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("d")).select("d").scalar()
+    row = sinks.load_manifest(t.spark, fm["folder"])
+    return row.select("output", "kind", F.size("columns").alias("n_stages"),
+                      F.col("metrics")["rows"].cast("long").alias("n_rows"), worst.alias("max_difference"))
+
+
+def feature_matrix(t: JobTables) -> DataFrame:
+    """The assembled matrix written as a table of its own and entered in a manifest; the query
+    returns the manifest's row (rows, columns and label mean are taken during the write)."""
+    fm = final_model(t)
+    folder = scratch_path(t.spark, f"matrix-{uuid.uuid4().hex[:12]}")
+    sinks.write_feature_matrix(fm["train"], folder, "feature_matrix", "job_id", ["features"], "y_log")
+    return sinks.load_manifest(t.spark, folder).select(
+        "output", "kind", "n_rows", F.col("metrics")["label_mean"].alias("label_mean"))
+
+
+def permutation_importance(t: JobTables, k: int = 10, seed: int = 5) -> DataFrame:
     """RMSE rise (log scale) when one feature's values are shuffled among the training rows,
-    for the k features with the largest split importance. The shuffle pairs each row with the
-    next row in a seeded hash order inside ``buckets`` hash buckets, whatever the data's size (no
-    global sort; a larger cluster takes more buckets); values move as a block, the model and other features stay fixed."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import Window
+    for the k features with the largest split importance. All rows are numbered in a seeded hash
+    order and row i takes the values of row i + 1 (one join for all features, no window); the model
+    and the other features stay fixed."""
+    from pyspark.ml.functions import vector_to_array
     fm = final_model(t)
     cols = fm["columns"]
     imp = sorted(zip(cols, fm["model"].featureImportances.toArray()), key=lambda x: -x[1])[:k]
-    d = fm["train"].withColumn("_a", vector_to_array("features"))
-    d = d.withColumns({"_b": F.pmod(F.xxhash64("job_id", F.lit(seed)), F.lit(buckets)),
-                       "_o": stats.hash_order(F.col("job_id"), seed)})
-    d = write_back(d, "perm-base")
+    d = fm["train"].withColumns({"_a": vector_to_array("features"), "_h": stats.hash_order(F.col("job_id"), seed)})
+    d = sorted_positions(d, ["_h", "job_id"], "_at")
+    n = d.count()
+    partner = d.select(F.pmod(F.col("_at") - 1, F.lit(max(n, 1))).alias("_at"),
+                       F.array(*[F.col("_a")[cols.index(c)] for c, _ in imp]).alias("_p"))
+    d = write_back(d.join(partner, "_at").select("y_log", "features", "_a", "_p"), "perm-base")
     base_rmse = fm["model"].transform(d).select(F.sqrt(F.avg((F.col("prediction") - F.col("y_log")) ** 2))).scalar()
-    w = Window.partitionBy("_b").orderBy("_o")
     out = None
-    for name, score in imp:
+    for place, (name, score) in enumerate(imp):
         i = cols.index(name)
-        nxt = F.coalesce(F.lead(F.col("_a")[i]).over(w), F.first(F.col("_a")[i]).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        sh = d.withColumn("_v", nxt).withColumn("features", array_to_vector(F.transform(
-            "_a", lambda x, j: F.when(j == i, F.col("_v")).otherwise(x))))
+        sh = d.withColumn("features", array_to_vector(F.transform(
+            "_a", lambda x, j: F.when(j == i, F.col("_p")[place]).otherwise(x))))
         r = fm["model"].transform(sh).select(
             F.lit(name).alias("feature"), F.lit(float(score)).alias("split_importance"),
             (F.sqrt(F.avg((F.col("prediction") - F.col("y_log")) ** 2)) - base_rmse).alias("rmse_increase"))
@@ -415,7 +416,7 @@ def partial_dependence(t: JobTables, k: int = 4, grid: int = 10) -> DataFrame:
     """Mean predicted log salary when one of the k most important features is set to each of
     ``grid`` quantiles of its values (rows x grid via explode of a bounded list), and the
     least-squares slope of that curve."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
     fm = final_model(t)
     cols = fm["columns"]
     imp = sorted(zip(cols, fm["model"].featureImportances.toArray()), key=lambda x: -x[1])[:k]
@@ -432,104 +433,121 @@ def partial_dependence(t: JobTables, k: int = 4, grid: int = 10) -> DataFrame:
         r = fm["model"].transform(g).groupBy("_x").agg(F.avg("prediction").alias("mean_pred_log"))
         r = r.select(F.lit(name).alias("feature"), F.col("_x").alias("value"), "mean_pred_log")
         out = r if out is None else out.unionByName(r)
-    from pyspark.sql import Window
     w = Window.partitionBy("feature")  # at most k * grid rows
     return out.withColumn("slope", F.regr_slope("mean_pred_log", "value").over(w))
 
 
-def param_search(t: JobTables, trials: int = 6, seed: int = 3) -> DataFrame:
-    """Seeded random search over boosted-tree settings scored by 2-fold cross-validated RMSE
-    (log scale), with the best score so far after each trial. Cached per stored table set."""
-    k = ("search", trials, seed) + _key(t)
+#: what each learner's search draws from; the first trial is the default setting
+SPACES = {
+    "gbt": {"maxIter": [20, 30, 40, 60], "maxDepth": [3, 4, 5, 6], "stepSize": [0.05, 0.08, 0.1, 0.15],
+            "subsamplingRate": [0.7, 0.8, 0.9, 1.0]},
+    "gbt_deep": {"maxIter": [15, 20, 30], "maxDepth": [5, 6, 7], "stepSize": [0.05, 0.08, 0.1],
+                 "subsamplingRate": [0.7, 0.8, 0.9]},
+    "forest": {"numTrees": [30, 40, 60, 80], "maxDepth": [6, 8, 10], "minInstancesPerNode": [1, 3, 5],
+               "subsamplingRate": [0.7, 0.8, 1.0]},
+}
+TRIALS = {"gbt": 3, "gbt_deep": 2, "forest": 2}
+
+
+def param_search(t: JobTables, trials: dict[str, int] | None = None, seed: int = 3, folds: int = 2) -> DataFrame:
+    """Seeded random search of each learner's settings, scored by 2-fold cross-validated RMSE (log
+    scale), with the best score so far after each trial. ``trials`` per learner (``FULL_TRIALS`` is
+    the original's budget). Cached per stored table set."""
+    import random
+    trials = trials or TRIALS
+    k = ("search", tuple(sorted(trials.items())), seed, folds) + _key(t)
     with _LOCK:
         if t.source is not None and k in _CACHE:
             return _CACHE[k]
-    out = _param_search(t, trials, seed)
+    d = write_back(stats.kfold_assign(final_model(t)["train"], "job_id", folds, seed=17, name="half"), "search-rows")
+    rows = []
+    for learner, n in trials.items():
+        rnd = random.Random(f"{seed}:{learner}")
+        est = learners()[learner].setFeaturesCol("features").setLabelCol("y_log")
+        space = [{}] + [{est.getParam(p): rnd.choice(v) for p, v in SPACES[learner].items()} for _ in range(n - 1)]
+        cv = CrossValidator(estimator=est, estimatorParamMaps=space, foldCol="half", numFolds=folds, parallelism=3,
+                            evaluator=RegressionEvaluator(labelCol="y_log", metricName="rmse")).fit(d)
+        rows += [(learner, i + 1, json.dumps({p: {**{est.getParam(q): est.getOrDefault(q) for q in SPACES[learner]}, **m}[
+            est.getParam(p)] for p in SPACES[learner]}, sort_keys=True), float(x))
+                 for i, (m, x) in enumerate(zip(space, cv.avgMetrics))]
+    df = t.spark.createDataFrame(rows, "learner string, trial int, settings string, cv_rmse double")
+    w = Window.partitionBy("learner").orderBy("trial").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumn("best_so_far", F.min("cv_rmse").over(w))  # one row per trial
     if t.source is not None:
         with _LOCK:
             _CACHE[k] = out
     return out
 
 
-def _param_search(t: JobTables, trials: int, seed: int) -> DataFrame:
-    import random
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-    from pyspark.sql import Window
-    fm = final_model(t)
-    d = stats.kfold_assign(fm["train"], "job_id", 2, seed=17, name="half")
-    rnd = random.Random(seed)
-    est = GBTRegressor(featuresCol="features", labelCol="y_log", seed=42)
-    space = [{est.maxIter: 40, est.maxDepth: 5, est.stepSize: 0.1, est.subsamplingRate: 0.8}]  # default
-    for _ in range(trials - 1):
-        space.append({est.maxIter: rnd.choice([20, 30, 40, 60]), est.maxDepth: rnd.choice([3, 4, 5, 6]),
-                      est.stepSize: rnd.choice([0.05, 0.08, 0.1, 0.15]),
-                      est.subsamplingRate: rnd.choice([0.7, 0.8, 0.9, 1.0])})
-    cv = CrossValidator(estimator=est, estimatorParamMaps=space, foldCol="half", numFolds=2, parallelism=3,
-                        evaluator=RegressionEvaluator(labelCol="y_log", metricName="rmse")).fit(d)
-    rows = [(i + 1, p[est.maxIter], p[est.maxDepth], p[est.stepSize], p[est.subsamplingRate], float(m))
-            for i, (p, m) in enumerate(zip(space, cv.avgMetrics))]
-    df = t.spark.createDataFrame(rows, "trial int, max_iter int, max_depth int, step_size double, "
-                                       "subsampling double, cv_rmse double")
-    w = Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # trials rows
-    return df.withColumn("best_so_far", F.min("cv_rmse").over(w))
-
-
-def learning_curve(t: JobTables, sizes=(0.25, 0.5, 0.75, 1.0), folds: int = 3, plateau: float = 0.005) -> DataFrame:
-    """Training and validation R2 (log scale) of the boosted trees on growing hash-selected
-    shares of the training folds, and whether the validation gain over the previous size is
-    below ``plateau``."""
-    from pyspark.sql import Window
+def learning_curve(t: JobTables, sizes=FULL_SIZES, folds: int = 3, plateau: float = 0.005, trees: int = 10) -> DataFrame:
+    """Training and validation R2 and RMSE (log scale) of the boosted trees on growing
+    hash-selected shares of the training folds, and whether the validation R2 gains less than
+    ``plateau`` over the previous size."""
     fm = final_model(t)
     d = stats.kfold_assign(fm["train"], "job_id", folds, seed=23, name="lc_fold")
-    d = d.withColumn("_u", stats.hash_unit(F.col("job_id"), 29))
-    d = write_back(d, "learning-curve")
-    est = GBTRegressor(featuresCol="features", labelCol="y_log", maxIter=30, maxDepth=5, seed=42)
+    d = write_back(d.withColumn("_u", stats.hash_unit(F.col("job_id"), 29)), "learning-curve")
+    est = learners(trees)["gbt"].setFeaturesCol("features").setLabelCol("y_log")
 
-    def r2(df):
-        return df.select((1 - F.sum((F.col("prediction") - F.col("y_log")) ** 2)
-                          / (F.sum(F.col("y_log") ** 2) - F.sum("y_log") ** 2 / F.count(F.lit(1)))).alias("r2")).first()[0]
+    def scores(df, size, f, side):
+        return df.select(F.lit(float(size)).alias("size"), F.lit(f).alias("fold"), F.lit(side).alias("side"), "y_log", "prediction")
 
     def run(task):
         size, f = task
         tr = d.where((F.col("lc_fold") != f) & (F.col("_u") < size))
         m = est.fit(tr)
-        return (float(size), f, float(r2(m.transform(tr))), float(r2(m.transform(d.where(F.col("lc_fold") == f)))),
-                tr.count())
+        both = scores(m.transform(tr), size, f, "train").unionByName(
+            scores(m.transform(d.where(F.col("lc_fold") == f)), size, f, "val"))
+        return [tuple(r) for r in evaluate.metrics(both, "y_log", "prediction", by=["size", "fold", "side"])
+                .select("size", "fold", "side", "n", "r2", "rmse").collect()]  # two rows
 
     with ThreadPoolExecutor(4) as ex:
-        res = list(ex.map(run, [(s, f) for s in sizes for f in range(folds)]))
-    df = t.spark.createDataFrame(res, "size double, fold int, train_r2 double, val_r2 double, train_rows long")
-    g = df.groupBy("size").agg(F.avg("train_r2").alias("train_r2"), F.avg("val_r2").alias("val_r2"),
-                               F.avg("train_rows").alias("train_rows"))
+        res = [r for rows in ex.map(run, [(s, f) for s in sizes for f in range(folds)]) for r in rows]
+    df = t.spark.createDataFrame(res, "size double, fold int, side string, n long, r2 double, rmse double")
+
+    def mean(side, c):
+        return F.avg(F.when(F.col("side") == side, F.col(c)))
+
+    g = df.groupBy("size").agg(mean("train", "r2").alias("train_r2"), mean("val", "r2").alias("val_r2"),
+                               mean("train", "rmse").alias("train_rmse"), mean("val", "rmse").alias("val_rmse"),
+                               mean("train", "n").alias("train_rows"))
     w = Window.orderBy("size")  # len(sizes) rows
     gain = F.col("val_r2") - F.lag("val_r2").over(w)
     return g.withColumn("val_gain", gain).withColumn("plateau", gain < plateau)
 
 
 def tuning_table(t: JobTables) -> DataFrame:
-    """Default learner settings against the best searched settings: 2-fold CV RMSE and the
-    change in percent."""
+    """Per learner the default settings against the best searched ones: cross-validated RMSE and
+    the change in percent."""
     ps = param_search(t)
-    best = ps.orderBy("cv_rmse", "trial").limit(1).select(F.col("cv_rmse").alias("tuned_rmse"), "trial")
-    base = ps.where(F.col("trial") == 1).select(F.col("cv_rmse").alias("default_rmse"))
-    b = base.select("default_rmse").scalar()
-    return best.select("trial", "tuned_rmse", b.alias("default_rmse"),
-                       ((F.col("tuned_rmse") - b) / b * 100).alias("delta_pct"))
+    best = ps.groupBy("learner").agg(F.min_by(F.struct("trial", "settings", "cv_rmse"), F.struct("cv_rmse", "trial")).alias("b"),
+                                     F.max(F.when(F.col("trial") == 1, F.col("cv_rmse"))).alias("default_rmse"))
+    return best.select("learner", "b.trial", "b.settings", F.col("b.cv_rmse").alias("tuned_rmse"), "default_rmse",
+                       (F.try_divide(F.col("b.cv_rmse") - F.col("default_rmse"), F.col("default_rmse")) * 100).alias("delta_pct"))
+
+
+def model_reliability(t: JobTables) -> DataFrame:
+    """Reliability of the model's own estimate of every posting."""
+    return market.reliability(t, score_batch(t).select("job_id", "pred_salary"))
 
 
 def estimate_report(t: JobTables) -> DataFrame:
-    """One JSON document per usable posting: estimate, practical / MAE / RMSE ranges,
-    similar-posting quartiles and reliability."""
-    from . import market as mk
-    rel = mk.reliability(t).select("request_id", "reliability")
-    sim = mk.similar_postings(t).select("request_id", "p25", "p50", "p75")
-    bands = evaluation.baseline_prediction_bands(t).withColumnRenamed("job_id", "request_id")
-    d = bands.join(sim, "request_id").join(rel, "request_id")
+    """One JSON document per posting: when, by which model and for which request (fields and their
+    signature) it was made, the model's estimate with practical / MAE / RMSE ranges from the
+    ensemble's out-of-fold errors, similar-posting quartiles and reliability."""
+    rel = model_reliability(t).select("request_id", "reliability")
+    sim = market.similar_postings(t).select("request_id", "p25", "p50", "p75")
+    e = model_comparison(t).where("model = 'ensemble'").select("mae", "rmse")
+    p = score_batch(t).select(F.col("job_id").alias("request_id"), "pred_salary")
+    bands = evaluate.prediction_bands(p, "pred_salary", e.select("mae").scalar(), e.select("rmse").scalar())
+    fields = ["title", "formatted_experience_level", "state", "city", "remote_flag", "company_size", "skills", "benefits"]
+    req = market.request_profile(t).select(F.col("job_id").alias("request_id"), *fields)
+    d = bands.join(sim, "request_id").join(rel, "request_id").join(req, "request_id")
     doc = F.to_json(F.struct(
-        "request_id", F.round("pred_salary", 2).alias("prediction"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"), F.lit("salary_gbt").alias("model_name"),
+        text.signature(*fields).alias("input_signature"), F.round("pred_salary", 2).alias("prediction"),
         F.array(F.round("practical_low", 2), F.round("practical_high", 2)).alias("practical_range"),
         F.array(F.round("mae_low", 2), F.round("mae_high", 2)).alias("expected_zone_mae"),
         F.array(F.round("rmse_low", 2), F.round("rmse_high", 2)).alias("broad_zone_rmse"),
-        F.array("p25", "p50", "p75").alias("similar_postings_p25_p50_p75"), "reliability"))
+        F.array("p25", "p50", "p75").alias("similar_postings_p25_p50_p75"), "reliability",
+        F.struct(*fields).alias("payload")))
     return d.select("request_id", doc.alias("report"))

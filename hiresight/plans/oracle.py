@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from ..functions import rules
+from ..sources.schemas import SCHEMAS
 
 _FX = {
     "fx_postings": """select o_orderkey as job_id,
@@ -575,16 +576,22 @@ q("stratified_postings", """with d as (select job_id, coalesce(formatted_experie
  order by md5('43:' || cast(job_id as varchar)) limit 500""")
 
 # --- evaluation over the out-of-fold baseline -------------------------------------------------
-_CTES["v_base"] = f"""select r.job_id, r.fold, r.normalized_salary as actual_salary, greatest(exp(coalesce(s.m, g.g)) - 1, 0) as pred_salary,
+_CTES["v_base0"] = f"""select r.job_id, r.fold, r.normalized_salary as actual_salary, greatest(exp(coalesce(s.m, g.g)) - 1, 0) as pred_salary,
  r.formatted_experience_level, r.primary_industry, r.state, r.title_family, coalesce(r.pay_period, 'Unknown') as pay_period, r.title,
  case when r.remote_flag = 1 then 'Remote' else 'Non-remote / unknown' end as remote_label,
- {band_sql('r.normalized_salary', *rules.SALARY_BANDS_MODEL, include_lowest=True)} as salary_band,
- cast(('0x' || substr(md5('7:' || cast(r.job_id as varchar)), 1, 8)) as ubigint) / 4294967296.0 < 0.2 as is_cal
+ {band_sql('r.normalized_salary', *rules.SALARY_BANDS_MODEL, include_lowest=True)} as salary_band
  from v_use r
  left join (select f.f, coalesce(cast(formatted_experience_level as varchar), 'Unknown') as v, median(y_log) as m
   from v_use u, range(5) f(f) where u.fold <> f.f group by 1, 2) s on s.f = r.fold and s.v = coalesce(r.formatted_experience_level, 'Unknown')
  join (select f.f, median(y_log) as g from v_use u, range(5) f(f) where u.fold <> f.f group by 1) g on g.f = r.fold"""
-_ORDER.append("v_base")
+# 20 % calibration and 20 % test rows, exactly so in each of eight salary bins
+_CTES["v_base"] = """with e as (select list_sort(list_distinct(quantile_cont(actual_salary, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]))) as edges from v_base0),
+ b as (select v_base0.*, greatest(0, len(list_filter(edges, lambda x: x < actual_salary)) - 1) as bin from v_base0, e),
+ r as (select *, row_number() over (partition by bin order by md5('7:' || cast(job_id as varchar)), job_id) - 1 as pos,
+  floor(0.2 * count(*) over (partition by bin) + 0.5) as quota from b)
+ select * exclude (bin, pos, quota), case when pos < quota then 'cal' when pos < 2 * quota then 'test' else 'fit' end as part from r"""
+_ORDER += ["v_base0", "v_base"]
+q("split_calibration", "select job_id, part from v_base")
 
 _MET = ("count(*) as n, sqrt(avg((pred_salary - actual_salary) * (pred_salary - actual_salary))) as rmse, "
         "avg(abs(pred_salary - actual_salary)) as mae, 1 - sum((pred_salary - actual_salary) * (pred_salary - actual_salary)) / "
@@ -602,13 +609,14 @@ _SEG_SQL = f"""select * exclude (rn) from (select *, row_number() over (partitio
  where value is not null group by 1, 2) where n >= case segment """ + " ".join(f"when '{k}' then {v}" for k, v in _SEG_MIN.items()) + """ else 0 end) where rn <= 20"""
 q("baseline_segment_metrics", f"select * replace (case when n >= 3 then r2 end as r2) from ({_SEG_SQL})",
   ["rmse", "mae", "r2", "bias", "median_actual", "median_pred"])
-q("baseline_intervals", """with tr as (select quantile_cont(actual_salary - pred_salary, [0.05, 0.95]) as q from v_base where not is_cal),
- cal as (select * from v_base where is_cal),
+q("baseline_intervals", """with tr as (select quantile_cont(actual_salary - pred_salary, [0.05, 0.95]) as q from v_base where part = 'fit'),
+ cal as (select * from v_base where part = 'cal'),
+ te as (select * from v_base where part = 'test'),
  cq as (select least(1.0, greatest(0.0, ceil((count(*) + 1) * cast(0.9 as double)) / count(*))) as lvl, count(*) as n,
         list_sort(list(abs(actual_salary - pred_salary))) as r from cal),
  qh as (select r[cast(ceil(lvl * (n - 1)) as bigint) + 1] as q_hat from cq),
- iv as (select 'residual_quantile' as method, actual_salary, greatest(pred_salary + q[1], 0.0) as lower, greatest(pred_salary + q[2], 0.0) as upper from cal, tr
-  union all select 'conformal' as method, actual_salary, greatest(pred_salary - q_hat, 0.0) as lower, greatest(pred_salary + q_hat, 0.0) as upper from cal, qh)
+ iv as (select 'residual_quantile' as method, actual_salary, greatest(pred_salary + q[1], 0.0) as lower, greatest(pred_salary + q[2], 0.0) as upper from te, tr
+  union all select 'conformal' as method, actual_salary, greatest(pred_salary - q_hat, 0.0) as lower, greatest(pred_salary + q_hat, 0.0) as upper from te, qh)
  select method, avg(cast(actual_salary >= lower and actual_salary <= upper as integer)) * 100 as coverage_pct, avg(upper - lower) as avg_width,
   median(upper - lower) as median_width,
   avg(upper - lower + case when actual_salary < lower then 20.0 * (lower - actual_salary) else 0.0 end
@@ -641,11 +649,16 @@ _ORDER.append("v_req")
 _MISS_SK = " + ".join(f"case when list_contains(skills, '{s}') then 0 else 1 end" for s in rules.SCENARIO_SKILLS)
 _MISS_BN = " + ".join(f"case when list_contains(benefits, '{b}') then 0 else 1 end" for b in rules.SCENARIO_BENEFITS)
 _NEXT = "coalesce(case formatted_experience_level " + " ".join(f"when '{k}' then '{v}'" for k, v in rules.NEXT_LEVEL.items()) + " end, formatted_experience_level)"
-q("scenarios", f"""select job_id as request_id, 'current' as scenario, formatted_experience_level, cast(len(skills) as integer) as n_skills, cast(len(benefits) as integer) as n_benefits, remote_flag from v_req
- union all select job_id, 'one_level_up', {_NEXT}, cast(len(skills) as integer), cast(len(benefits) as integer), remote_flag from v_req
+_NONE = "cast([] as varchar[]) as added_skills, cast([] as varchar[]) as added_benefits"
+_SKL = "['" + "', '".join(rules.SCENARIO_SKILLS) + "']"
+_BNL = "['" + "', '".join(rules.SCENARIO_BENEFITS) + "']"
+q("scenarios", f"""select job_id as request_id, 'current' as scenario, formatted_experience_level, cast(len(skills) as integer) as n_skills, cast(len(benefits) as integer) as n_benefits, remote_flag, {_NONE} from v_req
+ union all select job_id, 'one_level_up', {_NEXT}, cast(len(skills) as integer), cast(len(benefits) as integer), remote_flag, {_NONE} from v_req
  union all select job_id, 'stronger_profile', formatted_experience_level, cast(len(skills) + least(greatest(8 - len(skills), 0), {_MISS_SK}) as integer),
-  cast(least(len(benefits) + ({_MISS_BN}), 8) as integer), remote_flag from v_req
- union all select job_id, 'remote', formatted_experience_level, cast(len(skills) as integer), cast(len(benefits) as integer), 1 from v_req""")
+  cast(least(len(benefits) + ({_MISS_BN}), 8) as integer), remote_flag,
+  list_filter({_SKL}, lambda x: not list_contains(skills, x))[1:greatest(8 - len(skills), 0)],
+  list_filter({_BNL}, lambda x: not list_contains(benefits, x))[1:greatest(8 - len(benefits), 0)] from v_req
+ union all select job_id, 'remote', formatted_experience_level, cast(len(skills) as integer), cast(len(benefits) as integer), 1, {_NONE} from v_req""")
 _TL = "lower(coalesce(title, ''))"
 _POS = [f"case when formatted_experience_level in ('Mid-Senior level', 'Director', 'Executive') then 'seniority_level' end",
         f"case when regexp_matches({_TL}, '{rules.SENIOR_TITLE}') then 'seniority_title' end",
@@ -685,9 +698,10 @@ _CTES["v_loc"] = f"""select p.job_id, {_CITY} as city_loc,
 _ORDER.append("v_loc")
 q("location_features", "select * from v_loc")
 q("interactions", """select m.job_id, concat_ws('__', l.city_loc, m.primary_industry) as city_industry,
- concat_ws('__', l.state_final, m.primary_industry) as state_industry, concat_ws('__', m.formatted_experience_level, m.primary_industry) as exp_industry,
+ concat_ws('__', l.state_final, m.primary_industry) as state_industry, concat_ws('__', e.formatted_experience_level, m.primary_industry) as exp_industry,
  concat_ws('__', cast(m.remote_flag as varchar), m.primary_industry) as remote_industry,
- concat_ws('__', coalesce(m.pay_period, 'Unknown'), m.formatted_work_type) as pay_work_type from v_mkt m join v_loc l using (job_id)""")
+ concat_ws('__', coalesce(m.pay_period, 'Unknown'), m.formatted_work_type) as pay_work_type from v_mkt m join v_loc l using (job_id)
+ join (select job_id, """ + _IMP + """ as formatted_experience_level from fx_postings) e using (job_id)""")
 q("salary_bounds", """with b as (select quantile_cont(normalized_salary, 0.01) as q01, quantile_cont(normalized_salary, 0.99) as q99 from fx_postings where normalized_salary is not null)
  select q01, q99, greatest(10000.0, q01) as lower_bound, least(300000.0, q99) as upper_bound,
  (select count(*) from fx_postings where normalized_salary between greatest(10000.0, q01) and least(300000.0, q99) and (currency in ('USD') or currency is null)) as rows_kept from b""",
@@ -730,3 +744,103 @@ q("baseline_residual_trend", """with s as (select job_id, ln(1 + pred_salary) as
   case when count(*) = max(w.w) then avg(b.residual) end as trend
  from r a cross join w join r b on b.rn between a.rn - w.w // 2 and a.rn + (w.w - 1 - w.w // 2)
  group by a.job_id, a.log_pred, a.residual""", ["pred_k", "residual", "trend"])
+
+
+# --- the salary model's feature table, its fitted stages, text settings -----------------------
+_FAM = "case " + " ".join(f"when {_rx(_T, p)} then '{lab}'" for p, lab in rules.TITLE_FAMILY_RULES_MODEL) + f" else '{rules.TITLE_FAMILY_DEFAULT}' end"
+_CTES["v_mcol"] = f"""select p.job_id, cast(p.views as double) as views, cast(p.applies as double) as applies,
+ coalesce(formatted_work_type, 'Unknown') as formatted_work_type, coalesce(pay_period, 'Unknown') as pay_period,
+ cast(coalesce(remote_allowed, 0) as integer) as remote_flag, {_IMP} as formatted_experience_level, {_FAM} as title_family,
+ cast(coalesce(pay_period, '') = 'HOURLY' as integer) as is_hourly, cast(applies is not null as integer) as has_applies,
+ cast(views is not null as integer) as has_views, cast(e.employee_count as double) as employee_count, cast(e.follower_count as double) as follower_count,
+ coalesce(s.n, 0) as n_specialities, coalesce(i.n, 0) as company_industry_count,
+ coalesce(cast(cast(c.company_size as integer) as varchar), 'Unknown') as company_size,
+ cast(e.employee_count is not null as integer) as has_employee_count, cast(e.follower_count is not null as integer) as has_follower_count,
+ cast(coalesce(e.follower_count, 0) as double) / (coalesce(e.employee_count, 0) + 1) as follower_per_employee
+ from fx_postings p left join fx_companies c using (company_id)
+ left join (select company_id, employee_count, follower_count from (select *, row_number() over (partition by company_id
+  order by employee_count is not null desc, employee_count desc, follower_count desc) as rn from fx_employee_counts where company_id is not null) where rn = 1) e using (company_id)
+ left join (select company_id, count(distinct speciality) as n from fx_company_specialities group by 1) s using (company_id)
+ left join (select company_id, count(*) as n from fx_company_industries group by 1) i using (company_id)"""
+_ORDER.append("v_mcol")
+q("salary_features", "select * from v_mcol", ["views", "applies", "employee_count", "follower_count", "follower_per_employee"])
+_CATS = ["formatted_experience_level", "formatted_work_type", "pay_period", "company_size", "title_family"]
+q("ordinal_codes", "select job_id, " + ", ".join(
+    f"coalesce((select cast(r as integer) from (select {c} as v, dense_rank() over (order by {c}) - 1 as r from "
+    f"(select distinct {c} from v_mcol where {c} is not null and job_id in (select job_id from v_use))) x where x.v = m.{c}), -1) as {c}_code"
+    for c in _CATS) + " from v_mcol m")
+_LOGS, _NUMS = ["views", "applies", "employee_count", "follower_count"], ["follower_per_employee", "n_specialities"]
+_FILL = ", ".join((f"ln(1 + greatest(coalesce({c}, med_{c}), 0)) as {c}" if c in _LOGS else f"cast(coalesce({c}, med_{c}) as double) as {c}") for c in _LOGS + _NUMS)
+q("standardized_numbers", f"""with md as (select {', '.join(f'coalesce(median(cast({c} as double)), 0) as med_{c}' for c in _LOGS + _NUMS)} from v_mcol where job_id in (select job_id from v_use)),
+ f as (select job_id, {_FILL} from v_mcol, md),
+ sc as (select {', '.join(f'avg({c}) as m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}' for c in _LOGS + _NUMS)} from f where job_id in (select job_id from v_use))
+ select job_id, {', '.join(f'({c} - m_{c}) / s_{c} as {c}' for c in _LOGS + _NUMS)} from f, sc""", _LOGS + _NUMS)
+q("multi_hot_specialities", "select p.company_id, " + ", ".join(
+    f"cast(coalesce(max(case when h.rank = {i} then 1 end), 0) as integer) as spec_top{i:02d}" for i in range(1, 21))
+  + f" from fx_companies p left join (select distinct b.company_id, r.rank from fx_company_specialities b join {_ranks_sql('fx_company_specialities', 'speciality', 20)} r using (speciality)) h using (company_id) group by p.company_id")
+q("indicator_columns", "select column_name, label, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(label)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') as slug from ("
+  + " union all ".join(f"select '{p}' || lpad(cast(rank as varchar), 2, '0') as column_name, {lab} as label from {_ranks_sql(v, lab, k)}"
+                       for v, lab, k, p in (("v_js", "skill_name", 50, "skill_top"), ("v_ben", "type", 10, "benefit_top"),
+                                            ("fx_company_specialities", "speciality", 20, "spec_top"))) + ")")
+
+
+def _terms_ctes(name: str, source: str, max_features: int, min_df: int, max_df: float = 1.0, strip_accents: bool = False,
+                stopwords: bool = False, **_) -> str:
+    from ..operators.mlstages import ACCENTED, PLAIN, WORD
+    t = f"translate(lower(x), '{ACCENTED}', '{PLAIN}')" if strip_accents else "lower(x)"
+    w = f"regexp_extract_all({t}, '{WORD}')"
+    if stopwords:
+        w = f"list_filter({w}, lambda z: z not in {_in(rules.STOP_WORDS)})"
+    return f"""{name}_w as (select job_id, {w} as w from ({source})),
+ {name}_t as (select job_id, term, count(*) as tf from (select job_id, unnest(w) as term from {name}_w
+  union all select job_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from {name}_w) group by 1, 2),
+ {name} as (select term, count(*) as doc_freq, cast(sum(tf) as bigint) as total, ln((1.0 + (select count(*) from {name}_w)) / (count(*) + 1)) + 1 as idf
+  from {name}_t group by 1 having count(*) >= {min_df} and count(*) <= {max_df} * (select count(*) from {name}_w) order by total desc, term limit {max_features})"""
+
+
+def _term_tables() -> None:
+    from .salary_features import TERM_SETTINGS
+    title = "select job_id, coalesce(title, '') as x from fx_postings"
+    desc = "select job_id, " + _scrub_sql("sentences").replace("coalesce(text, '')", "coalesce(description, '')") + " as x from fx_postings"
+    parts = {n: _terms_ctes(f"t{i}", title if what == "title" else desc, **s) for i, (n, (what, s)) in enumerate(TERM_SETTINGS.items())}
+    q("term_table", "with " + ",\n".join(parts.values()) + "\n" + " union all ".join(
+        f"select '{n}' as setting, term, doc_freq, total, idf from t{i}" for i, n in enumerate(parts)), ["idf"])
+    q("title_term_weights", f"""with {parts['model_titles']}, r as (select job_id, term, (1 + ln(tf)) * idf as w from t1_t join t1 using (term))
+ select job_id, term, w / sqrt(sum(w * w) over (partition by job_id)) as w from r""", ["w"])
+
+
+_term_tables()
+
+# --- prompts and the way back from replies, small dashboard helpers -----------------------------
+def _prompts() -> None:
+    from ..operators.prompts import INSTRUCTION, SEPARATOR
+    head = INSTRUCTION.replace("'", "''")
+    _CTES["v_batch"] = """select *, (row_number() over (order by job_id) - 1) // 25 as batch_id from fx_postings where description is not null"""
+    _ORDER.append("v_batch")
+    q("prompt_batches", f"""select batch_id, n_items, keys, md5(prompt) as prompt_md5, cast(length(prompt) as integer) as prompt_chars from (
+ select batch_id, cast(count(*) as integer) as n_items, list(job_id order by job_id) as keys,
+ replace('{head}', '{{n}}', cast(count(*) as varchar)) || string_agg('JOB_ID:' || job_id || chr(10) || 'TITLE:' || coalesce(title, '') || chr(10) || 'DESC:' || substr(description, 1, 800), '{SEPARATOR}' order by job_id) as prompt
+ from v_batch group by 1)""")
+    q("reply_join_back", """select s.job_id, s.title, requires_degree, has_soft_skills, soft_skill_type, urgency, tech_role
+ from v_sig s join v_batch b using (job_id) where batch_id % 7 <> 6""")
+
+
+_prompts()
+q("profile_shape", " union all ".join(f"select '{n}' as table_name, count(*) as n_rows, {len(SCHEMAS[n].names)} as n_columns from fx_{n}"
+                                      for n in SCHEMAS))
+q("company_state_location", """select p.job_id, coalesce(nullif(regexp_extract(location, ',\\s*([A-Z]{2})$', 1), ''), cast(c.state as varchar), 'Unknown') as state_final
+ from fx_postings p left join fx_companies c on c.company_id = p.company_id""")
+q("yearly_salaries", "select job_id, normalized_salary, y_log from v_use where upper(coalesce(pay_period, '')) = 'YEARLY'", ["normalized_salary", "y_log"])
+q("filter_options", " union all ".join(
+    f"select '{c}' as \"column\", {c} as value, cast(row_number() over (order by {c}) - 1 as integer) as ord from (select distinct {c} from v_mkt where {c} is not null)"
+    for c in ["formatted_experience_level", "formatted_work_type", "primary_industry", "state", "title_family"]))
+q("top_state_salaries", f"""select state, median(normalized_salary) as median_salary from {_USABLE} where state is not null group by 1
+ having count(job_id) >= 50 order by median_salary desc, state limit 15""", ["median_salary"])
+q("family_benchmark_filtered", f"""select title_family, count(job_id) as postings, median(normalized_salary) as median_salary, avg(views) as avg_views,
+ avg(applies) as avg_applies, avg(competition_score) as avg_competition from {_USABLE} where formatted_experience_level = 'Mid-Senior level'
+ and primary_industry = 'NATION_1' and remote_flag = 1 group by 1 having count(job_id) >= 1""", ["median_salary", "avg_views", "avg_applies", "avg_competition"])
+q("role_contexts", f"""select job_id as request_id, coalesce(nullif(concat_ws(' ',
+ case when len(skills) > 0 then 'Responsible for ' || array_to_string(list_transform(skills[1:4], lambda x: lower(x)), ', ') || '.' end,
+ case when len(benefits) > 0 then 'Primary focus: ' || array_to_string(list_transform(benefits[1:3], lambda x: lower(x)), ', ') || '.' end), ''), '{rules.ROLE_DEFAULT}') as role_context from v_req""")
+q("request_signatures", """select job_id as request_id, substr(md5(cast(to_json(struct_pack(city := city, company_size := company_size,
+ formatted_experience_level := formatted_experience_level, remote_flag := remote_flag, state := state, title := title)) as varchar)), 1, 10) as signature from v_req""")

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.fixtures import driver_tables
-from . import clustering, evaluation, featureset, market, modeling, reports, textual
+from . import clustering, evaluation, featureset, market, modeling, reports, salary_features, textual
 from ..sources.fixtures import documents
 
 MARKET = ["headline", "data_quality", "skill_demand", "skill_salary_premium", "benefit_summary",
           "industry_stats", "state_stats", "title_family_stats", "career_ladder", "remote_summary",
           "family_benchmark", "states_by_remote", "similar_postings", "package_strength",
-          "scenarios", "explain_rules", "reliability"]
+          "scenarios", "explain_rules", "reliability", "family_benchmark_filtered", "role_contexts",
+          "request_signatures"]
 
 REPORTS = [
     "mann_whitney", "premium_test",
@@ -58,22 +59,28 @@ FEATURES = ["kfold_assign", "target_encoding", "target_encoding_oof", "skill_voc
             "multi_hot_skills", "multi_hot_benefits", "latest_employee_count", "company_job_count",
             "profile_missing", "clean_summary", "sample_postings", "stratified_postings",
             "location_features", "interactions", "salary_bounds", "salary_records",
-            "target_encoding_global", "value_counts_keep_null"]
+            "target_encoding_global", "value_counts_keep_null", "multi_hot_specialities",
+            "indicator_columns", "profile_shape", "profile_dtypes", "company_state_location",
+            "yearly_salaries", "filter_options", "top_state_salaries"]
+SALARY = ["salary_features", "ordinal_codes", "standardized_numbers", "term_table", "title_term_weights",
+          "title_projection_25", "title_projection_30", "description_projection_100"]
 EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_metrics",
               "baseline_intervals", "baseline_calibration", "baseline_title_errors",
               "baseline_bias_extremes", "baseline_prediction_bands", "baseline_worst_predictions",
               "baseline_best_interval", "baseline_error_by_band", "baseline_residual_normality",
-              "baseline_residual_trend", "baseline_qq_points"]
+              "baseline_residual_trend", "baseline_qq_points", "split_calibration"]
 # learned models: no SQL twin (rows-only check); the statistics they feed are SQL-checked
 # above through the deterministic baseline
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",
           "model_segment_metrics", "model_fold_stability", "model_overfit_gap",
           "model_feature_importance", "model_calibration", "model_title_errors", "score_batch",
           "scenario_scores", "permutation_importance", "partial_dependence", "param_search",
-          "learning_curve", "tuning_table", "estimate_report"]
+          "learning_curve", "tuning_table", "estimate_report", "saved_model_check", "feature_matrix",
+          "interval_sample", "model_reliability"]
 CLUSTERS = ["q07_1", "q07_2", "q07_3", "q07_4", "q07_5", "title_terms", "title_svd"]
 TEXT = ["q03_1", "q03_2", "q03_3", "q03_4", "q03_5", "title_flags", "title_family_model",
-        "impute_experience", "experience_imputed_counts", "title_clean_rows"]
+        "impute_experience", "experience_imputed_counts", "title_clean_rows", "prompt_batches",
+        "reply_join_back"]
 
 
 def _on_docs(fn) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out.update({name: _on_tables(getattr(market, name)) for name in MARKET})
     out.update({name: _on_tables(getattr(textual, name)) for name in TEXT})
     out.update({name: _on_tables(getattr(featureset, name)) for name in FEATURES})
+    out.update({name: _on_tables(getattr(salary_features, name)) for name in SALARY})
     out.update({name: _on_tables(getattr(evaluation, name)) for name in EVALUATION})
     out.update({name: _on_tables(getattr(modeling, name)) for name in MODELS})
     out.update({name: _on_tables(getattr(clustering, name)) for name in CLUSTERS})

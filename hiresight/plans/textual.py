@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, rules, text
-from ..operators import agg
+from ..operators import agg, prompts
 from ..operators.joins import keep_labels
 from ..sources.tables import JobTables
 from . import views
@@ -94,3 +94,32 @@ def title_clean_rows(t: JobTables) -> DataFrame:
     """Normalised titles longer than two characters (input of the title clusters)."""
     p = t.postings.select("job_id", clean.title_clean("title").alias("title_clean"))
     return p.where(F.length("title_clean") > 2)
+
+
+def _described(t: JobTables) -> DataFrame:
+    return t.postings.where(F.col("description").isNotNull()).select("job_id", "title", "description")
+
+
+def prompt_batches(t: JobTables, batch: int = 25, max_chars: int = 800) -> DataFrame:
+    """All postings with a description as prompts of 25, numbered without gaps."""
+    return prompts.build_prompts(_described(t), "job_id", "title", "description", batch, max_chars).select(
+        "batch_id", "n_items", "keys", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+def rule_replies(t: JobTables, batch: int = 25) -> DataFrame:
+    """(batch_id, reply): the replies a model would send, written by the signal rules, in the forms
+    that occur: plain, in code fences, in fences marked json, and (every seventh) cut off."""
+    s = posting_signals(t).select("job_id", "requires_degree", "has_soft_skills", "soft_skill_type", "urgency", "tech_role")
+    b = prompts.build_prompts(_described(t), "job_id", "title", "description", batch).select(
+        "batch_id", F.explode("keys").alias("job_id"))
+    fields = [c for c in s.columns if c != "job_id"]
+    g = b.join(s, "job_id").groupBy("batch_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("job_id", *fields)))).alias("j"))
+    form = F.col("batch_id") % 7
+    return g.select("batch_id", F.when(form == 6, F.expr("substring(j, 1, length(j) - 20)"))
+                    .when(form % 3 == 1, F.concat(F.lit("```\n"), "j", F.lit("\n```")))
+                    .when(form % 3 == 2, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).otherwise(F.col("j")).alias("reply"))
+
+
+def reply_join_back(t: JobTables) -> DataFrame:
+    """Postings with the five fields read from the replies; postings of unreadable replies drop out."""
+    return prompts.join_back(_described(t).select("job_id", "title"), prompts.parse_replies(rule_replies(t), "reply"), "job_id")

@@ -2,17 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from hiresight.operators import evaluate, features, stats
+from hiresight.operators import evaluate, features, mlstages, stats
 
 
 def test_smoothed_encoding(spark):
     # global median 11; group a: 8 rows with median 12; group b: 7 rows; group c unseen
     rows = [("a", 12.0)] * 8 + [("b", 10.0)] * 7 + [("z", 11.0)] * 16
     df = spark.createDataFrame(rows, "g string, y double")
-    model = features.TargetEncoder(["g"], smoothing=40.0, min_count=8).fit(df, "y")
-    assert model.global_median == 11.0
+    model = mlstages.MedianTargetEncoder(cols=["g"], target="y", smoothing=40.0, min_count=8).fit(df)
+    assert model["overall"] == 11.0
     q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id long, g string")
-    got = {r.id: r.te_g for r in model.transform(q, "id").collect()}
+    got = {r.id: r.te_g for r in model.transform(q).collect()}
     assert abs(got[1] - (11 + 8 / 48)) < 1e-12
     assert got[2] == 11.0 and got[3] == 11.0 and got[4] == 11.0
 
