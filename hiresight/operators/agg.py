@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import keep_labels
+from ..session import write_back
 from .quantiles import Quantile, agg_by, median as median_of
 
 
@@ -153,9 +154,9 @@ def nunique_per_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame
 
 def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles (interpolated), 1.5 IQR whiskers (most extreme points inside the fences),
-    outlier count, min, max and n per group. Two passes: exact percentiles per group, then the
-    per-group fences are joined back (one row per group) for the whisker/outlier pass."""
-    d = _notnull(df, [group, value])
+    outlier count, min, max and n per group. The (group, value) rows are stored once; percentiles
+    and then, with the fences joined back (one row per group), whiskers and outliers read these."""
+    d = write_back(_notnull(df, [group, value]).select(group, value), "boxplot-rows")
     v = F.col(value)
     q = agg_by(d, group, {"q1": Quantile(v, 0.25), "median": Quantile(v), "q3": Quantile(v, 0.75),
                           "n": F.count(F.lit(1)), "min": F.min(value), "max": F.max(value)})

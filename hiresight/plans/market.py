@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, rules, text
 from ..operators import agg
 from ..operators.joins import attach_lookup, keep_labels, left_join_known
-from ..operators.quantiles import Quantile, agg_by, group_quantiles, median
+from ..operators.quantiles import Quantile, agg_by, median
 from ..session import write_back
 from ..sources.tables import JobTables, with_defaults
 from . import views
@@ -207,20 +207,41 @@ def similar_postings(t: JobTables, requests: DataFrame | None = None, min_n: int
             F.sequence(F.lit(1), n - i), lambda k: F.substring(F.col("_ind"), i + 1, k))))))).alias("industry"))
     asked = req.select(F.col("industry").alias("industry")).distinct()
     name_map = parts.join(asked, "industry")
+    # every rule's groups at once: (rule, its keys, null where the rule has no such key)
+    used = [EXPL, "state", "title_family", "remote_flag"]
+
+    def rows(src, rules, industry):
+        keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), *[
+            (F.col(k) if k in keys else F.lit(None)).cast("string").alias(f"_k{n}") for n, k in enumerate(used)])
+            for i, keys in rules]))
+        return src.select(keyed.alias("_x"), industry.alias("_ki"), SAL, "_k").select("_x.*", "_ki", SAL, "_k")
+
+    numbered = [(i, keys, ind) for i, (_, keys, ind) in enumerate(SIMILAR_RULES, start=1)]
+    known_keys = u.where(" and ".join(f"`{k}` is not null" for k in used))  # a null key matches no request
+    src = rows(known_keys.join(name_map, "_ind"), [(i, k) for i, k, ind in numbered if ind], F.col("industry")).unionByName(
+        rows(u, [(i, k) for i, k, ind in numbered if not ind], F.lit(None).cast("string")))
+    src = src.groupBy("rule", *[f"_k{n}" for n in range(len(used))], "_ki", SAL).agg(F.sum("_k").alias("_k"))
+    src = write_back(src, "similar-groups")
+    groups = ["rule", *[f"_k{n}" for n in range(len(used))], "_ki"]
     v = F.col(SAL)
-    quartiles = {"p25": Quantile(v, 0.25), "p50": Quantile(v, 0.5), "p75": Quantile(v, 0.75)}
+    g = agg_by(src, groups, {"n": F.sum("_k"), "p25": Quantile(v, 0.25), "p50": Quantile(v, 0.5), "p75": Quantile(v, 0.75)},
+               weight="_k")
+    g = write_back(g, "similar-rules")
     out = req
-    for i, (_, keys, by_industry) in enumerate(SIMILAR_RULES, start=1):
-        src = u.join(name_map, "_ind") if by_industry else u
-        gkeys = keys + (["industry"] if by_industry else [])
-        g = src.groupBy(*gkeys).agg(F.sum("_k").alias(f"n{i}"))
-        q = group_quantiles(src, gkeys, quartiles, weight="_k").select(
-            *gkeys, F.array("p25", "p50", "p75").alias(f"q{i}"))
-        if gkeys:
-            # a null key matches no request, as in the filter rules
-            out = out.join(g.join(q, gkeys), gkeys, "left")
-        else:  # the whole usable set: one row
-            out = out.withColumns({f"n{i}": g.scalar(), f"q{i}": q.scalar()})
+    for i, keys, by_industry in numbered:
+        mine = g.where(F.col("rule") == i)
+        q = F.array("p25", "p50", "p75")
+        if not keys:  # the whole usable set: one row
+            out = out.withColumns({f"n{i}": mine.select("n").scalar(), f"q{i}": mine.select(q).scalar()})
+            continue
+        on = F.lit(True)
+        for k in keys:
+            on = on & (F.col(k).cast("string") == F.col(f"_r{used.index(k)}"))
+        if by_industry:
+            on = on & (F.col("industry") == F.col("_ri"))
+        mine = mine.select(*[F.col(f"_k{used.index(k)}").alias(f"_r{used.index(k)}") for k in keys], F.col("_ki").alias("_ri"),
+                           F.col("n").alias(f"n{i}"), q.alias(f"q{i}"))
+        out = out.join(mine, on, "left").drop(*[f"_r{used.index(k)}" for k in keys], "_ri")
     pick = F.lit(len(SIMILAR_RULES))
     for i in range(len(SIMILAR_RULES) - 1, 0, -1):
         pick = F.when(F.coalesce(F.col(f"n{i}"), F.lit(0)) >= min_n, F.lit(i)).otherwise(pick)

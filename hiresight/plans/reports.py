@@ -13,6 +13,7 @@ from ..functions import clean, rules
 from ..operators import agg
 from ..operators.joins import keep_labels
 from ..operators.quantiles import agg_by, median
+from ..session import write_back
 from ..sources.tables import JobTables
 from . import views
 
@@ -352,7 +353,7 @@ def q11_1(t: JobTables) -> DataFrame:
 def q11_2(t: JobTables) -> DataFrame:
     """Top-6 industry x level median salary, industries with at least two levels."""
     from pyspark.sql import Window
-    m = agg.median_matrix(_industry_ladder(t, 6), "industry_name", EXPL, SAL)
+    m = agg.median_matrix(write_back(_industry_ladder(t, 6), "industry-ladder"), "industry_name", EXPL, SAL)
     m = m.withColumn("levels", F.count(F.lit(1)).over(Window.partitionBy("industry_name")))
     return m.where(F.col("levels") >= 2)
 
@@ -365,7 +366,7 @@ def q11_3(t: JobTables) -> DataFrame:
 
 def q11_4(t: JobTables) -> DataFrame:
     """Entry to mid-senior salary growth in the top-6 industries."""
-    return agg.growth_by(_industry_ladder(t, 6), "industry_name", EXPL, SAL,
+    return agg.growth_by(write_back(_industry_ladder(t, 6), "industry-ladder"), "industry_name", EXPL, SAL,
                          "Entry level", "Mid-Senior level")
 
 
@@ -444,7 +445,8 @@ def gap_records(t: JobTables) -> DataFrame:
                  ((F.col("min_salary") + F.col("max_salary")) / 2).alias("mid_sal"))
     p = t.postings.select("job_id", clean.fill_unknown(EXPL).alias(EXPL),
                           clean.extract_state("location").alias("state"))
-    return s.join(p, "job_id", "left").join(views.primary_industry(t), "job_id", "left")
+    g = s.join(p, "job_id", "left").join(views.primary_industry(t), "job_id", "left")
+    return write_back(g, "gap-records")  # read by every statistic of a report
 
 
 def q13_1(t: JobTables) -> DataFrame:
@@ -462,9 +464,9 @@ def _gap_stats(extra=None):
     return d
 
 
-def q13_2(t: JobTables) -> DataFrame:
+def q13_2(t: JobTables, gaps: DataFrame | None = None) -> DataFrame:
     """Gap statistics of the 15 most frequent primary industries."""
-    g = gap_records(t)
+    g = gaps if gaps is not None else gap_records(t)
     g = keep_labels(g, "industry_name", agg.top_k_labels(g, "industry_name", 15))
     return agg.multi_agg_by(g, "industry_name", _gap_stats({"median_sal": median("mid_sal")}))
 
@@ -493,7 +495,7 @@ def q13_5(t: JobTables) -> DataFrame:
 def q13_6(t: JobTables) -> DataFrame:
     """Headline: rows, median gap and gap %, widest and narrowest of the top-15 industries."""
     g = gap_records(t)
-    ind = q13_2(t)
+    ind = write_back(q13_2(t, g), "gap-industries")
     # at most 15 rows; ties go to the first name
     rows = F.collect_list(F.struct((-F.col("median_gap")).alias("g"), F.col("industry_name").alias("i")))
     low = F.collect_list(F.struct(F.col("median_gap").alias("g"), F.col("industry_name").alias("i")))
@@ -525,7 +527,6 @@ def premium_test(t: JobTables) -> DataFrame:
 def q09_1(t: JobTables) -> DataFrame:
     """15 largest and 15 smallest significant skill premiums, with p-values."""
     from ..operators import stats
-    from ..session import write_back
     sig = stats.premium_test(views.skills_bridge(t), views.report_postings(t),
                              "job_id", "skill_name", SAL, with_p=True)
     # one row per significant label, read by both sides of the ranking: written once
