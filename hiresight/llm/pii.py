@@ -182,7 +182,8 @@ def _exact_cuts(scores: DataFrame, alpha: float) -> dict[str, float]:
 
 
 def fit(found: DataFrame, alpha: float) -> dict[str, tuple[str, float]]:
-    """kind -> (score expression over candidate x, threshold)."""
+    """kind -> (score expression over candidate x, threshold). A kind without any refused candidate
+    outside the training part has nothing to set a threshold by and adds no spans."""
     rows = None
     for k in KINDS:
         c = found.select(F.lit(k).alias("kind"), F.explode(f"c_{k}").alias("x")).select("kind", "x")
@@ -209,7 +210,7 @@ def fit(found: DataFrame, alpha: float) -> dict[str, tuple[str, float]]:
                                for w, t in zip(model.treeWeights, model.trees))
     score = "case kind " + " ".join(f"when '{k}' then {x}" for k, x in scores.items()) + " end"
     cuts = _exact_cuts(rows.where("not train and y = 0").select("kind", F.expr(score).alias("score")), alpha)
-    return {k: (x, cuts.get(k, -1e300)) for k, x in scores.items()}
+    return {k: (x, cuts.get(k, 1e300)) for k, x in scores.items()}
 
 
 def _spans(found: DataFrame, models: dict) -> DataFrame:

@@ -174,6 +174,13 @@ def test_pii_threshold_covers_all_refused(planted, monkeypatch):
         assert models[k][1] == x[len(x) - 1 - int(0.002 * len(x))]
 
 
+def test_nothing_is_added_without_refused_candidates(spark):
+    df = spark.createDataFrame([(1, "order 123 456 7890 12 shipped"), (2, "mail a.b@example.org now")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(df).collect()}
+    assert got[1] == "" and got[2].startswith("email:5:")
+    assert sorted(r["text"] for r in pii.redact(df).collect()) == ["mail <EMAIL> now", "order 123 456 7890 12 shipped"]
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark):
     df = spark.createDataFrame(
         [(1, "write a@b.co or +1 555 010 9999 é", "k"), (2, None, "k"), (3, "clean", None)],
