@@ -30,6 +30,7 @@ from .tokens import encoder
 
 CAPACITY = 4096
 BROADCAST_ROWS = 100_000  # a larger plan is joined by shuffling
+SLICE = 4 << 20  # bytes of ids handed on at a time
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long"
 
@@ -101,21 +102,29 @@ def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
         enc, seen = encoder(path), defaultdict(int)
         task = TaskContext.get().partitionId()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
+        k = 8 if with_ids else 7
+
+        def out(rows):
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds)], names[:k])
+
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.ids(text or "") + tail
+            rows, held = [], 0
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                ids = enc.ids(text.as_py() or "") + tail
+                doc_id = doc_id.as_py()
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at:at + 4 * capacity]
                     n = len(own) // 4
-                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(own), task, seen[n], own))
+                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(own), task, seen[n], own if with_ids else None))
                     seen[n] += 1
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(),
-                     pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
-            k = 8 if with_ids else 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds)], names[:k])
+                held += len(ids)
+                if held > SLICE:  # a task holds one slice of ids, not a whole batch
+                    yield out(rows)
+                    rows, held = [], 0
+            yield out(rows)
 
     return run
 
@@ -146,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     return placed.select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
         (F.col("sequence") + F.floor(nth / F.col("per"))).cast("long").alias("sequence_id"),
-        (F.col("room_at") + (nth % F.col("per")) * F.col("length")).cast("int").alias("offset"),
+        (F.col("room_at") + (nth % F.col("per")) * F.col("length")).cast("long").alias("offset"),
         *(["ids"] if with_ids else []))
 
 

@@ -2,7 +2,9 @@
 
 A text is cut only where the tokenizers' own pre-tokenizers always cut (a white-space character
 after another character), so the ids of the pieces, joined, are the ids of the whole text. Pieces
-are encoded by the library once and then looked up; the table of known pieces is bounded.
+are encoded by the library once and then looked up; the tables of known pieces are bounded in bytes.
+Texts that hold one of the file's added tokens (end of text and the like) go through the library
+whole, as it finds these before it cuts anything.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import string
+from array import array
 from operator import attrgetter
 
 #: Unicode white space, as the tokenizers' patterns see it (fixed values)
@@ -19,7 +22,8 @@ _SOLID = re.compile(f"[^{WS}]+")
 _ODD = re.compile(f"[{WS}](?= )|^ ")  # a space that doesn't follow a solid character
 _BARE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizers
 PUNCTUATION = string.punctuation
-KNOWN = 1_000_000  # pieces kept by a worker
+KNOWN_BYTES = 160 << 20  # what a worker's tables of known pieces may hold together
+ENTRY = 200  # bytes of an entry besides its characters and ids
 LONGEST = 48  # characters of a kept piece
 
 
@@ -38,13 +42,14 @@ def _byte_letters() -> dict[int, str]:
 class _Known(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, room: list):
+        self.encode, self.room = encode, room  # bytes left, shared by the encoder's tables
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        if len(self) < KNOWN and len(piece) <= LONGEST:
+        if self.room[0] > 0 and len(piece) <= LONGEST:
             self[piece] = ids
+            self.room[0] -= ENTRY + len(piece) + len(ids)
         return ids
 
 
@@ -53,12 +58,13 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from array import array
-
         from tokenizers import Tokenizer
 
         t = self.t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        added = [a.content for a in t.get_added_tokens_decoder().values()]
+        # letter case is left open: a tokenizer may fold it before it looks
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.mark = re.split(r"\w", os.path.commonprefix(added))[0] if added else ""  # what all of them start with
         # white space is dropped by tokenizers whose words carry an end mark
         self.drops_space = drops = bool(getattr(t.model, "end_of_word_suffix", None))
         model, norm, pre, letters = t.model, t.normalizer, t.pre_tokenizer, _byte_letters()
@@ -78,7 +84,8 @@ class Encoder:
         def word(core: str) -> bytes:
             return pack(space + (core if core.isascii() else core.encode().decode("latin-1").translate(letters)))
 
-        cores, tails = _Known(word), _Known(pack)
+        room = [KNOWN_BYTES]
+        cores, tails = _Known(word, room), _Known(pack, room)
 
         def common(p: str) -> bytes:
             """A word (with its space, where spaces count): one pre-token of letters, then one of
@@ -89,10 +96,12 @@ class Encoder:
                 return ids + tails[p[len(core):]] if len(core) < len(p) else ids
             return piece(p if drops else " " + p)
 
-        self.words = _Known(common)
-        self.plain = _Known(piece)
+        self.words = _Known(common, room)
+        self.plain = _Known(piece, room)
 
     def ids(self, text: str) -> bytes:
+        if self.added and self.mark in text and self.added.search(text):
+            return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
         if self.drops_space:
             words = _SOLID.findall(text) if _BARE.search(text) else text.split()
             return b"".join(map(self.words.__getitem__, words))

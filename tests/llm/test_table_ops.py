@@ -82,11 +82,11 @@ def test_repeats_are_removed_exactly(spark, split, monkeypatch):
 # ---- top-k
 
 def _brute_topk(rows, k=10):
-    v = {i: np.floor(1024 * np.array(x, float)).astype(int) for i, x in rows}
+    v = [(i, np.floor(1024 * np.array(x, float)).astype(int)) for i, x in rows]
     out = []
-    for q in v:
+    for a, (q, x) in enumerate(v):
         if q % 100 == 0:
-            best = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:k]
+            best = sorted((-int(x @ y), i) for b, (i, y) in enumerate(v) if a != b)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -99,9 +99,9 @@ def test_topk_is_exact(spark, block, monkeypatch):
     rows += [(500 + i, rows[100][1]) for i in range(30)]  # ties
     bad = [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, rows[0][1])]
     df = spark.createDataFrame(rows + bad + rows[:5], "vec_id long, embedding array<float>")
-    v = topk.usable(df, "vec_id", "embedding", 1024)
+    v = topk.usable(df, "vec_id", "embedding", 1024).withColumn("row", F.monotonically_increasing_id()).cache()
     got = sorted(tuple(x) for x in topk.search(v, v.where("id % 100 = 0")).collect())
-    assert got == _brute_topk(rows)
+    assert got == _brute_topk(rows + rows[:5])
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
@@ -112,6 +112,25 @@ def test_topk_sparse_queries_and_few_rows(spark):
     assert got == [(0, 1, 3, 0), (0, 2, 100, 0), (100, 1, 0, 0), (100, 2, 3, -1048576)]
 
 
+def test_topk_keeps_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [5.0, 0.0]), (100, [2.0, 0.0])],
+                               "vec_id long, embedding array<double>")
+    v = topk.usable(df, "vec_id", "embedding", 1).withColumn("row", F.monotonically_increasing_id()).cache()
+    got = sorted(tuple(x) for x in topk.search(v, v.where("id % 100 = 0")).collect())
+    assert got == sorted([(100, 1, 1, 5), (100, 2, 100, 2), (100, 3, 1, 0), (100, 1, 1, 10), (100, 2, 100, 2), (100, 3, 1, 0)])
+
+
+def test_known_pieces_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 2_000)
+    e = tokens.Encoder(P.path("word_bpe_49k.json"))
+    full = tokens.encoder(P.path("word_bpe_49k.json"))
+    r = random.Random(1)
+    for _ in range(200):
+        x = " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(20))
+        assert e.ids(x) == full.ids(x)
+    assert len(e.words) + len(e.plain) < 20
+
+
 # ---- language model
 
 def test_gradients_match_differences(monkeypatch):
@@ -196,9 +215,8 @@ def test_ids_equal_the_library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     e, r = tokens.encoder(P.path(name)), random.Random(7)
-    parts = list("ab  \n\t\r.,'s!1é中\x85\xa0 \x1c\u3000") + ["'ll", "<|endoftext|>", "  ", "\n\n", " the", "Straße.", "µm",
+    parts = list("ab  \n\t\r.,'s!1é中\x85\xa0 \x1c\u3000") + ["'ll", "<|endoftext|>", "<|EndOfText|>", "  ", "\n\n", " the", "Straße.", "µm",
              "naïve?!", "don't", "x###", "ªº", "İ", "a" * 60]
     for _ in range(1500):
         x = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
