@@ -45,6 +45,7 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+MIXED = ALPHABETS["base64"] + "-_"
 CLASSES = [20, 24, 32, 40, 64, 128]  # lower ends of the length classes
 BINS = 200
 #: what the null tokens are made of: whole words and numbers, no parts of longer tokens
@@ -61,7 +62,7 @@ def _encoding(m: Column) -> Column:
 
 
 def _alphabet(enc: Column) -> Column:
-    a = F.lit(ALPHABETS["base64"] + "-_")
+    a = F.lit(MIXED)
     for name, chars in ALPHABETS.items():
         a = F.when(enc == name, F.lit(chars)).otherwise(a)
     return a
@@ -75,20 +76,27 @@ _ERFC = ("((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.28449673
 
 def _tested(df: DataFrame) -> DataFrame:
     """tokens: array<struct<s, e, enc, n, a, x>> -> tested: array<struct<s, e, word, enc, cls, bin>>."""
-    codes = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n,
-        cast(char_length(t.a) as double) as k,
-        aggregate(split(t.a, ''), 0L, (v, c) -> v + if(c = '', 0L,
-            cast(pow(t.n - char_length(replace(t.m, c, '')), 2) as bigint))) as sq,
-        transform(split(t.m, ''), c -> instr(t.a, c) - 0.5D) as x))""")
-    sums = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n, t.k as k, t.sq as sq,
-        aggregate(t.x, 0D, (v, y) -> v + y) / t.n as mean,
-        aggregate(t.x, 0L, (v, y) -> v + if(y > t.k / 2, 1L, 0L)) as high,
-        aggregate(t.x, struct(-1 as was, 0L as runs), (v, y) -> struct(if(y > t.k / 2, 1, 0) as was,
-            v.runs + if((y > t.k / 2) = (v.was = 1) and v.was >= 0, 0L, 1L) as runs)).runs as runs, t.x as x))""")
+    # the letters, the runs of equal letters once sorted, and L or H for the alphabet's halves
+    halves = "case t.enc " + " ".join(
+        f"when '{e}' then translate(t.m, '{a}', '{'L' * (len(a) // 2) + 'H' * (len(a) // 2)}')"
+        for e, a in (ALPHABETS | {"mixed": MIXED}).items()) + " end"
+    split = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n, t.a as a,
+        {halves} as half, transform(split(t.m, ''), c -> instr(t.a, c) - 0.5D) as x,
+        transform(regexp_extract_all(array_join(sort_array(split(t.m, '')), ''), '(.)\\\\1*', 0), r -> struct(
+            instr(t.a, left(r, 1)) - 0.5D as y, cast(char_length(r) as bigint) as c)) as letters))""")
+    sums = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n,
+        cast(char_length(t.a) as double) as k, element_at(t.x, 1) + element_at(t.x, -1) as ends,
+        cast(char_length(replace(t.half, 'L', '')) as bigint) as high,
+        cast(char_length(regexp_replace(t.half, 'L+|H+', 'x')) as bigint) as runs,
+        aggregate(t.letters, 0L, (v, l) -> v + if(l.y < 0, 0L, l.c * l.c)) as sq,
+        aggregate(t.letters, 0D, (v, l) -> v + l.c * l.y) as a, aggregate(t.letters, 0D, (v, l) -> v + l.c * l.y * l.y) as b,
+        aggregate(zip_with(slice(t.x, 2, size(t.x) - 1), slice(t.x, 1, size(t.x) - 1), (y, z) -> y * z), 0D,
+            (v, y) -> v + y) as p))""")
+    # sums of products about the mean, from those of the codes (exact: codes are half integers)
     serial = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n, t.k as k, t.sq as sq,
         t.high as n1, t.n - t.high as n2, t.runs as runs,
-        aggregate(t.x, struct(0D as was, 0D as c, 0D as v), (v, y) -> struct(y - t.mean as was,
-            v.c + v.was * (y - t.mean) as c, v.v + (y - t.mean) * (y - t.mean) as v)) as r))""")
+        struct(t.p - t.a * (2 * t.a - t.ends) / t.n + (t.n - 1) * t.a * t.a / (t.n * t.n) as c,
+               t.b - t.a * t.a / t.n as v) as r))""")
     scores = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n,
         (pow(greatest(t.k * t.sq / t.n - t.n, 0) / (t.k - 1), 1 / 3D) - (1 - 2 / (9 * (t.k - 1))))
             / sqrt(2 / (9 * (t.k - 1))) as z1,
@@ -104,7 +112,7 @@ def _tested(df: DataFrame) -> DataFrame:
     fin = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.word as word, t.enc as enc, {cls} as cls,
         cast(least(greatest(floor({BINS} * ({erfc} + sqrt(2 * t.q / pi()) * exp(-t.q / 2))), 0), {BINS - 1}) as int)
             as bin))""")
-    for step in (codes, sums, serial, scores, p, p2, fin):
+    for step in (split, sums, serial, scores, p, p2, fin):
         df = df.withColumn("tokens", step)
     return df
 
