@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                             other.alias("other"), F.array(*_features(k, c, before, after)).alias("f"))
         return F.transform(f"c_{k}", one)
 
-    return df.withColumns({f"c_{k}": described(k) for k in KINDS})
+    return df.withColumns({f"c_{k}": described(k) for k in KINDS}).drop(t)
 
 
 def _tree_sql(debug: str, var: str) -> str:
@@ -239,10 +239,10 @@ def scan(docs: DataFrame, alpha: float = 0.002) -> DataFrame:
 def redact(docs: DataFrame, alpha: float = 0.002) -> DataFrame:
     """The documents with every span replaced by <KIND>; overlapping spans become one, named
     after the first. Other columns are unchanged."""
-    models = fit(stage(candidates(docs, []), "pii-candidates"), alpha)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(f"{PRE}row"), "text")
-    found = candidates(row, [f"{PRE}row"]).withColumn(f"{PRE}t", F.col(f"{PRE}text"))
-    df = _spans(found, models)
+    found = stage(candidates(row, [f"{PRE}row"]), "pii-candidates")  # the rows ride along: found once
+    df = _spans(found, fit(found, alpha)).withColumn(
+        f"{PRE}t", F.coalesce(F.col(f"{PRE}row.text").cast("string"), F.lit("")))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     order = F.array_sort(F.transform("every", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
