@@ -1,6 +1,7 @@
 """Quality rules, secret scan, personal data, SimHash against brute force, with edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -101,6 +102,44 @@ def test_random_tokens_are_found_and_words_left(spark):
         assert text[i][a:b] == planted[i]
 
 
+def _randomness(token: str, alphabet: str) -> float:
+    """The three tests written out; the chi-squared tail with three degrees of freedom."""
+    n, k = len(token), len(alphabet)
+    chi = sum((token.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    z1 = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    code = [alphabet.index(c) + 0.5 for c in token]
+    high = [y > k / 2 for y in code]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    n2, z2, z3 = n - n1, 99.0, 99.0
+    if n1 and n2:
+        z2 = (runs - (2 * n1 * n2 / n + 1)) / math.sqrt(max(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)), 0.01))
+    mean = sum(code) / n
+    if v := sum((y - mean) ** 2 for y in code):
+        z3 = (sum((a - mean) * (b - mean) for a, b in zip(code, code[1:])) / v + 1 / n) * math.sqrt(n)
+    q = z1 * z1 + z2 * z2 + z3 * z3
+    return math.erfc(math.sqrt(q / 2)) + math.sqrt(2 * q / math.pi) * math.exp(-q / 2)
+
+
+def test_secret_statistics_equal_the_tests_written_out(spark):
+    r = random.Random(11)
+    kinds = {k: a for k, a in (secrets.ALPHABETS | {"mixed": secrets.MIXED}).items() if k not in ("lower", "upper")}
+    tokens = [("".join(r.choice(a[:r.choice([2, 9, len(a)])]) for _ in range(r.choice([20, 24, 33, 70, 200]))))
+              for a in kinds.values() for _ in range(25)]
+    tokens += ["Aa0" * 9, "0" * 30, "A" * 10 + "9" * 10, "Zz" * 64 + "_-/+"]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
+    got = {x["doc_id"]: x["tokens"] for x in secrets.candidates(rows).select("doc_id", "tokens").collect()}
+    seen = set()
+    for i, token in enumerate(tokens):
+        (t,) = got[i]
+        if t["word"]:
+            continue
+        p = secrets.BINS * _randomness(token, kinds[t["enc"]])
+        assert (t["s"], t["e"]) == (0, len(token)) and t["cls"] == sum(len(token) >= c for c in secrets.CLASSES) - 1
+        assert int(p - 0.01) <= t["bin"] <= min(int(p + 0.01), secrets.BINS - 1), (token, t, p)
+        seen.add(t["enc"])
+    assert seen == set(kinds)
+
+
 def test_long_keys_are_found_in_prose(spark):
     r = random.Random(8)
     prose = ("the people of this town were told that a new road would be built near the old mill and many of them "
