@@ -80,9 +80,14 @@ def _tested(df: DataFrame) -> DataFrame:
     halves = "case t.enc " + " ".join(
         f"when '{e}' then translate(t.m, '{a}', '{'L' * (len(a) // 2) + 'H' * (len(a) // 2)}')"
         for e, a in (ALPHABETS | {"mixed": MIXED}).items()) + " end"
+    # place in the alphabet, less one half, by ASCII number (tokens hold no other characters)
+    place = "case t.enc " + " ".join("when '{}' then array({})".format(e, ", ".join(
+        f"{a.find(chr(i)) + 0.5}D" for i in range(128))) for e, a in (ALPHABETS | {"mixed": MIXED}).items()) + " end"
+    named = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n, t.a as a, t.m as m,
+        {place} as place, split(t.m, '') as chars))""")
     split = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n, t.a as a,
-        {halves} as half, transform(split(t.m, ''), c -> instr(t.a, c) - 0.5D) as x,
-        transform(regexp_extract_all(array_join(sort_array(split(t.m, '')), ''), '(.)\\\\1*', 0), r -> struct(
+        {halves} as half, transform(t.chars, c -> t.place[ascii(c)]) as x,
+        transform(regexp_extract_all(array_join(sort_array(t.chars), ''), '(.)\\\\1*', 0), r -> struct(
             instr(t.a, left(r, 1)) - 0.5D as y, cast(char_length(r) as bigint) as c)) as letters))""")
     sums = F.expr("""transform(tokens, t -> struct(t.s as s, t.e as e, t.enc as enc, t.n as n,
         cast(char_length(t.a) as double) as k, element_at(t.x, 1) + element_at(t.x, -1) as ends,
@@ -112,7 +117,7 @@ def _tested(df: DataFrame) -> DataFrame:
     fin = F.expr(f"""transform(tokens, t -> struct(t.s as s, t.e as e, t.word as word, t.enc as enc, {cls} as cls,
         cast(least(greatest(floor({BINS} * ({erfc} + sqrt(2 * t.q / pi()) * exp(-t.q / 2))), 0), {BINS - 1}) as int)
             as bin))""")
-    for step in (split, sums, serial, scores, p, p2, fin):
+    for step in (named, split, sums, serial, scores, p, p2, fin):
         df = df.withColumn("tokens", step)
     return df
 
