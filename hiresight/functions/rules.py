@@ -183,3 +183,22 @@ you your yours
 
 # fixed value: description of a requested role of which nothing is known
 ROLE_DEFAULT = "Collaborate with cross-functional teams and support role-specific responsibilities."
+
+#: reports shown in a fixed label order: query -> (column, labels in order)
+URGENCY_ORDER = ["high", "medium", "low"]
+REPORT_ORDER = {
+    "q01_1": ("formatted_experience_level", EXPERIENCE_LEVELS_ALL),
+    "q01_5": ("formatted_experience_level", EXPERIENCE_LEVELS),
+    "q01_6": ("size_label", SIZE_ORDER),
+    "q03_3": ("urgency", URGENCY_ORDER),
+    "q04_1": ("salary_band", SALARY_BANDS_REPORT[1]),
+    "q04_2": ("salary_band", SALARY_BANDS_REPORT[1]),
+    "q10_3": ("formatted_experience_level", EXPERIENCE_LEVELS),
+    "q11_1": ("formatted_experience_level", EXPERIENCE_LEVELS),
+    "q11_5": ("formatted_experience_level", EXPERIENCE_LEVELS),
+    "q12_5": ("formatted_experience_level", EXPERIENCE_LEVELS),
+    "q13_3": ("formatted_experience_level", EXPERIENCE_LEVELS),
+    "q13_4": ("salary_band", SALARY_BANDS_REPORT[1]),
+    "benefit_summary": ("benefit_bucket", BENEFIT_BUCKETS[1]),
+    "baseline_error_by_band": ("band", ERROR_BANDS[1]),
+}

@@ -65,6 +65,15 @@ def median_by(df: DataFrame, keys, value: str, median: str = "median_salary",
     return g if count else g.drop(cname)
 
 
+def order_by_labels(df: DataFrame, col: str, labels: Sequence[str], name: str = "ord",
+                    unknown: int = 999) -> DataFrame:
+    """The place of each row's label in a fixed order as a column (from 0; other labels and
+    missing ones: ``unknown``). Rows carry their order, so no sort is needed to keep it."""
+    from ..functions.clean import label_map
+    places = label_map(col, {v: i for i, v in enumerate(labels)}, unknown)
+    return df.withColumn(name, places.cast("int"))
+
+
 def rate_by(df: DataFrame, keys, flag: str, name: str = "remote_pct") -> DataFrame:
     """mean(flag) * 100 per group."""
     keys = _keys(keys)
@@ -171,9 +180,11 @@ def boxplot_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     return q.join(w, group)
 
 
-def histogram(df: DataFrame, value: str, bins: int, clip_hi: float | None = None) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int, clip_hi: float | None = None,
+              markers: bool = False) -> DataFrame:
     """Equal-width histogram over [min, max] of the (clipped) values; the last bin is closed.
-    min/max come from one scalar subquery, the bins from one partial aggregation."""
+    min/max come from one scalar subquery, the bins from one partial aggregation. ``markers``
+    adds the mean and the exact median of the values before clipping, equal on every bin."""
     v = F.col(value)
     if clip_hi is not None:
         v = F.least(v, F.lit(clip_hi))
@@ -184,8 +195,13 @@ def histogram(df: DataFrame, value: str, bins: int, clip_hi: float | None = None
     b = F.least(F.floor(F.try_divide(F.col("_v") - lo, width)), F.lit(bins - 1)).cast("int")
     g = d.select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"))
-    return g.select("bin", (lo + F.col("bin") * width).alias("bin_low"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_high"), "n")
+    out = g.select("bin", (lo + F.col("bin") * width).alias("bin_low"),
+                   (lo + (F.col("bin") + 1) * width).alias("bin_high"), "n")
+    if not markers:
+        return out
+    at = agg_by(_notnull(df, [value]).select(value), [], {"mean": F.avg(value), "median": median_of(value)})
+    at = at.select(F.struct("mean", "median")).scalar()
+    return out.withColumns({"mean": at.getField("mean"), "median": at.getField("median")})
 
 
 def drop_null_top(df: DataFrame, label: str, value: str, k: int) -> DataFrame:

@@ -137,6 +137,19 @@ def baseline_residual_normality(t: JobTables) -> DataFrame:
                       jb.select("kurt").scalar().alias("kurt"), jb.select("jb").scalar().alias("jb"))
 
 
+def baseline_residual_histogram(t: JobTables, bins: int = 80) -> DataFrame:
+    """Density histogram of the log residuals over all rows, with the mean and the median of the
+    residuals and the density of the fitted normal at each bin's middle."""
+    d = baseline_oof(t).select((F.log1p("pred_salary") - F.log1p("actual_salary")).alias("r"))
+    fit = stats.normal_fit(d, "r").select(F.struct("mean", "std", "n")).scalar()
+    mean, std, n = fit.getField("mean"), fit.getField("std"), fit.getField("n")
+    h = agg.histogram(d, "r", bins, markers=True)
+    width, middle = F.col("bin_high") - F.col("bin_low"), (F.col("bin_high") + F.col("bin_low")) / 2
+    z = F.try_divide(middle - mean, std)
+    return h.withColumns({"density": F.try_divide(F.col("n"), n * width),
+                          "normal_density": F.try_divide(F.exp(-z * z / 2), std * F.sqrt(F.lit(2.0) * F.pi()))})
+
+
 def baseline_residual_trend(t: JobTables, n: int = 5000) -> DataFrame:
     """Log residual against the prediction on a reproducible sample of at most ``n`` rows, with
     a centred moving mean of width max(rows / 20, 50)."""

@@ -16,6 +16,7 @@ from ..operators import agg
 from ..operators.joins import attach_lookup, keep_labels, left_join_known
 from ..operators.quantiles import Quantile, agg_by, median
 from ..session import write_back
+from ..sources.schemas import SCHEMAS
 from ..sources.tables import JobTables, with_defaults
 from . import views
 
@@ -23,13 +24,18 @@ SAL = "normalized_salary"
 EXPL = "formatted_experience_level"
 
 
+#: what the dashboard reads of a posting column that the source lacks (all twelve of them)
+POSTING_DEFAULTS = {
+    "title": "", "location": "Unknown", "remote_allowed": None, SAL: None, "currency": "USD",
+    EXPL: "Unknown", "formatted_work_type": "Unknown", "pay_period": "Unknown", "views": None,
+    "applies": None, "description": "", "company_id": None,
+}
+
+
 def market_view(t: JobTables) -> DataFrame:
     """Cleaned postings: remote flag, state (token rule, 'Unknown'), city, title family,
     primary industry, salary-usable flag ($10k-$300k, USD or missing) and competition."""
-    p = with_defaults(t.postings, {"title": "", "location": "Unknown", "currency": "USD",
-                                   "formatted_experience_level": "Unknown",
-                                   "formatted_work_type": "Unknown", "pay_period": "Unknown",
-                                   "description": ""})
+    p = with_defaults(t.postings, POSTING_DEFAULTS, SCHEMAS["postings"])
     lo, hi = rules.SALARY_RANGE_DASHBOARD
     p = p.select(
         "job_id", "company_id", "title", "location", SAL, "currency", "pay_period", "views",

@@ -300,13 +300,14 @@ _ORDER.append("v_gap")
 
 def hist_sql(measure: str, value: str, bins: int, clip: float) -> str:
     v = f"least({value}, {clip})"
-    return f"""select bin, lo + bin * w as bin_low, lo + (bin + 1) * w as bin_high, count(*) as n, '{measure}' as measure from (
+    return f"""select bin, lo + bin * w as bin_low, lo + (bin + 1) * w as bin_high, count(*) as n, '{measure}' as measure,
+ (select avg({value}) from v_gap) as mean, (select median({value}) from v_gap) as median from (
  select case when w > 0 then cast(least(floor(({v} - lo) / w), {bins - 1}) as integer) else 0 end as bin, lo, w from v_gap,
  (select min({v}) as lo, (max({v}) - min({v})) / {bins} as w from v_gap where {value} is not null) mm where {value} is not null)
  group by bin, lo, w"""
 
 
-q("q13_1", hist_sql("gap", "gap", 50, 200000) + " union all " + hist_sql("gap_pct", "gap_pct", 50, 200), ["bin_low", "bin_high"])
+q("q13_1", hist_sql("gap", "gap", 50, 200000) + " union all " + hist_sql("gap_pct", "gap_pct", 50, 200), ["bin_low", "bin_high", "mean", "median"])
 _TOP15G = topk("v_gap", "industry_name", 15)
 q("q13_2", f"""select industry_name, median(gap) as median_gap, median(gap_pct) as median_gap_pct, median(mid_sal) as median_sal, count(job_id) as n
  from v_gap where industry_name in {_TOP15G} group by 1""", ["median_gap", "median_gap_pct", "median_sal"])
@@ -844,3 +845,15 @@ q("role_contexts", f"""select job_id as request_id, coalesce(nullif(concat_ws('
  case when len(benefits) > 0 then 'Primary focus: ' || array_to_string(list_transform(benefits[1:3], lambda x: lower(x)), ', ') || '.' end), ''), '{rules.ROLE_DEFAULT}') as role_context from v_req""")
 q("request_signatures", """select job_id as request_id, substr(md5(cast(to_json(struct_pack(city := city, company_size := company_size,
  formatted_experience_level := formatted_experience_level, remote_flag := remote_flag, state := state, title := title)) as varchar)), 1, 10) as signature from v_req""")
+
+q("baseline_residual_histogram", """with e as (select ln(1 + pred_salary) - ln(1 + actual_salary) as r from v_base),
+ m as (select min(r) as lo, (max(r) - min(r)) / 80 as w, avg(r) as mean, median(r) as median, stddev_pop(r) as std, count(r) as total from e),
+ h as (select case when w > 0 then cast(least(floor((r - lo) / w), 79) as integer) else 0 end as bin, count(*) as n from e, m group by 1)
+ select bin, lo + bin * w as bin_low, lo + (bin + 1) * w as bin_high, n, mean, median, n / nullif(total * w, 0) as density,
+ exp(-pow((lo + (bin + 0.5) * w - mean) / nullif(std, 0), 2) / 2) / (nullif(std, 0) * sqrt(2 * pi())) as normal_density from h, m""",
+  ["bin_low", "bin_high", "mean", "median", "density", "normal_density"])
+
+# --- fixed label order -------------------------------------------------------------------------
+for _name, (_col, _labels) in rules.REPORT_ORDER.items():
+    SQL[_name] = (f"select r.*, case {_col} " + " ".join(f"when '{v}' then {i}" for i, v in enumerate(_labels))
+                  + f" else 999 end as ord from ({SQL[_name]}) r")

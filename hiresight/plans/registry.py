@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import rules
+from ..operators import agg
 from ..sources.fixtures import driver_tables
 from . import clustering, evaluation, featureset, market, modeling, reports, salary_features, textual
 from ..sources.fixtures import documents
@@ -49,7 +51,10 @@ def stable(df: DataFrame) -> DataFrame:
 
 def _on_tables(fn) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return stable(fn(driver_tables(spark, sf_dir)))
+        df = fn(driver_tables(spark, sf_dir))
+        if fn.__name__ in rules.REPORT_ORDER:
+            df = agg.order_by_labels(df, *rules.REPORT_ORDER[fn.__name__])
+        return stable(df)
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
@@ -68,7 +73,7 @@ EVALUATION = ["baseline_metrics", "baseline_fold_metrics", "baseline_segment_met
               "baseline_intervals", "baseline_calibration", "baseline_title_errors",
               "baseline_bias_extremes", "baseline_prediction_bands", "baseline_worst_predictions",
               "baseline_best_interval", "baseline_error_by_band", "baseline_residual_normality",
-              "baseline_residual_trend", "baseline_qq_points", "split_calibration"]
+              "baseline_residual_trend", "baseline_qq_points", "baseline_residual_histogram", "split_calibration"]
 # learned models: no SQL twin (rows-only check); the statistics they feed are SQL-checked
 # above through the deterministic baseline
 MODELS = ["model_cv_metrics", "model_comparison", "stack_coefficients", "model_intervals",

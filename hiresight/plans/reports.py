@@ -450,10 +450,11 @@ def gap_records(t: JobTables) -> DataFrame:
 
 
 def q13_1(t: JobTables) -> DataFrame:
-    """50-bin histograms of the gap (clipped at 200k) and the gap % (clipped at 200)."""
-    g = gap_records(t)
-    a = agg.histogram(g, "gap", 50, 200_000).withColumn("measure", F.lit("gap"))
-    b = agg.histogram(g, "gap_pct", 50, 200).withColumn("measure", F.lit("gap_pct"))
+    """50-bin histograms of the gap (clipped at 200k) and the gap % (clipped at 200), with the
+    mean and the median of the unclipped values."""
+    g = write_back(gap_records(t).select("gap", "gap_pct"), "gap-values")
+    a = agg.histogram(g, "gap", 50, 200_000, markers=True).withColumn("measure", F.lit("gap"))
+    b = agg.histogram(g, "gap_pct", 50, 200, markers=True).withColumn("measure", F.lit("gap_pct"))
     return a.unionByName(b)
 
 

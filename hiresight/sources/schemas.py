@@ -29,4 +29,7 @@ SCHEMAS = {
     "company_specialities": _st(("company_id", _L), ("speciality", _S)),
 }
 
+#: other headers a source may use for a declared column (fixed values)
+SYNONYMS = {"speciality": ["specialty", "specialities", "specialties"]}
+
 TABLES = tuple(SCHEMAS)

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from .schemas import SCHEMAS, TABLES
+from .schemas import SCHEMAS, SYNONYMS, TABLES
 
 
 #: tables that a source may lack; queries then see them empty
@@ -61,19 +62,19 @@ def read_table(spark: SparkSession, path: str, name: str, cols: Iterable[str] |
 
     ``optional=False``: a missing file or column raises, listing the columns that exist.
     ``optional=True``: a missing file gives an empty frame with the declared schema, and only
-    the wanted columns that exist are kept (all columns when none of them exists). CSV values
-    that do not parse as the declared type become null.
+    the wanted columns that exist are kept (all columns when none of them exists). Headers are
+    matched by ``with_known_names``. CSV values that do not parse as the declared type become null.
     """
     full = os.path.join(path, f"{name}.{fmt}")
     schema = SCHEMAS.get(name)
     try:
         if fmt == "csv":
-            df = _csv(spark, full)
+            df = with_known_names(_csv(spark, full), name)
             if schema is not None:
                 df = df.select([F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else
                                 F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         else:
-            df = spark.read.format(fmt).load(full)
+            df = with_known_names(spark.read.format(fmt).load(full), name)
     except AnalysisException as e:
         if not optional or e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -104,7 +105,22 @@ def find_column(df: DataFrame, names: Iterable[str]) -> str | None:
     return None
 
 
-def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
-    """Add absent columns with a constant default; present columns are untouched."""
-    add = {c: F.lit(v) for c, v in defaults.items() if c not in df.columns}
+def with_known_names(df: DataFrame, name: str) -> DataFrame:
+    """Headers that differ from the declared column only in case, or that are one of its
+    ``SYNONYMS``, renamed to it. A declared column that is present is never replaced."""
+    found = {}
+    for f in SCHEMAS.get(name, ()):
+        if f.name not in df.columns:
+            have = find_column(df, [f.name, *SYNONYMS.get(f.name, ())])
+            if have is not None and have not in found:
+                found[have] = f.name
+    return df.withColumnsRenamed(found) if found else df
+
+
+def with_defaults(df: DataFrame, defaults: dict, schema: StructType | None = None) -> DataFrame:
+    """Add absent columns with a constant default, in the type that ``schema`` declares for the
+    column (needed for None); present columns are untouched."""
+    types = {f.name: f.dataType for f in schema or ()}
+    add = {c: F.lit(v).cast(types[c]) if c in types else F.lit(v)
+           for c, v in defaults.items() if c not in df.columns}
     return df.withColumns(add) if add else df

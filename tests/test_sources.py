@@ -91,3 +91,37 @@ def test_shared_folder_is_required_off_local_masters():
     spark = N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077"))
     with pytest.raises(ValueError):
         session.checkpoint_dir(spark)
+
+
+def test_reader_knows_other_headers(spark):
+    d = tempfile.mkdtemp(prefix="hs-headers-")
+    with open(os.path.join(d, "company_specialities.csv"), "w") as f:
+        f.write("Company_ID,Specialties,specialities\n7,cloud,none\nx,retail,none\n")
+    df = read_table(spark, d, "company_specialities", fmt="csv")
+    assert [tuple(r) for r in df.orderBy("speciality").collect()] == [(7, "none"), (None, "none")]
+    spark.createDataFrame([(7, "cloud")], "company_id long, Specialties string").write.parquet(
+        os.path.join(d, "company_specialities.parquet"))
+    assert read_table(spark, d, "company_specialities").columns == ["company_id", "speciality"]
+    # a declared column that is present stays, whatever else looks like it
+    spark.createDataFrame([(7, "a", "b")], "company_id long, speciality string, specialty string").write.parquet(
+        os.path.join(d, "both", "company_specialities.parquet"))
+    both = read_table(spark, os.path.join(d, "both"), "company_specialities")
+    assert both.select("speciality").first()[0] == "a" and "specialty" in both.columns
+
+
+def test_market_view_defaults_every_column_the_source_lacks(spark):
+    from hiresight.plans.market import POSTING_DEFAULTS, headline, market_view
+    from hiresight.sources.schemas import SCHEMAS
+    from hiresight.sources.tables import JobTables
+
+    def load(name):
+        if name == "postings":
+            return spark.createDataFrame([(1,), (2,)], "job_id long")
+        return spark.createDataFrame([], SCHEMAS[name])
+    t = JobTables(spark, load)
+    rows = market_view(t).collect()
+    assert len(POSTING_DEFAULTS) == 12 and len(rows) == 2
+    r = rows[0]
+    assert (r.title, r.location, r.state, r.city, r.currency, r.pay_period) == ("", "Unknown", "Unknown", "Unknown", "USD", "Unknown")
+    assert (r.remote_flag, r.salary_usable, r.company_id, r.views, r.normalized_salary) == (0, False, None, None, None)
+    assert headline(t).first().asDict() == {"total_postings": 2, "salary_count": 0, "median_salary": None, "remote_pct": 0.0}

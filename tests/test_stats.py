@@ -169,3 +169,23 @@ def test_grouped_quantiles_match_numpy(spark):
     assert set(got) == set(exp.index)
     for g, qs in got.items():
         assert np.allclose(qs, exp.loc[g].values, atol=1e-12), g
+
+
+def test_order_by_labels_puts_other_labels_last(spark):
+    from hiresight.operators.agg import order_by_labels
+    df = spark.createDataFrame([("b",), ("a",), ("z",), (None,)], "lab string")
+    got = {r.lab: r.ord for r in order_by_labels(df, "lab", ["a", "b"]).collect()}
+    assert got == {"a": 0, "b": 1, "z": 999, None: 999}
+
+
+def test_histogram_markers_are_of_the_values_before_clipping(spark):
+    import numpy as np
+    from hiresight.operators.agg import histogram
+    v = [1.0, 2.0, 2.5, 4.0, 100.0]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+    h = sorted(histogram(df, "v", 3, 10.0, markers=True).collect(), key=lambda r: r.bin)
+    assert {(r.mean, r.median) for r in h} == {(np.mean(v), np.median(v))}
+    want, edges = np.histogram(np.minimum(v, 10.0), 3)
+    assert {r.bin: r.n for r in h} == {i: n for i, n in enumerate(want.tolist()) if n}
+    assert all(abs(r.bin_low - edges[r.bin]) < 1e-9 for r in h)
+    assert histogram(df.where("v is null"), "v", 3, markers=True).count() == 0
