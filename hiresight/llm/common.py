@@ -27,6 +27,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, budget: int):
+    """The rows of an Arrow batch in pieces of at most ``budget`` bytes (or of one row), so that
+    what a task holds as Python objects does not follow the number of rows in a batch."""
+    if batch.num_rows > 1 and batch.nbytes > budget:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), budget)
+        yield from slices(batch.slice(half), budget)
+    else:
+        yield batch
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

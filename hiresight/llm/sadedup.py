@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffix
-from .common import stage, text_bytes
+from .common import slices, stage, text_bytes
 
 LENGTH = 200
 ANCHOR = 64
@@ -46,6 +46,7 @@ SPLIT = 1024  # different segments of one anchor
 SHARD = 1 << 20  # bytes of segments in a shard, about
 SHARDS = 20_000  # tasks at most; beyond, shards grow and their sorting moves to disk
 CHUNK = 1 << 20  # windows whose anchors are found at a time
+PIECE = 4 << 20  # bytes of Arrow data turned into Python objects at a time
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -113,12 +114,16 @@ def segments(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR):
 # ---- per text
 
 def _anchors(batches):
-    for b in batches:
+    """Segments of each text. Of copies within a task only the first carries them: a copied text is
+    removed as a whole, and for what it shares with other texts one occurrence is enough."""
+    seen = set()  # digests of the task's texts
+    for b in (s for whole in batches for s in slices(whole, PIECE)):
         rows = []
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            h, first, n, off = segments(raw)
-            rows.append((doc_id, hashlib.md5(raw).digest(), len(raw), hashlib.sha256(raw).hexdigest(),
-                         h.view(np.int64), first, n, off))
+            k = hashlib.md5(raw).digest()
+            h, first, n, off = segments(b"" if k in seen else raw)
+            seen.add(k)
+            rows.append((doc_id, k, len(raw), hashlib.sha256(raw).hexdigest(), h.view(np.int64), first, n, off))
         cols = list(zip(*rows)) if rows else [[]] * 8
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()),
                  pa.list_(pa.int16()), pa.list_(pa.int16())]
@@ -138,7 +143,7 @@ def _cut(batches):
     """Compressed texts with their candidate segments -> segment rows with their use (k, at)."""
     names = ["key", "digest", "content", "off", "alen", "n", "k", "at"]
     unpack = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in (s for whole in batches for s in slices(whole, PIECE // 4)):
         rows = []
         for k, z, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             raw = unpack.decompress(z)
@@ -233,25 +238,29 @@ def _shard(batches):
             zip(*rows[i:i + 50_000]), [pa.binary(), pa.int32(), pa.int32()])], ["digest", "lo", "hi"])
 
 
-def _remove(batches):
+def _remove(with_text: bool):
     """Compressed texts with ranges of repeated windows -> what is left of them."""
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        rows = []
-        for k, z, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            raw = unpack.decompress(z)
-            covered = np.zeros(len(raw) + 1, np.int32)
-            lo = np.array([m["lo"] for m in marks], np.int64)
-            hi = np.array([m["hi"] for m in marks], np.int64) - 1 + LENGTH
-            np.add.at(covered, lo, 1)
-            np.add.at(covered, hi, -1)
-            gone = np.cumsum(covered[:-1]) > 0
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((k, int(gone.sum()), len(_ranges(gone)), hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()])],
-            ["k", "n_removed", "n_spans", "kept_sha256", "kept"])
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for b in (s for whole in batches for s in slices(whole, PIECE // 4)):
+            rows, marks = [], b.column(2)
+            cuts, ranges = marks.offsets.to_numpy(), marks.values
+            los, his = (ranges.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k, z, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cuts[:-1], cuts[1:]):
+                raw = unpack.decompress(z)
+                covered = np.zeros(len(raw) + 1, np.int32)
+                np.add.at(covered, los[i:j], 1)
+                np.add.at(covered, his[i:j] - 1 + LENGTH, -1)
+                gone = np.cumsum(covered[:-1]) > 0
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                rows.append((k, int(gone.sum()), len(_ranges(gone)), hashlib.sha256(kept).hexdigest(),
+                             kept if with_text else None))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()])],
+                ["k", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
 
 
 @F.arrow_udf(T.BinaryType())
@@ -314,7 +323,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     marks = places.join(found, "digest").groupBy("k").agg(F.collect_list(F.struct(
         (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("marks"))
     rest = stage(texts.join(marks, "k").mapInArrow(
-        _remove, "k binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _remove(with_text), "k binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
         .select("k", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])), "sa-rest")
     copies = own.groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
     by_text = copies.join(rest, "k", "left")

@@ -25,8 +25,8 @@ from collections import defaultdict, deque
 import numpy as np
 
 BATCH = 1 << 18  # tuples scanned at a time
-QUEUE = 1 << 22  # tuples a queue holds in memory
-BASE = 1 << 22  # names sorted in memory; longer strings of names recurse
+QUEUE = 1 << 18  # tuples a queue holds in memory; a shard's queues get several times as many
+BASE = 1 << 22  # names sorted in memory (8 bytes each); longer strings of names recurse
 
 
 class Scratch:

@@ -91,6 +91,46 @@ def _brute_topk(rows, k=10):
     return sorted(out)
 
 
+def test_a_shard_of_the_default_size_uses_the_disk_queues(monkeypatch):
+    spills = []
+    spill = suffix.Queue._spill
+    monkeypatch.setattr(suffix.Queue, "_spill", lambda self: (spills.append(self.held), spill(self))[1])
+    r = np.random.default_rng(3)
+    own = [bytes(r.integers(97, 123, 337, dtype=np.uint8)) for _ in range(sadedup.SHARD // 337)]
+    own[-1] = own[0][:250] + own[-1][250:]  # 51 windows occur twice
+    flags = sadedup.marked_windows(own, [138] * len(own))
+    assert spills and max(spills) <= suffix.QUEUE + suffix.BATCH
+    hit = {i: f.nonzero()[0].tolist() for i, f in enumerate(flags) if f.any()}
+    assert hit == {0: list(range(51)), len(own) - 1: list(range(51))}
+
+
+def test_pieces_of_batches_change_nothing(monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+    import zstandard
+    r = np.random.default_rng(8)
+    texts = [bytes(r.integers(97, 105, n, dtype=np.uint8)) for n in (0, 5, 199, 200, 700, 5000, 300)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(texts + [texts[5], texts[0]], pa.binary())],
+                                      ["doc_id", "raw"])
+    z = zstandard.ZstdCompressor()
+    marks = [[], [], [], [{"lo": 0, "hi": 1}], [{"lo": 3, "hi": 9}, {"lo": 300, "hi": 301}], [{"lo": 4000, "hi": 4801}], []]
+    left = pa.RecordBatch.from_arrays(
+        [pa.array([hashlib.md5(t).digest() for t in texts]), pa.array([z.compress(t) for t in texts]),
+         pa.array(marks, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["k", "z", "marks"])
+
+    def rows(batches):
+        return [x for b in batches for x in b.to_pylist()]
+
+    whole = rows(sadedup._anchors([docs])), rows(sadedup._remove(True)([left, left.slice(4, 2)]))
+    assert len(whole[0]) == 9 and whole[0][5]["h"] and not whole[0][7]["h"]  # the copy leaves its segments out
+    assert [x["n_removed"] for x in whole[1]] == [0, 0, 0, 200, 405, 1000, 0, 405, 1000]
+    assert whole[1][4]["kept"] == texts[4][:3] + texts[4][208:300] + texts[4][500:]
+    assert all(x["kept"] is None for x in rows(sadedup._remove(False)([left])))
+    monkeypatch.setattr(sadedup, "PIECE", 64)
+    assert (rows(sadedup._anchors([docs])), rows(sadedup._remove(True)([left, left.slice(4, 2)]))) == whole
+
+
 @pytest.mark.parametrize("block", [8192, 64])
 def test_topk_is_exact(spark, block, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", block)
@@ -156,6 +196,34 @@ def test_gradients_match_differences(monkeypatch):
         assert g[name][i] == pytest.approx((loss(hi)[0] - loss(lo)[0]) / 2e-5, rel=1e-4)
 
 
+def test_score_equals_a_step_by_step_evaluation():
+    """Texts of several windows and lanes, each token scored from the state of all before it."""
+    r = np.random.default_rng(4)
+    words = [b"w%d" % i for i in range(40)]
+    v = lm.Vocabulary([(b"", 90)] + [(w, 80 - i) for i, w in enumerate(words)], 4000, 60, {0: (15, 3), 4: (9, 2)})
+    p = {k: (a + r.normal(0, 0.4, a.shape)).astype(np.float32) for k, a in lm.initial(v).items()}
+    k, n = v.lookup(), lm.STATE
+    texts = [[words[i] if i < 40 else b"other%d" % i for i in r.integers(0, 50, m)] + [b""]
+             for m in (3 * lm.WINDOW + 5, lm.WINDOW, lm.WINDOW - 1, 0, 1, 200)]
+    docs = [k.encode(t) for t in texts]
+    got = lm.score(p, v, docs)
+    q = {name: a.astype(float) for name, a in p.items()}
+    for ids, have in zip(docs, got):
+        h, x, want = np.zeros(n), k.ins[k[b""]], 0.0
+        for i in ids:
+            a, u = q["E"][x] @ q["Wx"] + q["b"], h @ q["U"]
+            z, reset = 1 / (1 + np.exp(-(a[:n] + u[:n]))), 1 / (1 + np.exp(-(a[n:2 * n] + u[n:2 * n])))
+            h = z * h + (1 - z) * np.tanh(a[2 * n:] + reset * u[2 * n:])
+            e = np.exp(h @ q["C"] + q["cb"])
+            want += np.log(e[k.cls[i]] / e.sum())
+            if k.out[i] >= 0:
+                lo, hi = v.first[k.cls[i]], v.first[k.cls[i] + 1]
+                e = np.exp(q["W"][lo:hi] @ h + q["wb"][lo:hi])
+                want += np.log(e[k.out[i] - lo] / e.sum())
+            x = k.ins[i]
+        assert have == pytest.approx(want, rel=1e-4)
+
+
 def test_probabilities_sum_to_one():
     words = [b"", b"a", b"b", b"c", b"d"]
     v = lm.Vocabulary([(w, 10 - i) for i, w in enumerate(words)], 60, 8, {0: (15, 3)})
