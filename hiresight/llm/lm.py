@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_bytes
+from .common import slices, stage, text_bytes
 
 HEAD = 65_536  # words whose counts every task holds
 HEAD_BYTES = 256  # longer words are always joined
@@ -51,6 +51,7 @@ WINDOW = 32
 LANES = 128  # documents trained side by side: with WINDOW, the tokens of one update
 WIDE = 512  # documents scored side by side
 BUFFER = 1 << 22  # tokens laid out at a time
+PIECE = 4 << 20  # bytes of texts taken from an Arrow batch at a time
 KNOWN = 400_000  # words a task has looked up
 ROUNDS = 2
 RATE = 0.15
@@ -120,7 +121,7 @@ class Lookup(dict):
         self.tail = len(words)
         self.update(zip(words, range(self.tail)))
         n = self.tail + SHAPES * BUCKETS
-        self.ins, self.cls, self.out = (np.zeros(n, np.int32) for _ in range(3))
+        self.ins, self.cls, self.out = (np.zeros(n, np.int16) for _ in range(3))
         self.known, self.base, self.inside = np.zeros(n, bool), np.zeros(n), np.zeros(n)
         for i, w in enumerate(words):
             c = v.counts[w]
@@ -172,7 +173,7 @@ def lanes(known: Lookup, docs: list, width: int):
         lists[i].append(k)
         heapq.heappush(heap, (n + len(docs[k]), i))
     steps = max(n for n, _ in heap)
-    x, c, w = (np.zeros((steps, width), np.int32) for _ in range(3))
+    x, c, w = (np.zeros((steps, width), np.int16) for _ in range(3))  # all below DIRECT + BUCKETS
     doc, start = np.full((steps, width), -1, np.int32), np.zeros((steps, width), bool)
     for i, ks in enumerate(lists):
         ids = np.concatenate([docs[k] for k in ks])
@@ -374,7 +375,7 @@ def _count(batches):
              pa.array(list(seen.values()), pa.int64())], names)
 
     seen: Counter = Counter()
-    for b in batches:
+    for b in (s for whole in batches for s in slices(whole, PIECE)):
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not held_out(doc_id):
                 seen.update(tokens(raw))
@@ -384,15 +385,16 @@ def _count(batches):
     yield out(seen)
 
 
-def _buffers(batches, known: Lookup, keep):
-    """Lists of (doc_id, word numbers, words outside the head) of about BUFFER tokens."""
+def _buffers(batches, known: Lookup, keep, tails: bool):
+    """Lists of (doc_id, word numbers, words outside the head if asked for) of about BUFFER tokens."""
     held, n = [], 0
-    for b in batches:
+    for b in (s for whole in batches for s in slices(whole, PIECE)):
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if keep(doc_id):
                 words = tokens(raw)
                 ids = known.encode(words)
-                held.append((doc_id, ids, [words[i] for i in np.flatnonzero(ids >= known.tail).tolist()]))
+                rest = np.flatnonzero(ids >= known.tail).tolist() if tails else ()
+                held.append((doc_id, ids, [words[i] for i in rest]))
                 n += len(ids)
                 if n >= BUFFER:
                     yield held
@@ -421,7 +423,8 @@ def _train_task(shared, turn: int):
         memory = {k: np.full_like(a, 1e-3) for k, a in p.items()}
         n = 0
         for held in _buffers(batches, v.lookup(),
-                             lambda d: not held_out(d) and zlib.crc32(f"r{d}".encode()) % ROUNDS == turn):
+                             lambda d: not held_out(d) and zlib.crc32(f"r{d}".encode()) % ROUNDS == turn,
+                             tails=False):
             _, m = train(p, v, [ids for _, ids, _ in held], memory)
             n += m
         if n:
@@ -496,7 +499,7 @@ def _score_task(shared):
         names = [x.split()[0] for x in SCORED.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(),
                  pa.float64(), pa.list_(pa.binary())]
-        for held in _buffers(batches, known, lambda d: True):
+        for held in _buffers(batches, known, lambda d: True, tails=True):
             lm = score(p, v, [ids for _, ids, _ in held]) / math.log(10)
             rows = []
             for (doc_id, ids, tail), s in zip(held, lm):
