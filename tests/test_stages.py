@@ -106,6 +106,42 @@ def test_projection_matches_numpy_svd(spark):
     assert not np.array(wide["singular"][5:]).any()
 
 
+def test_repeated_and_null_keys_are_one_document(spark):
+    rows = [(1, "red blue"), (1, "red green"), (2, "blue blue"), (None, "red"), (None, "green"), (3, None)]
+    df = spark.createDataFrame(rows, "job_id long, text string")
+    m = mlstages.TfIdf(max_features=3, components=2).fit(df)
+    got = {r["term"]: (r["doc_freq"], r["total"]) for r in m.tables["vocabulary"].collect()}
+    assert got == {"red": (2, 3), "blue": (2, 3), "green": (2, 2)}
+    assert {(r["job_id"], r["term"]) for r in m.weights(df).collect()} == {(1, "red"), (1, "blue"), (1, "green"), (2, "blue")}
+    p = m.transform(df).select("job_id", *m.columns()).collect()
+    assert len(p) == 6 and all(tuple(r)[1:] == (0.0, 0.0) for r in p if r["job_id"] in (None, 3))
+    assert len({tuple(r) for r in p if r["job_id"] == 1}) == 1
+
+
+def test_svd_reads_the_rows_once(spark):
+    """A wide vocabulary takes the Gram matrix of one pass, not a pass for each step of an iteration."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in r.zipf(1.3, 30) % 400)) for i in range(300)]
+    df = spark.createDataFrame(rows, "job_id long, text string").repartition(4)
+    m = mlstages.TfIdf(max_features=300).fit(df)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("svd", "svd")
+    values, v = mlstages.svd(m.entries(df), 300, 6)
+    jobs = len(tracker.getJobIdsForGroup("svd"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    a = _dense(m, df)
+    assert np.allclose(values, np.linalg.svd(a, compute_uv=False)[:6]) and np.allclose(np.linalg.norm(a @ v, axis=0), values)
+    assert jobs < 30
+
+
+def test_leading_pairs_of_a_wide_matrix():
+    r = np.random.default_rng(9)
+    x = r.normal(size=(60, 1_200)) * np.linspace(3, 1, 60)[:, None]
+    g = x.T @ x
+    w, u = mlstages.leading(g, 10)
+    assert np.allclose(w, np.linalg.svd(x, compute_uv=False)[:10] ** 2) and np.allclose(g @ u, u * w, atol=1e-6)
+
+
 def test_split_has_exact_quotas_per_bin(spark):
     r = np.random.default_rng(2)
     y = np.concatenate([r.normal(size=403), np.zeros(200)])
