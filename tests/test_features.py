@@ -98,3 +98,21 @@ def test_exact_quantiles_match_numpy(spark):
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
     got = stats.exact_quantiles(df, "v", probs)
     assert np.allclose(got, np.quantile(vals, probs), atol=1e-12)
+
+
+def test_multi_hot_keeps_bits_not_label_rows(spark):
+    """More labels than one number has bits, repeated pairs and keys; each key's state is its bits,
+    so the plan neither pivots nor makes pairs distinct."""
+    bridge = spark.createDataFrame([(k, f"s{i:03d}") for k in (1, 2) for i in range(k - 1, 70, k) for _ in range(70 - i)],
+                                   "job_id long, s string")
+    keys = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "job_id long")
+    out = features.multi_hot(keys, bridge, "job_id", "s", 70, "t")
+    rank = {r["s"]: r["rank"] for r in features.label_ranks(bridge, "s", 70).collect()}
+    have = {1: set(range(70)), 2: set(range(1, 70, 2))}
+    rows = out.collect()
+    assert sorted(str(r["job_id"]) for r in rows) == ["1", "2", "2", "3", "None"]
+    for r in rows:
+        on = {rank[f"s{i:03d}"] for i in have.get(r["job_id"], ())}
+        assert [r[f"t{i:02d}"] for i in range(1, 71)] == [int(i in on) for i in range(1, 71)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivotfirst" not in plan.lower()
