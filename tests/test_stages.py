@@ -130,6 +130,8 @@ def test_svd_reads_the_rows_once(spark):
     jobs = len(tracker.getJobIdsForGroup("svd"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     a = _dense(m, df)
+    fitted = mlstages.TfIdf(max_features=300, components=6).fit(df)
+    assert np.allclose(fitted["singular"], values)
     assert np.allclose(values, np.linalg.svd(a, compute_uv=False)[:6]) and np.allclose(np.linalg.norm(a @ v, axis=0), values)
     assert jobs < 30
 
