@@ -125,3 +125,20 @@ def test_market_view_defaults_every_column_the_source_lacks(spark):
     assert (r.title, r.location, r.state, r.city, r.currency, r.pay_period) == ("", "Unknown", "Unknown", "Unknown", "USD", "Unknown")
     assert (r.remote_flag, r.salary_usable, r.company_id, r.views, r.normalized_salary) == (0, False, None, None, None)
     assert headline(t).first().asDict() == {"total_postings": 2, "salary_count": 0, "median_salary": None, "remote_pct": 0.0}
+
+
+def test_large_inputs_are_stored_without_another_shuffle(spark, monkeypatch):
+    """Above the size the tables are written as derived: the same rows, but not dealt out by key."""
+    import uuid
+    from hiresight.sources import fixtures
+    from tests.conftest import SF as folder
+    small = fixtures.driver_tables(spark, folder)
+    key = uuid.uuid4().hex
+    monkeypatch.setattr(fixtures, "SMALL_BYTES", 0)
+    monkeypatch.setattr(fixtures, "_source_key", lambda *a: key)
+    path = fixtures.materialize(spark, folder, ["employee_counts", "job_skills"])
+    for name in ("employee_counts", "job_skills"):
+        a, b = small.table(name), spark.read.parquet(f"{path}/{name}.parquet")
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+    assert len(b.inputFiles()) and len(spark.read.parquet(f"{path}/employee_counts.parquet").inputFiles()) < len(
+        small.table("employee_counts").inputFiles())
