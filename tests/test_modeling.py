@@ -1,4 +1,4 @@
-"""Cross-validation on a small matrix of its own."""
+"""Cross-validation and learning curve on small matrices of their own."""
 
 import threading
 from types import SimpleNamespace
@@ -48,3 +48,13 @@ def test_split_rows_are_kept_for_all_learners(spark, monkeypatch, fits):
     got = {(x.model, x.split): x.n for x in out["train"].groupBy("model", "split").agg(F.count("*").alias("n")).collect()}
     assert got == {(m, f): 160 for m in _learners() for f in range(5)}
     assert out["importance"].count() == 2 * 5 * (2 + len(TE))
+
+
+def test_learning_curve_keeps_its_rows(spark, monkeypatch, fits):
+    r = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, float(r.normal())) for i in range(300)], "job_id long, y_log double")
+    d = d.withColumn("features", array_to_vector(F.array(F.col("y_log"), F.col("job_id") % 5 * 1.0)))
+    monkeypatch.setattr(modeling, "final_model", lambda t: {"train": d})
+    got = modeling.learning_curve(SimpleNamespace(spark=spark, source=None), sizes=(0.5, 1.0), folds=2).orderBy("size").collect()
+    assert fits == [True] * 4
+    assert [x["size"] for x in got] == [0.5, 1.0] and got[1]["train_rows"] == 150 and got[0]["plateau"] is None
