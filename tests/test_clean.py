@@ -82,3 +82,26 @@ def test_title_family(spark):
     got = one_col(spark, ["Senior Data Engineer", "Registered Nurse", "HR Recruiter", None],
                   clean.title_family, "string")
     assert got == ["data_ai", "healthcare", "hr_recruiting", "other"]
+
+
+def test_signals_search_a_pattern_only_where_its_words_stand(spark):
+    """Equal to the plain patterns on texts near every rule, and the patterns are guarded."""
+    import re
+    texts = [None, "", "BACHELOR of arts", "a PhD", "a ph.D.", "xbachelor", "needs BS.", "bs", "ABS", "M.S. wanted", "xM.S.",
+             "Communicates", "LEADING the Team", "mislead team", "lead a  team", "lead the team", "Team Player", "problem-Solving",
+             "Problem solving", "problem_solving", "organiSational skills", "organizational skills", "A.S.A.P", "ASAP", "no RUSH",
+             "flexible and urgent", "team\u212aplayer", "no ru\u017fh", "\u212a teamwor\u212a", "fle\u0130xible"]
+    rows = spark.createDataFrame([(i, "SQL clerk" if i % 2 else None, x) for i, x in enumerate(texts)], "i int, title string, d string")
+    got = {r["i"]: r for r in text.rule_signals(rows, "title", "d").collect()}
+    assert set(got[0].asDict()) == {"i", "title", "d", "requires_degree", "soft_skill_type", "has_soft_skills", "urgency", "tech_role"}
+
+    def has(p, x):
+        return re.search(p, x, re.ASCII) is not None if "(?i" not in p else re.search(p.encode(), x.encode()) is not None
+
+    for i, x in enumerate(t or "" for t in texts):
+        soft = next((lab for lab, p in rules.SOFT_SKILL_RULES if has(p, x)), "none")
+        urgency = "high" if has(rules.URGENCY_HIGH, x) else "low" if has(rules.URGENCY_LOW, x) else "medium"
+        assert (got[i]["requires_degree"], got[i]["soft_skill_type"], got[i]["has_soft_skills"], got[i]["urgency"],
+                got[i]["tech_role"]) == (has(rules.DEGREE_PATTERN, x), soft, soft != "none", urgency, i % 2 == 1), x
+    plan = text.rule_signals(rows, "title", "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "Contains(" in plan
