@@ -9,6 +9,7 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import agg, mlstages, stats
 from ..operators.joins import keep_labels
-from ..session import write_back
+from ..session import bounded_tasks, write_back
 from ..sources.tables import JobTables
 from . import textual, views
 
@@ -63,11 +64,17 @@ def title_clusters(t: JobTables) -> dict:
     vec, vocab, _ = tfidf(rows, "title_clean")
     vec = write_back(vec.select("job_id", "tfidf"), "title-tfidf")
 
+    # kept once for all restarts, which else keep a copy each, and in tasks of bounded size
+    kept = bounded_tasks(vec).persist(StorageLevel.MEMORY_AND_DISK)
+
     def fit(seed):
-        return KMeans(k=N_CLUSTERS, seed=seed, featuresCol="tfidf", maxIter=50).fit(vec)
+        return KMeans(k=N_CLUSTERS, seed=seed, featuresCol="tfidf", maxIter=50).fit(kept)
 
-    with ThreadPoolExecutor(5) as ex:
-        models = list(ex.map(fit, range(RESTARTS)))
+    try:
+        with ThreadPoolExecutor(5) as ex:
+            models = list(ex.map(fit, range(RESTARTS)))
+    finally:
+        kept.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     labels = []
     for i, c in enumerate(best.clusterCenters()):  # k x vocabulary numbers

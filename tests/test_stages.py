@@ -269,3 +269,27 @@ def test_encoder_plan_has_no_pivot(spark):
     m = mlstages.MedianTargetEncoder(cols=["cat"], target="y").fit(df)
     plan = m.transform(df)._jdf.queryExecution().executedPlan().toString()
     assert "pivot" not in plan.lower() and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_restarts_share_one_stored_copy_in_bounded_tasks(spark, tables, monkeypatch):
+    from hiresight import session
+    from hiresight.plans import clustering, salary_features
+    rows = session.write_back(spark.range(1_000).repartition(2), "bounded")
+    got = session.bounded_tasks(rows, 100)
+    assert got.rdd.getNumPartitions() == 10 and sorted(r[0] for r in got.collect()) == list(range(1_000))
+    assert session.bounded_tasks(rows, 1_000) is rows  # enough tasks as stored
+    seen = []
+
+    class Recording(clustering.KMeans):
+        def fit(self, df):
+            seen.append((df.storageLevel.useMemory, df.rdd.getNumPartitions()))
+            return super().fit(df)
+
+    limit = tables.postings.count() // 20
+    for module, attr in ((clustering, True), (salary_features, False)):
+        seen.clear()
+        monkeypatch.setattr(module, "KMeans", Recording)
+        monkeypatch.setattr(module, "_CACHE", {})
+        monkeypatch.setattr(module, "bounded_tasks", lambda df: session.bounded_tasks(df, limit))
+        module.title_clusters(tables)
+        assert seen and all(kept == attr and tasks >= 15 for kept, tasks in seen)
