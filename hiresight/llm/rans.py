@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import stage
+from .common import slices, stage
 from .tokens import encoder
 
 BITS = 18  # frequencies sum to 2**BITS
@@ -39,6 +39,7 @@ LANES = 1024
 EVERY = 256  # steps between checkpoints
 BLOCK = 1 << 20  # a block is closed at this many ids
 PART = 1 << 23  # ids of a file, about
+PIECE = 4 << 20  # bytes of texts taken from an Arrow batch at a time
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sQIIQI")
 
@@ -144,24 +145,20 @@ def _tokenize(path: str, end_id: int):
 
     def run(batches):
         enc, counts = encoder(path), np.zeros(1, np.int64)
-        for b in batches:
-            docs, rows = b.column(0).to_pylist(), []
-            for doc, text in zip(docs, b.column(1).to_pylist()):
-                raw = enc.ids(text or "") + tail
-                ids = np.frombuffer(raw, "<u4")
-                c = np.bincount(ids, minlength=len(counts)) if len(ids) > 4096 else None
-                if c is None:
-                    if (top := int(ids.max())) >= len(counts):
-                        counts = np.pad(counts, (0, max(top + 1, 1 << 16) - len(counts)))
-                    np.add.at(counts, ids, 1)
-                else:
-                    c[:len(counts)] += counts
-                    counts = c
-                small = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else raw
-                rows.append((doc, len(ids), zlib.crc32(raw), small))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names)
+        for b in (s for whole in batches for s in slices(whole, PIECE)):
+            raws = [enc.ids(text or "") + tail for text in b.column(1).to_pylist()]
+            if not raws:
+                continue
+            ids = np.frombuffer(b"".join(raws), "<u4")
+            sizes = np.array([len(r) // 4 for r in raws])
+            c = np.bincount(ids, minlength=len(counts))
+            c[:len(counts)] += counts
+            counts, width = c, 2 if ids.max() < 1 << 16 else 4
+            ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype("<i4")
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array(sizes, pa.int64()), pa.array(map(zlib.crc32, raws), pa.int64()),
+                pa.Array.from_buffers(pa.binary(), len(raws), [None, pa.py_buffer(ends), pa.py_buffer(
+                    ids.astype(f"<u{width}"))])], names)
         yield pa.RecordBatch.from_arrays(
             [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()),
              pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
@@ -234,8 +231,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
         .mapInArrow(_encode(freqs), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def _decode(freqs: np.ndarray):
-    names = ["part", "block", "nth", "doc_id", "within", "n_tokens", "ids_crc32", "ids"]
+def _decode(freqs: np.ndarray, with_ids: bool):
+    names = ["part", "block", "nth", "doc_id", "within", "n_tokens", "ids_crc32", "ids"][:8 if with_ids else 7]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
@@ -248,7 +245,8 @@ def _decode(freqs: np.ndarray):
                 rows, at = [], 0
                 for k, (doc, n) in enumerate(zip(r["doc_ids"], r["lengths"])):
                     own = raw[4 * at:4 * (at + n)]
-                    rows.append((r["part"], r["block"], k, doc, at, n, zlib.crc32(own), bytes(own)))
+                    row = (r["part"], r["block"], k, doc, at, n, zlib.crc32(own))
+                    rows.append((*row, bytes(own)) if with_ids else row)
                     at += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -270,8 +268,8 @@ def read(spark, path: str, with_ids: bool = True) -> DataFrame:
     first = size.join(base, "part").select("part", "block", (F.col("base") + F.coalesce(
         F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(*before)),
         F.lit(0))).alias("first"))
-    rows = "part int, block int, nth int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary"
-    out = blocks.mapInArrow(_decode(freqs), rows)
+    rows = "part int, block int, nth int, doc_id long, within long, n_tokens long, ids_crc32 long"
+    out = blocks.mapInArrow(_decode(freqs, with_ids), rows + ", ids binary" * with_ids)
     return out.join(first, ["part", "block"]).select(
         "doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32",
         *(["ids"] if with_ids else []))

@@ -19,7 +19,11 @@ from operator import attrgetter
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 _SOLID = re.compile(f"[^{WS}]+")
-_ODD = re.compile(f"[{WS}](?= )|^ ")  # a space that doesn't follow a solid character
+_SPACES = re.compile(f"[{WS}]").findall(re.sub("(.)-(.)", lambda m: "".join(
+    map(chr, range(ord(m[1]), ord(m[2]) + 1))), WS))  # each of them
+#: the byte-level pre-tokenizer's pattern for a word of Latin-1 characters after a space
+_LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ {_LETTERS}{_DIGITS}]+")
 _BARE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizers
 PUNCTUATION = string.punctuation
 KNOWN_BYTES = 160 << 20  # what a worker's tables of known pieces may hold together
@@ -27,6 +31,12 @@ ENTRY = 200  # bytes of an entry besides its characters and ids
 LONGEST = 48  # characters of a kept piece
 
 
+def _odd(text: str) -> bool:
+    """Whether a space doesn't follow a solid character."""
+    return text.startswith(" ") or "  " in text or any(
+        c in text and c + " " in text for c in (_SPACES[:5] if text.isascii() else _SPACES) if c != " ")
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others, in order, for
     the characters from 256 on."""
@@ -59,6 +69,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         t = self.t = Tokenizer.from_file(path)
         added = [a.content for a in t.get_added_tokens_decoder().values()]
@@ -85,19 +96,43 @@ class Encoder:
             return pack(space + (core if core.isascii() else core.encode().decode("latin-1").translate(letters)))
 
         room = [KNOWN_BYTES]
-        cores, tails = _Known(word, room), _Known(pack, room)
+        tails = _Known(pack, room)
+
+        # the fixed pattern is only that of a byte-level pre-tokenizer by itself
+        byte_level = (not drops and norm is None and isinstance(pre, ByteLevel) and pre.use_regex
+                      and not pre.add_prefix_space)
 
         def common(p: str) -> bytes:
             """A word (with its space, where spaces count): one pre-token of letters, then one of
-            punctuation, if any. Other pieces take the library's whole way."""
+            punctuation, if any. Words of Latin-1 characters are cut here, those that a line end or
+            the like joins are taken one by one, other pieces take the library's whole way."""
             core = p.rstrip(PUNCTUATION)
             if core.isalpha() and (core.isascii() or max(core) < "\u0100") and len(p) < 1000:
-                ids = cores[core.lower() if drops else core]
-                return ids + tails[p[len(core):]] if len(core) < len(p) else ids
+                own = core.lower() if drops else core
+                if own == p:
+                    return word(p)
+                return self.words[own] + tails[p[len(core):]] if len(core) < len(p) else self.words[own]
+            if byte_level and len(p) < 1000 and (parts := _CHUNKS.findall(p)) and parts[0][0] not in _SPACES:
+                if len(parts) > 1:
+                    return self.words[parts[0]] + b"".join(map(self.plain.__getitem__, parts[1:]))
+                if max(p) < "\u0100":
+                    return b"".join([
+                        self.words[s[1:]] if s[0] == " " and s[1:].isalpha() else
+                        tails[s.encode().decode("latin-1").translate(letters)] for s in _LATIN.findall(" " + p)])
             return piece(p if drops else " " + p)
 
+        def chunk(p: str) -> bytes:
+            """Solid characters, after white space or none. The white space is a pre-token but for
+            its last character, which is one of its own."""
+            body = p.lstrip("\t\n\r")
+            if byte_level and body and body[0] not in _SPACES and len(p) < 1000 and max(body) < "\u0100":
+                lead = p[:len(p) - len(body)]
+                return b"".join([tails[s.encode().decode("latin-1").translate(letters)]
+                                 for s in (lead[:-1], lead[-1:], *_LATIN.findall(body)) if s])
+            return piece(p)
+
         self.words = _Known(common, room)
-        self.plain = _Known(piece, room)
+        self.plain = _Known(chunk, room)
 
     def ids(self, text: str) -> bytes:
         if self.added and self.mark in text and self.added.search(text):
@@ -105,11 +140,10 @@ class Encoder:
         if self.drops_space:
             words = _SOLID.findall(text) if _BARE.search(text) else text.split()
             return b"".join(map(self.words.__getitem__, words))
-        if _ODD.search(text):
+        if _odd(text):
             return b"".join(map(self.plain.__getitem__, _CHUNKS.findall(text)))
         parts = text.split(" ")
-        first = parts[0]
-        head = self.plain[first] if first else b""
+        head = b"".join(map(self.plain.__getitem__, _CHUNKS.findall(parts[0])))
         return head + b"".join(map(self.words.__getitem__, parts[1:]))
 
 

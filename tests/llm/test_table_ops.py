@@ -291,6 +291,25 @@ def test_ids_equal_the_library(name):
         assert np.frombuffer(e.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_words_joined_by_line_ends_are_looked_up_one_by_one():
+    e = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    x = "one two,\nthree isn't\r\n\n4th,two one\n"
+    for text in (x, x.replace(" ", "\n"), "one\n" + x, "Größe\tne1²½ x\xa0y\n\n.b " + x):
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == e.t.encode(text, add_special_tokens=False).ids
+    assert {"one", "two", "two,", "isn't"} <= set(e.words) and {"\nthree", "\r\n\n4th,two"} <= set(e.plain)
+
+
+def test_ids_leave_the_decoder_only_when_asked_for():
+    ids = np.arange(500, dtype=np.uint32)
+    freqs = rans.scale(np.bincount(ids))
+    raw = rans.encode_block(ids, rans.Table(freqs))
+    block = pa.RecordBatch.from_pylist([{"part": 0, "block": 0, "crc": zlib.crc32(raw), "doc_ids": [3, 4], "lengths": [200, 300],
+                                         "payload": raw}])
+    bare, whole = (next(iter(rans._decode(freqs, w)([block]))) for w in (False, True))
+    assert "ids" not in bare.schema.names and bare.to_pylist() == whole.drop_columns(["ids"]).to_pylist()
+    assert b"".join(whole.column("ids").to_pylist()) == ids.tobytes()
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 1000, 70_000, 600_000])
 def test_blocks_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 50_257).astype(np.uint32)
