@@ -293,3 +293,13 @@ def test_restarts_share_one_stored_copy_in_bounded_tasks(spark, tables, monkeypa
         monkeypatch.setattr(module, "bounded_tasks", lambda df: session.bounded_tasks(df, limit))
         module.title_clusters(tables)
         assert seen and all(kept == attr and tasks >= 15 for kept, tasks in seen)
+
+
+def test_length_of_a_row_is_taken_once(spark):
+    df = spark.createDataFrame([(1, "red blue red"), (2, "blue"), (3, ""), (None, "red"), (4, None)], "job_id long, text string")
+    m = mlstages.TfIdf().fit(df)
+    d = m.entries(df)
+    # inside the lambda it would be summed up again for each entry
+    assert "/ SQRT" not in d._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["job_id"]: r["w"] for r in d.collect()}
+    assert all(abs(sum(x * x for x in w) - 1) < 1e-12 for k, w in rows.items() if k not in (3, 4)) and rows[3] == rows[4] == []
