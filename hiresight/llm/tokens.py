@@ -26,7 +26,7 @@ _LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ {_LETTERS}{_DIGITS}]+")
 _BARE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizers
 PUNCTUATION = string.punctuation
-KNOWN_BYTES = 160 << 20  # what a worker's tables of known pieces may hold together
+KNOWN_BYTES = 96 << 20  # what a worker's tables of known pieces may hold together
 ENTRY = 200  # bytes of an entry besides its characters and ids
 LONGEST = 48  # characters of a kept piece
 
