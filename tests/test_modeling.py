@@ -58,3 +58,23 @@ def test_learning_curve_keeps_its_rows(spark, monkeypatch, fits):
     got = modeling.learning_curve(SimpleNamespace(spark=spark, source=None), sizes=(0.5, 1.0), folds=2).orderBy("size").collect()
     assert fits == [True] * 4
     assert [x["size"] for x in got] == [0.5, 1.0] and got[1]["train_rows"] == 150 and got[0]["plateau"] is None
+
+
+def test_param_search_runs_the_whole_budget(spark, monkeypatch):
+    d = spark.createDataFrame([(i, float(i % 7)) for i in range(40)], "job_id long, y_log double")
+    d = d.withColumn("features", array_to_vector(F.array(F.col("y_log"))))
+    monkeypatch.setattr(modeling, "final_model", lambda t: {"train": d})
+
+    class Search:
+        def __init__(self, estimator, estimatorParamMaps, foldCol, numFolds, **kw):
+            self.avgMetrics, self.folds = [1.0 / (i + 1) for i in range(len(estimatorParamMaps))], numFolds
+
+        def fit(self, df):
+            assert self.folds == 2 and df.count() == 40
+            return self
+
+    monkeypatch.setattr(modeling, "CrossValidator", Search)
+    t = SimpleNamespace(spark=spark, source=None)
+    got = modeling.param_search(t).collect()
+    assert {m: sum(x["learner"] == m for x in got) for m in modeling.learners()} == {"gbt": 30, "gbt_deep": 30, "forest": 15}
+    assert modeling.param_search(t, trials={"forest": 1}).count() == 1
