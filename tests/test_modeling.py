@@ -6,7 +6,8 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from hiresight.plans import modeling
@@ -78,3 +79,30 @@ def test_param_search_runs_the_whole_budget(spark, monkeypatch):
     got = modeling.param_search(t).collect()
     assert {m: sum(x["learner"] == m for x in got) for m in modeling.learners()} == {"gbt": 30, "gbt_deep": 30, "forest": 15}
     assert modeling.param_search(t, trials={"forest": 1}).count() == 1
+
+
+def test_a_value_is_set_in_a_vector(spark):
+    d = spark.createDataFrame([([1.0, 2.0, 3.0], 9.0), ([4.0, 5.0, 6.0], -1.0)], "a array<double>, x double")
+    for i in range(3):
+        c = modeling._with_value("a", i, 3, F.col("x"))
+        assert "lambda" not in c._jc.toString()
+        got = [r[0].toArray().tolist() for r in d.select(c).collect()]
+        assert got == [[9.0 if j == i else float(j + 1) for j in range(3)], [-1.0 if j == i else float(j + 4) for j in range(3)]]
+
+
+def test_partial_dependence_of_a_linear_model(spark, monkeypatch):
+    d = spark.createDataFrame([(i, float(i % 11), float(3 * i % 7)) for i in range(77)], "job_id long, u double, v double")
+    d = d.select("job_id", (2 * F.col("u") - F.col("v")).alias("y_log"), array_to_vector(F.array("u", "v")).alias("features"))
+    model = LinearRegression(labelCol="y_log").fit(d)
+
+    class Fitted:
+        featureImportances = DenseVector([0.7, 0.3])
+        transform = model.transform
+
+    monkeypatch.setattr(modeling, "final_model", lambda t: {"train": d, "model": Fitted, "columns": ["u", "v"]})
+    out = modeling.partial_dependence(None, k=2, grid=3)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["feature"], r["value"]): (r["mean_pred_log"], r["slope"]) for r in out.collect()}
+    assert sorted(got) == [("u", 0.0), ("u", 5.0), ("u", 10.0), ("v", 0.0), ("v", 3.0), ("v", 6.0)]
+    for (f, x), (mean, slope) in got.items():
+        assert mean == pytest.approx(2 * x - 3 if f == "u" else 10 - x) and slope == pytest.approx(2 if f == "u" else -1)
