@@ -8,7 +8,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from hiresight.operators import linear, mlstages, prompts, quantiles, stats
+from hiresight.operators import joins, linear, mlstages, prompts, quantiles, stats
+from hiresight.plans import salary_features
 from hiresight.sources import sinks
 
 
@@ -303,3 +304,66 @@ def test_length_of_a_row_is_taken_once(spark):
     assert "/ SQRT" not in d._jdf.queryExecution().optimizedPlan().toString()
     rows = {r["job_id"]: r["w"] for r in d.collect()}
     assert all(abs(sum(x * x for x in w) - 1) < 1e-12 for k, w in rows.items() if k not in (3, 4)) and rows[3] == rows[4] == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbers_pass_through_the_code_joins_as_one_column(spark):
+    cols = [f"n{i}" for i in range(40)]
+    df = spark.range(20).select("id", (F.col("id") % 3).cast("string").alias("a"), F.lit("x").alias("b"), *[
+        F.when(F.col("id") % 7 != 0, F.col("id") * (i + 0.5)).alias(c) for i, c in enumerate(cols)])
+    m = mlstages.OrdinalEncoder(cols=["a", "b"]).fit(df)
+    out = m.transform(df)
+    assert out.columns == [*df.columns, "a_code", "b_code"]
+    want = [(*r, int(r["a"]), 0) for r in df.orderBy("id").collect()]
+    assert [tuple(r) for r in out.orderBy("id").collect()] == want
+
+    def widths(p):
+        own = [p.output().size()] if p.nodeName() == "Join" else []
+        return own + [w for i in range(p.children().size()) for w in widths(p.children().apply(i))]
+
+    assert max(widths(out._jdf.queryExecution().optimizedPlan())) < 12
+
+
+def test_rows_with_a_key_are_read_once_for_all_dimensions(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "k long, v string")
+    dims = [spark.createDataFrame([(1, float(i))], f"k long, x{i} double") for i in range(4)]
+    out = joins.left_join_known(df, dims, "k")
+    want = df
+    for d in dims:
+        want = joins.left_join_known(want, d, "k")
+    assert out.columns == want.columns and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert _plan(out).count("LogicalRDD") <= 2 + len(dims)
+
+
+def test_texts_are_weighed_once_for_fit_and_projection(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    words = [f"w{i:02d}" for i in range(20)]
+    rows = spark.createDataFrame([(i, " ".join(r.choice(words, 8, p=np.arange(1, 21) / 210))) for i in range(60)] + [(60, None)],
+                                 "job_id long, description_clean string")
+    seen, weigh = [], mlstages.TfIdfModel._weigh
+    monkeypatch.setattr(mlstages.TfIdfModel, "_weigh", lambda self, df, one: seen.append(one) or weigh(self, df, one))
+    monkeypatch.setattr(salary_features, "_rows_of", lambda t, what: (rows, "description_clean"))
+    s = {"col": "x", "out": "y", "max_features": 30, "min_df": 1, "components": 4}
+    got = salary_features._projection(None, "description", s).orderBy("job_id").toPandas().to_numpy()
+    assert seen == [True]
+    m = mlstages.TfIdf(**{**s, "col": "description_clean", "out": "component"}).fit(rows)
+    assert np.allclose(got, m.transform(rows).select("job_id", *m.columns()).orderBy("job_id").toPandas().to_numpy(), atol=1e-6)
+    twice = rows.union(rows.limit(1))  # a repeated key: the rows of one document
+    m, d = mlstages.TfIdf(col="description_clean", min_df=1, components=2).fit_transform(twice)
+    assert d.count() == 62 and d.columns == [*rows.columns, *m.columns()]
+
+
+def test_wide_rows_are_stored_once_after_the_texts(spark, monkeypatch):
+    names, wb = [], salary_features.write_back
+    monkeypatch.setattr(salary_features, "write_back", lambda df, name: names.append(len(df.columns)) or wb(df, name))
+    df = _rows(spark)
+    stages = [mlstages.OrdinalEncoder(cols=["cat"]), mlstages.MedianImputer(cols=["x"]), mlstages.TfIdf(col="text", max_features=20, components=2),
+              mlstages.TfIdf(col="text", out="more", max_features=20, components=2), mlstages.Standardizer(cols=["x"])]
+    models, got = salary_features.fit_stages(stages, df, "test-rows")
+    assert names == [5 + 1 + 2 + 2]
+    for m in models:
+        df = m.transform(df)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
